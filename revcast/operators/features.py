@@ -56,8 +56,12 @@ def rolling_columns() -> dict:
 
 
 # Column order of the engineered table (the original's insertion order).
+CALENDAR_COLS = ["month", "day_of_week", "week_of_year", "quarter", "is_weekend"]
+RATIO_COLS = ["roas", "cpc", "cvr", "budget_utilization"]
+
+
 def feature_order() -> list:
-    out = list(calendar_columns()) + list(ratio_columns()) + ["days_since_campaign_start"]
+    out = CALENDAR_COLS + RATIO_COLS + ["days_since_campaign_start"]
     for n in ROLLING_WINDOWS:
         out += [rolling_name("revenue", n, "mean"), rolling_name("revenue", n, "std"),
                 rolling_name("spend", n, "mean"), rolling_name("spend", n, "std"),

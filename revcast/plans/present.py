@@ -1,6 +1,6 @@
 """Comparison-friendly projection of result columns (used by the query registry).
 
-Rules (identical in the oracle SQL): money 2 dp, ratios/std 4 dp, rolling means
+Rules (identical in the oracle SQL): money 2 dp, ratios/std ``round(x + 1e-9, 4)``, rolling means
 6 dp, other means ``round(x + 1e-7, 2)``, integers BIGINT.  The library itself
 keeps unrounded values; rounding happens only in this last projection.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 RULES = {
     "money": lambda c: F.round(c, 2),
-    "ratio": lambda c: F.round(c, 4),
+    "ratio": lambda c: F.round(c + F.lit(1e-9), 4),
     "roll": lambda c: F.round(c, 6),
     "mean": lambda c: F.round(c + F.lit(1e-7), 2),
     "int": lambda c: c.cast("bigint"),
@@ -27,7 +27,7 @@ def present(df: DataFrame, spec: dict[str, str], order: list[str] | None = None)
 def sql_rule(rule: str, expr: str) -> str:
     return {
         "money": f"round({expr}, 2)",
-        "ratio": f"round({expr}, 4)",
+        "ratio": f"round({expr} + 1e-9, 4)",
         "roll": f"round({expr}, 6)",
         "mean": f"round({expr} + 1e-7, 2)",
         "int": f"CAST({expr} AS BIGINT)",

@@ -71,6 +71,590 @@ for _g in ("channel", "campaign_type", "campaign"):
     REGISTRY[f"forecast_{'type' if _g == 'campaign_type' else _g}"] = Query(_fn, _sql)
 
 
+
+# ---------------------------------------------------------------- features
+KEYS5 = ["date", "channel", "campaign_type", "campaign_name", "campaign_id"]
+CAL = ["month", "day_of_week", "week_of_year", "quarter", "is_weekend"]
+RATIOS = ["roas", "cpc", "cvr", "budget_utilization"]
+ROLL = [c for c in feature_order() if "_roll_" in c]
+ROLL_SPEC = {c: ("ratio" if c.endswith("_std") else "roll") for c in ROLL}
+
+
+def _feature_query(name: str, cols: list[str], spec: dict[str, str]):
+    sql = O.with_ctes(*O.feature_stack()) + f"\nSELECT {sql_select(spec, KEYS5 + cols)} FROM features"
+
+    def run(spark, sf):
+        return present(daily.feature_daily(spark, sf).select(*KEYS5, *cols), spec)
+    REGISTRY[name] = Query(run, sql)
+
+
+_feature_query("calendar_features", CAL, {c: "int" for c in CAL})
+_feature_query("efficiency_ratios", RATIOS, {c: "ratio" for c in RATIOS})
+_feature_query("campaign_age", ["days_since_campaign_start"], {"days_since_campaign_start": "int"})
+_feature_query("rolling_features", ROLL, ROLL_SPEC)
+_feature_query("momentum", ["revenue_momentum", "spend_momentum"],
+               {"revenue_momentum": "ratio", "spend_momentum": "ratio"})
+
+
+# ---------------------------------------------------------------- look-back / horizons
+@register("lookback_rows", O.with_ctes(*O.clean_stack(), O.SNAP) + """
+SELECT CAST(h.forecast_horizon AS BIGINT) AS forecast_horizon, CAST(count(*) AS BIGINT) AS rows,
+  CAST(count(DISTINCT c.channel) AS BIGINT) AS channels,
+  CAST(count(DISTINCT c.channel || '|' || c.campaign_type) AS BIGINT) AS channel_types,
+  CAST(count(DISTINCT c.channel || '|' || c.campaign_name) AS BIGINT) AS campaigns
+FROM cleaned c CROSS JOIN snap CROSS JOIN (VALUES (30), (60), (90)) h(forecast_horizon)
+WHERE c.date > snap.snap - CAST(h.forecast_horizon AS INTEGER)
+GROUP BY h.forecast_horizon""")
+def q_lookback_rows(spark, sf):
+    cl = daily.cleaned_daily(spark, sf)
+    snap = fc.snapshot_date(cl)
+    parts = [fc.lookback(cl, h, snap).agg(
+        F.lit(h).cast("bigint").alias("forecast_horizon"), F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("channel").alias("channels"),
+        F.count_distinct("channel", "campaign_type").alias("channel_types"),
+        F.count_distinct("channel", "campaign_name").alias("campaigns")) for h in (30, 60, 90)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("horizon_assign", O.with_ctes(*O.clean_stack(), O.SNAP, O.HROWS)
+          + "\nSELECT CAST(forecast_horizon AS BIGINT) AS forecast_horizon, date, channel, campaign_name, campaign_id FROM hrows")
+def q_horizon_assign(spark, sf):
+    h = fc.assign_horizons(daily.cleaned_daily(spark, sf))
+    return h.select(F.col("forecast_horizon").cast("bigint").alias("forecast_horizon"),
+                    "date", "channel", "campaign_name", "campaign_id")
+
+
+BASE_COLS = ["forecast_horizon", "granularity", "channel", "campaign_type", "campaign_name", "days_in_window",
+             "nonzero_revenue_days", "historical_daily_revenue", "historical_daily_spend", "last_date",
+             "q10", "q50", "q90"]
+BASE_SPEC = {"forecast_horizon": "int", "days_in_window": "int", "nonzero_revenue_days": "int",
+             "historical_daily_revenue": "mean", "historical_daily_spend": "mean",
+             "q10": "mean", "q50": "mean", "q90": "mean"}
+
+
+@register("forecast_base", O.with_ctes(*O.forecast_stack()) + f"\nSELECT {sql_select(BASE_SPEC, BASE_COLS)} FROM fbase")
+def q_forecast_base(spark, sf):
+    b = fc.forecast_base(fc.assign_horizons(daily.cleaned_daily(spark, sf)))
+    b = b.withColumns({f"q{int(q * 100)}": F.col("daily_quantiles")[i] for i, q in enumerate((0.1, 0.5, 0.9))})
+    return present(b.select(*BASE_COLS), BASE_SPEC)
+
+
+# ---------------------------------------------------------------- period features
+from revcast import constants as K  # noqa: E402
+from revcast.operators import periods as pe  # noqa: E402
+
+PERIOD_SPEC = {
+    "forecast_horizon": "int", "total_revenue": "money", "total_spend": "money", "total_clicks": "int",
+    "total_impressions": "int", "total_conversions": "money", "mean_daily_revenue": "mean",
+    "mean_daily_spend": "mean", "std_daily_revenue": "ratio", "std_daily_spend": "ratio",
+    "mean_roas": "mean", "overall_roas": "ratio", "mean_cpc": "mean", "mean_cvr": "mean",
+    "mean_budget_util": "mean", "mean_daily_budget": "mean", "total_budget": "money", "active_days": "int",
+    "num_campaigns": "int", "revenue_trend": "ratio", "spend_trend": "ratio", "avg_month": "mean",
+    "avg_quarter": "mean", "weekend_ratio": "mean",
+    **{c: ("ratio" if c.endswith("_std") or c.endswith("momentum") else "roll") for c in K.CARRY_FORWARD_COLS},
+}
+
+_CF = ", ".join(f"arg_max({c}, (campaign_name, date, campaign_type, campaign_id)) AS {c}" for c in K.CARRY_FORWARD_COLS)
+
+
+def _period_level(keys: str, gran: str, sel_keys: str) -> str:
+    return f"""SELECT forecast_horizon, '{gran}' AS granularity, max(snapshot_date) AS snapshot_date, {sel_keys},
+    sum(revenue) AS total_revenue, sum(spend) AS total_spend, sum(clicks) AS total_clicks,
+    sum(impressions) AS total_impressions, coalesce(sum(conversions), 0.0) AS total_conversions,
+    avg(revenue) AS mean_daily_revenue, avg(spend) AS mean_daily_spend,
+    coalesce(stddev_samp(revenue), 0.0) AS std_daily_revenue, coalesce(stddev_samp(spend), 0.0) AS std_daily_spend,
+    avg(roas) AS mean_roas,
+    CASE WHEN sum(spend) > 0 THEN sum(revenue) / sum(spend) ELSE 0.0 END AS overall_roas,
+    avg(cpc) AS mean_cpc, avg(cvr) AS mean_cvr, avg(budget_utilization) AS mean_budget_util,
+    avg(daily_budget) AS mean_daily_budget, sum(daily_budget) AS total_budget,
+    count(DISTINCT date) AS active_days, count(DISTINCT campaign_name) AS num_campaigns,
+    CASE WHEN coalesce(sum(CASE WHEN date <= mid THEN revenue END), 0) > 0
+         THEN (coalesce(sum(CASE WHEN date > mid THEN revenue END), 0) - sum(CASE WHEN date <= mid THEN revenue END))
+              / sum(CASE WHEN date <= mid THEN revenue END) ELSE 0.0 END AS revenue_trend,
+    CASE WHEN coalesce(sum(CASE WHEN date <= mid THEN spend END), 0) > 0
+         THEN (coalesce(sum(CASE WHEN date > mid THEN spend END), 0) - sum(CASE WHEN date <= mid THEN spend END))
+              / sum(CASE WHEN date <= mid THEN spend END) ELSE 0.0 END AS spend_trend,
+    avg(month) AS avg_month, avg(quarter) AS avg_quarter, avg(is_weekend) AS weekend_ratio,
+    {_CF}
+  FROM fhrows GROUP BY forecast_horizon, {keys}"""
+
+
+PERIOD_SQL = O.with_ctes(*O.feature_stack(), O.SNAP, """fhrows AS (
+  SELECT f.*, h.forecast_horizon, snap.snap AS snapshot_date,
+    CAST(snap.snap - CAST(h.forecast_horizon AS INTEGER) + CAST(h.forecast_horizon // 2 AS INTEGER) AS DATE) AS mid
+  FROM features f CROSS JOIN snap CROSS JOIN (VALUES (30), (60), (90)) h(forecast_horizon)
+  WHERE f.date > snap.snap - CAST(h.forecast_horizon AS INTEGER))""", f"""periods AS (
+  {_period_level("channel", "channel", "channel, 'ALL' AS campaign_type, 'ALL' AS campaign_name")}
+  UNION ALL
+  {_period_level("channel, campaign_type", "campaign_type", "channel, campaign_type, 'ALL' AS campaign_name")}
+  UNION ALL
+  {_period_level("channel, campaign_type, campaign_name", "campaign", "channel, campaign_type, campaign_name")})""")
+
+
+@register("period_features", PERIOD_SQL + f"\nSELECT {sql_select(PERIOD_SPEC, pe.PERIOD_COLUMNS)} FROM periods")
+def q_period_features(spark, sf):
+    return present(pe.period_features(daily.feature_daily(spark, sf)), PERIOD_SPEC)
+
+
+_HT = ["forecast_horizon", "granularity", "channel", "campaign_type", "campaign_name", "revenue_trend", "spend_trend"]
+_CFC = ["forecast_horizon", "granularity", "channel", "campaign_type", "campaign_name", *K.CARRY_FORWARD_COLS]
+
+
+@register("half_trend", PERIOD_SQL + f"\nSELECT {sql_select(PERIOD_SPEC, _HT)} FROM periods")
+def q_half_trend(spark, sf):
+    return present(pe.half_trend(daily.feature_daily(spark, sf)), PERIOD_SPEC)
+
+
+@register("carry_forward", PERIOD_SQL + f"\nSELECT {sql_select(PERIOD_SPEC, _CFC)} FROM periods")
+def q_carry_forward(spark, sf):
+    return present(pe.carry_forward(daily.feature_daily(spark, sf)), PERIOD_SPEC)
+
+
+# ---------------------------------------------------------------- daily rollups
+from revcast.operators import rollup as ru  # noqa: E402
+
+_ROLL_SUMS = ["spend", "clicks", "impressions", "daily_budget"]
+_ROLL_MEANS = ["month", "day_of_week", "week_of_year", "quarter", "is_weekend", "roas", "cpc", "cvr",
+               "budget_utilization", "days_since_campaign_start", *ROLL, "revenue_momentum", "spend_momentum"]
+ROLLUP_SPEC = {"spend": "money", "clicks": "int", "impressions": "int", "daily_budget": "money",
+               "revenue": "money", "roas": "ratio", **{c: "mean" for c in _ROLL_MEANS if c != "roas"}}
+
+
+def _rollup_query(gran: str):
+    keys = K.GRANULARITIES[gran]
+    cols = ["date", *keys, *_ROLL_SUMS, *_ROLL_MEANS, "revenue"]
+    aggs = ", ".join([f"sum({c}) AS {c}" for c in _ROLL_SUMS]
+                     + [f"avg({c}) AS {c}" for c in _ROLL_MEANS if c != "roas"]
+                     + ["sum(revenue) AS revenue"])
+    sql = O.with_ctes(*O.feature_stack(), f"""rolled AS (
+  SELECT date, {", ".join(keys)}, {aggs} FROM features GROUP BY date, {", ".join(keys)}),
+rolled2 AS (SELECT *, CASE WHEN spend > 0 THEN revenue / spend ELSE 0.0 END AS roas FROM rolled)""") \
+        + f"\nSELECT {sql_select(ROLLUP_SPEC, cols)} FROM rolled2"
+
+    def run(spark, sf):
+        return present(ru.daily_rollup(daily.feature_daily(spark, sf), gran).select(*cols), ROLLUP_SPEC)
+    return run, sql
+
+
+for _g, _n in (("channel", "daily_rollup_channel"), ("campaign_type", "daily_rollup_type")):
+    _fn, _sql = _rollup_query(_g)
+    REGISTRY[_n] = Query(_fn, _sql)
+
+
+@register("latest_features", O.with_ctes(*O.feature_stack()) + f"""
+SELECT {sql_select({**ROLL_SPEC, "days_since_campaign_start": "int"}, ["channel", "campaign_name", "date", "campaign_type",
+        "campaign_id", "days_since_campaign_start", *ROLL])}
+FROM (SELECT *, row_number() OVER (PARTITION BY channel, campaign_type, campaign_name
+                                   ORDER BY date DESC, campaign_id DESC) AS rn FROM features) t WHERE rn = 1""")
+def q_latest_features(spark, sf):
+    lr = ru.latest_rows(daily.feature_daily(spark, sf), "campaign")
+    return present(lr.select("channel", "campaign_name", "date", "campaign_type", "campaign_id",
+                             "days_since_campaign_start", *ROLL),
+                   {**ROLL_SPEC, "days_since_campaign_start": "int"})
+
+
+# ---------------------------------------------------------------- source profile / audits / maps
+from revcast.functions.expr import cap_roas, map_campaign_type, meta_prefix_type  # noqa: E402
+from revcast.operators.clean import cleaning_audit  # noqa: E402
+
+
+@register("source_profile", O.with_ctes(O.AD_DAILY) + """
+SELECT channel, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT campaign_name) AS BIGINT) AS campaigns,
+  min(date) AS min_date, max(date) AS max_date
+FROM ad_daily GROUP BY channel""")
+def q_source_profile(spark, sf):
+    return daily.raw_daily(spark, sf).groupBy("channel").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("campaign_name").alias("campaigns"),
+        F.min("date").alias("min_date"), F.max("date").alias("max_date"))
+
+
+@register("cleaning_audit", O.with_ctes(AD_FILL := O.AD_DAILY, O.FILLED) + f"""
+SELECT CAST(count(*) AS BIGINT) AS rows_in,
+  CAST(count(CASE WHEN a.daily_budget IS NULL THEN 1 END) AS BIGINT) AS null_budgets,
+  CAST(0 AS BIGINT) + (SELECT count(*) FROM (SELECT channel, campaign_name FROM ad_daily GROUP BY 1, 2
+                                              HAVING count(daily_budget) = 0) x2
+                       JOIN ad_daily a2 USING (channel, campaign_name)) AS still_null_budgets,
+  CAST(count(CASE WHEN a.revenue IS NOT DISTINCT FROM 0 AND a.spend IS NOT DISTINCT FROM 0 THEN 1 END) AS BIGINT)
+    AS zero_activity_rows,
+  CAST(count(CASE WHEN NOT (a.revenue IS NOT DISTINCT FROM 0 AND a.spend IS NOT DISTINCT FROM 0) THEN 1 END) AS BIGINT)
+    AS rows_out
+FROM ad_daily a""")
+def q_cleaning_audit(spark, sf):
+    return cleaning_audit(daily.raw_daily(spark, sf))
+
+
+def _bing_style_spark(c):
+    return F.regexp_replace(F.initcap(F.regexp_replace(F.lower(c), "_", " ")), " ", "")
+
+
+_BING_SQL = ("concat(upper(left(split_part(campaign_type, '_', 1), 1)), lower(substr(split_part(campaign_type, '_', 1), 2)),"
+             " upper(left(split_part(campaign_type, '_', 2), 1)), lower(substr(split_part(campaign_type, '_', 2), 2)))")
+_TYPE_MAP_SQL = ("coalesce(CASE {x} WHEN 'SEARCH' THEN 'SEARCH' WHEN 'PERFORMANCE_MAX' THEN 'PERFORMANCE_MAX'"
+                 " WHEN 'DISPLAY' THEN 'DISPLAY' WHEN 'VIDEO' THEN 'VIDEO' WHEN 'DEMAND_GEN' THEN 'DEMAND_GEN'"
+                 " WHEN 'SHOPPING' THEN 'SHOPPING' WHEN 'Search' THEN 'SEARCH' WHEN 'PerformanceMax' THEN 'PERFORMANCE_MAX'"
+                 " WHEN 'Audience' THEN 'AUDIENCE' WHEN 'Shopping' THEN 'SHOPPING' END, 'OTHER')")
+
+
+@register("campaign_type_map", O.with_ctes(O.AD_DAILY) + f"""
+SELECT style, raw_type, {_TYPE_MAP_SQL.format(x="raw_type")} AS mapped_type, CAST(count(*) AS BIGINT) AS rows
+FROM (SELECT 'google' AS style, campaign_type AS raw_type FROM ad_daily
+      UNION ALL SELECT 'bing', {_BING_SQL} FROM ad_daily) t
+GROUP BY style, raw_type""")
+def q_campaign_type_map(spark, sf):
+    raw = daily.raw_daily(spark, sf)
+    g = raw.select(F.lit("google").alias("style"), F.col("campaign_type").alias("raw_type"))
+    b = raw.select(F.lit("bing").alias("style"), _bing_style_spark(F.col("campaign_type")).alias("raw_type"))
+    return (g.unionByName(b).groupBy("style", "raw_type").agg(F.count(F.lit(1)).alias("rows"))
+             .withColumn("mapped_type", map_campaign_type(F.col("raw_type")))
+             .select("style", "raw_type", "mapped_type", "rows"))
+
+
+@register("name_prefix_type", O.with_ctes(O.AD_DAILY) + """
+SELECT campaign_name, CASE split_part(campaign_name, '_', 1) WHEN 'Generic' THEN 'GENERIC'
+  WHEN 'Prospecting' THEN 'PROSPECTING' WHEN 'Remarketing' THEN 'REMARKETING' ELSE 'OTHER' END AS inferred_type,
+  CAST(count(*) AS BIGINT) AS rows
+FROM ad_daily GROUP BY campaign_name""")
+def q_name_prefix_type(spark, sf):
+    return (daily.raw_daily(spark, sf).groupBy("campaign_name").agg(F.count(F.lit(1)).alias("rows"))
+            .select("campaign_name", meta_prefix_type(F.col("campaign_name")).alias("inferred_type"), "rows"))
+
+
+# ---------------------------------------------------------------- guards on daily rows
+@register("quantile_repair", O.with_ctes(*O.feature_stack(), """band AS (
+  SELECT date, channel, campaign_type, campaign_name, campaign_id,
+    revenue_roll_7d_mean - 1.28 * revenue_roll_7d_std AS r10, revenue AS r50,
+    revenue_roll_7d_mean + 1.28 * revenue_roll_7d_std AS r90 FROM features),
+b1 AS (SELECT *, CASE WHEN r10 > r50 THEN r50 * 0.8 ELSE r10 END AS a10 FROM band),
+b2 AS (SELECT *, CASE WHEN r90 < r50 THEN r50 * 1.2 ELSE r90 END AS a90 FROM b1)""") + """
+SELECT date, channel, campaign_type, campaign_name, campaign_id,
+  round(CASE WHEN a10 > a90 THEN a90 ELSE a10 END + 1e-7, 2) AS revenue_p10, round(r50 + 1e-7, 2) AS revenue_p50,
+  round(CASE WHEN a10 > a90 THEN a10 ELSE a90 END + 1e-7, 2) AS revenue_p90
+FROM b2""")
+def q_quantile_repair(spark, sf):
+    f = daily.feature_daily(spark, sf)
+    band = f.select(*KEYS5,
+                    (F.col("revenue_roll_7d_mean") - 1.28 * F.col("revenue_roll_7d_std")).alias("revenue_p10"),
+                    F.col("revenue").alias("revenue_p50"),
+                    (F.col("revenue_roll_7d_mean") + 1.28 * F.col("revenue_roll_7d_std")).alias("revenue_p90"))
+    return present(fc.repair_quantiles(band), {c: "mean" for c in ("revenue_p10", "revenue_p50", "revenue_p90")})
+
+
+@register("roas_cap", O.with_ctes(*O.clean_stack()) + """
+SELECT date, channel, campaign_type, campaign_name, campaign_id,
+  round(CASE WHEN spend > 0 THEN least(revenue / spend, 20.0) ELSE 0.0 END + 1e-9, 4) AS roas_capped,
+  round(CASE WHEN spend > 0 THEN least(revenue, 20.0 * spend) ELSE revenue END, 2) AS revenue_capped
+FROM cleaned""")
+def q_roas_cap(spark, sf):
+    c = daily.cleaned_daily(spark, sf)
+    s = F.col("spend")
+    out = c.select(*KEYS5, cap_roas(F.col("revenue"), s).alias("roas_capped"),
+                   F.when(s > 0, F.least(F.col("revenue"), s * K.MAX_ROAS)).otherwise(F.col("revenue"))
+                    .alias("revenue_capped"))
+    return present(out, {"roas_capped": "ratio", "revenue_capped": "money"})
+
+
+# ---------------------------------------------------------------- insight tables
+from revcast.operators import insights as ins  # noqa: E402
+from revcast.operators import scenarios as sc  # noqa: E402
+
+
+def _fc(spark, sf):
+    return fc.forecast(daily.cleaned_daily(spark, sf))
+
+
+def _insight(name: str, fn, spec: dict, cols: list[str], body_sql: str, extra_ctes: tuple = ()):
+    sql = O.with_ctes(*O.forecast_stack(), *extra_ctes) + f"\nSELECT {sql_select(spec, cols)} FROM ({body_sql}) t"
+
+    def run(spark, sf):
+        return present(fn(spark, sf).select(*cols), spec)
+    REGISTRY[name] = Query(run, sql)
+
+
+_insight("forecast_filter", lambda sp, sf: ins.filter_forecast(_fc(sp, sf), 30, None, "google"),
+         FORECAST_SPEC, fc.FORECAST_COLUMNS, "SELECT * FROM fcast WHERE forecast_horizon = 30 AND channel = 'google'")
+
+_insight("forecast_totals", lambda sp, sf: ins.forecast_totals(_fc(sp, sf)),
+         {"forecast_horizon": "int", "groups": "int", "total_revenue_p50": "mean",
+          "total_projected_spend": "mean", "avg_roas_p50": "ratio"},
+         ["forecast_horizon", "granularity", "groups", "total_revenue_p50", "total_projected_spend", "avg_roas_p50"],
+         """SELECT forecast_horizon, granularity, count(*) AS groups, sum(revenue_p50) AS total_revenue_p50,
+                   sum(projected_spend) AS total_projected_spend, avg(roas_p50) AS avg_roas_p50
+            FROM fcast GROUP BY forecast_horizon, granularity""")
+
+KPI_COLS = ["forecast_horizon", "revenue_p10", "revenue_p50", "revenue_p90", "projected_spend", "num_channels",
+            "blended_roas", "confidence_range", "model_confidence"]
+_insight("kpis", lambda sp, sf: ins.kpis(_fc(sp, sf)),
+         {"forecast_horizon": "int", "revenue_p10": "mean", "revenue_p50": "mean", "revenue_p90": "mean",
+          "projected_spend": "mean", "num_channels": "int", "blended_roas": "ratio", "confidence_range": "mean"},
+         KPI_COLS,
+         """SELECT *, CASE WHEN blended_roas > 0.5 THEN '85%' ELSE '70%' END AS model_confidence FROM (
+              SELECT forecast_horizon, sum(revenue_p10) AS revenue_p10, sum(revenue_p50) AS revenue_p50,
+                sum(revenue_p90) AS revenue_p90, sum(projected_spend) AS projected_spend,
+                count(DISTINCT channel) AS num_channels,
+                CASE WHEN sum(projected_spend) > 0 THEN sum(revenue_p50) / sum(projected_spend) ELSE 0.0 END AS blended_roas,
+                sum(revenue_p90) - sum(revenue_p10) AS confidence_range
+              FROM fcast WHERE granularity = 'channel' GROUP BY forecast_horizon) k""")
+
+_insight("dimension_lists", lambda sp, sf: ins.dimension_lists(_fc(sp, sf)), {}, ["dimension", "value"],
+         """SELECT DISTINCT 'channel' AS dimension, channel AS value FROM fcast WHERE channel IS NOT NULL
+            UNION SELECT DISTINCT 'campaign_type', campaign_type FROM fcast WHERE campaign_type <> 'ALL'""")
+
+_insight("validation_counts", lambda sp, sf: ins.validation_counts(_fc(sp, sf)),
+         {"channels": "int", "campaigns": "int"}, ["channels", "campaigns"],
+         """SELECT count(DISTINCT channel) AS channels,
+                   count(CASE WHEN granularity = 'campaign' AND forecast_horizon = 30 THEN 1 END) AS campaigns
+            FROM fcast""")
+
+PAUSED_COLS = ["forecast_horizon", "channel", "channel_display", "campaign_type", "total_revenue", "total_spend",
+               "campaigns", "last_active", "status"]
+PAUSED_SPEC = {"forecast_horizon": "int", "total_revenue": "money", "total_spend": "money", "campaigns": "int"}
+_DISPLAY_SQL = ("CASE {c} WHEN 'google' THEN 'Google Ads' WHEN 'meta' THEN 'Meta Ads' "
+                "WHEN 'bing' THEN 'Microsoft Ads' ELSE {c} END")
+PAUSED_HIST = """phist AS (
+  SELECT channel, campaign_type, sum(revenue) AS total_revenue, sum(spend) AS total_spend,
+    count(DISTINCT campaign_name) AS campaigns, max(date) AS last_active
+  FROM cleaned GROUP BY channel, campaign_type)"""
+
+
+def _paused_sql(h: int) -> str:
+    return f"""SELECT {h} AS forecast_horizon, channel, {_DISPLAY_SQL.format(c="channel")} AS channel_display,
+      campaign_type, total_revenue, total_spend, campaigns, last_active, 'Paused' AS status
+    FROM phist p WHERE NOT EXISTS (SELECT 1 FROM fcast f WHERE f.granularity = 'campaign_type'
+      AND f.forecast_horizon = {h} AND f.channel = p.channel AND f.campaign_type = p.campaign_type)"""
+
+
+for _h in (30, 60, 90):
+    _insight(f"paused_types_{_h}",
+             (lambda h: lambda sp, sf: ins.paused_types(daily.cleaned_daily(sp, sf), _fc(sp, sf), h))(_h),
+             PAUSED_SPEC, PAUSED_COLS, _paused_sql(_h), (PAUSED_HIST,))
+
+CONTRIB_COLS = ["forecast_horizon", "channel", "channel_display", "campaign_type", "campaigns", "revenue_p10",
+                "revenue_p50", "revenue_p90", "roas_p10", "roas_p90", "contribution_pct", "low_confidence", "status"]
+CONTRIB_SPEC = {"forecast_horizon": "int", "campaigns": "int", "revenue_p10": "mean", "revenue_p50": "mean",
+                "revenue_p90": "mean", "roas_p10": "ratio", "roas_p90": "ratio", "contribution_pct": "ratio"}
+_insight("contribution_table",
+         lambda sp, sf: ins.contribution_table(_fc(sp, sf), daily.cleaned_daily(sp, sf), 30),
+         CONTRIB_SPEC, CONTRIB_COLS,
+         f"""SELECT t.forecast_horizon, t.channel, {_DISPLAY_SQL.format(c="t.channel")} AS channel_display,
+               t.campaign_type, coalesce(c.n, 0) AS campaigns, t.revenue_p10, t.revenue_p50, t.revenue_p90,
+               t.roas_p10, t.roas_p90,
+               CASE WHEN sum(t.revenue_p50) OVER (PARTITION BY t.forecast_horizon) > 0
+                    THEN t.revenue_p50 / sum(t.revenue_p50) OVER (PARTITION BY t.forecast_horizon) * 100
+                    ELSE 0.0 END AS contribution_pct,
+               t.low_confidence, 'Active' AS status
+             FROM fcast t LEFT JOIN (SELECT channel, campaign_type, count(*) AS n FROM fcast
+                                     WHERE granularity = 'campaign' AND forecast_horizon = 30 GROUP BY 1, 2) c
+               ON t.channel = c.channel AND t.campaign_type = c.campaign_type
+             WHERE t.granularity = 'campaign_type' AND t.forecast_horizon = 30
+             UNION ALL
+             SELECT forecast_horizon, channel, channel_display, campaign_type, campaigns, NULL, NULL, NULL, NULL,
+               NULL, NULL, NULL, status FROM ({_paused_sql(30)}) p""", (PAUSED_HIST,))
+
+_insight("contribution_totals", lambda sp, sf: ins.contribution_totals(_fc(sp, sf)),
+         {"forecast_horizon": "int", "total_p10": "mean", "total_p90": "mean", "total_spend": "mean",
+          "blended_roas_p10": "ratio", "blended_roas_p90": "ratio"},
+         ["forecast_horizon", "total_p10", "total_p90", "total_spend", "blended_roas_p10", "blended_roas_p90"],
+         """SELECT *, CASE WHEN total_spend > 0 THEN total_p10 / total_spend ELSE 0.0 END AS blended_roas_p10,
+                   CASE WHEN total_spend > 0 THEN total_p90 / total_spend ELSE 0.0 END AS blended_roas_p90
+            FROM (SELECT forecast_horizon, sum(revenue_p10) AS total_p10, sum(revenue_p90) AS total_p90,
+                         sum(projected_spend) AS total_spend
+                  FROM fcast WHERE granularity = 'campaign_type' GROUP BY forecast_horizon) x""")
+
+_ROAS_LABEL_SQL = ("CASE WHEN {r} > 3.0 THEN 'HIGH PERFORMER' WHEN {r} > 1.0 THEN 'PROFITABLE' "
+                   "WHEN {r} > 0.5 THEN 'MARGINAL' ELSE 'UNDERPERFORMING' END")
+_insight("channel_analysis", lambda sp, sf: ins.channel_analysis(_fc(sp, sf)),
+         {"forecast_horizon": "int", "revenue_p10": "mean", "revenue_p50": "mean", "revenue_p90": "mean",
+          "roas_p50": "ratio", "projected_spend": "mean", "share_pct": "ratio", "width_pct": "ratio"},
+         ["forecast_horizon", "channel", "revenue_p10", "revenue_p50", "revenue_p90", "roas_p50", "projected_spend",
+          "share_pct", "width_pct", "assessment"],
+         f"""SELECT forecast_horizon, channel, revenue_p10, revenue_p50, revenue_p90, roas_p50, projected_spend,
+               CASE WHEN sum(revenue_p50) OVER () > 0 THEN revenue_p50 / sum(revenue_p50) OVER () * 100 ELSE 0.0 END
+                 AS share_pct,
+               CASE WHEN revenue_p50 > 0 THEN (revenue_p90 - revenue_p10) / revenue_p50 * 100 ELSE 0.0 END AS width_pct,
+               {_ROAS_LABEL_SQL.format(r="roas_p50")} AS assessment
+             FROM fcast WHERE granularity = 'channel' AND forecast_horizon = 30""")
+
+_insight("type_analysis", lambda sp, sf: ins.type_analysis(_fc(sp, sf)),
+         {"forecast_horizon": "int", "revenue_p50": "mean", "roas_p50": "ratio"},
+         ["forecast_horizon", "channel", "campaign_type", "revenue_p50", "roas_p50", "risk"],
+         """SELECT forecast_horizon, channel, campaign_type, revenue_p50, roas_p50,
+               CASE WHEN revenue_p50 > 0 AND (revenue_p90 - revenue_p10) / greatest(revenue_p50, 1.0) > 1.5 THEN 'HIGH'
+                    WHEN revenue_p50 > 0 AND (revenue_p90 - revenue_p10) / greatest(revenue_p50, 1.0) > 0.5 THEN 'MED'
+                    ELSE 'LOW' END AS risk
+             FROM fcast WHERE granularity = 'campaign_type' AND forecast_horizon = 30""")
+
+BW_COLS = ["forecast_horizon", "top_type", "top_type_channel", "top_type_revenue_p50", "top_type_roas_p50",
+           "lowest_type", "lowest_type_channel", "lowest_type_revenue_p50", "lowest_type_roas_p50",
+           "best_channel", "best_channel_roas_p50", "worst_channel", "worst_channel_roas_p50"]
+_insight("best_worst", lambda sp, sf: ins.best_worst(_fc(sp, sf)),
+         {"forecast_horizon": "int", "top_type_revenue_p50": "mean", "top_type_roas_p50": "ratio",
+          "lowest_type_revenue_p50": "mean", "lowest_type_roas_p50": "ratio", "best_channel_roas_p50": "ratio",
+          "worst_channel_roas_p50": "ratio"}, BW_COLS,
+         """SELECT 30 AS forecast_horizon, b.campaign_type AS top_type, b.channel AS top_type_channel,
+               b.revenue_p50 AS top_type_revenue_p50, b.roas_p50 AS top_type_roas_p50,
+               w.campaign_type AS lowest_type, w.channel AS lowest_type_channel,
+               w.revenue_p50 AS lowest_type_revenue_p50, w.roas_p50 AS lowest_type_roas_p50,
+               bc.channel AS best_channel, bc.roas_p50 AS best_channel_roas_p50,
+               wc.channel AS worst_channel, wc.roas_p50 AS worst_channel_roas_p50
+             FROM (SELECT * FROM fcast WHERE granularity = 'campaign_type' AND forecast_horizon = 30
+                   ORDER BY revenue_p50 DESC, channel DESC, campaign_type DESC LIMIT 1) b,
+                  (SELECT * FROM fcast WHERE granularity = 'campaign_type' AND forecast_horizon = 30
+                   ORDER BY revenue_p50, channel, campaign_type LIMIT 1) w,
+                  (SELECT * FROM fcast WHERE granularity = 'channel' AND forecast_horizon = 30
+                   ORDER BY roas_p50 DESC, channel DESC LIMIT 1) bc,
+                  (SELECT * FROM fcast WHERE granularity = 'channel' AND forecast_horizon = 30
+                   ORDER BY roas_p50, channel LIMIT 1) wc""")
+
+_insight("horizon_trend", lambda sp, sf: ins.horizon_trend(_fc(sp, sf)),
+         {"forecast_horizon": "int", "total_p50": "mean", "total_spend": "mean", "avg_monthly_p50": "mean",
+          "growth_pct": "ratio"},
+         ["forecast_horizon", "total_p50", "total_spend", "avg_monthly_p50", "growth_pct", "trend"],
+         """SELECT *, CASE WHEN growth_pct IS NULL THEN NULL WHEN growth_pct > 5 THEN 'GROWING'
+                          WHEN growth_pct < -5 THEN 'DECLINING' ELSE 'STABLE' END AS trend
+            FROM (SELECT forecast_horizon, total_p50, total_spend, total_p50 / (forecast_horizon / 30.0) AS avg_monthly_p50,
+                    CASE WHEN max(CASE WHEN forecast_horizon = 30 THEN total_p50 END) OVER () > 0 THEN
+                      (max(CASE WHEN forecast_horizon = 90 THEN total_p50 / 3 END) OVER ()
+                       - max(CASE WHEN forecast_horizon = 30 THEN total_p50 END) OVER ())
+                      / max(CASE WHEN forecast_horizon = 30 THEN total_p50 END) OVER () * 100 END AS growth_pct
+                  FROM (SELECT forecast_horizon, sum(revenue_p50) AS total_p50, sum(projected_spend) AS total_spend
+                        FROM fcast WHERE granularity = 'channel' GROUP BY forecast_horizon) a) b""")
+
+_insight("budget_efficiency", lambda sp, sf: ins.budget_efficiency(_fc(sp, sf)),
+         {"forecast_horizon": "int", "historical_daily_revenue": "mean", "historical_daily_spend": "mean",
+          "historical_roas": "ratio", "roas_p50": "ratio"},
+         ["forecast_horizon", "channel", "historical_daily_revenue", "historical_daily_spend", "historical_roas",
+          "roas_p50", "outlook"],
+         """SELECT *, CASE WHEN roas_p50 > historical_roas * 1.1 THEN 'IMPROVING'
+                          WHEN roas_p50 < historical_roas * 0.9 THEN 'DECLINING' ELSE 'STABLE' END AS outlook
+            FROM (SELECT forecast_horizon, channel, historical_daily_revenue, historical_daily_spend,
+                    CASE WHEN historical_daily_spend > 0 THEN historical_daily_revenue / historical_daily_spend
+                         ELSE 0.0 END AS historical_roas, roas_p50
+                  FROM fcast WHERE granularity = 'channel' AND forecast_horizon = 30) x""")
+
+_UNC = "CASE WHEN revenue_p50 > 0 THEN (revenue_p90 - revenue_p10) / revenue_p50 * 100 ELSE 0.0 END"
+_insight("high_uncertainty", lambda sp, sf: ins.high_uncertainty(_fc(sp, sf)),
+         {"forecast_horizon": "int", "revenue_p10": "mean", "revenue_p50": "mean", "revenue_p90": "mean",
+          "uncertainty_pct": "ratio", "high_uncertainty_total": "int"},
+         ["forecast_horizon", "channel", "campaign_type", "campaign_name", "revenue_p10", "revenue_p50",
+          "revenue_p90", "uncertainty_pct", "high_uncertainty_total"],
+         f"""SELECT *, (SELECT count(*) FROM fcast WHERE granularity = 'campaign' AND forecast_horizon = 30
+                         AND {_UNC} > 150) AS high_uncertainty_total
+             FROM (SELECT forecast_horizon, channel, campaign_type, campaign_name, revenue_p10, revenue_p50,
+                     revenue_p90, {_UNC} AS uncertainty_pct
+                   FROM fcast WHERE granularity = 'campaign' AND forecast_horizon = 30 AND {_UNC} > 150
+                   ORDER BY uncertainty_pct DESC, channel, campaign_name LIMIT 5) x""")
+
+_insight("zero_revenue", lambda sp, sf: ins.zero_revenue(_fc(sp, sf)),
+         {"forecast_horizon": "int", "projected_spend": "mean"},
+         ["forecast_horizon", "channel", "campaign_type", "campaign_name", "projected_spend"],
+         """SELECT forecast_horizon, channel, campaign_type, campaign_name, projected_spend FROM fcast
+            WHERE granularity = 'campaign' AND forecast_horizon = 30 AND revenue_p50 = 0""")
+
+_insight("wasted_spend", lambda sp, sf: ins.wasted_spend(_fc(sp, sf)),
+         {"forecast_horizon": "int", "zero_revenue_campaigns": "int", "wasted_spend": "mean"},
+         ["forecast_horizon", "zero_revenue_campaigns", "wasted_spend"],
+         """SELECT 30 AS forecast_horizon, count(*) AS zero_revenue_campaigns,
+                   coalesce(sum(projected_spend), 0.0) AS wasted_spend
+            FROM fcast WHERE granularity = 'campaign' AND forecast_horizon = 30 AND revenue_p50 = 0""")
+
+_insight("budget_concentration", lambda sp, sf: ins.budget_concentration(_fc(sp, sf)),
+         {"forecast_horizon": "int", "dominant_spend": "mean", "total_spend": "mean", "share_pct": "ratio"},
+         ["forecast_horizon", "dominant_channel", "dominant_spend", "total_spend", "share_pct", "concentration_alert"],
+         """SELECT 30 AS forecast_horizon, *, coalesce(round(share_pct, 0) > 60, false) AS concentration_alert
+            FROM (SELECT arg_max(channel, (projected_spend, channel)) AS dominant_channel,
+                    max(projected_spend) AS dominant_spend, sum(projected_spend) AS total_spend,
+                    CASE WHEN sum(projected_spend) > 0 THEN max(projected_spend) / sum(projected_spend) * 100 END
+                      AS share_pct
+                  FROM fcast WHERE granularity = 'channel' AND forecast_horizon = 30) x""")
+
+_insight("baseline_anomaly", lambda sp, sf: ins.baseline_anomaly(_fc(sp, sf)),
+         {"forecast_horizon": "int", "historical_daily_revenue": "mean", "predicted_daily_revenue": "mean",
+          "change_pct": "ratio"},
+         ["forecast_horizon", "channel", "historical_daily_revenue", "predicted_daily_revenue", "change_pct",
+          "direction", "anomaly"],
+         """SELECT *, CASE WHEN change_pct > 0 THEN 'uplift' ELSE 'decline' END AS direction,
+                   CASE WHEN change_pct > 10 THEN 'UPLIFT' WHEN change_pct < -10 THEN 'DECLINE' ELSE 'STABLE' END
+                     AS anomaly
+            FROM (SELECT forecast_horizon, channel, historical_daily_revenue, revenue_p50 / 30.0 AS predicted_daily_revenue,
+                    CASE WHEN historical_daily_revenue > 0
+                         THEN (revenue_p50 / 30.0 - historical_daily_revenue) / historical_daily_revenue * 100
+                         ELSE 0.0 END AS change_pct
+                  FROM fcast WHERE granularity = 'channel' AND forecast_horizon = 30) x""")
+
+REC_COLS = ["rec_num", "rule", "best_channel", "best_channel_roas_p50", "worst_channel", "worst_channel_roas_p50",
+            "zero_revenue_campaigns", "wasted_spend", "data_quality_campaigns"]
+_insight("recommendations", lambda sp, sf: ins.recommendations(_fc(sp, sf)),
+         {"rec_num": "int", "best_channel_roas_p50": "ratio", "worst_channel_roas_p50": "ratio",
+          "zero_revenue_campaigns": "int", "wasted_spend": "mean", "data_quality_campaigns": "int"}, REC_COLS,
+         """SELECT row_number() OVER (ORDER BY r.rule_order) AS rec_num, r.rule, i.*
+            FROM (SELECT
+                    arg_max(channel, (roas_p50, channel)) FILTER (WHERE granularity = 'channel') AS best_channel,
+                    max(roas_p50) FILTER (WHERE granularity = 'channel') AS best_channel_roas_p50,
+                    arg_min(channel, (roas_p50, channel)) FILTER (WHERE granularity = 'channel') AS worst_channel,
+                    min(roas_p50) FILTER (WHERE granularity = 'channel') AS worst_channel_roas_p50,
+                    count(*) FILTER (WHERE granularity = 'campaign' AND revenue_p50 = 0) AS zero_revenue_campaigns,
+                    coalesce(sum(projected_spend) FILTER (WHERE granularity = 'campaign' AND revenue_p50 = 0), 0.0)
+                      AS wasted_spend,
+                    count(*) FILTER (WHERE granularity = 'campaign'
+                      AND (revenue_p90 - revenue_p10) / greatest(revenue_p50, 1.0) > 1.5) AS data_quality_campaigns
+                  FROM fcast WHERE forecast_horizon = 30) i
+            JOIN (VALUES (1, 'BUDGET REALLOCATION'), (2, 'CAMPAIGN PRUNING'), (3, 'DATA QUALITY'),
+                         (4, 'SCENARIO PLANNING')) r(rule_order, rule)
+              ON (r.rule_order = 1 AND coalesce(i.best_channel_roas_p50 > i.worst_channel_roas_p50 * 2, false))
+              OR (r.rule_order = 2 AND i.zero_revenue_campaigns > 0)
+              OR (r.rule_order = 3 AND i.data_quality_campaigns > 0)
+              OR r.rule_order = 4""")
+
+FAN_COLS = ["forecast_horizon", "point", "day_offset", "revenue_p10", "revenue_p50", "revenue_p75", "revenue_p90",
+            "roas_p10", "roas_p50", "roas_p75", "roas_p90"]
+_insight("fan_series", lambda sp, sf: ins.fan_series(_fc(sp, sf)),
+         {"forecast_horizon": "int", "point": "int", "day_offset": "int", "revenue_p10": "mean",
+          "revenue_p50": "mean", "revenue_p75": "mean", "revenue_p90": "mean", "roas_p10": "ratio",
+          "roas_p50": "ratio", "roas_p75": "ratio", "roas_p90": "ratio"}, FAN_COLS,
+         """SELECT forecast_horizon, point, point * 3 AS day_offset,
+               t10 / forecast_horizon * (point * 3 + 1) AS revenue_p10,
+               t50 / forecast_horizon * (point * 3 + 1) * (1 + frac * 0.03) AS revenue_p50,
+               t50 / forecast_horizon * (point * 3 + 1) * (1 + frac * 0.03)
+                 + (t90 / forecast_horizon * (point * 3 + 1) * (1 + frac * 0.05)
+                    - t50 / forecast_horizon * (point * 3 + 1) * (1 + frac * 0.03)) * 0.5 AS revenue_p75,
+               t90 / forecast_horizon * (point * 3 + 1) * (1 + frac * 0.05) AS revenue_p90,
+               r10 * (1 + frac * 0.05) AS roas_p10, r50 * (1 + frac * 0.08) AS roas_p50,
+               r50 * (1 + frac * 0.08) + (r90 * (1 + frac * 0.10) - r50 * (1 + frac * 0.08)) * 0.5 AS roas_p75,
+               r90 * (1 + frac * 0.10) AS roas_p90
+            FROM (SELECT *, point / n_points AS frac FROM (
+                    SELECT *, unnest(generate_series(0, n_points)) AS point FROM (
+                      SELECT forecast_horizon, forecast_horizon // 3 AS n_points,
+                        sum(revenue_p10) AS t10, sum(revenue_p50) AS t50, sum(revenue_p90) AS t90,
+                        avg(roas_p10) AS r10, avg(roas_p50) AS r50, avg(roas_p90) AS r90
+                      FROM fcast WHERE granularity = 'channel' GROUP BY forecast_horizon) a) b) c""")
+
+# FIXED scenario set used by the registered what-if query.
+SCENARIOS = [("base", None, 1.0), ("plus_20", None, 1.2), ("minus_20", None, 0.8),
+             ("google_up", "google", 1.5), ("over_cap", None, 5.0)]
+SCEN_COLS = ["scenario_id", "forecast_horizon", "granularity", "channel", "campaign_type", "campaign_name",
+             "budget_multiplier", "revenue_p10", "revenue_p50", "revenue_p90", "projected_spend", "roas_p50"]
+_insight("budget_scenarios", lambda sp, sf: sc.apply_scenarios(_fc(sp, sf), SCENARIOS),
+         {"forecast_horizon": "int", "budget_multiplier": "ratio", "revenue_p10": "mean", "revenue_p50": "mean",
+          "revenue_p90": "mean", "projected_spend": "mean", "roas_p50": "ratio"}, SCEN_COLS,
+         """SELECT i.scenario_id, f.forecast_horizon, f.granularity, f.channel, f.campaign_type, f.campaign_name,
+               m.mult AS budget_multiplier,
+               f.revenue_p10 / f.budget_multiplier * m.mult AS revenue_p10,
+               f.revenue_p50 / f.budget_multiplier * m.mult AS revenue_p50,
+               f.revenue_p90 / f.budget_multiplier * m.mult AS revenue_p90,
+               f.projected_spend / f.budget_multiplier * m.mult AS projected_spend, f.roas_p50
+            FROM fcast f CROSS JOIN (SELECT DISTINCT scenario_id FROM scen) i,
+            LATERAL (SELECT least(greatest(coalesce(
+                (SELECT s.m FROM scen s WHERE s.scenario_id = i.scenario_id AND s.channel = f.channel),
+                (SELECT s.m FROM scen s WHERE s.scenario_id = i.scenario_id AND s.channel IS NULL), 1.0), 0.1), 3.0)
+                AS mult) m""",
+         ("""scen(scenario_id, channel, m) AS (VALUES ('base', NULL, 1.0::DOUBLE), ('plus_20', NULL, 1.2::DOUBLE),
+              ('minus_20', NULL, 0.8::DOUBLE), ('google_up', 'google', 1.5::DOUBLE), ('over_cap', NULL, 5.0::DOUBLE))""",))
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.spark for k, v in REGISTRY.items()}
 
