@@ -20,21 +20,30 @@ def campaign_window() -> Window:
     return Window.partitionBy(*CAMPAIGN_KEYS).orderBy(*CAMPAIGN_ORDER)
 
 
+def campaign_window_desc() -> Window:
+    """Same partitioning, reversed order: running frames over it look forward in time."""
+    return Window.partitionBy(*CAMPAIGN_KEYS).orderBy(*[F.col(c).desc() for c in CAMPAIGN_ORDER])
+
+
+def _running_last(col, w: Window):
+    # growing frame: evaluated incrementally (linear), unlike a shrinking
+    # CURRENT ROW .. UNBOUNDED FOLLOWING frame which is re-aggregated per row
+    return F.last(col, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+def filled_budget_expr():
+    """ffill (previous non-null), else bfill (next non-null), else 0."""
+    b = F.col("daily_budget")
+    return F.coalesce(b, _running_last(b, campaign_window()), _running_last(b, campaign_window_desc()), F.lit(0.0))
+
+
 def drop_unnamed(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("Unnamed")])
 
 
 def fill_budget(df: DataFrame) -> DataFrame:
     """Forward fill, then backward fill, then 0, per (channel, campaign_name)."""
-    w = campaign_window()
-    b = F.col("daily_budget")
-    filled = F.coalesce(
-        b,
-        F.last(b, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        F.first(b, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-        F.lit(0.0),
-    )
-    return df.withColumn("daily_budget", filled)
+    return df.withColumn("daily_budget", filled_budget_expr())
 
 
 def zero_activity(df: DataFrame):
@@ -46,20 +55,29 @@ def drop_zero_activity(df: DataFrame) -> DataFrame:
     return df.where(~zero_activity(df))
 
 
+def by_campaign(df: DataFrame) -> DataFrame:
+    """Hash-partition by campaign with the session's shuffle parallelism.
+
+    An explicit partition count keeps AQE from coalescing the (CPU-heavy)
+    window stages into a handful of tasks; every later per-campaign window
+    reuses this partitioning without another exchange.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *CAMPAIGN_KEYS)
+
+
 def clean(df: DataFrame) -> DataFrame:
     """W1 before P8, as in the original flow (fill sees the zero rows too)."""
-    return drop_zero_activity(fill_budget(drop_unnamed(df)))
+    return drop_zero_activity(fill_budget(by_campaign(drop_unnamed(df))))
 
 
 def cleaning_audit(raw: DataFrame) -> DataFrame:
     """One row: rows in/out, null budgets, still-null after fill, zero-activity rows."""
-    w = campaign_window()
     b = F.col("daily_budget")
     marked = drop_unnamed(raw).select(
         b.isNull().alias("was_null"),
-        F.coalesce(b,
-                   F.last(b, True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-                   F.first(b, True).over(w.rowsBetween(0, Window.unboundedFollowing))).isNull().alias("still_null"),
+        F.coalesce(b, _running_last(b, campaign_window()), _running_last(b, campaign_window_desc()))
+         .isNull().alias("still_null"),
         zero_activity(raw).alias("zero"))
     return marked.agg(
         F.count(F.lit(1)).alias("rows_in"),

@@ -6,16 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from revcast.operators.clean import clean
 from revcast.operators.features import engineer_features
+from revcast.session import ensure_checkpoint_dir
 from revcast.sources.fixture import ad_daily
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared ``spark.checkpoint.dir``.
+
+    Cuts lineage (a lost executor re-reads the checkpoint instead of
+    re-scanning the fact sources) and lets every consumer of the daily table
+    (snapshot subquery, windows, grouping sets, paused types) read it once.
+    The physical partitioning (by campaign) is kept, so later campaign
+    windows need no new exchange.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad_daily(spark, sf_dir)
 
 
-def cleaned_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean(ad_daily(spark, sf_dir))
+def cleaned_daily(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> DataFrame:
+    df = clean(ad_daily(spark, sf_dir))
+    return materialize(df) if checkpoint else df
 
 
-def feature_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engineer_features(cleaned_daily(spark, sf_dir))
+def feature_daily(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> DataFrame:
+    return engineer_features(cleaned_daily(spark, sf_dir, checkpoint))

@@ -71,6 +71,12 @@ for _g in ("channel", "campaign_type", "campaign"):
     REGISTRY[f"forecast_{'type' if _g == 'campaign_type' else _g}"] = Query(_fn, _sql)
 
 
+@register("forecast_all", O.with_ctes(*O.forecast_stack()) + f"\nSELECT {sql_select(FORECAST_SPEC, fc.FORECAST_COLUMNS)} FROM fcast")
+def q_forecast_all(spark, sf):
+    """The whole 3 horizons x 3 granularities forecast table in one plan."""
+    return present(fc.forecast(daily.feature_daily(spark, sf)), FORECAST_SPEC)
+
+
 
 # ---------------------------------------------------------------- features
 KEYS5 = ["date", "channel", "campaign_type", "campaign_name", "campaign_id"]
