@@ -661,6 +661,154 @@ _insight("budget_scenarios", lambda sp, sf: sc.apply_scenarios(_fc(sp, sf), SCEN
 
 
 
+
+# ---------------------------------------------------------------- learning: encoders, index, folds, metrics
+from revcast.operators import encode as en  # noqa: E402
+from revcast.operators import metrics as me  # noqa: E402
+from revcast.operators import splits as spl  # noqa: E402
+
+DICT_SQL = """dict AS (
+  SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY value) - 1 AS idx FROM (
+    SELECT DISTINCT 'channel' AS column_name, channel AS value FROM cleaned
+    UNION SELECT DISTINCT 'campaign_type', campaign_type FROM cleaned
+    UNION SELECT DISTINCT 'campaign_name', campaign_name FROM cleaned
+    UNION SELECT 'channel', '__UNSEEN__' UNION SELECT 'campaign_type', '__UNSEEN__'
+    UNION SELECT 'campaign_name', '__UNSEEN__') v)"""
+
+
+@register("label_encode_fit", O.with_ctes(*O.clean_stack(), DICT_SQL)
+          + "\nSELECT column_name, value, CAST(idx AS BIGINT) AS idx FROM dict")
+def q_label_encode_fit(spark, sf):
+    return en.fit_dictionary(daily.cleaned_daily(spark, sf))
+
+
+ENC_SQL = """enc AS (
+  SELECT c.* REPLACE (
+    coalesce((SELECT idx FROM dict d WHERE d.column_name = 'channel' AND d.value = c.channel),
+             (SELECT idx FROM dict d WHERE d.column_name = 'channel' AND d.value = '__UNSEEN__')) AS channel,
+    coalesce((SELECT idx FROM dict d WHERE d.column_name = 'campaign_type' AND d.value = c.campaign_type),
+             (SELECT idx FROM dict d WHERE d.column_name = 'campaign_type' AND d.value = '__UNSEEN__')) AS campaign_type,
+    coalesce((SELECT idx FROM dict d WHERE d.column_name = 'campaign_name' AND d.value = c.campaign_name),
+             (SELECT idx FROM dict d WHERE d.column_name = 'campaign_name' AND d.value = '__UNSEEN__')) AS campaign_name)
+  FROM features c)"""
+
+
+@register("label_encode_apply", O.with_ctes(*O.feature_stack(), DICT_SQL, ENC_SQL) + """
+SELECT date, campaign_id, CAST(channel AS BIGINT) AS channel, CAST(campaign_type AS BIGINT) AS campaign_type,
+  CAST(campaign_name AS BIGINT) AS campaign_name FROM enc""")
+def q_label_encode_apply(spark, sf):
+    cl = daily.cleaned_daily(spark, sf)
+    out = en.encode(cl, en.fit_dictionary(cl))
+    return out.select("date", "campaign_id", *[F.col(c).cast("bigint").alias(c) for c in K.CATEGORICAL_COLS])
+
+
+MATRIX_FEATURES = ["channel", "campaign_type", "campaign_name", "spend", "clicks", "impressions", "daily_budget",
+                   *_ROLL_MEANS]
+MATRIX_SPEC = {"channel": "int", "campaign_type": "int", "campaign_name": "int", "spend": "money",
+               "clicks": "int", "impressions": "int", "daily_budget": "money", "roas": "ratio",
+               **{c: ROLL_SPEC.get(c, "ratio") for c in _ROLL_MEANS if c != "roas"},
+               **{c: "int" for c in CAL}, "days_since_campaign_start": "int"}
+
+
+@register("feature_matrix", O.with_ctes(*O.feature_stack(), DICT_SQL, ENC_SQL)
+          + f"\nSELECT {sql_select(MATRIX_SPEC, ['date', 'campaign_id', *MATRIX_FEATURES])} FROM enc")
+def q_feature_matrix(spark, sf):
+    from revcast.operators.model import feature_matrix
+    f = daily.feature_daily(spark, sf)
+    fm, names = feature_matrix(f, en.fit_dictionary(f))
+    assert names == MATRIX_FEATURES, names
+    return present(fm.select("date", "campaign_id", *names), MATRIX_SPEC)
+
+
+CHRONO_SQL = """chrono AS (
+  SELECT *, row_number() OVER (ORDER BY date, channel, campaign_type, campaign_name, campaign_id) - 1 AS idx
+  FROM cleaned)"""
+
+
+@register("chrono_index", O.with_ctes(*O.clean_stack(), CHRONO_SQL)
+          + "\nSELECT date, channel, campaign_type, campaign_name, campaign_id, CAST(idx AS BIGINT) AS idx FROM chrono")
+def q_chrono_index(spark, sf):
+    return spl.chrono_index(daily.cleaned_daily(spark, sf)).select(*KEYS5, "idx")
+
+
+FOLDS_SQL = """nrows AS (SELECT count(*) AS n, count(*) // 6 AS ts FROM chrono),
+folds AS (SELECT f.fold, n - (5 - f.fold) * ts AS test_start, n - (5 - f.fold) * ts + ts AS test_end
+          FROM nrows CROSS JOIN (VALUES (0), (1), (2), (3), (4)) f(fold)),
+roles AS (
+  SELECT f.fold, CASE WHEN c.idx < f.test_start THEN 'train' ELSE 'test' END AS role, c.idx, c.revenue, c.date
+  FROM chrono c JOIN folds f ON c.idx < f.test_end)"""
+
+
+@register("cv_folds", O.with_ctes(*O.clean_stack(), CHRONO_SQL, FOLDS_SQL) + """
+SELECT CAST(fold AS BIGINT) AS fold, role, CAST(count(*) AS BIGINT) AS rows, CAST(min(idx) AS BIGINT) AS min_idx,
+  CAST(max(idx) AS BIGINT) AS max_idx, min(date) AS min_date, max(date) AS max_date, round(sum(revenue), 2) AS revenue
+FROM roles GROUP BY fold, role""")
+def q_cv_folds(spark, sf):
+    ix = spl.chrono_index(daily.cleaned_daily(spark, sf))
+    return spl.cv_assign(ix).groupBy(F.col("fold").cast("bigint").alias("fold"), "role").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("idx").alias("min_idx"), F.max("idx").alias("max_idx"),
+        F.min("date").alias("min_date"), F.max("date").alias("max_date"),
+        F.round(F.sum("revenue"), 2).alias("revenue"))
+
+
+@register("holdout_split", O.with_ctes(*O.clean_stack(), CHRONO_SQL) + """
+SELECT role, CAST(count(*) AS BIGINT) AS rows, min(date) AS min_date, max(date) AS max_date,
+  round(sum(revenue), 2) AS revenue
+FROM (SELECT *, CASE WHEN idx < CAST(floor((SELECT count(*) FROM chrono) * 0.8) AS BIGINT) THEN 'train'
+                     ELSE 'valid' END AS role FROM chrono) t
+GROUP BY role""")
+def q_holdout_split(spark, sf):
+    ix = spl.holdout_assign(spl.chrono_index(daily.cleaned_daily(spark, sf)))
+    return ix.groupBy("role").agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("min_date"),
+                                  F.max("date").alias("max_date"), F.round(F.sum("revenue"), 2).alias("revenue"))
+
+
+CVEVAL_SQL = """qlist AS (
+  SELECT fold, quantile_cont(revenue, [0.1, 0.5, 0.9]) AS ys FROM roles WHERE role = 'train' GROUP BY fold),
+qhat AS (
+  SELECT fold, unnest([0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE]) AS quantile, unnest(ys) AS yhat FROM qlist),
+cveval AS (
+  SELECT r.fold, h.quantile,
+    avg(CASE WHEN r.revenue - h.yhat >= 0 THEN h.quantile * (r.revenue - h.yhat)
+             ELSE (h.quantile - 1) * (r.revenue - h.yhat) END) AS pinball_loss,
+    avg(CASE WHEN r.revenue <= h.yhat THEN 1.0 ELSE 0.0 END) AS coverage
+  FROM roles r JOIN qhat h ON r.fold = h.fold WHERE r.role = 'test' GROUP BY r.fold, h.quantile)"""
+
+
+def _cv_eval(spark, sf):
+    return me.constant_quantile_cv(spl.chrono_index(daily.cleaned_daily(spark, sf)))
+
+
+@register("pinball_loss", O.with_ctes(*O.clean_stack(), CHRONO_SQL, FOLDS_SQL, CVEVAL_SQL) + """
+SELECT CAST(fold AS BIGINT) AS fold, quantile, round(pinball_loss + 1e-7, 2) AS pinball_loss FROM cveval""")
+def q_pinball_loss(spark, sf):
+    return present(_cv_eval(spark, sf).select(F.col("fold").cast("bigint").alias("fold"), "quantile", "pinball_loss"),
+                   {"pinball_loss": "mean"})
+
+
+@register("coverage", O.with_ctes(*O.clean_stack(), CHRONO_SQL, FOLDS_SQL, CVEVAL_SQL) + """
+SELECT CAST(fold AS BIGINT) AS fold, quantile, round(coverage + 1e-9, 4) AS coverage,
+  round(avg(coverage) OVER (PARTITION BY quantile) + 1e-9, 4) AS mean_coverage FROM cveval""")
+def q_coverage(spark, sf):
+    ev = _cv_eval(spark, sf)
+    from pyspark.sql import Window
+    out = ev.select(F.col("fold").cast("bigint").alias("fold"), "quantile", "coverage",
+                    F.avg("coverage").over(Window.partitionBy("quantile")).alias("mean_coverage"))
+    return present(out, {"coverage": "ratio", "mean_coverage": "ratio"})
+
+
+@register("training_metadata", O.with_ctes(*O.feature_stack()) + """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(37 AS BIGINT) AS n_features, min(date) AS min_date, max(date) AS max_date,
+  string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels,
+  string_agg(DISTINCT campaign_type, ',' ORDER BY campaign_type) AS campaign_types,
+  round(min(revenue), 2) AS target_min, round(max(revenue), 2) AS target_max
+FROM features""")
+def q_training_metadata(spark, sf):
+    from revcast.operators.model import training_metadata
+    return training_metadata(daily.feature_daily(spark, sf))
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.spark for k, v in REGISTRY.items()}
 
