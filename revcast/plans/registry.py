@@ -809,6 +809,123 @@ def q_training_metadata(spark, sf):
 
 
 
+
+# ---------------------------------------------------------------- model-based (no SQL oracle for the forest itself)
+from revcast.operators import importance as imp_ops  # noqa: E402
+from revcast.operators import model as mo  # noqa: E402
+
+
+def _campaign_importances(spark, sf):
+    f = daily.feature_daily(spark, sf)
+    dictionary = en.fit_dictionary(f)
+    train, names = mo.granularity_training_set(f, "campaign", dictionary)
+    return mo.fit_forest(train, names, "campaign").importances()
+
+
+@register("forest_forecast", None)
+def q_forest_forecast(spark, sf):
+    """Forest-scored forecast at all granularities and horizons (rows-only check)."""
+    f = daily.feature_daily(spark, sf)
+    models, dictionary = mo.train_all(f)
+    dq = mo.forest_daily_quantiles(f, models, dictionary)
+    return present(fc.forecast(f, daily_quantiles=dq), FORECAST_SPEC)
+
+
+@register("feature_importances", None)
+def q_feature_importances(spark, sf):
+    """M8: importance table (campaign level, 37 features x 3 quantiles)."""
+    return _campaign_importances(spark, sf)
+
+
+@register("top_features", None)
+def q_top_features(spark, sf):
+    """O2 / W6 on the model's importances."""
+    return imp_ops.top_features(_campaign_importances(spark, sf))
+
+
+@register("drivers", None)
+def q_drivers(spark, sf):
+    """Top-10 drivers with explanations and narrative flags."""
+    return imp_ops.drivers(_campaign_importances(spark, sf))
+
+
+def _explain_sql_long(x: str) -> str:
+    exact = " ".join(f"WHEN {x} = '{k}' THEN '{v}'" for k, v in K.FEATURE_EXPLANATIONS.items())
+    w = f"split_part({x}, '_', 3)"
+    return f"""CASE {exact}
+      WHEN {x} LIKE '%revenue_roll%' AND {x} LIKE '%std%' THEN 'Revenue volatility over ' || {w} || ' window'
+      WHEN {x} LIKE '%revenue_roll%' THEN 'Average daily revenue over ' || {w} || ' window'
+      WHEN {x} LIKE '%spend_roll%' AND {x} LIKE '%std%' THEN 'Spend volatility over ' || {w} || ' window'
+      WHEN {x} LIKE '%spend_roll%' THEN 'Average daily spend over ' || {w} || ' window'
+      WHEN {x} LIKE '%roas_roll%' THEN 'Average ROAS over ' || {w} || ' window'
+      WHEN {x} LIKE '%clicks_roll%' THEN 'Average daily clicks over ' || {w} || ' window'
+      WHEN {x} LIKE '%channel%' THEN 'Advertising channel (Google, Bing, Meta)'
+      WHEN {x} LIKE '%campaign_type%' THEN 'Campaign type (Search, PMax, Display, etc.)'
+      WHEN {x} LIKE '%campaign_name%' THEN 'Individual campaign identifier'
+      ELSE 'Model feature' END"""
+
+
+def _explain_sql_short(x: str) -> str:
+    exact = " ".join(f"WHEN {x} = '{k}' THEN '{v}'" for k, v in K.FEATURE_EXPLANATIONS_SHORT.items())
+    return f"""CASE {exact}
+      WHEN {x} LIKE '%roll%' AND {x} LIKE '%revenue%' THEN 'Rolling revenue metric'
+      WHEN {x} LIKE '%roll%' AND {x} LIKE '%spend%' THEN 'Rolling spend metric'
+      WHEN {x} LIKE '%roll%' AND {x} LIKE '%roas%' THEN 'Rolling ROAS metric'
+      WHEN {x} LIKE '%roll%' AND {x} LIKE '%clicks%' THEN 'Rolling clicks metric'
+      WHEN {x} LIKE '%channel%' THEN 'Ad channel'
+      WHEN {x} LIKE '%campaign%' THEN 'Campaign identifier'
+      ELSE 'Model feature' END"""
+
+
+# The oracle lists the feature names of the campaign-level matrix (a schema fact);
+# the Spark side takes them from the fitted model's importance table.
+@register("feature_explain", "SELECT feature, " + _explain_sql_long("feature") + " AS explanation, "
+          + _explain_sql_short("feature") + " AS short_explanation FROM (VALUES "
+          + ", ".join(f"('{n}')" for n in MATRIX_FEATURES) + ") t(feature)")
+def q_feature_explain(spark, sf):
+    names = _campaign_importances(spark, sf).select("feature").distinct()
+    return imp_ops.explain_names(names)
+
+
+
+
+# ---------------------------------------------------------------- sinks / report
+from revcast.operators import report as rep  # noqa: E402
+from revcast.sources import sinks as sk  # noqa: E402
+
+
+@register("json_clean", O.with_ctes(*O.forecast_stack()) + f"""
+SELECT {sql_select(FORECAST_SPEC, fc.FORECAST_COLUMNS)} FROM (
+  SELECT * REPLACE (
+    CASE WHEN isnan(roas_p50) OR isinf(roas_p50) OR roas_p50 IS NULL THEN 0.0 ELSE roas_p50 END AS roas_p50,
+    CASE WHEN isnan(revenue_p50) OR isinf(revenue_p50) OR revenue_p50 IS NULL THEN 0.0 ELSE revenue_p50 END AS revenue_p50)
+  FROM fcast) t""")
+def q_json_clean(spark, sf):
+    """S12 on the forecast table (JSON text itself is not compared across engines)."""
+    return present(sk.json_clean(_fc(spark, sf)).drop("record_json"), FORECAST_SPEC)
+
+
+def _report_inputs(spark, sf):
+    f = daily.feature_daily(spark, sf)
+    forecast_tbl = daily.materialize(fc.forecast(f), "forecast")
+    dictionary = en.fit_dictionary(f)
+    train, names = mo.granularity_training_set(f, "campaign", dictionary)
+    return forecast_tbl, mo.fit_forest(train, names, "campaign").importances(), f
+
+
+@register("report_lines", None)
+def q_report_lines(spark, sf):
+    """The report as ordered (section, ord, line) rows."""
+    return rep.report_lines(*_report_inputs(spark, sf))
+
+
+@register("report_context", None)
+def q_report_context(spark, sf):
+    """One JSON document with the 30-day channel forecasts, top features and training context."""
+    return rep.report_context(*_report_inputs(spark, sf))
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.spark for k, v in REGISTRY.items()}
 
