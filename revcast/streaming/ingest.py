@@ -1,0 +1,63 @@
+"""Incremental ingestion of daily vendor exports with Structured Streaming.
+
+The original system re-reads every export on each run.  Here new CSV files
+landing in a vendor folder are picked up by a file stream, normalised with
+the same column expressions as the batch loaders (``sources.vendors``) and
+appended to the unified daily table (parquet, partitioned by channel).  The
+checkpoint lives under ``spark.checkpoint.dir`` so a restarted query resumes
+exactly where it stopped; ``availableNow`` processes the backlog and stops,
+which is how a daily scheduler runs it.
+
+Files are routed by folder: ``<root>/google``, ``<root>/bing``, ``<root>/meta``
+(a streaming source has one schema, so each vendor is its own stream).
+"""
+
+from __future__ import annotations
+
+import hashlib
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from revcast import constants as K
+from revcast.session import ensure_checkpoint_dir
+from revcast.sources.vendors import NORMALISERS
+
+# Text columns each vendor export must carry (streaming file sources need a schema).
+VENDOR_COLUMNS = {
+    "google": ["segments_date", "campaign_advertising_channel_type", "campaign_name", "campaign_id",
+               "metrics_conversions_value", "metrics_cost_micros", "metrics_clicks", "metrics_impressions",
+               "metrics_conversions", "campaign_budget_amount"],
+    "bing": ["TimePeriod", "CampaignType", "CampaignName", "CampaignId", "Revenue", "Spend", "Clicks",
+             "Impressions", "Conversions", "DailyBudget"],
+    "meta": ["date_start", "campaign_name", "campaign_id", "conversion", "spend", "clicks", "impressions",
+             "daily_budget"],
+}
+
+
+def vendor_stream(spark: SparkSession, root: str, channel: str, max_files: int = 100) -> DataFrame:
+    schema = ", ".join(f"`{c}` string" for c in VENDOR_COLUMNS[channel])
+    raw = (spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", max_files)
+           .option("enforceSchema", False).csv(os.path.join(root, channel)))
+    return NORMALISERS[channel](raw).select(*K.UNIFIED_COLUMNS)
+
+
+def start_ingest(spark: SparkSession, root: str, table_path: str, channel: str,
+                 available_now: bool = True) -> StreamingQuery:
+    # one checkpoint per (target table, vendor): restarts resume, other tables do not collide
+    table_key = hashlib.sha1(table_path.encode()).hexdigest()[:16]
+    ckpt = os.path.join(ensure_checkpoint_dir(spark), "revcast-ingest", table_key, channel)
+    writer = (vendor_stream(spark, root, channel).writeStream.format("parquet")
+              .option("checkpointLocation", ckpt).partitionBy("channel").outputMode("append"))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 hour")
+    return writer.start(table_path)
+
+
+def ingest_all(spark: SparkSession, root: str, table_path: str) -> list[StreamingQuery]:
+    """Run every vendor stream that has a folder; with ``availableNow`` each stops when caught up."""
+    queries = [start_ingest(spark, root, table_path, ch)
+               for ch in K.CHANNELS if os.path.isdir(os.path.join(root, ch))]
+    for q in queries:
+        q.awaitTermination()
+    return queries
