@@ -17,15 +17,19 @@ from revcast.operators.splits import ordered_index
 
 
 def fit_dictionary(df: DataFrame, cols=K.CATEGORICAL_COLS) -> DataFrame:
-    """(column_name, value, idx) for every categorical column present."""
-    out = None
-    for c in [c for c in cols if c in df.columns]:
-        vals = (df.select(F.col(c).cast("string").alias("value")).where(F.col("value").isNotNull())
-                  .unionByName(df.sparkSession.range(1).select(F.lit(K.UNSEEN).alias("value")))
-                  .distinct())
-        part = ordered_index(vals, ["value"], "idx").select(F.lit(c).alias("column_name"), "value", "idx")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(column_name, value, idx) for every categorical column present, in one indexing pass:
+    rows are numbered over (column_name, value) and each column's numbering starts at 0."""
+    present = [c for c in cols if c in df.columns]
+    vals = None
+    for c in present:
+        v = df.select(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
+        vals = v if vals is None else vals.unionByName(v)
+    unseen = df.sparkSession.createDataFrame([(c, K.UNSEEN) for c in present], "column_name string, value string")
+    distinct = vals.where(F.col("value").isNotNull()).unionByName(unseen).distinct()
+    ix = ordered_index(distinct, ["column_name", "value"], "_g")
+    start = ix.groupBy("column_name").agg(F.min("_g").alias("_s"))
+    return (ix.join(F.broadcast(start), "column_name")          # one row per categorical column
+              .select("column_name", "value", (F.col("_g") - F.col("_s")).alias("idx")))
 
 
 def encode(df: DataFrame, dictionary: DataFrame, cols=K.CATEGORICAL_COLS) -> DataFrame:

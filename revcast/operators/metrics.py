@@ -19,8 +19,11 @@ from revcast.operators.splits import cv_assign, ordered_index
 
 def exact_quantiles(df: DataFrame, group_cols: list[str], value: str, qs=K.QUANTILES) -> DataFrame:
     """(group..., quantile, value) with linear interpolation between order statistics."""
-    vals = df.select(*group_cols, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    ix = ordered_index(vals, [*group_cols, "_v"], "_gidx")
+    # the random tie-breaker lets the range partitioner split a value shared by
+    # a huge number of rows (equal values are interchangeable for quantiles)
+    vals = (df.select(*group_cols, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+              .withColumn("_tie", F.rand(7)))
+    ix = ordered_index(vals, [*group_cols, "_v", "_tie"], "_gidx")
     bounds = ix.groupBy(*group_cols).agg(F.min("_gidx").alias("_start"), F.count(F.lit(1)).alias("_n"))
     targets = (bounds.select(*group_cols, "_start", "_n",
                              F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("quantile"))

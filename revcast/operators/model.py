@@ -114,7 +114,9 @@ def fit_forest(train: DataFrame, names: list[str], granularity: str, label: str
     vec = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="keep")
     rf = RandomForestRegressor(featuresCol="_features", labelCol=label, leafCol="_leaf",
                                **{**FOREST_PARAMS, **(params or {})})
-    data = vec.transform(train.select(*names, label).where(F.col(label).isNotNull()))
+    from revcast.plans.daily import materialize
+    # the forest makes several passes over its input: compute the matrix once
+    data = vec.transform(materialize(train.select(*names, label).where(F.col(label).isNotNull()), "train"))
     model = rf.fit(data)
     leaf_rows = model.transform(data).select(F.col(label).alias("_y"),
                                              F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
@@ -122,7 +124,6 @@ def fit_forest(train: DataFrame, names: list[str], granularity: str, label: str
     leaves = (leaf_rows.withColumn("leaf", F.col("leaf").cast("int")).groupBy("tree", "leaf")
               .agg(F.percentile_approx("_y", qs, QUANTILE_ACCURACY).alias("_q"))
               .select("tree", "leaf", *[F.col("_q")[i].alias(f"q{int(q * 100)}") for i, q in enumerate(qs)]))
-    from revcast.plans.daily import materialize
     return QuantileForest(granularity, names, model, materialize(leaves, "leaves"))
 
 

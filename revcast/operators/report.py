@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from revcast.operators import insights as ins
 from revcast.operators import importance as imp_ops
 from revcast.operators.model import training_metadata
+from revcast.operators.splits import ordered_index
 
 RULE = "=" * 70
 SECTIONS = ["HEADER", "EXECUTIVE SUMMARY", "KEY REVENUE DRIVERS", "CHANNEL PERFORMANCE ANALYSIS",
@@ -25,12 +26,20 @@ def money(c: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(c, 0))
 
 
-def _lines(df: DataFrame, section: int, order: list, texts: list[Column]) -> DataFrame:
-    """Each input row yields len(texts) lines, numbered by the given row order (sections are small)."""
-    rn = F.row_number().over(Window.orderBy(*order))
+def _lines(df: DataFrame, section: int, order: list, texts: list[Column], distributed: bool = False) -> DataFrame:
+    """Each input row yields len(texts) lines, numbered by the given row order.
+
+    Sections bounded by a vocabulary (channels, types, top-N) use a plain
+    row_number; sections that grow with the data are numbered with the
+    distributed ``ordered_index`` instead of a single-partition window.
+    """
     arr = F.array(*[F.struct(F.lit(i).alias("k"), t.alias("line")) for i, t in enumerate(texts)])
-    return (df.select(rn.alias("_r"), F.inline(arr))
-              .select(F.lit(section).alias("section"), (F.col("_r") * 100 + F.col("k")).alias("ord"), "line"))
+    if distributed:
+        keyed = ordered_index(df.select(*[c for c in df.columns]), order, "_r")
+    else:
+        keyed = df.withColumn("_r", F.row_number().over(Window.orderBy(*order)))
+    return (keyed.select("_r", F.inline(arr))
+                 .select(F.lit(section).alias("section"), (F.col("_r") * 100 + F.col("k")).alias("ord"), "line"))
 
 
 def _title(spark, section: int, title: str) -> DataFrame:
@@ -99,10 +108,11 @@ def report_lines(fc: DataFrame, imp: DataFrame, features: DataFrame) -> DataFram
         F.concat(F.format_string("    - %s (%s): P10=", "campaign_name", "channel"), money(F.col("revenue_p10")),
                  F.lit(", P50="), money(F.col("revenue_p50")), F.lit(", P90="), money(F.col("revenue_p90")),
                  F.format_string(" (±%.0f%%)", "uncertainty_pct"))])
-    zr = ins.zero_revenue(fc).withColumn("_o", F.lit(1))
+    zr = ins.zero_revenue(fc)
     risk_zero = _lines(zr, 7, ["channel", "campaign_name"], [
         F.concat(F.format_string("    - %s (%s, %s): Spend=", "campaign_name", "channel", "campaign_type"),
-                 money(F.col("projected_spend")))]).withColumn("ord", F.col("ord") + 100_000)
+                 money(F.col("projected_spend")))], distributed=True) \
+        .withColumn("ord", F.col("ord") + 10_000_000_000)
 
     rec = ins.recommendations(fc)
     recs = _lines(rec, 8, ["rec_num"], [
