@@ -43,7 +43,7 @@ def _lines(df: DataFrame, section: int, order: list, texts: list[Column], distri
 
 
 def _title(spark, section: int, title: str) -> DataFrame:
-    return spark.createDataFrame([(section, -1, f"## {title}")], "section int, ord bigint, line string")
+    return spark.createDataFrame([(section, -10 ** 15, f"## {title}")], "section int, ord bigint, line string")
 
 
 def report_lines(fc: DataFrame, imp: DataFrame, features: DataFrame) -> DataFrame:
@@ -67,6 +67,24 @@ def report_lines(fc: DataFrame, imp: DataFrame, features: DataFrame) -> DataFram
     d = imp_ops.drivers(imp)
     drivers = _lines(d, 2, ["rank"], [F.format_string("    %2d. %-30s (%5.1f%% importance) — %s", "rank", "feature",
                                                      "pct_of_all", "explanation")])
+    top3 = d.where(F.col("rank") <= 3).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda s: s["feature"]).alias("t3"),
+        F.first("roas_driven").alias("roas_driven"), F.first("spend_driven").alias("spend_driven"),
+        F.first("rolling_driven").alias("rolling_driven"))
+    narrative = _lines(top3, 2, [F.lit(1)], [
+        F.lit(""), F.lit("  Causal Interpretation:"),
+        F.format_string("    Revenue is primarily driven by %s, %s, and %s.", F.col("t3")[0], F.col("t3")[1],
+                        F.col("t3")[2]),
+        F.when(F.col("roas_driven"), F.lit("    The strong influence of ROAS metrics suggests that campaigns with "
+                                            "historically efficient ad spend are the best predictors of future "
+                                            "revenue.")),
+        F.when(F.col("spend_driven"), F.lit("    Spend level is a significant driver, indicating that budget "
+                                             "allocation directly impacts revenue outcomes.")),
+        F.when(F.col("rolling_driven"), F.lit("    Rolling average features rank highly, showing that recent "
+                                               "performance trends are more predictive than point-in-time "
+                                               "metrics."))]).withColumn("ord", F.col("ord") + 100_000)
+    drivers_intro = _lines(top3, 2, [F.lit(1)], [F.lit("  Top 10 features driving revenue predictions:")]) \
+        .withColumn("ord", F.lit(0).cast("bigint"))
 
     ca = ins.channel_analysis(fc)
     chan = _lines(ca, 3, [F.col("revenue_p50").desc(), "channel"], [
@@ -84,6 +102,20 @@ def report_lines(fc: DataFrame, imp: DataFrame, features: DataFrame) -> DataFram
         F.format_string("  %-25s %-10s $%10s %7.2fx %7s", "campaign_type", "channel",
                         F.format_number("revenue_p50", 0), "roas_p50", "risk")])
 
+    bw = ins.best_worst(fc)
+    types_head = _lines(bw, 4, [F.lit(1)], [
+        F.lit("  30-Day Revenue Forecast by Campaign Type:"),
+        F.format_string("  %-25s %-10s %12s %8s %8s", F.lit("Campaign Type"), F.lit("Channel"), F.lit("P50 Revenue"),
+                        F.lit("ROAS"), F.lit("Risk")),
+        F.lit("  " + "-" * 65)]).withColumn("ord", F.col("ord") - 1_000)
+    types_tail = _lines(bw, 4, [F.lit(1)], [
+        F.concat(F.format_string("  Top Performer: %s (%s) — ", "top_type", "top_type_channel"),
+                 money(F.col("top_type_revenue_p50")), F.format_string(" revenue, %.2fx ROAS", "top_type_roas_p50")),
+        F.concat(F.format_string("  Lowest Revenue: %s (%s) — ", "lowest_type", "lowest_type_channel"),
+                 money(F.col("lowest_type_revenue_p50")),
+                 F.format_string(" revenue, %.2fx ROAS", "lowest_type_roas_p50"))]) \
+        .withColumn("ord", F.col("ord") + 10_000_000)
+
     ht = ins.horizon_trend(fc)
     trend = _lines(ht, 5, ["forecast_horizon"], [
         F.concat(F.format_string("  %d-Day: Total P50 = ", "forecast_horizon"), money(F.col("total_p50")),
@@ -114,6 +146,18 @@ def report_lines(fc: DataFrame, imp: DataFrame, features: DataFrame) -> DataFram
                  money(F.col("projected_spend")))], distributed=True) \
         .withColumn("ord", F.col("ord") + 10_000_000_000)
 
+    counts = fc.where((F.col("granularity") == "campaign") & (F.col("forecast_horizon") == 30)).agg(
+        F.count(F.when(ins.uncertainty_pct(F.col("revenue_p10"), F.col("revenue_p50"), F.col("revenue_p90"))
+                       > 150, 1)).alias("n_high"),
+        F.count(F.when(F.col("revenue_p50") == 0, 1)).alias("n_zero"))
+    risk_head = _lines(counts, 7, [F.lit(1)], [
+        F.when(F.col("n_high") > 0, F.format_string("  HIGH UNCERTAINTY CAMPAIGNS (%d identified):", "n_high"))
+         .otherwise(F.lit("  No high-uncertainty campaigns identified."))]).withColumn("ord", F.lit(0).cast("bigint"))
+    zero_head = _lines(counts.where(F.col("n_zero") > 0), 7, [F.lit(1)], [
+        F.lit(""), F.format_string("  ZERO-REVENUE CAMPAIGNS (%d identified):", "n_zero"),
+        F.lit("    These campaigns show zero median revenue forecast:")]) \
+        .withColumn("ord", F.col("ord") + 1_000_000_000)
+
     rec = ins.recommendations(fc)
     recs = _lines(rec, 8, ["rec_num"], [
         F.when(F.col("rule") == "BUDGET REALLOCATION", F.format_string(
@@ -131,7 +175,10 @@ def report_lines(fc: DataFrame, imp: DataFrame, features: DataFrame) -> DataFram
             "  %d. SCENARIO PLANNING: Run the forecast with budget multipliers 1.2 and 0.8 to model the impact "
             "of ±20%% budget changes on forecasted revenue.", "rec_num"))])
 
-    parts = [header, execs, drivers, chan, types, trend, eff, risk_hi, risk_zero, recs]
+    closing = _lines(counts, 8, [F.lit(1)], [F.lit(""), F.lit(RULE), F.lit("End of Causal Summary Report"),
+                                             F.lit(RULE)]).withColumn("ord", F.col("ord") + 1_000_000)
+    parts = [header, execs, drivers_intro, drivers, narrative, chan, types_head, types, types_tail, trend, eff,
+             risk_head, risk_hi, zero_head, risk_zero, recs, closing]
     titles = [_title(spark, i, t) for i, t in enumerate(SECTIONS) if i > 0]
     out = parts[0]
     for p in parts[1:] + titles:
