@@ -926,6 +926,19 @@ def q_report_context(spark, sf):
 
 
 
+
+@register("base_budgets", O.with_ctes(*O.forecast_stack()) + """
+SELECT channel, round(projected_spend, 0) AS base_budget,
+  sum(round(projected_spend, 0)) OVER () AS total_budget
+FROM fcast WHERE granularity = 'channel' AND forecast_horizon = 30""")
+def q_base_budgets(spark, sf):
+    """30-day base budget per channel (whole units) and their total."""
+    from pyspark.sql import Window
+    b = sc.base_budgets(_fc(spark, sf))
+    return b.withColumn("total_budget", F.sum("base_budget").over(Window.partitionBy()))
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.spark for k, v in REGISTRY.items()}
 
