@@ -36,8 +36,8 @@ def main() -> None:
     cold = round(time.perf_counter() - cold, 3)
     timings = {}
     t0 = time.perf_counter()
-    from revcast.plans.daily import cleaned_daily
-    cleaned_daily(spark, sf_dir)          # land the daily table once (shared by every query below)
+    from revcast.plans.daily import feature_daily
+    feature_daily(spark, sf_dir)          # land the cleaned and engineered daily tables once (shared below)
     timings["land_daily"] = round(time.perf_counter() - t0, 3)
     for name in HEADLINE:
         if name not in REGISTRY:

@@ -149,7 +149,12 @@ def forest_daily_quantiles(features: DataFrame, models: dict, dictionary: DataFr
     out = None
     for g, m in models.items():
         keys = K.GRANULARITIES[g]
-        latest = latest_rows(daily_rollup(features, g), g)
+        if g == "campaign":
+            latest = latest_rows(features, g)
+        else:
+            # roll up only each group's last day instead of the whole history
+            last = features.groupBy(*keys).agg(F.max("date").alias("date"))
+            latest = daily_rollup(features.join(last, [*keys, "date"], "left_semi"), g)
         mat, _ = feature_matrix(latest.withColumns({f"_key_{k}": F.col(k) for k in keys}), dictionary)
         pred = m.predict(mat, [f"_key_{k}" for k in keys])
         labelled = pred.select(

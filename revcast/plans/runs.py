@@ -27,7 +27,7 @@ from revcast.sources.vendors import load_all_channels
 def load_daily(spark: SparkSession, source: str, kind: str = "vendors") -> DataFrame:
     """Unified daily table from vendor CSV exports (``kind='vendors'``) or the star-schema fixture."""
     raw = load_all_channels(spark, source) if kind == "vendors" else ad_daily(spark, source)
-    return engineer_features(materialize(clean(raw)))
+    return materialize(engineer_features(materialize(clean(raw))), "features")
 
 
 def train(spark: SparkSession, features: DataFrame, model_dir: str) -> dict:
