@@ -82,3 +82,14 @@ def engineer_features(clean_df: DataFrame) -> DataFrame:
         "spend_momentum": safe_ratio(F.col("spend_roll_7d_mean"), F.col("spend_roll_30d_mean"), 1.0),
     })
     return out.select(*clean_df.columns, *feature_order())
+
+
+def lag_features(features: DataFrame, lag: int = 1) -> DataFrame:
+    """D7 option: every engineered feature (and same-day ratios) taken from ``lag`` rows
+    earlier in the campaign, so a row's features never contain its own revenue.
+    The first ``lag`` rows of a campaign get NULL features (the matrix turns them into 0)."""
+    if lag <= 0:
+        return features
+    w = campaign_window()
+    cols = [c for c in feature_order() if c not in CALENDAR_COLS and c != "days_since_campaign_start"]
+    return features.withColumns({c: F.lag(c, lag).over(w) for c in cols})

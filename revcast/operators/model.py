@@ -127,9 +127,12 @@ def fit_forest(train: DataFrame, names: list[str], granularity: str, label: str
     return QuantileForest(granularity, names, model, materialize(leaves, "leaves"))
 
 
-def train_all(features: DataFrame, granularities=tuple(K.GRANULARITIES)) -> tuple[dict, DataFrame]:
-    """M7: one forest per granularity (all quantiles each); returns models and the dictionary."""
+def train_all(features: DataFrame, granularities=tuple(K.GRANULARITIES), lag: int = 0) -> tuple[dict, DataFrame]:
+    """M7: one forest per granularity (all quantiles each); returns models and the dictionary.
+    ``lag`` > 0 trains on features shifted by that many rows per campaign (D7)."""
+    from revcast.operators.features import lag_features
     dictionary = fit_dictionary(features)
+    features = lag_features(features, lag)
     models = {}
     for g in granularities:
         train, names = granularity_training_set(features, g, dictionary)
@@ -165,7 +168,8 @@ def forest_daily_quantiles(features: DataFrame, models: dict, dictionary: DataFr
     return out
 
 
-def cross_validate(features: DataFrame, granularity: str, dictionary: DataFrame) -> DataFrame:
+def cross_validate(features: DataFrame, granularity: str, dictionary: DataFrame,
+                   params: dict | None = None) -> DataFrame:
     """M2 + M5/M6 for the forest: fit on each expanding fold, score its test rows."""
     from revcast.operators.metrics import evaluate
     from revcast.operators.splits import chrono_index, cv_fold_bounds
@@ -178,7 +182,7 @@ def cross_validate(features: DataFrame, granularity: str, dictionary: DataFrame)
     for fold, start, end in cv_fold_bounds(n):
         tr = ix.where(F.col("idx") < start)
         te = ix.where((F.col("idx") >= start) & (F.col("idx") < end))
-        m = fit_forest(tr, names, granularity)
+        m = fit_forest(tr, names, granularity, params=params)
         p = m.predict(te, ["idx"]).join(te.select("idx", F.col(K.TARGET).alias("y")), "idx")
         long = p.select("y", F.inline(F.array(*[F.struct(F.lit(float(q)).alias("quantile"),
                                                          F.col(f"q{int(q * 100)}").alias("yhat"))

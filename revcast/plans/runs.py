@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from revcast.operators.clean import clean
 from revcast.operators.features import engineer_features
-from revcast.operators.forecast import forecast
+from revcast.operators.forecast import forecast, format_forecast
 from revcast.operators.model import (
     QuantileForest, forest_daily_quantiles, importance_table, train_all,
 )
@@ -30,8 +30,10 @@ def load_daily(spark: SparkSession, source: str, kind: str = "vendors") -> DataF
     return materialize(engineer_features(materialize(clean(raw))), "features")
 
 
-def train(spark: SparkSession, features: DataFrame, model_dir: str) -> dict:
-    models, dictionary = train_all(features)
+def train(spark: SparkSession, features: DataFrame, model_dir: str, lag: int = 0) -> dict:
+    """Fit and store one quantile forest per granularity; ``lag=1`` trains on the previous
+    row's features (no same-day leakage, D7)."""
+    models, dictionary = train_all(features, lag=lag)
     for g, m in models.items():
         m.save(os.path.join(model_dir, g))
     dictionary.write.mode("overwrite").parquet(os.path.join(model_dir, "dictionary"))
@@ -57,5 +59,6 @@ def predict(spark: SparkSession, features: DataFrame, out_dir: str, model_dir: s
     fc = materialize(forecast(features, multiplier, daily_quantiles=dq), "forecast")
     sinks.write_forecast(fc, os.path.join(out_dir, "predictions"))
     if imp is not None:
-        sinks.write_report(report_lines(fc, imp, features), os.path.join(out_dir, "causal_summary"))
+        # the report reads the exported (rounded) forecast, as the original does
+        sinks.write_report(report_lines(format_forecast(fc), imp, features), os.path.join(out_dir, "causal_summary"))
     return fc

@@ -45,3 +45,22 @@ def test_streaming_ingest_available_now(spark):
     # a second run with no new files appends nothing (exactly-once via the checkpoint)
     ingest_all(spark, root, table)
     assert spark.read.parquet(table).count() == 2
+
+
+def test_forest_cross_validation(features_small):
+    d = fit_dictionary(features_small)
+    ev = mo.cross_validate(features_small, "channel", d, params={"numTrees": 3}).collect()
+    assert {r["fold"] for r in ev} == {0, 1, 2, 3, 4}
+    assert {r["quantile"] for r in ev} == {0.1, 0.5, 0.9}
+    assert all(r["pinball_loss"] >= 0 and 0.0 <= r["coverage"] <= 1.0 for r in ev)
+
+
+def test_lag_features(spark, features_small):
+    from revcast.operators.features import lag_features
+    lagged = lag_features(features_small).where(F.col("campaign_name") == "PROMO_Campaign_O") \
+        .where(F.col("channel") == "google").orderBy("date").select("roas", "revenue_roll_7d_mean", "month").collect()
+    orig = features_small.where(F.col("campaign_name") == "PROMO_Campaign_O").where(F.col("channel") == "google") \
+        .orderBy("date").select("roas", "revenue_roll_7d_mean", "month").collect()
+    assert lagged[0]["roas"] is None and lagged[1]["roas"] == orig[0]["roas"]
+    assert lagged[2]["revenue_roll_7d_mean"] == orig[1]["revenue_roll_7d_mean"]
+    assert lagged[1]["month"] == orig[1]["month"]          # calendar is known in advance: not lagged
