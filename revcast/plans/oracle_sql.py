@@ -124,7 +124,7 @@ BASE = """fbase AS (
   GROUP BY forecast_horizon, granularity, channel, campaign_type, campaign_name)"""
 
 
-def forecast_ctes(multiplier: str = "1.0", src: str = "fbase") -> str:
+def forecast_ctes(multiplier: str = "CAST(1.0 AS DOUBLE)", src: str = "fbase") -> str:
     return f"""fp AS (
   SELECT *, nonzero_revenue_days < 5 AS low_confidence, {multiplier} AS budget_multiplier,
     historical_daily_spend * forecast_horizon * {multiplier} AS projected_spend,
@@ -162,5 +162,5 @@ def feature_stack() -> list[str]:
     return clean_stack() + [FEATURES]
 
 
-def forecast_stack(multiplier: str = "1.0") -> list[str]:
+def forecast_stack(multiplier: str = "CAST(1.0 AS DOUBLE)") -> list[str]:
     return clean_stack() + [SNAP, HROWS, DAILY_GROUPS, BASE, forecast_ctes(multiplier)]

@@ -2,9 +2,12 @@ import duckdb
 
 from tests.conftest import SF0001
 
+TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+            "boolean": "BOOLEAN"}
+
 # a fast subset compared against DuckDB at sf0.001 (the driver runs all of them at sf0.01)
 FAST = ["clean_daily", "rolling_features", "forecast_all", "period_features", "kpis", "paused_types_30",
-        "recommendations", "chrono_index", "label_encode_fit"]
+        "recommendations", "chrono_index", "label_encode_fit", "budget_scenarios", "pinball_loss"]
 
 
 def test_contract():
@@ -39,3 +42,6 @@ def test_oracles_small(spark):
         idx = [rel.columns.index(c) for c in cols]
         drows = sorted((tuple(norm(r[i]) for i in idx) for r in rel.fetchall()), key=repr)
         assert srows == drows, name
+        types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+        for c, t in sdf.dtypes:
+            assert TYPE_MAP.get(t, t) == types[c], (name, c, t, types[c])
