@@ -34,9 +34,18 @@ MONEY_COLS = ["revenue_p10", "revenue_p50", "revenue_p90", "projected_spend",
 ROAS_COLS = ["roas_p10", "roas_p50", "roas_p90"]
 
 
-def snapshot_date(daily: DataFrame) -> Column:
-    """Global snapshot (max date over all channels) as a scalar subquery."""
-    return daily.select(F.max("date")).scalar()
+def snapshot_date(daily: DataFrame, eager: bool = True) -> Column:
+    """Global snapshot (max date over all channels).
+
+    Eager (default): one single-value job, returned as a DATE literal, so that
+    ``date > snapshot - h`` is a static predicate the parquet scan can push down
+    (row groups of older dates are skipped on the date-clustered landed table).
+    Lazy: a scalar subquery inside the plan.
+    """
+    if not eager:
+        return daily.select(F.max("date")).scalar()
+    value = daily.agg(F.max("date")).first()[0]
+    return F.lit(value).cast("date")
 
 
 def lookback(daily: DataFrame, horizon: int, snapshot: Column | None = None) -> DataFrame:

@@ -24,6 +24,9 @@ def materialize(df: DataFrame, name: str = "daily") -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(ensure_checkpoint_dir(spark), f"revcast-{name}-{uuid.uuid4().hex}")
+    if "date" in df.columns:
+        # date-clustered row groups: look-back filters skip old data via parquet min/max stats
+        df = df.sortWithinPartitions("date")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
