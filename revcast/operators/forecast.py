@@ -149,11 +149,12 @@ def project_forecast(base: DataFrame, multiplier: float | Column = 1.0,
 
 
 def forecast(features: DataFrame, multiplier: float | Column = 1.0, horizons=K.HORIZONS,
-             granularities: list[str] | None = None, daily_quantiles: DataFrame | None = None) -> DataFrame:
+             granularities: list[str] | None = None, daily_quantiles: DataFrame | None = None,
+             snapshot: Column | None = None) -> DataFrame:
     """Whole forecast table (unrounded).  ``daily_quantiles`` optionally supplies
     model predictions per group (columns: granularity, channel, campaign_type,
     campaign_name, daily_quantiles); default is the empirical quantile model."""
-    base = forecast_base(assign_horizons(features, horizons))
+    base = forecast_base(assign_horizons(features, horizons, snapshot))
     if granularities:
         base = base.where(F.col("granularity").isin(list(granularities)))
     if daily_quantiles is not None:

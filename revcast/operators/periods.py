@@ -41,8 +41,8 @@ def _trend(first, second):
     return F.when(first > 0, (second - first) / first).otherwise(F.lit(0.0))
 
 
-def period_features(features: DataFrame, horizons=K.HORIZONS) -> DataFrame:
-    snap = snapshot_date(features)
+def period_features(features: DataFrame, horizons=K.HORIZONS, snapshot=None) -> DataFrame:
+    snap = snapshot_date(features) if snapshot is None else snapshot
     hrows = (assign_horizons(features, horizons, snap)
              .withColumns({"snapshot_date": snap,
                            # lookback_start + h // 2 days
@@ -86,13 +86,13 @@ def period_features(features: DataFrame, horizons=K.HORIZONS) -> DataFrame:
     return out.select(*PERIOD_COLUMNS)
 
 
-def half_trend(features: DataFrame, horizons=K.HORIZONS) -> DataFrame:
+def half_trend(features: DataFrame, horizons=K.HORIZONS, snapshot=None) -> DataFrame:
     """A4 alone: first/second-half sums and trends per horizon x group."""
-    p = period_features(features, horizons)
+    p = period_features(features, horizons, snapshot)
     return p.select("forecast_horizon", "granularity", *KEY_COLS, "revenue_trend", "spend_trend")
 
 
-def carry_forward(features: DataFrame, horizons=K.HORIZONS) -> DataFrame:
+def carry_forward(features: DataFrame, horizons=K.HORIZONS, snapshot=None) -> DataFrame:
     """A6 alone: last-row rolling values per horizon x group."""
-    p = period_features(features, horizons)
+    p = period_features(features, horizons, snapshot)
     return p.select("forecast_horizon", "granularity", *KEY_COLS, *K.CARRY_FORWARD_COLS)

@@ -13,7 +13,7 @@ from revcast.session import ensure_checkpoint_dir
 from revcast.sources.fixture import ad_daily
 
 
-def materialize(df: DataFrame, name: str = "daily") -> DataFrame:
+def materialize(df: DataFrame, name: str = "daily", cluster_by_date: bool = False) -> DataFrame:
     """Write ``df`` as a parquet table under the shared ``spark.checkpoint.dir`` and read it back.
 
     One job computes it (an RDD checkpoint of an uncached plan would compute it
@@ -24,7 +24,7 @@ def materialize(df: DataFrame, name: str = "daily") -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(ensure_checkpoint_dir(spark), f"revcast-{name}-{uuid.uuid4().hex}")
-    if "date" in df.columns:
+    if cluster_by_date:
         # date-clustered row groups: look-back filters skip old data via parquet min/max stats
         df = df.sortWithinPartitions("date")
     df.write.mode("overwrite").parquet(path)
@@ -81,6 +81,18 @@ def feature_daily(spark: SparkSession, sf_dir: str, checkpoint: bool = True) ->
             return spark.read.parquet(path)
         except Exception:  # noqa: BLE001 - folder cleaned up: land again
             _LANDED.pop(key, None)
-    df = materialize(engineer_features(cleaned_daily(spark, sf_dir)), "features")
+    df = materialize(engineer_features(cleaned_daily(spark, sf_dir)), "features", cluster_by_date=True)
     _LANDED[key] = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
     return df
+
+
+_SNAPSHOTS: dict[tuple, object] = {}
+
+
+def landed_snapshot(spark: SparkSession, sf_dir: str):
+    """Snapshot (max date) of the landed daily table as a DATE literal, computed once per landing."""
+    from pyspark.sql import functions as F
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _source_stamp(sf_dir))
+    if key not in _SNAPSHOTS:
+        _SNAPSHOTS[key] = cleaned_daily(spark, sf_dir).agg(F.max("date")).first()[0]
+    return F.lit(_SNAPSHOTS[key]).cast("date")

@@ -61,7 +61,8 @@ def _forecast_query(gran: str):
            + f"\nSELECT {sql_select(FORECAST_SPEC, fc.FORECAST_COLUMNS)} FROM fcast WHERE granularity = '{gran}'")
 
     def run(spark, sf):
-        out = fc.forecast(daily.cleaned_daily(spark, sf), granularities=[gran])
+        out = fc.forecast(daily.feature_daily(spark, sf), granularities=[gran],
+                          snapshot=daily.landed_snapshot(spark, sf))
         return present(out, FORECAST_SPEC)
     return run, sql
 
@@ -74,7 +75,8 @@ for _g in ("channel", "campaign_type", "campaign"):
 @register("forecast_all", O.with_ctes(*O.forecast_stack()) + f"\nSELECT {sql_select(FORECAST_SPEC, fc.FORECAST_COLUMNS)} FROM fcast")
 def q_forecast_all(spark, sf):
     """The whole 3 horizons x 3 granularities forecast table in one plan."""
-    return present(fc.forecast(daily.feature_daily(spark, sf)), FORECAST_SPEC)
+    return present(fc.forecast(daily.feature_daily(spark, sf), snapshot=daily.landed_snapshot(spark, sf)),
+                   FORECAST_SPEC)
 
 
 
@@ -113,7 +115,7 @@ WHERE c.date > snap.snap - CAST(h.forecast_horizon AS INTEGER)
 GROUP BY h.forecast_horizon""")
 def q_lookback_rows(spark, sf):
     cl = daily.cleaned_daily(spark, sf)
-    snap = fc.snapshot_date(cl)
+    snap = daily.landed_snapshot(spark, sf)
     parts = [fc.lookback(cl, h, snap).agg(
         F.lit(h).cast("bigint").alias("forecast_horizon"), F.count(F.lit(1)).alias("rows"),
         F.count_distinct("channel").alias("channels"),
@@ -128,7 +130,7 @@ def q_lookback_rows(spark, sf):
 @register("horizon_assign", O.with_ctes(*O.clean_stack(), O.SNAP, O.HROWS)
           + "\nSELECT CAST(forecast_horizon AS BIGINT) AS forecast_horizon, date, channel, campaign_name, campaign_id FROM hrows")
 def q_horizon_assign(spark, sf):
-    h = fc.assign_horizons(daily.cleaned_daily(spark, sf))
+    h = fc.assign_horizons(daily.cleaned_daily(spark, sf), snapshot=daily.landed_snapshot(spark, sf))
     return h.select(F.col("forecast_horizon").cast("bigint").alias("forecast_horizon"),
                     "date", "channel", "campaign_name", "campaign_id")
 
@@ -143,7 +145,7 @@ BASE_SPEC = {"forecast_horizon": "int", "days_in_window": "int", "nonzero_revenu
 
 @register("forecast_base", O.with_ctes(*O.forecast_stack()) + f"\nSELECT {sql_select(BASE_SPEC, BASE_COLS)} FROM fbase")
 def q_forecast_base(spark, sf):
-    b = fc.forecast_base(fc.assign_horizons(daily.cleaned_daily(spark, sf)))
+    b = fc.forecast_base(fc.assign_horizons(daily.feature_daily(spark, sf), snapshot=daily.landed_snapshot(spark, sf)))
     b = b.withColumns({f"q{int(q * 100)}": F.col("daily_quantiles")[i] for i, q in enumerate((0.1, 0.5, 0.9))})
     return present(b.select(*BASE_COLS), BASE_SPEC)
 
@@ -202,7 +204,8 @@ PERIOD_SQL = O.with_ctes(*O.feature_stack(), O.SNAP, """fhrows AS (
 
 @register("period_features", PERIOD_SQL + f"\nSELECT {sql_select(PERIOD_SPEC, pe.PERIOD_COLUMNS)} FROM periods")
 def q_period_features(spark, sf):
-    return present(pe.period_features(daily.feature_daily(spark, sf)), PERIOD_SPEC)
+    return present(pe.period_features(daily.feature_daily(spark, sf), snapshot=daily.landed_snapshot(spark, sf)),
+                   PERIOD_SPEC)
 
 
 _HT = ["forecast_horizon", "granularity", "channel", "campaign_type", "campaign_name", "revenue_trend", "spend_trend"]
@@ -211,12 +214,14 @@ _CFC = ["forecast_horizon", "granularity", "channel", "campaign_type", "campaign
 
 @register("half_trend", PERIOD_SQL + f"\nSELECT {sql_select(PERIOD_SPEC, _HT)} FROM periods")
 def q_half_trend(spark, sf):
-    return present(pe.half_trend(daily.feature_daily(spark, sf)), PERIOD_SPEC)
+    return present(pe.half_trend(daily.feature_daily(spark, sf), snapshot=daily.landed_snapshot(spark, sf)),
+                   PERIOD_SPEC)
 
 
 @register("carry_forward", PERIOD_SQL + f"\nSELECT {sql_select(PERIOD_SPEC, _CFC)} FROM periods")
 def q_carry_forward(spark, sf):
-    return present(pe.carry_forward(daily.feature_daily(spark, sf)), PERIOD_SPEC)
+    return present(pe.carry_forward(daily.feature_daily(spark, sf), snapshot=daily.landed_snapshot(spark, sf)),
+                   PERIOD_SPEC)
 
 
 # ---------------------------------------------------------------- daily rollups
@@ -368,7 +373,7 @@ from revcast.operators import scenarios as sc  # noqa: E402
 
 
 def _fc(spark, sf):
-    return fc.forecast(daily.cleaned_daily(spark, sf))
+    return fc.forecast(daily.feature_daily(spark, sf), snapshot=daily.landed_snapshot(spark, sf))
 
 
 def _insight(name: str, fn, spec: dict, cols: list[str], body_sql: str, extra_ctes: tuple = ()):
@@ -828,7 +833,7 @@ def q_forest_forecast(spark, sf):
     f = daily.feature_daily(spark, sf)
     models, dictionary = mo.train_all(f)
     dq = mo.forest_daily_quantiles(f, models, dictionary)
-    return present(fc.forecast(f, daily_quantiles=dq), FORECAST_SPEC)
+    return present(fc.forecast(f, daily_quantiles=dq, snapshot=daily.landed_snapshot(spark, sf)), FORECAST_SPEC)
 
 
 @register("feature_importances", None)
@@ -907,7 +912,7 @@ def q_json_clean(spark, sf):
 
 def _report_inputs(spark, sf):
     f = daily.feature_daily(spark, sf)
-    forecast_tbl = daily.materialize(fc.forecast(f), "forecast")
+    forecast_tbl = daily.materialize(fc.forecast(f, snapshot=daily.landed_snapshot(spark, sf)), "forecast")
     dictionary = en.fit_dictionary(f)
     train, names = mo.granularity_training_set(f, "campaign", dictionary)
     return forecast_tbl, mo.fit_forest(train, names, "campaign").importances(), f

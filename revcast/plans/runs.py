@@ -36,14 +36,14 @@ def load_daily(spark: SparkSession, source: str, kind: str = "vendors") -> DataF
     fixture has one row per day per series by construction, so it needs no check.
     """
     if kind != "vendors":
-        return materialize(engineer_features(materialize(clean(ad_daily(spark, source)))), "features")
+        return materialize(engineer_features(materialize(clean(ad_daily(spark, source)))), "features", True)
     raw = materialize(load_all_channels(spark, source), "raw")
     limit = series_limit(spark)
     if max_series_rows(raw) <= limit:
-        return materialize(engineer_features(materialize(clean(raw))), "features")
+        return materialize(engineer_features(materialize(clean(raw))), "features", True)
     chunk = max(limit // 2, HALO + 1)
     cleaned = materialize(clean_chunked(raw, chunk))
-    return materialize(engineer_features_chunked(cleaned, chunk), "features")
+    return materialize(engineer_features_chunked(cleaned, chunk), "features", True)
 
 
 def train(spark: SparkSession, features: DataFrame, model_dir: str, lag: int = 0) -> dict:
