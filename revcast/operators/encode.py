@@ -25,10 +25,12 @@ def fit_dictionary(df: DataFrame, cols=K.CATEGORICAL_COLS) -> DataFrame:
         vals = v if vals is None else vals.unionByName(v)
     unseen = df.sparkSession.createDataFrame([(c, K.UNSEEN) for c in present], "column_name string, value string")
     distinct = vals.where(F.col("value").isNotNull()).unionByName(unseen).distinct()
+    from revcast.plans.daily import materialize
     ix = ordered_index(distinct, ["column_name", "value"], "_g")
     start = ix.groupBy("column_name").agg(F.min("_g").alias("_s"))
-    return (ix.join(F.broadcast(start), "column_name")          # one row per categorical column
-              .select("column_name", "value", (F.col("_g") - F.col("_s")).alias("idx")))
+    d = (ix.join(F.broadcast(start), "column_name")              # one row per categorical column
+           .select("column_name", "value", (F.col("_g") - F.col("_s")).alias("idx")))
+    return materialize(d, "dictionary")                          # read by every encode subquery
 
 
 # Dictionaries up to this many entries are shipped to tasks as a map value (no join).

@@ -373,7 +373,8 @@ from revcast.operators import scenarios as sc  # noqa: E402
 
 
 def _fc(spark, sf):
-    return fc.forecast(daily.feature_daily(spark, sf), snapshot=daily.landed_snapshot(spark, sf))
+    """Insight queries read the landed forecast table (the forecast queries themselves build it)."""
+    return daily.landed_forecast(spark, sf)
 
 
 def _insight(name: str, fn, spec: dict, cols: list[str], body_sql: str, extra_ctes: tuple = ()):
