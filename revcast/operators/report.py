@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from revcast.operators import insights as ins
 from revcast.operators import importance as imp_ops
 from revcast.operators.model import training_metadata
-from revcast.operators.splits import ordered_index
 
 RULE = "=" * 70
 SECTIONS = ["HEADER", "EXECUTIVE SUMMARY", "KEY REVENUE DRIVERS", "CHANNEL PERFORMANCE ANALYSIS",
@@ -30,20 +29,24 @@ def _lines(df: DataFrame, section: int, order: list, texts: list[Column], distri
     """Each input row yields len(texts) lines, numbered by the given row order.
 
     Sections bounded by a vocabulary (channels, types, top-N) use a plain
-    row_number; sections that grow with the data are numbered with the
-    distributed ``ordered_index`` instead of a single-partition window.
+    row_number; sections that grow with the data get no number but a string
+    sort key, and the sink's distributed sort on (section, ord, key) orders
+    them — no single-partition window.
     """
     arr = F.array(*[F.struct(F.lit(i).alias("k"), t.alias("line")) for i, t in enumerate(texts)])
     if distributed:
-        keyed = ordered_index(df.select(*[c for c in df.columns]), order, "_r")
+        # no numbering at all: the sink's global sort on (section, ord, key) orders these lines
+        keyed = df.select(F.lit(1).alias("_r"),
+                          F.concat_ws("\u0001", *[F.col(c).cast("string") for c in order]).alias("key"), F.inline(arr))
     else:
-        keyed = df.withColumn("_r", F.row_number().over(Window.orderBy(*order)))
-    return (keyed.select("_r", F.inline(arr))
-                 .select(F.lit(section).alias("section"), (F.col("_r") * 100 + F.col("k")).alias("ord"), "line"))
+        keyed = df.select(F.row_number().over(Window.orderBy(*order)).alias("_r"), F.lit("").alias("key"),
+                          F.inline(arr))
+    return keyed.select(F.lit(section).alias("section"), (F.col("_r") * 100 + F.col("k")).alias("ord"), "key", "line")
 
 
 def _title(spark, section: int, title: str) -> DataFrame:
-    return spark.createDataFrame([(section, -10 ** 15, f"## {title}")], "section int, ord bigint, line string")
+    return spark.createDataFrame([(section, -10 ** 15, "", f"## {title}")],
+                                 "section int, ord bigint, key string, line string")
 
 
 def report_lines(fc: DataFrame, imp: DataFrame, features: DataFrame) -> DataFrame:

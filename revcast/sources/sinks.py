@@ -46,7 +46,8 @@ def write_importances(imp: DataFrame, path: str) -> None:
 
 def write_report(lines: DataFrame, path: str) -> None:
     """Report lines in (section, ord) order as text."""
-    lines.orderBy("section", "ord").select("line").write.mode("overwrite").text(path)
+    order = ["section", "ord", "key"] if "key" in lines.columns else ["section", "ord"]
+    lines.orderBy(*order).select("line").write.mode("overwrite").text(path)
 
 
 def json_clean(df: DataFrame) -> DataFrame:
