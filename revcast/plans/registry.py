@@ -821,11 +821,22 @@ from revcast.operators import importance as imp_ops  # noqa: E402
 from revcast.operators import model as mo  # noqa: E402
 
 
+_MODELS: dict = {}
+
+
+def _campaign_model(spark, sf):
+    """The campaign-level forest, trained once per session and source version (like a model store)."""
+    import os
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf), daily._source_stamp(sf))  # noqa: SLF001
+    if key not in _MODELS:
+        f = daily.feature_daily(spark, sf)
+        train, names = mo.granularity_training_set(f, "campaign", en.fit_dictionary(f))
+        _MODELS[key] = mo.fit_forest(train, names, "campaign")
+    return _MODELS[key]
+
+
 def _campaign_importances(spark, sf):
-    f = daily.feature_daily(spark, sf)
-    dictionary = en.fit_dictionary(f)
-    train, names = mo.granularity_training_set(f, "campaign", dictionary)
-    return mo.fit_forest(train, names, "campaign").importances()
+    return _campaign_model(spark, sf).importances()
 
 
 @register("forest_forecast", None)
@@ -912,11 +923,7 @@ def q_json_clean(spark, sf):
 
 
 def _report_inputs(spark, sf):
-    f = daily.feature_daily(spark, sf)
-    forecast_tbl = daily.materialize(fc.forecast(f, snapshot=daily.landed_snapshot(spark, sf)), "forecast")
-    dictionary = en.fit_dictionary(f)
-    train, names = mo.granularity_training_set(f, "campaign", dictionary)
-    return forecast_tbl, mo.fit_forest(train, names, "campaign").importances(), f
+    return daily.landed_forecast(spark, sf), _campaign_importances(spark, sf), daily.feature_daily(spark, sf)
 
 
 @register("report_lines", None)
