@@ -824,10 +824,25 @@ from revcast.operators import model as mo  # noqa: E402
 _MODELS: dict = {}
 
 
-def _campaign_model(spark, sf):
-    """The campaign-level forest, trained once per session and source version (like a model store)."""
+def _model_key(spark, sf):
     import os
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf), daily._source_stamp(sf))  # noqa: SLF001
+    return (spark.sparkContext.applicationId, os.path.abspath(sf), daily._source_stamp(sf))  # noqa: SLF001
+
+
+def _trained(spark, sf):
+    """All three forests and the dictionary, trained once per session and source version (a model store)."""
+    key = ("all", *_model_key(spark, sf))
+    if key not in _MODELS:
+        _MODELS[key] = mo.train_all(daily.feature_daily(spark, sf))
+    return _MODELS[key]
+
+
+def _campaign_model(spark, sf):
+    """The campaign-level forest: taken from the full training when it exists, else trained alone."""
+    full = _MODELS.get(("all", *_model_key(spark, sf)))
+    if full is not None:
+        return full[0]["campaign"]
+    key = ("campaign", *_model_key(spark, sf))
     if key not in _MODELS:
         f = daily.feature_daily(spark, sf)
         train, names = mo.granularity_training_set(f, "campaign", en.fit_dictionary(f))
@@ -843,7 +858,7 @@ def _campaign_importances(spark, sf):
 def q_forest_forecast(spark, sf):
     """Forest-scored forecast at all granularities and horizons (rows-only check)."""
     f = daily.feature_daily(spark, sf)
-    models, dictionary = mo.train_all(f)
+    models, dictionary = _trained(spark, sf)
     dq = mo.forest_daily_quantiles(f, models, dictionary)
     return present(fc.forecast(f, daily_quantiles=dq, snapshot=daily.landed_snapshot(spark, sf)), FORECAST_SPEC)
 
