@@ -64,3 +64,23 @@ def test_lag_features(spark, features_small):
     assert lagged[0]["roas"] is None and lagged[1]["roas"] == orig[0]["roas"]
     assert lagged[2]["revenue_roll_7d_mean"] == orig[1]["revenue_roll_7d_mean"]
     assert lagged[1]["month"] == orig[1]["month"]          # calendar is known in advance: not lagged
+
+
+def test_forest_forecast_linear_in_horizon(spark, features_small):
+    """P50 comes from each group's latest row only, so uncapped, non-sparse groups scale 1:2:3."""
+    from revcast.operators.forecast import forecast
+    models, d = mo.train_all(features_small, granularities=("channel",))
+    dq = mo.forest_daily_quantiles(features_small, models, d)
+    fc = forecast(features_small, granularities=["channel"], daily_quantiles=dq).collect()
+    by = {}
+    for r in fc:
+        if not r["low_confidence"] and r["roas_p50"] < 20.0:
+            by.setdefault(r["channel"], {})[r["forecast_horizon"]] = r["revenue_p50"]
+    checked = 0
+    for ch, h in by.items():
+        if 30 in h and 60 in h:
+            assert abs(h[60] - 2 * h[30]) <= 1e-6 * max(1.0, h[60])
+            checked += 1
+        if 30 in h and 90 in h:
+            assert abs(h[90] - 3 * h[30]) <= 1e-6 * max(1.0, h[90])
+    assert checked > 0
