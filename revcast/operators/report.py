@@ -8,7 +8,8 @@ union, ordered by (section, ord) only at the sink.  The header is printed once
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
+from pyspark.sql.types import NumericType
 from pyspark.sql import functions as F
 
 from revcast.operators import insights as ins
@@ -25,23 +26,32 @@ def money(c: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(c, 0))
 
 
-def _lines(df: DataFrame, section: int, order: list, texts: list[Column], distributed: bool = False) -> DataFrame:
-    """Each input row yields len(texts) lines, numbered by the given row order.
+_OFFSET = 1e15   # shifts numbers to non-negative before fixed-width formatting
 
-    Sections bounded by a vocabulary (channels, types, top-N) use a plain
-    row_number; sections that grow with the data get no number but a string
-    sort key, and the sink's distributed sort on (section, ord, key) orders
-    them — no single-partition window.
+
+def _key_part(df: DataFrame, name: str, desc: bool) -> Column:
+    c = F.col(name)
+    if isinstance(df.schema[name].dataType, NumericType):
+        v = F.lit(_OFFSET) - c.cast("double") if desc else c.cast("double") + F.lit(_OFFSET)
+        return F.format_string("%032.6f", v)
+    return c.cast("string")
+
+
+def _lines(df: DataFrame, section: int, order: list, texts: list[Column]) -> DataFrame:
+    """Each input row yields len(texts) lines.  ``order`` lists (column, descending) pairs.
+
+    No window and no numbering: the row order becomes a string sort key
+    (fixed-width numbers, descending ones negated), and the sink's distributed
+    sort on (section, ord, key) puts the lines in place — no single-partition
+    step, whatever the size of the section.
     """
     arr = F.array(*[F.struct(F.lit(i).alias("k"), t.alias("line")) for i, t in enumerate(texts)])
-    if distributed:
-        # no numbering at all: the sink's global sort on (section, ord, key) orders these lines
-        keyed = df.select(F.lit(1).alias("_r"),
-                          F.concat_ws("\u0001", *[F.col(c).cast("string") for c in order]).alias("key"), F.inline(arr))
-    else:
-        keyed = df.select(F.row_number().over(Window.orderBy(*order)).alias("_r"), F.lit("").alias("key"),
-                          F.inline(arr))
-    return keyed.select(F.lit(section).alias("section"), (F.col("_r") * 100 + F.col("k")).alias("ord"), "key", "line")
+    parts = [_key_part(df, n, d) for n, d in order]
+    row_key = F.concat_ws("\u0001", *parts) if parts else F.lit("")
+    out = df.select(row_key.alias("_rk"), F.inline(arr))
+    return out.select(F.lit(section).alias("section"), F.lit(0).cast("bigint").alias("ord"),
+                      F.concat(F.col("_rk"), F.lit("\u0002"), F.lpad(F.col("k").cast("string"), 3, "0")).alias("key"),
+                      "line")
 
 
 def _title(spark, section: int, title: str) -> DataFrame:
@@ -52,14 +62,14 @@ def _title(spark, section: int, title: str) -> DataFrame:
 def report_lines(fc: DataFrame, imp: DataFrame, features: DataFrame) -> DataFrame:
     spark = fc.sparkSession
     meta = training_metadata(features)
-    header = _lines(meta, 0, [F.lit(1)], [
+    header = _lines(meta, 0, [], [
         F.lit(RULE), F.lit("PROBABILISTIC REVENUE FORECAST — CAUSAL SUMMARY"), F.lit(RULE),
         F.format_string("Training Data: %s to %s", F.col("min_date").cast("string"), F.col("max_date").cast("string")),
         F.concat(F.lit("Channels: "), F.regexp_replace("channels", ",", ", ")),
         F.format_string("Total Forecast Rows: %d", F.lit(fc.select(F.count(F.lit(1))).scalar()))])
 
     k = ins.kpis(fc)
-    execs = _lines(k, 1, ["forecast_horizon"], [
+    execs = _lines(k, 1, [("forecast_horizon", False)], [
         F.format_string("  %d-Day Forecast:", "forecast_horizon"),
         F.concat(F.lit("    Expected Revenue (P50): "), money(F.col("revenue_p50"))),
         F.concat(F.lit("    Optimistic Range (P90): "), money(F.col("revenue_p90"))),
@@ -68,13 +78,13 @@ def report_lines(fc: DataFrame, imp: DataFrame, features: DataFrame) -> DataFram
         F.format_string("    Blended ROAS: %.2fx", "blended_roas")])
 
     d = imp_ops.drivers(imp)
-    drivers = _lines(d, 2, ["rank"], [F.format_string("    %2d. %-30s (%5.1f%% importance) — %s", "rank", "feature",
+    drivers = _lines(d, 2, [("rank", False)], [F.format_string("    %2d. %-30s (%5.1f%% importance) — %s", "rank", "feature",
                                                      "pct_of_all", "explanation")])
     top3 = d.where(F.col("rank") <= 3).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda s: s["feature"]).alias("t3"),
         F.first("roas_driven").alias("roas_driven"), F.first("spend_driven").alias("spend_driven"),
         F.first("rolling_driven").alias("rolling_driven"))
-    narrative = _lines(top3, 2, [F.lit(1)], [
+    narrative = _lines(top3, 2, [], [
         F.lit(""), F.lit("  Causal Interpretation:"),
         F.format_string("    Revenue is primarily driven by %s, %s, and %s.", F.col("t3")[0], F.col("t3")[1],
                         F.col("t3")[2]),
@@ -86,11 +96,11 @@ def report_lines(fc: DataFrame, imp: DataFrame, features: DataFrame) -> DataFram
         F.when(F.col("rolling_driven"), F.lit("    Rolling average features rank highly, showing that recent "
                                                "performance trends are more predictive than point-in-time "
                                                "metrics."))]).withColumn("ord", F.col("ord") + 100_000)
-    drivers_intro = _lines(top3, 2, [F.lit(1)], [F.lit("  Top 10 features driving revenue predictions:")]) \
+    drivers_intro = _lines(top3, 2, [], [F.lit("  Top 10 features driving revenue predictions:")]) \
         .withColumn("ord", F.lit(0).cast("bigint"))
 
     ca = ins.channel_analysis(fc)
-    chan = _lines(ca, 3, [F.col("revenue_p50").desc(), "channel"], [
+    chan = _lines(ca, 3, [("revenue_p50", True), ("channel", False)], [
         F.concat(F.lit("  "), F.upper("channel")),
         F.concat(F.lit("    30-Day P50 Revenue: "), money(F.col("revenue_p50")),
                  F.format_string(" (%.0f%% of total)", "share_pct")),
@@ -101,17 +111,17 @@ def report_lines(fc: DataFrame, imp: DataFrame, features: DataFrame) -> DataFram
         F.concat(F.lit("    Assessment: "), F.col("assessment"))])
 
     ta = ins.type_analysis(fc)
-    types = _lines(ta, 4, [F.col("revenue_p50").desc(), "channel", "campaign_type"], [
+    types = _lines(ta, 4, [("revenue_p50", True), ("channel", False), ("campaign_type", False)], [
         F.format_string("  %-25s %-10s $%10s %7.2fx %7s", "campaign_type", "channel",
                         F.format_number("revenue_p50", 0), "roas_p50", "risk")])
 
     bw = ins.best_worst(fc)
-    types_head = _lines(bw, 4, [F.lit(1)], [
+    types_head = _lines(bw, 4, [], [
         F.lit("  30-Day Revenue Forecast by Campaign Type:"),
         F.format_string("  %-25s %-10s %12s %8s %8s", F.lit("Campaign Type"), F.lit("Channel"), F.lit("P50 Revenue"),
                         F.lit("ROAS"), F.lit("Risk")),
         F.lit("  " + "-" * 65)]).withColumn("ord", F.col("ord") - 1_000)
-    types_tail = _lines(bw, 4, [F.lit(1)], [
+    types_tail = _lines(bw, 4, [], [
         F.concat(F.format_string("  Top Performer: %s (%s) — ", "top_type", "top_type_channel"),
                  money(F.col("top_type_revenue_p50")), F.format_string(" revenue, %.2fx ROAS", "top_type_roas_p50")),
         F.concat(F.format_string("  Lowest Revenue: %s (%s) — ", "lowest_type", "lowest_type_channel"),
@@ -120,7 +130,7 @@ def report_lines(fc: DataFrame, imp: DataFrame, features: DataFrame) -> DataFram
         .withColumn("ord", F.col("ord") + 10_000_000)
 
     ht = ins.horizon_trend(fc)
-    trend = _lines(ht, 5, ["forecast_horizon"], [
+    trend = _lines(ht, 5, [("forecast_horizon", False)], [
         F.concat(F.format_string("  %d-Day: Total P50 = ", "forecast_horizon"), money(F.col("total_p50")),
                  F.lit(" (~"), money(F.col("avg_monthly_p50")), F.lit("/month), Spend = "),
                  money(F.col("total_spend"))),
@@ -130,7 +140,7 @@ def report_lines(fc: DataFrame, imp: DataFrame, features: DataFrame) -> DataFram
          .otherwise(F.lit(None))])
 
     be = ins.budget_efficiency(fc)
-    eff = _lines(be, 6, [F.col("roas_p50").desc(), "channel"], [
+    eff = _lines(be, 6, [("roas_p50", True), ("channel", False)], [
         F.concat(F.lit("  "), F.upper("channel")),
         F.concat(F.lit("    Historical Daily Revenue: "), money(F.col("historical_daily_revenue"))),
         F.concat(F.lit("    Historical Daily Spend: "), money(F.col("historical_daily_spend"))),
@@ -139,30 +149,30 @@ def report_lines(fc: DataFrame, imp: DataFrame, features: DataFrame) -> DataFram
         F.concat(F.lit("    Outlook: "), F.col("outlook"))])
 
     hu = ins.high_uncertainty(fc)
-    risk_hi = _lines(hu, 7, [F.col("uncertainty_pct").desc(), "channel", "campaign_name"], [
+    risk_hi = _lines(hu, 7, [("uncertainty_pct", True), ("channel", False), ("campaign_name", False)], [
         F.concat(F.format_string("    - %s (%s): P10=", "campaign_name", "channel"), money(F.col("revenue_p10")),
                  F.lit(", P50="), money(F.col("revenue_p50")), F.lit(", P90="), money(F.col("revenue_p90")),
                  F.format_string(" (±%.0f%%)", "uncertainty_pct"))])
     zr = ins.zero_revenue(fc)
-    risk_zero = _lines(zr, 7, ["channel", "campaign_name"], [
+    risk_zero = _lines(zr, 7, [("channel", False), ("campaign_name", False)], [
         F.concat(F.format_string("    - %s (%s, %s): Spend=", "campaign_name", "channel", "campaign_type"),
-                 money(F.col("projected_spend")))], distributed=True) \
+                 money(F.col("projected_spend")))]) \
         .withColumn("ord", F.col("ord") + 10_000_000_000)
 
     counts = fc.where((F.col("granularity") == "campaign") & (F.col("forecast_horizon") == 30)).agg(
         F.count(F.when(ins.uncertainty_pct(F.col("revenue_p10"), F.col("revenue_p50"), F.col("revenue_p90"))
                        > 150, 1)).alias("n_high"),
         F.count(F.when(F.col("revenue_p50") == 0, 1)).alias("n_zero"))
-    risk_head = _lines(counts, 7, [F.lit(1)], [
+    risk_head = _lines(counts, 7, [], [
         F.when(F.col("n_high") > 0, F.format_string("  HIGH UNCERTAINTY CAMPAIGNS (%d identified):", "n_high"))
          .otherwise(F.lit("  No high-uncertainty campaigns identified."))]).withColumn("ord", F.lit(0).cast("bigint"))
-    zero_head = _lines(counts.where(F.col("n_zero") > 0), 7, [F.lit(1)], [
+    zero_head = _lines(counts.where(F.col("n_zero") > 0), 7, [], [
         F.lit(""), F.format_string("  ZERO-REVENUE CAMPAIGNS (%d identified):", "n_zero"),
         F.lit("    These campaigns show zero median revenue forecast:")]) \
         .withColumn("ord", F.col("ord") + 1_000_000_000)
 
     rec = ins.recommendations(fc)
-    recs = _lines(rec, 8, ["rec_num"], [
+    recs = _lines(rec, 8, [("rec_num", False)], [
         F.when(F.col("rule") == "BUDGET REALLOCATION", F.format_string(
             "  %d. BUDGET REALLOCATION: Consider shifting budget from %s (ROAS: %.2fx) to %s (ROAS: %.2fx) "
             "to improve overall portfolio ROAS.", "rec_num", "worst_channel", "worst_channel_roas_p50",
@@ -178,7 +188,7 @@ def report_lines(fc: DataFrame, imp: DataFrame, features: DataFrame) -> DataFram
             "  %d. SCENARIO PLANNING: Run the forecast with budget multipliers 1.2 and 0.8 to model the impact "
             "of ±20%% budget changes on forecasted revenue.", "rec_num"))])
 
-    closing = _lines(counts, 8, [F.lit(1)], [F.lit(""), F.lit(RULE), F.lit("End of Causal Summary Report"),
+    closing = _lines(counts, 8, [], [F.lit(""), F.lit(RULE), F.lit("End of Causal Summary Report"),
                                              F.lit(RULE)]).withColumn("ord", F.col("ord") + 1_000_000)
     parts = [header, execs, drivers_intro, drivers, narrative, chan, types_head, types, types_tail, trend, eff,
              risk_head, risk_hi, zero_head, risk_zero, recs, closing]
