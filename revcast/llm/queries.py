@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from revcast.llm import ngram_join
+from revcast.llm import ngram_join, substring_dedup
 
-QUERIES = {"op5_ngram_join": ngram_join.op5_ngram_join}
-SQL = {"op5_ngram_join": ngram_join.SQL}
+QUERIES = {
+    "op5_ngram_join": ngram_join.op5_ngram_join,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+}
+SQL = {
+    "op5_ngram_join": ngram_join.SQL,
+    "op7_substring_dedup": substring_dedup.SQL,
+}
