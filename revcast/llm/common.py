@@ -176,38 +176,43 @@ def by_text_and_value(value: np.ndarray, text: np.ndarray) -> np.ndarray:
 #: Triples gathered before they are packed, and the buckets for each shuffle partition.
 FLUSH = 1_000_000
 BUCKETS_EACH = 8
-PACKED = "bucket int, kind int, keys binary, docs binary, spots binary"
-_PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("spots", pa.binary())])
+PACKED = "bucket int, kind int, keys binary, docs binary, spots binary, more binary"
+_PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("spots", pa.binary()), ("more", pa.binary())])
 
 
 def bucket_count(spark: SparkSession) -> int:
     return min(BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
 
 
-def pack(keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, buckets: int, kind: int = 0) -> Iterator[pa.RecordBatch]:
-    """Triples as rows of bytes, one row for each bucket that has any."""
+def pack(keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, buckets: int, kind: int = 0, more: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(key, doc, spot) and, if given, one more number as rows of bytes, one row for each bucket that has any."""
     if not len(keys):
         return
     bucket = ((keys >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
     order = np.argsort(bucket, kind="stable")
-    keys, docs, spots = keys[order], docs[order].astype(np.int64), spots[order].astype(np.int32)
     edge = np.flatnonzero(np.diff(bucket[order], prepend=np.int32(-1)))
     ends = np.append(edge[1:], len(keys))
-    cut = lambda a: pa.array([a[i:j].tobytes() for i, j in zip(edge, ends)], pa.binary())
     found = pa.array(bucket[order][edge].astype(np.int32))
-    yield pa.RecordBatch.from_arrays([found, pa.array(np.full(len(edge), kind, np.int32)), cut(keys), cut(docs), cut(spots)], schema=_PACKED)
-
-
-def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
-    """Of rows sorted by bucket, each bucket's triples by kind."""
+    blobs = []
+    for column, kind_of in ((keys, np.uint64), (docs, np.int64), (spots, np.int32), (more, np.int64)):
+        if column is None:
+            blobs.append(pa.array([b""] * len(edge), pa.binary()))
+        else:
+            column = column[order].astype(kind_of)
+            blobs.append(pa.array([column[i:j].tobytes() for i, j in zip(edge, ends)], pa.binary()))
+    yield pa.RecordBatch.from_arrays([found, pa.array(np.full(len(edge), kind, np.int32)), *blobs], schema=_PACKED)
+
+
+def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, tuple[np.ndarray, ...]]]:
+    """Of rows sorted by bucket, each bucket's columns (keys, docs, spots, more) by kind."""
     now, held = None, {}
 
     def whole():
-        return {k: tuple(np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in enumerate((np.uint64, np.int64, np.int32))) for k, rows in held.items()}
+        return {k: tuple(np.frombuffer(b"".join(blobs), t) for blobs, t in zip(zip(*rows), (np.uint64, np.int64, np.int32, np.int64))) for k, rows in held.items()}
 
     for batch in batches:
-        cols = [batch.column(c) for c in ("bucket", "kind", "keys", "docs", "spots")]
-        for bucket, kind, *blobs in zip(cols[0].to_pylist(), cols[1].to_pylist(), *(c.to_pylist() for c in cols[2:])):
+        cols = [batch.column(c).to_pylist() for c in ("bucket", "kind", "keys", "docs", "spots", "more")]
+        for bucket, kind, *blobs in zip(*cols):
             if bucket != now and held:
                 yield whole()
                 held = {}

@@ -180,7 +180,7 @@ def _reduce_signatures(batches):
 
     for kinds in C.unpack(batches):
         if 0 in kinds:
-            sig, doc, _ = kinds[0]
+            sig, doc = kinds[0][:2]
             order = np.argsort(sig)
             sig, doc = sig[order], doc[order]
             start, length = C.runs_of(sig)
@@ -234,32 +234,57 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFrame:
     return two.mapInArrow(_verify(percent), "x long, y long").distinct()
 
 
-def _rows_of_signatures(batches):
-    for batch in batches:
-        ids = C.int_column(batch.column("doc_id"))
-        for lo, _, words in C.word_chunks(batch, "text", lower=True):
-            for t, sig, _, need in signatures(*shingle_sets(words)):
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[lo + t]), pa.array(need)], names=["sig", "doc", "need"])
+def _map_around(buckets: int):
+    """Packed (signature, doc, need, component)."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            ids, parts = C.int_column(batch.column("doc_id")), C.int_column(batch.column("component"))
+            for lo, _, words in C.word_chunks(batch, "text", lower=True):
+                for t, sig, _, need in signatures(*shingle_sets(words)):
+                    held.append((sig, ids[lo + t], need, parts[lo + t]))
+                    n += len(sig)
+                if n >= C.FLUSH:
+                    sig, doc, need, part = map(np.concatenate, zip(*held))
+                    yield from C.pack(sig, doc, need, buckets, more=part)
+                    held, n = [], 0
+        if n:
+            sig, doc, need, part = map(np.concatenate, zip(*held))
+            yield from C.pack(sig, doc, need, buckets, more=part)
+
+    return run
+
+
+def _mixed_members(batches):
+    """Members of the signatures that stand in several components."""
+    for kinds in C.unpack(batches):
+        sig, doc, need, part = kinds[0]
+        order = np.lexsort((doc, sig))
+        sig, doc, need, part = sig[order], doc[order], need[order], part[order]
+        start, length = C.runs_of(sig)
+        mixed = np.repeat(np.minimum.reduceat(part, start) != np.maximum.reduceat(part, start), length)
+        columns = (sig.view(np.int64), doc, need, part, np.repeat(length, length))
+        yield pa.RecordBatch.from_arrays([pa.array(c[mixed].astype(np.int64)) for c in columns], names=["sig", "doc", "need", "component", "n"])
 
 
 def residual_pairs(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of ``labels`` (doc_id, component) in different components that share as many
     signatures as linked sets must.
 
-    A signature of over HOT texts is read only for texts all of whose shared signatures may be
-    that hot: any other text meets each of its partners at a signature that is not.
+    Only signatures that stand in several components matter. One of over HOT texts is read only for
+    texts that may share nothing but such with a partner: any other text meets each of its partners
+    at a signature that is not hot.
     """
     maybe = C.may_match(labels, "doc_id")
-    rows = (docs.select("doc_id", "text").filter(maybe(F.col("doc_id"))).join(labels, "doc_id", "left_semi")
-            .mapInArrow(_rows_of_signatures, "sig long, doc long, need long").distinct())
-    rows = C.checkpointed(rows.join(labels.toDF("doc", "component"), "doc"))
-    counts = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).filter("n > 1")
-    shared = rows.join(counts, "sig").withColumn("hot", F.col("n") > HOT)
-    lowest = shared.groupBy("doc", "need").agg(F.count_if("hot").alias("hots"))  # need tells a text's bands apart, or they count alike
-    shared = shared.filter("a != b").join(lowest, ["doc", "need"])
-    light = F.col("need") > F.col("hots")
-    shared = C.checkpointed(shared.filter(~F.col("hot") | ~light)
-                            .select("sig", "doc", "component", light.alias("light"), "need", F.greatest(F.col("need") - F.col("hots"), F.lit(1)).alias("cold")))
+    packed = (docs.select("doc_id", "text").filter(maybe(F.col("doc_id"))).join(labels, "doc_id")
+              .mapInArrow(_map_around(C.bucket_count(docs.sparkSession)), C.PACKED))
+    members = C.checkpointed(C.meet(packed).mapInArrow(_mixed_members, "sig long, doc long, need long, component long, n long"))
+    hot = F.col("n") > HOT
+    # need is smallest in the band that asks least; both bands' hot signatures count against it
+    texts = members.groupBy("doc").agg(F.min("need").alias("need"), F.count_if(hot).alias("hots"))
+    texts = texts.withColumn("light", F.col("need") > F.col("hots")).withColumn("cold", F.greatest(F.col("need") - F.col("hots"), F.lit(1)))
+    shared = members.drop("need").join(texts, "doc").filter(~hot | ~F.col("light")).select("sig", "doc", "component", "light", "need", "cold")
     one = shared.select("sig", *(F.col(c).alias(f"{c}1") for c in shared.columns[1:]))
     two = shared.select("sig", *(F.col(c).alias(f"{c}2") for c in shared.columns[1:]))
     met = one.join(two, "sig").filter("doc1 < doc2 and component1 != component2")

@@ -122,7 +122,7 @@ def _anchors_met(kinds):
     if 1 in kinds:
         yield kinds[1][1], kinds[1][2]
     if 0 in kinds:
-        _, doc, spot, _, length, least, most = _settle(*kinds[0])
+        _, doc, spot, _, length, least, most = _settle(*kinds[0][:3])
         pick = np.repeat(least != most, length) & (spot >= 0)
         yield doc[pick], spot[pick]
 
@@ -174,7 +174,7 @@ def _windows_gone(kinds):
     if 1 in kinds:
         yield kinds[1][1], kinds[1][2]
     if 0 in kinds:
-        _, doc, spot, _, length, least, _ = _settle(*kinds[0])
+        _, doc, spot, _, length, least, _ = _settle(*kinds[0][:3])
         pick = doc > np.repeat(least, length)
         yield doc[pick], spot[pick]
 
