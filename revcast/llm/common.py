@@ -247,16 +247,15 @@ def may_match(keys: DataFrame, key: str) -> "MayMatch":
     h = F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS * 64))
     rows = keys.select(h.alias("h")).groupBy((F.col("h") / 64).cast("int").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, int(h % 64))")).alias("b")).collect()
-    bits = np.zeros(FILTER_WORDS, np.int64)
+    bits = [0] * FILTER_WORDS
     for r in rows:
         bits[r["w"]] = r["b"]
     return MayMatch(bits)
 
 
 class MayMatch:
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.empty = bits, not bits.any()
-        self._text = ",".join(map(str, bits.tolist()))
+    def __init__(self, bits: list[int]):
+        self._text = ",".join(map(str, bits))
 
     def __call__(self, key: Column) -> Column:
         h = F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS * 64))

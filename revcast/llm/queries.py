@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from revcast.llm import ngram_join, substring_dedup
+from revcast.llm import bpe, decontaminate, ngram_join, quality_knn, substring_dedup
 
 QUERIES = {
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_bpe": bpe.op8_bpe,
+    "op9_quality_knn": quality_knn.op9_quality_knn,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 SQL = {
     "op5_ngram_join": ngram_join.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
+    "op10_decontaminate": decontaminate.SQL,
 }
