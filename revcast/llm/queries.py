@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from revcast.llm import bpe, decontaminate, ngram_join, quality_knn, substring_dedup
+from revcast.llm import bpe, chat_format, decontaminate, ngram_join, quality_knn, sharding, substring_dedup
 
 QUERIES = {
+    "op2_sharding": sharding.op2_sharding,
     "op5_ngram_join": ngram_join.op5_ngram_join,
+    "op6_chat_format": chat_format.op6_chat_format,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_bpe": bpe.op8_bpe,
     "op9_quality_knn": quality_knn.op9_quality_knn,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 SQL = {
     "op5_ngram_join": ngram_join.SQL,
+    "op6_chat_format": chat_format.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
