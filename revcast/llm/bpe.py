@@ -62,18 +62,11 @@ class TrieBpe:
         self.rank = {(self.vocab[a], self.vocab[b]): r for r, (a, b) in enumerate(pairs)}
         self.parts = {self.vocab[a + b]: (self.vocab[a], self.vocab[b], r) for r, (a, b) in enumerate(pairs)}
         self.symbols = dict(enumerate(byte_symbols()))
-        # tokens by their characters from the last to the first: those that may end a prefix inside a word, and a word
-        self.inner, self.final = {}, {}
-        for t, i in self.vocab.items():
-            last = bool(self.end) and t.endswith(self.end)
-            node = self.final if last else self.inner
-            for c in reversed(t[: len(t) - len(self.end)] if last else t):
-                node = node.setdefault(c, {})
-            node[""] = i
         self._never = len(pairs)
         self._spines: tuple[dict, dict] = ({}, {})
         self._joins: dict[tuple[int, int], bool] = {}
         self._alone: dict[int, bool] = {}
+        self._suffixes()
 
     # ---- which tokens may stand side by side
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -106,12 +99,9 @@ class TrieBpe:
 
     def joins(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are, side by side."""
-        key = (left, right)
-        known = self._joins.get(key)
-        if known is None:
-            if len(self._joins) > 2_000_000:
-                self._joins.clear()
-            known = self._joins[key] = not self._crossed(left, right, self._never)
+        if len(self._joins) > 2_000_000:
+            self._joins.clear()
+        known = self._joins[left << 20 | right] = not self._crossed(left, right, self._never)
         return known
 
     def alone(self, token: int) -> bool:
@@ -126,46 +116,85 @@ class TrieBpe:
             self._alone[token] = known
         return known
 
-    # ---- the trie
-    def _last(self, path: str, n: int, states: list, node: dict) -> tuple[int, int]:
-        """(last token, its length) of the prefix path[:n]; ``states`` has those of its prefixes."""
-        ends, at = [], n
-        while at:
-            node = node.get(path[at - 1])
-            if node is None:
-                break
-            at -= 1
-            if "" in node:
-                ends.append((node[""], at))
-        for token, at in reversed(ends):
-            if at == 0:
-                if self.alone(token):
-                    return token, n
-            else:
-                ok = self._joins.get((states[at][0], token))
-                if (ok if ok is not None else self.joins(states[at][0], token)) and self.alone(token):
-                    return token, n - at
-        raise ValueError(f"no token ends {path[:n]!r}")
+    # ---- which tokens end a prefix
+    def _suffixes(self) -> None:
+        """An automaton over the tokens' characters: after a prefix, its state names the tokens that
+        end it, longest first. A character that ends a word is one of its own."""
+        self._next: list[dict[str, int]] = [{}]
+        self._ends: list[tuple[tuple[int, int], ...]] = [()]
+        own: dict[int, tuple[int, int]] = {}
+        for token, i in self.vocab.items():
+            whole = bool(self.end) and token.endswith(self.end)
+            if not self.alone(i):
+                continue
+            state, path = 0, self.ended(token[: -len(self.end)]) if whole else token
+            for c in path:
+                if c not in self._next[state]:
+                    self._next[state][c] = len(self._next)
+                    self._next.append({})
+                    self._ends.append(())
+                state = self._next[state][c]
+            own[state] = (i, len(path))
+        self._back, level = [0] * len(self._next), [0]
+        children = [dict(d) for d in self._next]
+        while level:  # by depth: the state of the longest shorter ending
+            below = []
+            for state in level:
+                self._ends[state] = ((own[state],) if state in own else ()) + self._ends[self._back[state]]
+                for c, child in children[state].items():
+                    if state:
+                        self._back[child] = self._step(self._back[state], c)
+                    below.append(child)
+            level = below
+
+    def _step(self, state: int, c: str) -> int:
+        """The state after one more character (kept once it is known)."""
+        to = self._next[state].get(c)
+        if to is None:
+            to = self._next[state][c] = self._step(self._back[state], c) if state else 0
+        return to
+
+    @staticmethod
+    def ended(word: str) -> str:
+        return word[:-1] + chr(ord(word[-1]) + 0x1000)
 
+    # ---- the trie
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of distinct words (strings of byte symbols), in one depth-first pass over their trie."""
         found: dict[str, list[int]] = {}
-        path, states = "", [(-1, 0)]  # states[d]: of the node at depth d on the path
+        steps, ends, joins = self._next, self._ends, self._joins
+        path, deep = "", 256
+        # of the node at each depth of the path: automaton state, last token, its length
+        state, last, size = [0] * deep, [-1] * deep, [0] * deep
         for word in sorted(words):
             n = len(word)
+            if n >= deep:
+                state, last, size = (x + [0] * (n + 1 - deep) for x in (state, last, size))
+                deep = n + 1
             shared, top = 0, min(len(path), n - 1)
             while shared < top and path[shared] == word[shared]:
                 shared += 1
-            del states[shared + 1 :]
-            for depth in range(shared + 1, n):
-                states.append(self._last(word, depth, states, self.inner))
-            path = word[:-1]
-            token, length = self._last(word, n, states, self.final)
-            ids, at = [token], n - length
-            while at:
-                token, length = states[at]
-                ids.append(token)
-                at -= length
+            at = state[shared]
+            marked = word if not self.end else self.ended(word)
+            for depth in range(shared, n):
+                c = marked[depth]
+                to = steps[at].get(c)
+                at = self._step(at, c) if to is None else to
+                for token, length in ends[at]:
+                    start = depth + 1 - length
+                    if start:
+                        ok = joins.get(last[start] << 20 | token)
+                        if not (self.joins(last[start], token) if ok is None else ok):
+                            continue
+                    break
+                else:
+                    raise ValueError(f"no token ends {word[: depth + 1]!r}")
+                state[depth + 1], last[depth + 1], size[depth + 1] = at, token, length
+            path = word[:-1] if self.end else word
+            ids = []
+            while n:
+                ids.append(last[n])
+                n -= size[n]
             ids.reverse()
             found[word] = ids
         return found
@@ -178,9 +207,15 @@ class TrieBpe:
 
     def _symbols_of(self, part: str) -> list[str]:
         if part.isascii():
+            if part.isalpha():
+                return [part.lower()]
+            if part[-1] in ".,!?" and part[:-1].isalpha():
+                return [part[:-1].lower(), part[-1]]
             words = _PIECES.findall(part.lower())
             return words if part.isprintable() else [w.translate(self.symbols) for w in words]
         part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+        if part.isalpha():
+            return [part.encode().decode("latin-1").translate(self.symbols)]
         return [p.encode().decode("latin-1").translate(self.symbols) for p in _PIECES.findall(part)]
 
     def words_of(self, chunk: str) -> list[str | int]:
@@ -188,7 +223,7 @@ class TrieBpe:
         if not self.special or "<" not in chunk or not self._special.search(chunk):
             return self._symbols_of(chunk)
         parts = self._special.split(chunk)
-        return [w for p in parts for w in ([self.special[p]] if p in self.special else self._symbols_of(p))]
+        return [w for p in parts if p for w in ([self.special[p]] if p in self.special else self._symbols_of(p))]
 
     def encode(self, text: str | None) -> list[int]:
         words = [w for c in self.chunks(text or "") for w in self.words_of(c)]
