@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from revcast.llm import bpe, chat_format, decontaminate, ngram_join, quality_knn, sharding, substring_dedup
+from revcast.llm import bpe, chat_format, decontaminate, license_scan, ngram_join, packing, quality_knn, sharding, substring_dedup, weak_quality
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_sharding": sharding.op2_sharding,
+    "op3_license_scan": license_scan.op3_license_scan,
+    "op4_weak_quality": weak_quality.op4_weak_quality,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
@@ -14,6 +17,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 SQL = {
+    "op3_license_scan": license_scan.SQL,
     "op5_ngram_join": ngram_join.SQL,
     "op6_chat_format": chat_format.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
