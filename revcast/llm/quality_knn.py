@@ -200,8 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
     return fit(weights[order], np.array([r["label"] for r in rows], np.float32)[order])
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score for each row of ``docs`` (doc_id, text)."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` (its columns, text among them) with the score as column ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -210,9 +210,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             for lo, hi, words in C.word_chunks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), pa.array(np.clip(model.score(term_weights(words)), 0, 1).astype(np.float64))], names=["row", "score"])
 
-    row = F.struct(*[c for c in docs.columns if c != "text"])
-    rows = docs.select(row.alias("row"), "text")
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double").select("row.*", "score")
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double").select("row.*", F.col("score").alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
