@@ -173,15 +173,15 @@ def by_text_and_value(value: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 # ------------------------------------------------------------------ packed exchange
-#: Triples gathered before they are packed, and the buckets for each shuffle partition.
+#: Triples gathered before they are packed.
 FLUSH = 1_000_000
-BUCKETS_EACH = 8
 PACKED = "bucket int, kind int, keys binary, docs binary, spots binary, more binary"
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("spots", pa.binary()), ("more", pa.binary())])
 
 
 def bucket_count(spark: SparkSession) -> int:
-    return min(BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
+    """A bucket for each shuffle partition."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
 
 
 def pack(keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, buckets: int, kind: int = 0, more: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
@@ -224,7 +224,7 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, tuple[np.nda
 
 def meet(packed: DataFrame) -> DataFrame:
     """Rows of a bucket together, in one task and one after the other."""
-    return packed.repartition("bucket").sortWithinPartitions("bucket")
+    return packed.repartitionById(bucket_count(packed.sparkSession), F.col("bucket")).sortWithinPartitions("bucket")
 
 
 def runs_of(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,8 +234,8 @@ def runs_of(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 # ------------------------------------------------------------------ bit filter
-#: Words of 64 bits in the filter: 1 MB, whatever the input.
-FILTER_WORDS = 1 << 17
+#: Words of 64 bits in the filter: 128 KB, whatever the input.
+FILTER_WORDS = 1 << 14
 
 
 def may_match(keys: DataFrame, key: str) -> "MayMatch":

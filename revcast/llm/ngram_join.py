@@ -13,11 +13,15 @@ sets within distance k agree on all but k partitions; a set with more than k occ
 shares a signature with each of its partners. A set with no more than k (a rare case of small
 sets) signs its empty partitions too, so that two such sets still meet. No link is lost.
 
-Work for hot signatures stays linear: a signature gives one pair (member, smallest member), not all
-pairs, and members met in the same flush of a map task are reduced there. Verified pairs are closed
-to components. Where a pair with the smallest member fails, members of that signature may still be
-linked to one another: `residual_pairs` takes the texts around such failed pairs, and compares
-those in different components that share as many signatures as linked sets must.
+Candidates. A signature of at most HOT sets gives its pairs; pairs are counted over all signatures, and
+linked sets share at least `need` = occupied partitions - k of them, so most chance pairs end there.
+A signature of more sets is hot: its members are only counted, and paired with the smallest of
+them (in a map task's flush already, so a third of all rows under one signature sends a few rows). A
+set with fewer hot signatures than `need` is light: it meets each partner at a signature that isn't hot.
+Only pairs of two heavy sets can have nothing but hot signatures in common. They are linked through
+the smallest members; where such a pair fails, `heavy_pairs` takes the sets around it and counts their
+shared signatures among themselves. The candidates left are compared exactly, by their texts, and
+the links are closed to components.
 
 Nulls and edge cases: a null or empty text (or one of white space) has no shingles and is linked
 with nothing; a null id is kept, as a row of its own that links with nothing; equal texts are one
@@ -38,8 +42,8 @@ from revcast.llm import common as C
 from revcast.llm.components import components
 
 WIDTH = 5
-#: A signature of more texts than this is hot in residual_pairs.
-HOT = 64
+#: A signature of more sets than this is hot.
+HOT = 12
 _SET_SALT = np.uint64(0x5851F42D4C957F2D)
 _EMPTY_SALT = np.uint64(0x14057B7EF767814F)
 
@@ -105,36 +109,95 @@ def signatures(text: np.ndarray, value: np.ndarray) -> Iterator[tuple[np.ndarray
 
 
 def _set_rows(batches):
-    """doc_id, n_shingles and a 128-bit hash of each text's set."""
+    """doc_id, n_shingles, a 128-bit hash of each text's set, and the least `need` of its bands."""
     for batch in batches:
         n = batch.num_rows
-        size, one, two = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        size, one, two, need = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.full(n, 1 << 40)
         for lo, hi, words in C.word_chunks(batch, "text", lower=True):
             text, value = shingle_sets(words)
             first = np.flatnonzero(np.diff(text, prepend=-1))
             size[lo:hi] = np.bincount(text, minlength=hi - lo)
             one[lo + text[first]] = sums_of(C.mix(value ^ _SET_SALT), first)
             two[lo + text[first]] = sums_of(C.mix(value ^ _EMPTY_SALT), first)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
-                                         names=["doc_id", "n_shingles", "h1", "h2"])
+            for t, _, _, least in signatures(text, value):
+                np.minimum.at(need, lo + t, least)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(need)],
+                                         names=["doc_id", "n_shingles", "h1", "h2", "need"])
+
+
+#: Rows of the reduced signatures: pairs (x, y) with the number of shared signatures, x and the
+#: smallest member y of a hot signature, and the number of hot signatures of x.
+PAIR, HOT_PAIR, HOT_COUNT = 0, 1, 2
+_REDUCED = "kind int, x long, y long, n long"
+
+
+class Tally:
+    """Adds up (kind, x, y, n)."""
+
+    def __init__(self):
+        self.parts, self.held, self.most = [], 0, 2 * C.FLUSH
+
+    def add(self, kind: int, x: np.ndarray, y: np.ndarray, n: np.ndarray | int = 1) -> None:
+        if len(x):
+            self.parts.append((np.full(len(x), kind), x, y, np.broadcast_to(n, len(x))))
+            self.held += len(x)
+            if self.held > self.most:
+                self.parts = [self.summed()]
+                self.held = len(self.parts[0][0])
+                self.most = 2 * C.FLUSH + 2 * self.held
+
+    def summed(self):
+        if not self.parts:
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
+        kind, x, y, n = map(np.concatenate, zip(*self.parts))
+        order = np.lexsort((y, x, kind))
+        kind, x, y, n = kind[order], x[order], y[order], n[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (kind[1:] != kind[:-1])
+        first = np.flatnonzero(new)
+        return kind[first], x[first], y[first], np.add.reduceat(n, first)
+
+
+def _members(sig, doc, flag):
+    """Distinct (sig, doc) in order, the runs of equal sig, and whether each is hot."""
+    order = np.lexsort((doc, sig))
+    sig, doc, flag = sig[order], doc[order], flag[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
+    start, length = C.runs_of(sig[new])
+    hot = (length > HOT) | (np.maximum.reduceat(flag, np.flatnonzero(new)[start]) > 0)
+    return sig[new], doc[new], start, length, hot
+
+
+def _hot_members(doc, start, length, hot, tally: Tally) -> None:
+    """Counts the members of hot signatures and pairs them with the smallest."""
+    in_hot = np.repeat(hot, length)
+    center = np.repeat(doc[start], length)[in_hot]
+    member = doc[in_hot]
+    tally.add(HOT_COUNT, member, np.zeros(len(member), np.int64))
+    other = member != center
+    tally.add(HOT_PAIR, member[other], center[other])
 
 
 def _map_signatures(buckets: int):
-    """Packed (signature, doc). Within a flush, equal sets sign once, and a signature's members are
-    paired with the smallest of them (kind 1: center, member) and only that one travels on."""
+    """Packed (signature, doc); a signature that is hot in a flush already sends its smallest member
+    (marked), and its members' counts and pairs (kinds 1 to 4) in place of them."""
 
     def flush(sigs, docs):
-        sig, doc = np.concatenate(sigs), np.concatenate(docs)
-        order = np.argsort(sig)
-        sig, doc = sig[order], doc[order]
-        start, length = C.runs_of(sig)
-        least = np.minimum.reduceat(doc, start)
-        center = np.repeat(least, length)
-        other = np.flatnonzero(doc != center)
-        pairs = distinct_pairs(doc[other], center[other])
-        yield from C.pack(sig[start], least, np.zeros(len(start), np.int32), buckets)
-        yield from C.pack(C.mix(pairs[0].astype(np.uint64)), pairs[0], np.zeros(len(pairs[0]), np.int32), buckets, 1)
-        yield from C.pack(C.mix(pairs[0].astype(np.uint64)), pairs[1], np.zeros(len(pairs[0]), np.int32), buckets, 2)
+        sig = np.concatenate(sigs)
+        sig, doc, start, length, hot = _members(sig, np.concatenate(docs), np.zeros(len(sig), np.int32))
+        tally = Tally()
+        _hot_members(doc, start, length, hot, tally)
+        kind, x, y, n = tally.summed()
+        in_hot = np.repeat(hot, length)
+        yield from C.pack(sig[~in_hot], doc[~in_hot], np.zeros(int((~in_hot).sum()), np.int32), buckets)
+        yield from C.pack(sig[start[hot]], doc[start[hot]], np.ones(int(hot.sum()), np.int32), buckets)
+        for k in (HOT_PAIR, HOT_COUNT):
+            pick = kind == k
+            # the smallest member counts where its signature is reduced
+            yield from C.pack(C.mix(x[pick].astype(np.uint64)), x[pick], n[pick], buckets, k, y[pick])
+        own = doc[start[hot]]
+        yield from C.pack(C.mix(own.astype(np.uint64)), own, np.full(len(own), -1), buckets, HOT_COUNT, np.zeros(len(own), np.int64))
 
     def run(batches):
         sigs, docs, held, seen = [], [], 0, set()
@@ -145,7 +208,7 @@ def _map_signatures(buckets: int):
                 first = np.flatnonzero(np.diff(text, prepend=-1))
                 new = np.zeros(len(words.count), bool)
                 for x, h in zip(text[first].tolist(), sums_of(C.mix(value ^ _SET_SALT), first).tolist()):
-                    if h not in seen:
+                    if h not in seen:  # equal sets of a flush sign once
                         seen.add(h)
                         new[x] = True
                 keep = new[text]
@@ -162,44 +225,41 @@ def _map_signatures(buckets: int):
     return run
 
 
-def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
+def _reduce_signatures(buckets: int):
+    """Packed sums of (kind, x, y, n) over a task's signatures, by x."""
 
+    def run(batches):
+        tally = Tally()
+        for kinds in C.unpack(batches):
+            for k in (HOT_PAIR, HOT_COUNT):
+                if k in kinds:
+                    _, x, n, y = kinds[k]
+                    tally.add(k, x, y, n.astype(np.int64))
+            if PAIR not in kinds:
+                continue
+            _, doc, start, length, hot = _members(*kinds[PAIR][:3])
+            _hot_members(doc, start, length, hot, tally)
+            for m in range(2, HOT + 1):
+                at = start[~hot & (length == m)]
+                if len(at):
+                    one, two = np.triu_indices(m, 1)
+                    tally.add(PAIR, doc[(at[:, None] + two).ravel()], doc[(at[:, None] + one).ravel()])
+        kind, x, y, n = tally.summed()
+        for k in (PAIR, HOT_PAIR, HOT_COUNT):
+            pick = kind == k
+            yield from C.pack(C.mix(x[pick].astype(np.uint64)), x[pick], n[pick], buckets, k, y[pick])
 
-def _reduce_signatures(batches):
-    """Distinct pairs (doc, center): of each signature, its members and the smallest of them."""
-    one, two, held = [], [], 0
+    return run
 
-    def out():
-        a, b = distinct_pairs(np.concatenate(one), np.concatenate(two))
-        return a, b, pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["x", "y"])
 
+def _sum_reduced(batches):
+    """Rows of _REDUCED, summed over all tasks."""
     for kinds in C.unpack(batches):
-        if 0 in kinds:
-            sig, doc = kinds[0][:2]
-            order = np.argsort(sig)
-            sig, doc = sig[order], doc[order]
-            start, length = C.runs_of(sig)
-            center = np.repeat(np.minimum.reduceat(doc, start), length)
-            other = np.flatnonzero(doc != center)
-            one.append(doc[other])
-            two.append(center[other])
-        if 1 in kinds:
-            one.append(kinds[1][1])
-            two.append(kinds[2][1])
-        held += len(one[-1])
-        if held > C.FLUSH:
-            a, b, rows = out()
-            one, two, held = [a], [b], len(a)
-            if held > C.FLUSH // 2:
-                yield rows
-                one, two, held = [], [], 0
-    if one:
-        yield out()[2]
+        tally = Tally()
+        for k, (_, x, n, y) in kinds.items():
+            tally.add(k, x, y, n.astype(np.int64))
+        kind, x, y, n = tally.summed()
+        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(x), pa.array(y), pa.array(n)], names=["kind", "x", "y", "n"])
 
 
 # ------------------------------------------------------------------ verification
@@ -268,7 +328,7 @@ def _mixed_members(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c[mixed].astype(np.int64)) for c in columns], names=["sig", "doc", "need", "component", "n"])
 
 
-def residual_pairs(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def heavy_pairs(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of ``labels`` (doc_id, component) in different components that share as many
     signatures as linked sets must.
 
@@ -308,41 +368,49 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = C.checkpointed(docs.mapInArrow(_set_rows, "doc_id long, n_shingles long, h1 long, h2 long"))
+    sets = C.checkpointed(docs.mapInArrow(_set_rows, "doc_id long, n_shingles long, h1 long, h2 long, need long"))
     some = sets.filter("n_shingles > 0 and doc_id is not null")
     # equal sets: one representative each (a group-by with map-side minimum, so a huge class is no hot key)
     reps = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"))
-    member = C.checkpointed(some.join(reps, ["h1", "h2"]).select("doc_id", "class_id", "n_shingles").distinct())
-
-    packed = docs.filter("doc_id is not null").mapInArrow(_map_signatures(C.bucket_count(spark)), C.PACKED)
-    pairs = C.meet(packed).mapInArrow(_reduce_signatures, "x long, y long").distinct()
-    end = lambda c: member.select(F.col("doc_id").alias(c), F.col("class_id").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
-    pairs = C.checkpointed(pairs.join(end("x"), "x").join(end("y"), "y").filter("rx != ry")
-                           .filter(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-                           .select(F.greatest("rx", "ry").alias("x"), F.least("rx", "ry").alias("y")).distinct())
+    member = some.join(reps, ["h1", "h2"]).select("doc_id", "class_id", "n_shingles", "need").distinct()
+
+    buckets = C.bucket_count(spark)
+    packed = docs.filter("doc_id is not null").mapInArrow(_map_signatures(buckets), C.PACKED)
+    reduced = C.meet(packed).mapInArrow(_reduce_signatures(buckets), C.PACKED)
+    met = C.checkpointed(C.meet(reduced).mapInArrow(_sum_reduced, _REDUCED))
+    hots = met.filter(F.col("kind") == HOT_COUNT).select(F.col("x").alias("doc_id"), F.col("n").alias("hots"))
+    member = C.checkpointed(member.join(hots, "doc_id", "left").withColumn("cold", F.col("need") - F.coalesce("hots", F.lit(0))))
+
+    # linked sets share as many signatures that are not hot as either lacks to be heavy
+    def ends(pairs: DataFrame) -> DataFrame:
+        for c in ("x", "y"):
+            pairs = pairs.join(member.select(F.col("doc_id").alias(c), F.col("class_id").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"), F.col("cold").alias(f"cold_{c}")), c)
+        return pairs.filter("rx != ry")
+
+    pairs = ends(met.filter(F.col("kind") != HOT_COUNT))
+    hot = C.checkpointed(pairs.filter(F.col("kind") == HOT_PAIR).select(F.col("rx").alias("x"), F.col("ry").alias("y"), "nx", "ny", "cold_x", "cold_y").distinct())
+    alike = F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    near = pairs.filter((F.col("kind") == PAIR) & (F.col("n") >= F.greatest("cold_x", "cold_y"))).filter(alike).select(F.col("rx").alias("x"), F.col("ry").alias("y"))
+    near = near.unionByName(hot.filter("cold_x <= 0 and cold_y <= 0").filter(alike).select("x", "y"))
+    near = C.checkpointed(near.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
 
     # ids that stand in several rows with different texts hold their classes together
     several = member.groupBy("doc_id").agg(F.min("class_id").alias("y"), F.max("class_id").alias("z")).filter("y != z")
     edges = member.join(several, "doc_id").select(F.col("class_id").alias("x"), "y").filter("x != y")
-
-    # each text against the smallest text it met; then the pairs that are still in different components
-    nearest = pairs.groupBy("x").agg(F.min("y").alias("y"))
-    edges = C.checkpointed(edges.unionByName(verified(docs, nearest, percent)))
-    labels = components(edges)
-    rest = label_pairs(pairs.join(nearest, ["x", "y"], "left_anti"), labels).select("x", "y")
-    edges = C.checkpointed(edges.unionByName(verified(docs, C.checkpointed(rest), percent)))
+    edges = C.checkpointed(edges.unionByName(verified(docs, near, percent)))
     labels = C.checkpointed(components(edges))
 
-    # members of a signature whose pair with its smallest member failed may still be linked to one another
-    bad = C.checkpointed(label_pairs(pairs, labels))
-    if not bad.isEmpty():
-        both = pairs.unionAll(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        around = bad.select(F.col("y").alias("x")).unionAll(bad.select("x")).distinct()
-        for _ in range(2):  # a member's pair may run over the smallest of its flush
-            around = around.unionAll(both.join(around, "x").select(F.col("y").alias("x"))).distinct()
-        around = around.join(labels.toDF("x", "component"), "x", "left").select(F.col("x").alias("doc_id"), F.coalesce("component", "x").alias("component"))
-        more = C.checkpointed(residual_pairs(docs, C.checkpointed(around)).select(F.col("y").alias("x"), F.col("x").alias("y")))
-        more = more.join(pairs, ["x", "y"], "left_anti")
+    # heavy sets around a hot pair that failed may be linked through hot signatures only
+    failed = label_pairs(hot.select("x", "y"), labels)
+    around = failed.select("x").unionAll(failed.select(F.col("y").alias("x"))).distinct()
+    both = hot.select("x", "y").unionAll(hot.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    for _ in range(2):  # a member's pair may run over the smallest of its flush
+        around = around.unionAll(both.join(around, "x").select(F.col("y").alias("x"))).distinct()
+    heavy = member.filter("cold <= 0").select(F.col("class_id").alias("x")).distinct()
+    around = around.join(heavy, "x", "left_semi").join(labels.toDF("x", "component"), "x", "left")
+    around = C.checkpointed(around.select(F.col("x").alias("doc_id"), F.coalesce("component", "x").alias("component")))
+    if not around.isEmpty():
+        more = heavy_pairs(docs, around).select(F.col("y").alias("x"), F.col("x").alias("y")).join(near, ["x", "y"], "left_anti")
         found = C.checkpointed(verified(docs, C.checkpointed(more), percent))
         if not found.isEmpty():
             labels = components(edges.unionByName(found))

@@ -88,36 +88,36 @@ def _map_anchors(buckets: int):
     return run
 
 
-_SPOTS = pa.schema([("doc_id", pa.int64()), ("spots", pa.binary())])
-
-
-def _by_doc(doc, spot):
-    """One row for each doc, its spots as int32 bytes."""
-    order = np.lexsort((spot, doc))
-    doc, spot = doc[order], spot[order].astype(np.int32)
-    start, length = C.runs_of(doc)
-    return pa.RecordBatch.from_arrays([pa.array(doc[start], pa.int64()), pa.array([spot[i : i + n].tobytes() for i, n in zip(start, length)], pa.binary())], schema=_SPOTS)
-
-
-def _gathered(settled):
-    """Rows of (doc, spot) arrays, gathered over buckets to some size."""
+def _settled(decide, buckets: int):
+    """Packed (doc, spot), by doc, of what ``decide`` takes from each bucket."""
 
     def run(batches):
-        docs, spots, n = [], [], 0
+        held, n = [], 0
         for kinds in C.unpack(batches):
-            for doc, spot in settled(kinds):
-                docs.append(doc)
-                spots.append(spot)
+            for doc, spot in decide(kinds):
+                held.append((doc, spot))
                 n += len(doc)
             if n >= C.FLUSH:
-                yield _by_doc(np.concatenate(docs), np.concatenate(spots))
-                docs, spots, n = [], [], 0
+                doc, spot = map(np.concatenate, zip(*held))
+                yield from C.pack(C.mix(doc.astype(np.uint64)), doc, spot, buckets)
+                held, n = [], 0
         if n:
-            yield _by_doc(np.concatenate(docs), np.concatenate(spots))
+            doc, spot = map(np.concatenate, zip(*held))
+            yield from C.pack(C.mix(doc.astype(np.uint64)), doc, spot, buckets)
 
     return run
 
 
+def _by_doc(batches):
+    """One row for each doc, its spots as int32 bytes."""
+    for kinds in C.unpack(batches):
+        _, doc, spot, _ = kinds[0]
+        order = np.lexsort((spot, doc))
+        doc, spot = doc[order], spot[order]
+        start, length = C.runs_of(doc)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[start]), pa.array([spot[i : i + n].tobytes() for i, n in zip(start, length)], pa.binary())], names=["doc_id", "spots"])
+
+
 def _anchors_met(kinds):
     if 1 in kinds:
         yield kinds[1][1], kinds[1][2]
@@ -128,9 +128,8 @@ def _anchors_met(kinds):
 
 
 # ------------------------------------------------------------------ windows
-def _spots_of(blobs) -> np.ndarray:
-    """Spots of one doc from its rows' bytes."""
-    return np.frombuffer(b"".join(blobs), np.int32)
+def _spots_of(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.int32)
 
 
 def _map_windows(buckets: int):
@@ -194,11 +193,11 @@ def _kept_rows(batches):
     for batch in batches:
         texts, spots = batch.column("text").to_pylist(), batch.column("spots").to_pylist()
         total, removed, kept = [], [], []
-        for text, blobs in zip(texts, spots):
+        for text, blob in zip(texts, spots):
             words = (text or "").encode().split()
             total.append(len(words))
-            if blobs:
-                gone = gone_words(len(words), _spots_of(blobs))
+            if blob:
+                gone = gone_words(len(words), _spots_of(blob))
                 removed.append(int(gone.sum()))
                 words = [w for w, g in zip(words, gone.tolist()) if not g]
             else:
@@ -216,16 +215,19 @@ def _kept_digests(batches):
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, spots array<binary>): starts, as int32 bytes, of the windows that a smaller id holds."""
+    """(doc_id, spots): starts, as int32 bytes, of the windows that a smaller id holds."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     buckets = C.bucket_count(spark)
-    gather = lambda packed, f: (C.meet(packed).mapInArrow(_gathered(f), "doc_id long, spots binary")
-                                .groupBy("doc_id").agg(F.collect_list("spots").alias("spots")))
-    anchors = C.checkpointed(gather(docs.mapInArrow(_map_anchors(buckets), C.PACKED), _anchors_met))
+
+    def gather(packed: DataFrame, decide) -> DataFrame:
+        decided = C.meet(packed).mapInArrow(_settled(decide, buckets), C.PACKED)
+        return C.checkpointed(C.meet(decided).mapInArrow(_by_doc, "doc_id long, spots binary"))
+
+    anchors = gather(docs.mapInArrow(_map_anchors(buckets), C.PACKED), _anchors_met)
     maybe = C.may_match(anchors, "doc_id")
     near = docs.filter(maybe(F.col("doc_id"))).join(anchors, "doc_id")
-    return C.checkpointed(gather(near.mapInArrow(_map_windows(buckets), C.PACKED), _windows_gone))
+    return gather(near.mapInArrow(_map_windows(buckets), C.PACKED), _windows_gone)
 
 
 def _with_spots(docs: DataFrame, *more: str) -> DataFrame:
@@ -234,7 +236,7 @@ def _with_spots(docs: DataFrame, *more: str) -> DataFrame:
     maybe = C.may_match(gone, "doc_id")
     hit = F.coalesce(maybe(F.col("doc_id")), F.lit(False))
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    spots = F.lit(None).cast("array<binary>").alias("spots")
+    spots = F.lit(None).cast("binary").alias("spots")
     row = F.struct("doc_id", *more).alias("row")
     return docs.filter(~hit).select(row, "text", spots).unionByName(
         docs.filter(hit).join(gone, "doc_id", "left").select(row, "text", "spots"))
@@ -251,11 +253,11 @@ def _cut_rows(batches):
     """The rows with their removed words (and the white space after each) cut out of the text."""
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        for i, blobs in enumerate(batch.column("spots").to_pylist()):
-            if blobs and texts[i]:
+        for i, blob in enumerate(batch.column("spots").to_pylist()):
+            if blob and texts[i]:
                 data = texts[i].encode()
                 words = C.Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-                gone = gone_words(len(words.starts), _spots_of(blobs))
+                gone = gone_words(len(words.starts), _spots_of(blob))
                 ends = np.append(words.starts[1:], len(data))
                 texts[i] = (data[: words.starts[0]] + b"".join(data[a:b] for a, b, g in zip(words.starts, ends, gone) if not g)).decode()
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
