@@ -6,7 +6,7 @@ sources/    vendor exports, the unified fixture view, sinks
 functions/  column expressions (maps, guarded ratios, caps, labels)
 operators/  DataFrame -> DataFrame steps (clean, features, forecast, insights)
 plans/      composed end-to-end plans and the query registry
-streaming/  incremental ingestion of daily export files
+llm/        operators for large training-text tables (stand-alone)
 """
 
 __version__ = "0.1.0"

@@ -148,3 +148,47 @@ FEATURE_PATTERNS_SHORT = [
     ("clicks", "Rolling clicks metric"),
 ]
 FEATURE_FALLBACKS_SHORT = [("channel", "Ad channel"), ("campaign", "Campaign identifier")]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: texts of the report (must stay equal to the original system's texts)
+# ---------------------------------------------------------------------------
+REPORT_TITLE = "PROBABILISTIC REVENUE FORECAST — CAUSAL SUMMARY"
+REPORT_SECTIONS = [
+    "EXECUTIVE SUMMARY",
+    "KEY REVENUE DRIVERS",
+    "CHANNEL PERFORMANCE ANALYSIS",
+    "CAMPAIGN TYPE ANALYSIS",
+    "FORECAST HORIZON TRENDS",
+    "BUDGET EFFICIENCY ANALYSIS",
+    "RISK ASSESSMENT",
+    "ACTIONABLE RECOMMENDATIONS",
+]
+REPORT_EMPTY = {
+    "drivers": "  No feature importance data available.",
+    "channel": "  No channel-level data available.",
+    "campaign_type": "  No campaign-type data available.",
+    "efficiency": "  No data available.",
+    "campaign": "  No campaign-level data available.",
+    "uncertainty": "  No high-uncertainty campaigns identified.",
+}
+ASSESSMENT_TEXT = {
+    "HIGH PERFORMER": "strong return on investment",
+    "PROFITABLE": "generating positive returns",
+    "MARGINAL": "close to break-even",
+    "UNDERPERFORMING": "low return on spend",
+}
+OUTLOOK_TEXT = {
+    "IMPROVING": "forecast ROAS exceeds historical",
+    "DECLINING": "forecast ROAS below historical",
+    "STABLE": "forecast ROAS consistent with historical",
+}
+TREND_TEXT = {
+    "GROWING": "  Trend: GROWING — monthly revenue expected to increase %.0f%% over 90 days",
+    "DECLINING": "  Trend: DECLINING — monthly revenue expected to decrease %.0f%% over 90 days",
+    "STABLE": "  Trend: STABLE — monthly revenue expected to remain roughly flat over 90 days",
+}
+DRIVER_TEXT = {
+    "roas": "    The strong influence of ROAS metrics suggests that campaigns with historically efficient ad spend are the best predictors of future revenue.",
+    "spend": "    Spend level is a significant driver, indicating that budget allocation directly impacts revenue outcomes.",
+    "rolling": "    Rolling average features rank highly, showing that recent performance trends are more predictive than point-in-time metrics.",
+}

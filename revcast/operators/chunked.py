@@ -25,16 +25,7 @@ from revcast.operators.clean import CAMPAIGN_KEYS, CAMPAIGN_ORDER, drop_zero_act
 from revcast.operators.splits import ordered_index
 
 HALO = max(ROLLING_WINDOWS) - 1
-MAX_SERIES_ROWS = 2_000_000          # above this a series is chunked (``revcast.window.maxSeriesRows``)
-
-
-def max_series_rows(df: DataFrame) -> int:
-    return df.groupBy(*CAMPAIGN_KEYS).count().agg(F.max("count")).first()[0] or 0
-
-
-def series_limit(spark) -> int:
-    conf = spark.conf.get("revcast.window.maxSeriesRows", None)
-    return int(conf) if conf else MAX_SERIES_ROWS
+CHUNK_ROWS = 100_000                 # rows of a window partition
 
 
 def positions(df: DataFrame, chunk_rows: int) -> DataFrame:

@@ -2,8 +2,8 @@
 
 The dictionary is the sorted distinct values plus ``__UNSEEN__`` placed in
 sort order (D16), numbered with the distributed ``ordered_index`` — no
-single-partition window even for very large vocabularies.  Encoding looks values up
-in a map built from the (size-checked) dictionary, or joins when it is large.
+single-partition window even for very large vocabularies.  Encoding is a left
+join on the dictionary, whatever its size; Catalyst picks the strategy.
 """
 
 from __future__ import annotations
@@ -33,27 +33,9 @@ def fit_dictionary(df: DataFrame, cols=K.CATEGORICAL_COLS) -> DataFrame:
     return materialize(d, "dictionary")                          # read by every encode subquery
 
 
-# Dictionaries up to this many entries are shipped to tasks as a map value (no join).
-MAX_MAP_ENTRIES = 100_000
-
-
 def encode(df: DataFrame, dictionary: DataFrame, cols=K.CATEGORICAL_COLS) -> DataFrame:
-    """Replace each categorical column by its index; unseen values -> index of __UNSEEN__.
-
-    Small dictionaries (checked row count) become one MAP per column through a
-    scalar subquery and are looked up inline; larger ones are joined (Catalyst
-    picks the join strategy).
-    """
+    """Replace each categorical column by its index; unseen values -> index of __UNSEEN__."""
     present = [c for c in cols if c in df.columns]
-    n = dictionary.limit(MAX_MAP_ENTRIES + 1).count()
-    if n <= MAX_MAP_ENTRIES:
-        maps = dictionary.groupBy("column_name").agg(
-            F.map_from_entries(F.collect_list(F.struct("value", "idx"))).alias("m"))
-        out = {}
-        for c in present:
-            m = maps.where(F.col("column_name") == c).select("m").scalar()
-            out[c] = F.coalesce(F.try_element_at(m, df[c].cast("string")), F.try_element_at(m, F.lit(K.UNSEEN)))
-        return df.withColumns(out)
     for c in present:
         d = dictionary.where(F.col("column_name") == c).select(F.col("value").alias(f"_v_{c}"),
                                                                F.col("idx").alias(f"_i_{c}"))

@@ -1,60 +1,42 @@
 """Budget what-if scenarios (J6), base budgets (A22) and the multiplier clamp (P25).
 
-A scenario is a small parameter table (scenario_id, channel or NULL for all
-channels, budget_multiplier).  Revenue quantiles and projected spend of the
-stored base forecast scale linearly with the multiplier (the cap is relative
-to spend, so ROAS is unchanged), hence every scenario is computed from the
-base table in one job without re-running the model.  Scenarios are shipped as
-a literal array and exploded per row (no join); their count is checked.
+A scenario is a table (scenario_id, channel or NULL for all channels,
+budget_multiplier).  Revenue quantiles and projected spend of the stored base
+forecast scale linearly with the multiplier (the cap is relative to spend, so
+ROAS is unchanged), hence every scenario is computed from the base table in one
+job without re-running the model.  Each scenario is spelled out for the
+forecast's channels (a vocabulary) and joined on the channel; the number of
+scenarios is not limited.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revcast.functions.expr import clamp_multiplier
 from revcast.operators.insights import rows_at
 
-MAX_SCENARIOS = 10_000
 SCALED = ["revenue_p10", "revenue_p50", "revenue_p90", "projected_spend"]
+SCENARIO_SCHEMA = "scenario_id string, channel string, budget_multiplier double"
 
 
-def _scenario_array(scenarios: list[tuple[str, str | None, float]]):
-    if len(scenarios) > MAX_SCENARIOS:
-        raise ValueError(f"{len(scenarios)} scenarios exceed the limit of {MAX_SCENARIOS}")
-    grouped: OrderedDict[str, dict] = OrderedDict()
-    for sid, channel, m in scenarios:
-        g = grouped.setdefault(sid, {"default": None, "per_channel": {}})
-        if channel is None:
-            g["default"] = float(m)
-        else:
-            g["per_channel"][channel] = float(m)
-    items = []
-    for sid, g in grouped.items():
-        per = g["per_channel"]
-        m_map = (F.create_map(*[x for k, v in per.items() for x in (F.lit(k), F.lit(v))]) if per
-                 else F.create_map().cast("map<string,double>"))
-        items.append(F.struct(F.lit(sid).alias("scenario_id"),
-                              F.lit(g["default"]).cast("double").alias("default_m"),
-                              m_map.alias("per_channel")))
-    return F.array(*items)
+def scenario_table(spark, scenarios: list[tuple[str, str | None, float]]) -> DataFrame:
+    """A scenario table from literal rows."""
+    return spark.createDataFrame([(s, c, float(m)) for s, c, m in scenarios], SCENARIO_SCHEMA)
 
 
-def apply_scenarios(fc: DataFrame, scenarios: list[tuple[str, str | None, float]]) -> DataFrame:
-    """One output row per (scenario, forecast row)."""
-    s = F.col("_s")
-    m = clamp_multiplier(F.coalesce(F.try_element_at(s["per_channel"], F.col("channel")),
-                                    s["default_m"], F.lit(1.0)))
-    exploded = fc.select("*", F.explode(_scenario_array(scenarios)).alias("_s"))
-    base_m = F.col("budget_multiplier")
-    return exploded.withColumns({
-        "scenario_id": s["scenario_id"],
-        "budget_multiplier": m,
-        **{c: F.col(c) / base_m * m for c in SCALED},
-    }).drop("_s")
+def apply_scenarios(fc: DataFrame, scenarios: DataFrame | list[tuple[str, str | None, float]]) -> DataFrame:
+    """One output row per (scenario, forecast row).  A channel's own multiplier comes before its scenario's general one."""
+    if not isinstance(scenarios, DataFrame):
+        scenarios = scenario_table(fc.sparkSession, scenarios)
+    channels = fc.select(F.collect_set("channel")).scalar()
+    general = scenarios.groupBy("scenario_id").agg(F.max(F.when(F.col("channel").isNull(), F.col("budget_multiplier"))).alias("_general"))
+    own = scenarios.where(F.col("channel").isNotNull()).groupBy("scenario_id", "channel").agg(F.max("budget_multiplier").alias("_own"))
+    grid = (general.select("scenario_id", "_general", F.explode(channels).alias("channel")).join(own, ["scenario_id", "channel"], "left")
+            .select("scenario_id", "channel", clamp_multiplier(F.coalesce("_own", "_general", F.lit(1.0))).alias("_m")))
+    out = fc.join(grid, "channel").withColumns({c: F.col(c) / F.col("budget_multiplier") * F.col("_m") for c in SCALED})
+    return out.withColumn("budget_multiplier", F.col("_m")).select(*fc.columns, "scenario_id")
 
 
 def base_budgets(fc: DataFrame, horizon: int = 30) -> DataFrame:

@@ -40,12 +40,14 @@ _LANDED: dict[tuple, str] = {}
 
 
 def _source_stamp(sf_dir: str) -> tuple:
+    """Sizes and times of the source files, as Spark's own listing has them (any path that Spark reads)."""
+    from pyspark.sql import functions as F
+    spark = SparkSession.getActiveSession()
     out = []
     for name in ("lineitem", "part"):
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        st = os.stat(p) if os.path.exists(p) else None
-        out.append((name, st.st_size if st else None, st.st_mtime_ns if st else None))
-    return tuple(out)
+        files = spark.read.format("binaryFile").load(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        out.append(files.agg(F.sum("length"), F.max("modificationTime"), F.count("*")).first())
+    return tuple(map(tuple, out))
 
 
 def cleaned_daily(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> DataFrame:
@@ -57,7 +59,7 @@ def cleaned_daily(spark: SparkSession, sf_dir: str, checkpoint: bool = True) ->
     """
     if not checkpoint:
         return clean(ad_daily(spark, sf_dir))
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _source_stamp(sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir, _source_stamp(sf_dir))
     path = _LANDED.get(key)
     if path is not None:
         try:
@@ -74,7 +76,7 @@ def feature_daily(spark: SparkSession, sf_dir: str, checkpoint: bool = True) ->
     every model, period and insight plan reads it instead of recomputing the 18 window columns."""
     if not checkpoint:
         return engineer_features(cleaned_daily(spark, sf_dir, False))
-    key = ("features", spark.sparkContext.applicationId, os.path.abspath(sf_dir), _source_stamp(sf_dir))
+    key = ("features", spark.sparkContext.applicationId, sf_dir, _source_stamp(sf_dir))
     path = _LANDED.get(key)
     if path is not None:
         try:
@@ -92,7 +94,7 @@ _SNAPSHOTS: dict[tuple, object] = {}
 def landed_snapshot(spark: SparkSession, sf_dir: str):
     """Snapshot (max date) of the landed daily table as a DATE literal, computed once per landing."""
     from pyspark.sql import functions as F
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _source_stamp(sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir, _source_stamp(sf_dir))
     if key not in _SNAPSHOTS:
         _SNAPSHOTS[key] = cleaned_daily(spark, sf_dir).agg(F.max("date")).first()[0]
     return F.lit(_SNAPSHOTS[key]).cast("date")
@@ -104,7 +106,7 @@ def landed_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     Like the original, every insight reads the finished forecast table instead
     of re-deriving it from the daily data."""
     from revcast.operators.forecast import forecast
-    key = ("forecast", spark.sparkContext.applicationId, os.path.abspath(sf_dir), _source_stamp(sf_dir))
+    key = ("forecast", spark.sparkContext.applicationId, sf_dir, _source_stamp(sf_dir))
     path = _LANDED.get(key)
     if path is not None:
         try:

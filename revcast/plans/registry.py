@@ -825,8 +825,7 @@ _MODELS: dict = {}
 
 
 def _model_key(spark, sf):
-    import os
-    return (spark.sparkContext.applicationId, os.path.abspath(sf), daily._source_stamp(sf))  # noqa: SLF001
+    return (spark.sparkContext.applicationId, sf, daily._source_stamp(sf))  # noqa: SLF001
 
 
 def _trained(spark, sf):

@@ -8,17 +8,17 @@ once under ``spark.checkpoint.dir`` and shared by all steps.
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revcast.operators.chunked import (
-    HALO, clean_chunked, engineer_features_chunked, max_series_rows, series_limit,
-)
+from revcast.operators.chunked import CHUNK_ROWS, clean_chunked, engineer_features_chunked
+from revcast.constants import GRANULARITIES
 from revcast.operators.clean import clean
 from revcast.operators.features import engineer_features
 from revcast.operators.forecast import forecast, format_forecast
 from revcast.operators.model import (
-    QuantileForest, forest_daily_quantiles, importance_table, train_all,
+    QuantileForest, cross_validate, forest_daily_quantiles, importance_table, train_all, training_metadata,
 )
 from revcast.operators.report import report_lines
 from revcast.plans.daily import materialize
@@ -30,36 +30,35 @@ from revcast.sources.vendors import load_all_channels
 def load_daily(spark: SparkSession, source: str, kind: str = "vendors") -> DataFrame:
     """Engineered daily table from vendor CSV exports (``kind='vendors'``) or the star-schema fixture.
 
-    Vendor data is landed first and its longest (channel, campaign_name) series
-    is measured; series above ``revcast.window.maxSeriesRows`` (e.g. many ids
-    sharing one name) switch the windows to the chunked, skew-safe plan.  The
-    fixture has one row per day per series by construction, so it needs no check.
+    In vendor data many ids may share one name, so a (channel, campaign_name)
+    series has no bound: its windows always take the chunked, skew-safe plan.
+    The fixture has one row per day per series by construction.
     """
     if kind != "vendors":
         return materialize(engineer_features(materialize(clean(ad_daily(spark, source)))), "features", True)
-    raw = materialize(load_all_channels(spark, source), "raw")
-    limit = series_limit(spark)
-    if max_series_rows(raw) <= limit:
-        return materialize(engineer_features(materialize(clean(raw))), "features", True)
-    chunk = max(limit // 2, HALO + 1)
-    cleaned = materialize(clean_chunked(raw, chunk))
-    return materialize(engineer_features_chunked(cleaned, chunk), "features", True)
+    cleaned = materialize(clean_chunked(materialize(load_all_channels(spark, source), "raw"), CHUNK_ROWS))
+    return materialize(engineer_features_chunked(cleaned, CHUNK_ROWS), "features", True)
 
 
-def train(spark: SparkSession, features: DataFrame, model_dir: str, lag: int = 0) -> dict:
-    """Fit and store one quantile forest per granularity; ``lag=1`` trains on the previous
-    row's features (no same-day leakage, D7)."""
+def train(spark: SparkSession, features: DataFrame, model_dir: str, lag: int = 0, evaluate: bool = True) -> dict:
+    """Fit and store one quantile forest per granularity, the training's metadata, and (``evaluate``)
+    the five-fold pinball loss and coverage of each granularity and quantile; ``lag=1`` trains on the
+    previous row's features (no same-day leakage, D7)."""
     models, dictionary = train_all(features, lag=lag)
     for g, m in models.items():
         m.save(os.path.join(model_dir, g))
     dictionary.write.mode("overwrite").parquet(os.path.join(model_dir, "dictionary"))
     sinks.write_importances(importance_table(models), os.path.join(model_dir, "feature_importances"))
+    training_metadata(features).write.mode("overwrite").parquet(os.path.join(model_dir, "metadata"))
+    if evaluate:
+        ev = reduce(DataFrame.unionByName, [cross_validate(features, g, dictionary) for g in GRANULARITIES])
+        ev.write.mode("overwrite").parquet(os.path.join(model_dir, "evaluation"))
     return models
 
 
 def load_models(spark: SparkSession, model_dir: str) -> tuple[dict, DataFrame]:
-    models = {g: QuantileForest.load(spark, os.path.join(model_dir, g))
-              for g in ("channel", "campaign_type", "campaign") if os.path.exists(os.path.join(model_dir, g))}
+    """All models of the store, at any path that Spark reads; a missing one is an error."""
+    models = {g: QuantileForest.load(spark, os.path.join(model_dir, g)) for g in GRANULARITIES}
     return models, spark.read.parquet(os.path.join(model_dir, "dictionary"))
 
 
@@ -67,14 +66,14 @@ def predict(spark: SparkSession, features: DataFrame, out_dir: str, model_dir: s
             multiplier: float = 1.0) -> DataFrame:
     """Forecast table (+ CSV export and text report).  Without a model store the
     empirical-quantile model is used."""
-    dq, imp = None, None
+    dq, imp, meta = None, None, None
     if model_dir:
         models, dictionary = load_models(spark, model_dir)
         dq = forest_daily_quantiles(features, models, dictionary)
         imp = importance_table(models)
+        meta = spark.read.parquet(os.path.join(model_dir, "metadata"))
     fc = materialize(forecast(features, multiplier, daily_quantiles=dq), "forecast")
     sinks.write_forecast(fc, os.path.join(out_dir, "predictions"))
-    if imp is not None:
-        # the report reads the exported (rounded) forecast, as the original does
-        sinks.write_report(report_lines(format_forecast(fc), imp, features), os.path.join(out_dir, "causal_summary"))
+    # the report reads the exported (rounded) forecast, as the original does
+    sinks.write_report(report_lines(format_forecast(fc), imp, features, meta), os.path.join(out_dir, "causal_summary"))
     return fc

@@ -36,12 +36,15 @@ def local_session(cores: str | int = "*", app: str = "revcast", **conf: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) is a scratch folder chosen.
+    Only in local mode may the setting be absent: a scratch folder is chosen
+    then.  On a cluster a folder of the driver's machine would be lost on others.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="revcast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     jsc = spark.sparkContext._jsc  # noqa: SLF001 - public getter has no Python wrapper

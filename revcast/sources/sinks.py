@@ -45,9 +45,8 @@ def write_importances(imp: DataFrame, path: str) -> None:
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """Report lines in (section, ord) order as text."""
-    order = ["section", "ord", "key"] if "key" in lines.columns else ["section", "ord"]
-    lines.orderBy(*order).select("line").write.mode("overwrite").text(path)
+    """Report lines in the order of their sort keys as text."""
+    lines.orderBy(*[c for c in lines.columns if c != "line"]).select("line").write.mode("overwrite").text(path)
 
 
 def json_clean(df: DataFrame) -> DataFrame:

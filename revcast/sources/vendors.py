@@ -1,17 +1,21 @@
 """Vendor export scans (S1-S5) with normalisation to the unified schema.
 
-Each vendor's files are read with ``header=true`` and no inference (every
-column is text), then projected *by name* with explicit ANSI casts: bad
-numbers fail the job like a strict cast would, column order in the file does
-not matter and extra columns (an unnamed index) are ignored.  Files are routed
-by a case-insensitive substring of the file name, first match of
-google / bing / meta wins; other files are skipped.
+The files of a folder are read as lines, distributed, with the file each line is from. The lines
+that name all columns of a vendor's layout are headers; each file's rows are parsed by its own
+header and then projected *by name* with explicit ANSI casts. So files of one vendor may differ in
+column order or have extra columns (an unnamed index), bad numbers and dates fail the job like a
+strict cast would, and only the distinct headers reach the driver. The vendor is a column expression
+on the file name: the first of google / bing / meta that it contains, in either case; other files
+are skipped.
+
+A quoted field may hold commas and doubled quotes, but no line break.
 """
 
 from __future__ import annotations
 
-import os
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +25,24 @@ from revcast.functions.expr import map_campaign_type, meta_prefix_type, nan_to_n
 # Accepted date layouts, tried in order.
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "M/d/yyyy", "yyyyMMdd"]
 
+# Columns that each vendor's export must name in its header.
+LAYOUTS = {
+    "google": ["segments_date", "campaign_advertising_channel_type", "campaign_name", "campaign_id", "metrics_conversions_value",
+               "metrics_cost_micros", "metrics_clicks", "metrics_impressions", "metrics_conversions", "campaign_budget_amount"],
+    "bing": ["TimePeriod", "CampaignType", "CampaignName", "CampaignId", "Revenue", "Spend", "Clicks", "Impressions", "Conversions", "DailyBudget"],
+    "meta": ["date_start", "campaign_name", "campaign_id", "conversion", "spend", "clicks", "impressions", "daily_budget"],
+}
+
 
 class NoInputError(RuntimeError):
     pass
 
 
 def parse_date(c: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("date") for f in DATE_FORMATS])
+    """The date of a text in one of DATE_FORMATS; null for null or blank, an error for any other text."""
+    parsed = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("date") for f in DATE_FORMATS])
+    bad = parsed.isNull() & (F.trim(c) != "")
+    return F.when(bad, F.raise_error(F.concat(F.lit("not a date: "), c)).cast("date")).otherwise(parsed)
 
 
 def _double(c: str) -> Column:
@@ -82,55 +97,51 @@ def normalise_meta(raw: DataFrame) -> DataFrame:
 NORMALISERS = {"google": normalise_google, "bing": normalise_bing, "meta": normalise_meta}
 
 
-def detect_channel(file_name: str) -> str | None:
-    lower = file_name.lower()
-    for ch in K.CHANNELS:
-        if ch in lower:
-            return ch
-    return None
-
+def channel_of(file_name: Column) -> Column:
+    """The vendor a file name tells of, null for other files."""
+    name = F.lower(file_name)
+    return F.coalesce(*[F.when(name.contains(ch), F.lit(ch)) for ch in K.CHANNELS])
 
-def list_csv(spark: SparkSession, data_dir: str) -> list[str]:
-    """File paths only (the binaryFile source reads no content when it is not selected)."""
-    try:
-        files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
-                 .option("recursiveFileLookup", "false").load(data_dir).select("path"))
-        return sorted(r["path"] for r in files.collect())     # a directory listing, not data
-    except Exception as e:  # noqa: BLE001 - missing directory
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return []
-        raise
 
+def _cells(line: Column) -> Column:
+    """A header line's column names."""
+    return F.transform(F.split(F.ltrim(line, F.lit("\ufeff")), ","), lambda x: F.trim(F.btrim(F.trim(x), F.lit('"'))))
 
-def route_files(paths: list[str]) -> dict[str, list[str]]:
-    routed: dict[str, list[str]] = {}
-    for p in paths:
-        ch = detect_channel(os.path.basename(p))
-        if ch is not None:
-            routed.setdefault(ch, []).append(p)
-    return routed
 
-
-def read_vendor(spark: SparkSession, channel: str, paths: list[str]) -> DataFrame:
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(paths)
-    return NORMALISERS[channel](raw)
+def vendor_lines(spark: SparkSession, data_dir: str) -> DataFrame:
+    """(file, channel, line, header) of the recognised CSV files: header is true for a line that
+    names all columns of its vendor's layout."""
+    try:
+        lines = spark.read.option("pathGlobFilter", "*.csv").text(data_dir)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise NoInputError(f"{data_dir} does not exist") from e
+        raise
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), channel_of(F.col("_metadata.file_name")).alias("channel"), F.col("value").alias("line"))
+    named = [(F.col("channel") == ch) & (F.size(F.array_intersect(_cells(F.col("line")), F.lit(cols))) == len(cols)) for ch, cols in LAYOUTS.items()]
+    return (lines.where(F.col("channel").isNotNull() & (F.trim("line") != ""))
+            .withColumn("header", reduce(lambda a, b: a | b, named)))
 
 
 def load_all_channels(spark: SparkSession, data_dir: str) -> DataFrame:
     """Union of every recognised vendor file in the fixed unified column order."""
-    paths = list_csv(spark, data_dir)
-    if not paths:
-        raise NoInputError(f"No CSV files found in {data_dir}")
-    routed = route_files(paths)
-    if not routed:
-        raise NoInputError("No recognized channel files found. Expected filenames containing "
-                           "'google', 'bing', or 'meta'.")
-    out = None
-    for ch in K.CHANNELS:
-        if ch in routed:
-            df = read_vendor(spark, ch, routed[ch])
-            out = df if out is None else out.unionByName(df)
-    return out.select(*K.UNIFIED_COLUMNS)
+    lines = vendor_lines(spark, data_dir)
+    heads = lines.where("header").groupBy("file", "channel").agg(F.min("line").alias("head"))
+    layouts = heads.select("channel", "head").distinct().orderBy("channel", "head").collect()     # distinct headers, not files
+    bare = lines.join(heads, "file", "left_anti").select("file").distinct().limit(3).collect()
+    if bare:
+        raise ValueError("no line names the vendor's columns in " + ", ".join(r["file"] for r in bare))
+    if not layouts:
+        raise NoInputError(f"{data_dir} holds no CSV file of {', '.join(K.CHANNELS)}")
+    rows = lines.where(~F.col("header")).join(heads.select("file", "head"), "file")
+    parts = []
+    for channel, head in layouts:
+        names = [c.strip().strip('"').strip() for c in head.lstrip("\ufeff").split(",")]
+        fields = [c if c in LAYOUTS[channel] and c not in names[:i] else f"_extra_{i}" for i, c in enumerate(names)]
+        raw = rows.where((F.col("channel") == channel) & (F.col("head") == head)).select(
+            F.inline(F.array(F.from_csv("line", ", ".join(f"`{c}` string" for c in fields)))))
+        parts.append(NORMALISERS[channel](raw).select(*K.UNIFIED_COLUMNS))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def source_profile(unified: DataFrame) -> DataFrame:

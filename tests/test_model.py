@@ -30,23 +30,6 @@ def test_feature_counts_per_granularity(features_small):
     assert counts == [35, 36, 37]
 
 
-def test_streaming_ingest_available_now(spark):
-    from revcast.streaming.ingest import ingest_all
-    root = tempfile.mkdtemp(prefix="revcast-stream-")
-    os.makedirs(os.path.join(root, "bing"))
-    with open(os.path.join(root, "bing", "day1.csv"), "w") as f:
-        f.write("TimePeriod,CampaignType,CampaignName,CampaignId,Revenue,Spend,Clicks,Impressions,Conversions,"
-                "DailyBudget\n2024-01-01,Search,B1,1,10,5,3,30,1,20\n2024-01-02,Audience,B1,1,0,0,0,0,0,\n")
-    table = os.path.join(root, "table")
-    ingest_all(spark, root, table)
-    out = spark.read.parquet(table)
-    assert out.count() == 2
-    assert {r["campaign_type"] for r in out.collect()} == {"SEARCH", "AUDIENCE"}
-    # a second run with no new files appends nothing (exactly-once via the checkpoint)
-    ingest_all(spark, root, table)
-    assert spark.read.parquet(table).count() == 2
-
-
 def test_forest_cross_validation(features_small):
     d = fit_dictionary(features_small)
     ev = mo.cross_validate(features_small, "channel", d, params={"numTrees": 3}).collect()

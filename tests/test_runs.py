@@ -1,6 +1,8 @@
 import os
 import tempfile
 
+import pytest
+
 from tests.conftest import SF0001
 
 
@@ -11,6 +13,12 @@ def test_train_then_predict_end_to_end(spark):
     base = tempfile.mkdtemp(prefix="revcast-run-")
     models = runs.train(spark, feats, os.path.join(base, "models"))
     assert set(models) == {"channel", "campaign_type", "campaign"}
+    ev = spark.read.parquet(os.path.join(base, "models", "evaluation")).collect()
+    assert {(r["granularity"], r["fold"], r["quantile"]) for r in ev} == {(g, k, q) for g in models for k in range(5) for q in (0.1, 0.5, 0.9)}
+    uri, _ = runs.load_models(spark, "file://" + os.path.join(base, "models"))
+    assert set(uri) == set(models)
+    with pytest.raises(Exception):
+        runs.load_models(spark, os.path.join(base, "nowhere"))
     fc = runs.predict(spark, feats, os.path.join(base, "out"), os.path.join(base, "models"))
     exported = read_forecast(spark, os.path.join(base, "out", "predictions"))
     assert exported.count() == fc.count() > 0

@@ -3,6 +3,8 @@ import tempfile
 
 import pytest
 
+from pyspark.errors import PySparkException
+
 from revcast.sources.vendors import NoInputError, load_all_channels
 
 GOOGLE = """,segments_date,campaign_advertising_channel_type,campaign_name,campaign_id,metrics_conversions_value,metrics_cost_micros,metrics_clicks,metrics_impressions,metrics_conversions,campaign_budget_amount
@@ -53,3 +55,28 @@ def test_missing_inputs(spark):
     write(empty, "other.csv", "a\n1\n")
     with pytest.raises(NoInputError):
         load_all_channels(spark, empty)
+
+
+def test_two_files_of_a_vendor_with_other_columns(spark):
+    d = tempfile.mkdtemp(prefix="revcast-two-")
+    write(d, "bing_1.csv", BING)
+    write(d, "BING_2.csv", "\ufeffidx,Spend,Revenue,TimePeriod,CampaignType,\"CampaignName\",CampaignId,Clicks,Impressions,Conversions,DailyBudget,Note\n"
+          "7,5,10,1/2/2024,Search,\"B, three\",23,4,40,1,,x\n")
+    rows = {r["campaign_name"]: r for r in load_all_channels(spark, "file://" + d).collect()}
+    assert set(rows) == {"B1", "B2", "B, three"}
+    r = rows["B, three"]
+    assert (str(r["date"]), r["revenue"], r["spend"], r["clicks"], r["daily_budget"]) == ("2024-01-02", 10.0, 5.0, 4, None)
+    assert (rows["B1"]["revenue"], rows["B1"]["spend"]) == (10.0, 5.0)
+
+
+def test_bad_date_and_missing_column_raise(spark):
+    d = tempfile.mkdtemp(prefix="revcast-bad-")
+    write(d, "bing.csv", BING.replace("2024-01-01,Display", "soon,Display"))
+    with pytest.raises(PySparkException):
+        load_all_channels(spark, d).collect()
+    d = tempfile.mkdtemp(prefix="revcast-short-")
+    write(d, "bing.csv", BING.replace("Revenue", "Income"))
+    with pytest.raises(ValueError):
+        load_all_channels(spark, d)
+    with pytest.raises(NoInputError):
+        load_all_channels(spark, d + "/nowhere")
