@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from revcast.session import ensure_checkpoint_dir
 
 #: Bytes of text that a numpy pass handles at once (a longer text is one pass).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: At most so many texts in a pass, so that a text's number fits 16 bits.
 CHUNK_TEXTS = 60_000
 
@@ -173,8 +173,8 @@ def by_text_and_value(value: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 # ------------------------------------------------------------------ packed exchange
-#: Triples gathered before they are packed.
-FLUSH = 1_000_000
+#: Triples gathered before they are packed, and about how many of a bucket are handled at once.
+FLUSH = 500_000
 PACKED = "bucket int, kind int, keys binary, docs binary, spots binary, more binary"
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("spots", pa.binary()), ("more", pa.binary())])
 
@@ -204,22 +204,32 @@ def pack(keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, buckets: int, ki
 
 
 def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, tuple[np.ndarray, ...]]]:
-    """Of rows sorted by bucket, each bucket's columns (keys, docs, spots, more) by kind."""
+    """Of rows sorted by bucket, each bucket's columns (keys, docs, spots, more) by kind, in parts of
+    about FLUSH triples; equal keys are in one part."""
     now, held = None, {}
 
-    def whole():
-        return {k: tuple(np.frombuffer(b"".join(blobs), t) for blobs, t in zip(zip(*rows), (np.uint64, np.int64, np.int32, np.int64))) for k, rows in held.items()}
+    def parts():
+        whole = {}
+        for k in list(held):
+            whole[k] = tuple(np.frombuffer(b"".join(blobs), t) for blobs, t in zip(zip(*held.pop(k)), (np.uint64, np.int64, np.int32, np.int64)))
+        n = sum(len(columns[0]) for columns in whole.values()) // FLUSH + 1
+        if n == 1:
+            yield whole
+            return
+        part_of = {k: (columns[0] >> np.uint64(16)) % np.uint64(n) for k, columns in whole.items()}
+        for i in range(n):
+            picks = {k: np.flatnonzero(part == i) for k, part in part_of.items()}
+            yield {k: tuple(c[picks[k]] if len(c) else c for c in columns) for k, columns in whole.items() if len(picks[k])}
 
     for batch in batches:
         cols = [batch.column(c).to_pylist() for c in ("bucket", "kind", "keys", "docs", "spots", "more")]
         for bucket, kind, *blobs in zip(*cols):
             if bucket != now and held:
-                yield whole()
-                held = {}
+                yield from parts()
             now = bucket
             held.setdefault(kind, []).append(blobs)
     if held:
-        yield whole()
+        yield from parts()
 
 
 def meet(packed: DataFrame) -> DataFrame:
