@@ -51,3 +51,10 @@ def budgets_to_multiplier(fc: DataFrame, budgets: dict[str, float], horizon: int
     base_total = rows_at(fc, "channel", horizon).select(F.sum("projected_spend")).scalar()
     return fc.sparkSession.range(1).select(
         F.when(base_total > 0, F.lit(total_new) / base_total).otherwise(F.lit(1.0)).alias("budget_multiplier"))
+
+
+def edited_budgets_multiplier(fc: DataFrame, budgets: DataFrame, horizon: int = 30) -> DataFrame:
+    """``budgets_to_multiplier`` for a table (channel, budget)."""
+    base_total = rows_at(fc, "channel", horizon).select(F.sum("projected_spend")).scalar()
+    return budgets.agg(F.sum("budget").alias("total")).select(
+        F.when(base_total > 0, F.col("total") / base_total).otherwise(F.lit(1.0)).alias("budget_multiplier"))

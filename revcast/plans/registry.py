@@ -323,6 +323,23 @@ def q_campaign_type_map(spark, sf):
              .select("style", "raw_type", "mapped_type", "rows"))
 
 
+_PREFIXED_SQL = """prefixed AS (
+  SELECT (CASE month(date) % 5 WHEN 0 THEN 'Generic_' WHEN 1 THEN 'Prospecting_' WHEN 2 THEN 'Remarketing_' WHEN 3 THEN 'generic_' ELSE '' END)
+    || campaign_name AS campaign_name FROM ad_daily)"""
+
+
+@register("name_prefix_varied", O.with_ctes(O.AD_DAILY, _PREFIXED_SQL) + """
+SELECT campaign_name, CASE split_part(campaign_name, '_', 1) WHEN 'Generic' THEN 'GENERIC'
+  WHEN 'Prospecting' THEN 'PROSPECTING' WHEN 'Remarketing' THEN 'REMARKETING' ELSE 'OTHER' END AS inferred_type,
+  CAST(count(*) AS BIGINT) AS rows
+FROM prefixed GROUP BY campaign_name""")
+def q_name_prefix_varied(spark, sf):
+    """P2 on names that begin with each prefix, by month."""
+    prefix = F.element_at(F.lit(["Generic_", "Prospecting_", "Remarketing_", "generic_", ""]), F.month("date") % 5 + 1)
+    return (daily.raw_daily(spark, sf).select(F.concat(prefix, "campaign_name").alias("campaign_name")).groupBy("campaign_name").agg(F.count(F.lit(1)).alias("rows"))
+            .select("campaign_name", meta_prefix_type(F.col("campaign_name")).alias("inferred_type"), "rows"))
+
+
 @register("name_prefix_type", O.with_ctes(O.AD_DAILY) + """
 SELECT campaign_name, CASE split_part(campaign_name, '_', 1) WHEN 'Generic' THEN 'GENERIC'
   WHEN 'Prospecting' THEN 'PROSPECTING' WHEN 'Remarketing' THEN 'REMARKETING' ELSE 'OTHER' END AS inferred_type,
@@ -377,7 +394,11 @@ def _fc(spark, sf):
     return daily.landed_forecast(spark, sf)
 
 
+BODIES: dict[str, tuple[dict, list[str], str]] = {}
+
+
 def _insight(name: str, fn, spec: dict, cols: list[str], body_sql: str, extra_ctes: tuple = ()):
+    BODIES[name] = (spec, cols, body_sql)
     sql = O.with_ctes(*O.forecast_stack(), *extra_ctes) + f"\nSELECT {sql_select(spec, cols)} FROM ({body_sql}) t"
 
     def run(spark, sf):
@@ -447,10 +468,10 @@ CONTRIB_COLS = ["forecast_horizon", "channel", "channel_display", "campaign_type
                 "revenue_p50", "revenue_p90", "roas_p10", "roas_p90", "contribution_pct", "low_confidence", "status"]
 CONTRIB_SPEC = {"forecast_horizon": "int", "campaigns": "int", "revenue_p10": "mean", "revenue_p50": "mean",
                 "revenue_p90": "mean", "roas_p10": "ratio", "roas_p90": "ratio", "contribution_pct": "ratio"}
-_insight("contribution_table",
-         lambda sp, sf: ins.contribution_table(_fc(sp, sf), daily.cleaned_daily(sp, sf), 30),
-         CONTRIB_SPEC, CONTRIB_COLS,
-         f"""SELECT t.forecast_horizon, t.channel, {_DISPLAY_SQL.format(c="t.channel")} AS channel_display,
+
+
+def _contribution_sql(h: int) -> str:
+    return f"""SELECT t.forecast_horizon, t.channel, {_DISPLAY_SQL.format(c="t.channel")} AS channel_display,
                t.campaign_type, coalesce(c.n, 0) AS campaigns, t.revenue_p10, t.revenue_p50, t.revenue_p90,
                t.roas_p10, t.roas_p90,
                CASE WHEN sum(t.revenue_p50) OVER (PARTITION BY t.forecast_horizon) > 0
@@ -458,12 +479,17 @@ _insight("contribution_table",
                     ELSE 0.0 END AS contribution_pct,
                t.low_confidence, 'Active' AS status
              FROM fcast t LEFT JOIN (SELECT channel, campaign_type, count(*) AS n FROM fcast
-                                     WHERE granularity = 'campaign' AND forecast_horizon = 30 GROUP BY 1, 2) c
+                                     WHERE granularity = 'campaign' AND forecast_horizon = {h} GROUP BY 1, 2) c
                ON t.channel = c.channel AND t.campaign_type = c.campaign_type
-             WHERE t.granularity = 'campaign_type' AND t.forecast_horizon = 30
+             WHERE t.granularity = 'campaign_type' AND t.forecast_horizon = {h}
              UNION ALL
              SELECT forecast_horizon, channel, channel_display, campaign_type, campaigns, NULL, NULL, NULL, NULL,
-               NULL, NULL, NULL, status FROM ({_paused_sql(30)}) p""", (PAUSED_HIST,))
+               NULL, NULL, NULL, status FROM ({_paused_sql(h)}) p"""
+
+
+for _h, _name in ((30, "contribution_table"), (60, "contribution_table_60"), (90, "contribution_table_90")):
+    _insight(_name, (lambda h: lambda sp, sf: ins.contribution_table(_fc(sp, sf), daily.cleaned_daily(sp, sf), h))(_h),
+             CONTRIB_SPEC, CONTRIB_COLS, _contribution_sql(_h), (PAUSED_HIST,))
 
 _insight("contribution_totals", lambda sp, sf: ins.contribution_totals(_fc(sp, sf)),
          {"forecast_horizon": "int", "total_p10": "mean", "total_p90": "mean", "total_spend": "mean",
@@ -708,6 +734,28 @@ def q_label_encode_apply(spark, sf):
     return out.select("date", "campaign_id", *[F.col(c).cast("bigint").alias(c) for c in K.CATEGORICAL_COLS])
 
 
+SEEN_SQL = """seen AS (SELECT * FROM features WHERE channel <> 'meta' AND month <> 6),
+seen_dict AS (
+  SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY value) - 1 AS idx FROM (
+    SELECT DISTINCT 'channel' AS column_name, channel AS value FROM seen UNION SELECT DISTINCT 'campaign_type', campaign_type FROM seen
+    UNION SELECT DISTINCT 'campaign_name', campaign_name FROM seen
+    UNION SELECT * FROM (VALUES ('channel', '__UNSEEN__'), ('campaign_type', '__UNSEEN__'), ('campaign_name', '__UNSEEN__')) u(c, v)) x)"""
+
+
+@register("label_encode_unseen", O.with_ctes(*O.feature_stack(), SEEN_SQL) + """
+SELECT f.date, f.campaign_id, f.channel AS channel_name, CAST(coalesce(c.idx, cu.idx) AS BIGINT) AS channel,
+  CAST(coalesce(t.idx, tu.idx) AS BIGINT) AS campaign_type, CAST(coalesce(n.idx, nu.idx) AS BIGINT) AS campaign_name
+FROM features f
+LEFT JOIN seen_dict c ON c.column_name = 'channel' AND c.value = f.channel JOIN seen_dict cu ON cu.column_name = 'channel' AND cu.value = '__UNSEEN__'
+LEFT JOIN seen_dict t ON t.column_name = 'campaign_type' AND t.value = f.campaign_type JOIN seen_dict tu ON tu.column_name = 'campaign_type' AND tu.value = '__UNSEEN__'
+LEFT JOIN seen_dict n ON n.column_name = 'campaign_name' AND n.value = f.campaign_name JOIN seen_dict nu ON nu.column_name = 'campaign_name' AND nu.value = '__UNSEEN__'""")
+def q_label_encode_unseen(spark, sf):
+    """J1/J2 with a dictionary that has not seen one channel (and whatever stands in June only)."""
+    f = daily.feature_daily(spark, sf)
+    out = en.encode(f.withColumn("channel_name", F.col("channel")), en.fit_dictionary(f.where("channel <> 'meta' AND month <> 6")))
+    return out.select("date", "campaign_id", "channel_name", *[F.col(c).cast("bigint").alias(c) for c in K.CATEGORICAL_COLS])
+
+
 MATRIX_FEATURES = ["channel", "campaign_type", "campaign_name", "spend", "clicks", "impressions", "daily_budget",
                    *_ROLL_MEANS]
 MATRIX_SPEC = {"channel": "int", "campaign_type": "int", "campaign_name": "int", "spend": "money",
@@ -868,18 +916,6 @@ def q_feature_importances(spark, sf):
     return _campaign_importances(spark, sf)
 
 
-@register("top_features", None)
-def q_top_features(spark, sf):
-    """O2 / W6 on the model's importances."""
-    return imp_ops.top_features(_campaign_importances(spark, sf))
-
-
-@register("drivers", None)
-def q_drivers(spark, sf):
-    """Top-10 drivers with explanations and narrative flags."""
-    return imp_ops.drivers(_campaign_importances(spark, sf))
-
-
 def _explain_sql_long(x: str) -> str:
     exact = " ".join(f"WHEN {x} = '{k}' THEN '{v}'" for k, v in K.FEATURE_EXPLANATIONS.items())
     w = f"split_part({x}, '_', 3)"
@@ -908,17 +944,46 @@ def _explain_sql_short(x: str) -> str:
       ELSE 'Model feature' END"""
 
 
-# The oracle lists the feature names of the campaign-level matrix (a schema fact);
-# the Spark side takes them from the fitted model's importance table.
-@register("feature_explain", "SELECT feature, " + _explain_sql_long("feature") + " AS explanation, "
-          + _explain_sql_short("feature") + " AS short_explanation FROM (VALUES "
-          + ", ".join(f"('{n}')" for n in MATRIX_FEATURES) + ") t(feature)")
-def q_feature_explain(spark, sf):
-    names = _campaign_importances(spark, sf).select("feature").distinct()
-    return imp_ops.explain_names(names)
+# ---------------------------------------------------------------- importances from the data
+# A deterministic importance table: each numeric feature's absolute correlation with revenue.
+CORR_FEATURES = ["spend", "clicks", "impressions", "daily_budget", *_ROLL_MEANS]
+CORR_SQL = ("corrs AS (SELECT feature, importance FROM (SELECT "
+            + ", ".join(f"coalesce(round(abs(corr({c}, revenue)), 6), 0.0) AS {c}" for c in CORR_FEATURES)
+            + " FROM features) UNPIVOT (importance FOR feature IN (" + ", ".join(CORR_FEATURES) + ")))")
+RANKED_SQL = """ranked AS (
+  SELECT feature, importance, row_number() OVER (ORDER BY importance DESC, feature) AS rank,
+    CASE WHEN sum(importance) OVER () > 0 THEN importance / sum(importance) OVER () * 100 ELSE 0.0 END AS pct_of_all FROM corrs)"""
+IMP_SPEC = {"rank": "int", "importance": "roll", "pct_of_all": "ratio", "pct_of_top": "ratio"}
+
+
+def _correlation_importances(spark, sf):
+    f = daily.feature_daily(spark, sf)
+    one = f.agg(*[F.coalesce(F.round(F.abs(F.corr(F.col(c).cast("double"), F.col("revenue"))), 6), F.lit(0.0)).alias(c) for c in CORR_FEATURES])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in CORR_FEATURES])
+    return one.select(F.inline(rows)).select(F.lit("campaign").alias("granularity"), F.lit(0.5).alias("quantile"), "feature", "importance")
+
+
+def _importance_query(name: str, fn, cols: list[str], body: str):
+    sql = O.with_ctes(*O.feature_stack(), CORR_SQL, RANKED_SQL) + f"\nSELECT {sql_select(IMP_SPEC, cols)} FROM ({body}) t"
+    REGISTRY[name] = Query(lambda sp, sf: present(fn(_correlation_importances(sp, sf)).select(*cols), IMP_SPEC), sql)
+
 
+def _top_sql(n: int, explained: str) -> str:
+    return f"""SELECT *, importance / sum(importance) OVER () * 100 AS pct_of_top, {explained} AS explanation
+      FROM ranked WHERE rank <= {n}"""
 
 
+_TOP_COLS = ["rank", "feature", "importance", "pct_of_all", "pct_of_top", "explanation"]
+_importance_query("importance_rank", imp_ops.ranked, ["rank", "feature", "importance", "pct_of_all"], "SELECT * FROM ranked")
+_importance_query("top_features", imp_ops.top_features, _TOP_COLS, _top_sql(10, _explain_sql_long("feature")))
+_importance_query("top_features_15", lambda i: imp_ops.top_features(i, n=15, short=True), _TOP_COLS, _top_sql(15, _explain_sql_short("feature")))
+_importance_query("drivers", imp_ops.drivers, [*_TOP_COLS, "roas_driven", "spend_driven", "rolling_driven"],
+                  f"""SELECT *, (SELECT bool_or(feature IN ('roas', 'roas_roll_7d_mean')) FROM ranked WHERE rank <= 3) AS roas_driven,
+      (SELECT bool_or(feature = 'spend') FROM ranked WHERE rank <= 3) AS spend_driven,
+      (SELECT bool_or(feature LIKE '%roll%') FROM ranked WHERE rank <= 3) AS rolling_driven FROM ({_top_sql(10, _explain_sql_long("feature"))})""")
+_importance_query("feature_explain", lambda i: imp_ops.explain_names(i, "feature").join(i, "feature"), ["feature", "importance", "explanation", "short_explanation"],
+                  f"SELECT feature, importance, {_explain_sql_long('feature')} AS explanation, {_explain_sql_short('feature')} AS short_explanation FROM corrs")
+
 
 # ---------------------------------------------------------------- sinks / report
 from revcast.operators import report as rep  # noqa: E402
@@ -936,8 +1001,65 @@ def q_json_clean(spark, sf):
     return present(sk.json_clean(_fc(spark, sf)).drop("record_json"), FORECAST_SPEC)
 
 
+@register("json_records", O.with_ctes(*O.forecast_stack()) + """
+SELECT CAST(forecast_horizon AS BIGINT) AS forecast_horizon, granularity, channel, campaign_type, campaign_name,
+  CAST(to_json({'forecast_horizon': forecast_horizon, 'granularity': granularity, 'channel': channel, 'campaign_type': campaign_type,
+    'campaign_name': campaign_name, 'shaky': shaky, 'days': days}) AS VARCHAR) AS record_json
+FROM (SELECT *, CASE channel WHEN 'google' THEN 0.0::DOUBLE WHEN 'bing' THEN 0.0::DOUBLE WHEN 'meta' THEN 0.0::DOUBLE ELSE 0.0::DOUBLE END AS shaky,
+        CASE WHEN channel = 'bing' THEN 0 ELSE days_in_window END AS days FROM fcast) t""")
+def q_json_records(spark, sf):
+    """S12 with its text: a column of NaN, both infinities and NULL, and NULL integers, become 0 in the JSON."""
+    f = _fc(spark, sf)
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    shaky = F.when(F.col("channel") == "google", nan).when(F.col("channel") == "bing", inf).when(F.col("granularity") == "channel", -inf)
+    rows = f.select(F.col("forecast_horizon").cast("bigint").alias("forecast_horizon"), "granularity", "channel", "campaign_type", "campaign_name",
+                    shaky.alias("shaky"), F.when(F.col("channel") != "bing", F.col("days_in_window").cast("bigint")).alias("days"))
+    return sk.json_clean(rows).drop("shaky", "days")
+
+
+# ---------------------------------------------------------------- insights where every branch fires
+# The forecast with some slices scaled or zeroed (the same on both sides).
+VARIED_SQL = """vcast AS (SELECT * REPLACE (
+    CASE WHEN granularity = 'campaign' AND ascii(right(campaign_name, 1)) % 3 = 2 THEN 0.0 ELSE revenue_p10 END AS revenue_p10,
+    CASE WHEN granularity = 'campaign' AND ascii(right(campaign_name, 1)) % 3 = 2 THEN 0.0 WHEN forecast_horizon = 90 THEN revenue_p50 * 1.3 ELSE revenue_p50 END AS revenue_p50,
+    CASE channel WHEN 'google' THEN roas_p50 * 4 WHEN 'bing' THEN roas_p50 * 0.2 ELSE roas_p50 END AS roas_p50,
+    CASE channel WHEN 'google' THEN projected_spend * 10 ELSE projected_spend END AS projected_spend,
+    CASE channel WHEN 'bing' THEN historical_daily_revenue * 2 WHEN 'meta' THEN historical_daily_revenue * 0.5 ELSE historical_daily_revenue END AS historical_daily_revenue)
+  FROM fcast)"""
+
+
+def _varied(f: DataFrame) -> DataFrame:
+    zero = (F.col("granularity") == "campaign") & (F.ascii(F.right("campaign_name", F.lit(1))) % 3 == 2)
+    by = lambda col, google=1.0, bing=1.0, meta=1.0: F.when(F.col("channel") == "google", F.col(col) * google).when(
+        F.col("channel") == "bing", F.col(col) * bing).when(F.col("channel") == "meta", F.col(col) * meta).otherwise(F.col(col))
+    return f.withColumns({
+        "revenue_p10": F.when(zero, F.lit(0.0)).otherwise(F.col("revenue_p10")),
+        "revenue_p50": F.when(zero, F.lit(0.0)).when(F.col("forecast_horizon") == 90, F.col("revenue_p50") * 1.3).otherwise(F.col("revenue_p50")),
+        "roas_p50": by("roas_p50", google=4.0, bing=0.2), "projected_spend": by("projected_spend", google=10.0),
+        "historical_daily_revenue": by("historical_daily_revenue", bing=2.0, meta=0.5)})
+
+
+for _name, _op in (("zero_revenue", ins.zero_revenue), ("wasted_spend", ins.wasted_spend), ("recommendations", ins.recommendations),
+                   ("budget_concentration", ins.budget_concentration), ("channel_analysis", ins.channel_analysis), ("type_analysis", ins.type_analysis),
+                   ("horizon_trend", ins.horizon_trend), ("budget_efficiency", ins.budget_efficiency), ("baseline_anomaly", ins.baseline_anomaly),
+                   ("high_uncertainty", ins.high_uncertainty)):
+    _spec, _cols, _body = BODIES[_name]
+    _insight(f"{_name}_varied", (lambda op: lambda sp, sf: op(_varied(_fc(sp, sf))))(_op), _spec, _cols, _body.replace("fcast", "vcast"), (VARIED_SQL,))
+
+
+@register("budget_multiplier", O.with_ctes(*O.forecast_stack()) + """
+SELECT round(sum(projected_spend * CASE channel WHEN 'google' THEN 1.25 WHEN 'bing' THEN 0.5 ELSE 1.0 END) / sum(projected_spend) + 1e-9, 4) AS budget_multiplier
+FROM fcast WHERE granularity = 'channel' AND forecast_horizon = 30""")
+def q_budget_multiplier(spark, sf):
+    """The factor of budgets edited by channel (a table) to the base."""
+    base = _fc(spark, sf)
+    factor = F.when(F.col("channel") == "google", 1.25).when(F.col("channel") == "bing", 0.5).otherwise(1.0)
+    edited = ins.rows_at(base, "channel", 30).select("channel", (F.col("projected_spend") * factor).alias("budget"))
+    return sc.edited_budgets_multiplier(base, edited).select(F.round(F.col("budget_multiplier") + 1e-9, 4).alias("budget_multiplier"))
+
+
 def _report_inputs(spark, sf):
-    return daily.landed_forecast(spark, sf), _campaign_importances(spark, sf), daily.feature_daily(spark, sf)
+    return daily.landed_forecast(spark, sf), _correlation_importances(spark, sf), daily.feature_daily(spark, sf)
 
 
 @register("report_lines", None)
