@@ -1020,8 +1020,8 @@ def q_json_records(spark, sf):
 # ---------------------------------------------------------------- insights where every branch fires
 # The forecast with some slices scaled or zeroed (the same on both sides).
 VARIED_SQL = """vcast AS (SELECT * REPLACE (
-    CASE WHEN granularity = 'campaign' AND ascii(right(campaign_name, 1)) % 3 = 2 THEN 0.0 ELSE revenue_p10 END AS revenue_p10,
-    CASE WHEN granularity = 'campaign' AND ascii(right(campaign_name, 1)) % 3 = 2 THEN 0.0 WHEN forecast_horizon = 90 THEN revenue_p50 * 1.3 ELSE revenue_p50 END AS revenue_p50,
+    CASE WHEN granularity = 'campaign' AND length(campaign_name) % 3 = 0 THEN 0.0 ELSE revenue_p10 END AS revenue_p10,
+    CASE WHEN granularity = 'campaign' AND length(campaign_name) % 3 = 0 THEN 0.0 WHEN forecast_horizon = 90 THEN revenue_p50 * 1.3 ELSE revenue_p50 END AS revenue_p50,
     CASE channel WHEN 'google' THEN roas_p50 * 4 WHEN 'bing' THEN roas_p50 * 0.2 ELSE roas_p50 END AS roas_p50,
     CASE channel WHEN 'google' THEN projected_spend * 10 ELSE projected_spend END AS projected_spend,
     CASE channel WHEN 'bing' THEN historical_daily_revenue * 2 WHEN 'meta' THEN historical_daily_revenue * 0.5 ELSE historical_daily_revenue END AS historical_daily_revenue)
@@ -1029,7 +1029,7 @@ VARIED_SQL = """vcast AS (SELECT * REPLACE (
 
 
 def _varied(f: DataFrame) -> DataFrame:
-    zero = (F.col("granularity") == "campaign") & (F.ascii(F.right("campaign_name", F.lit(1))) % 3 == 2)
+    zero = (F.col("granularity") == "campaign") & (F.length("campaign_name") % 3 == 0)
     by = lambda col, google=1.0, bing=1.0, meta=1.0: F.when(F.col("channel") == "google", F.col(col) * google).when(
         F.col("channel") == "bing", F.col(col) * bing).when(F.col("channel") == "meta", F.col(col) * meta).otherwise(F.col(col))
     return f.withColumns({
