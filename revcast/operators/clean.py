@@ -55,22 +55,12 @@ def drop_zero_activity(df: DataFrame) -> DataFrame:
     return df.where(~zero_activity(df))
 
 
-def window_partitions(spark) -> int:
-    """Partitions for the per-campaign window stages: two waves over the cluster's cores
-    (``revcast.window.partitions`` overrides)."""
-    conf = spark.conf.get("revcast.window.partitions", None)
-    return int(conf) if conf else max(2 * spark.sparkContext.defaultParallelism, 1)
-
-
 def by_campaign(df: DataFrame) -> DataFrame:
-    """Hash-partition by campaign for the window stages.
+    """Hash-partition by campaign for the window stages; every later per-campaign window reuses it.
 
-    The windows are CPU-heavy (18 frame aggregates per row) on a table that is
-    small in bytes, so AQE's size-based coalescing would squeeze them into a
-    few tasks; an explicit count sized by the cluster's cores keeps every core
-    busy.  Every later per-campaign window reuses this partitioning.
+    No explicit count: the session's shuffle partitions and AQE size it by the data.
     """
-    return df.repartition(window_partitions(df.sparkSession), *CAMPAIGN_KEYS)
+    return df.repartition(*CAMPAIGN_KEYS)
 
 
 def clean(df: DataFrame) -> DataFrame:

@@ -65,8 +65,8 @@ def assign_horizons(daily: DataFrame, horizons=K.HORIZONS, snapshot: Column | No
                  .drop("_age"))
 
 
-def granularity_sets(prefix: list[str]) -> list[list[str]]:
-    return [prefix + cols for cols in K.GRANULARITIES.values()]
+def granularity_sets(prefix: list[str], granularities=None) -> list[list[str]]:
+    return [prefix + cols for g, cols in K.GRANULARITIES.items() if not granularities or g in granularities]
 
 
 def grouping_flags() -> list[Column]:
@@ -85,9 +85,9 @@ def label_rolled_up(df: DataFrame) -> DataFrame:
     }).drop("_g_type", "_g_name")
 
 
-def daily_group_sums(hrows: DataFrame) -> DataFrame:
-    """Per (horizon, granularity, group, date): summed revenue and spend."""
-    sets = granularity_sets(["forecast_horizon", "date"])
+def daily_group_sums(hrows: DataFrame, granularities=None) -> DataFrame:
+    """Per (horizon, granularity, group, date): summed revenue and spend, of the wanted granularities."""
+    sets = granularity_sets(["forecast_horizon", "date"], granularities)
     agg = (hrows.groupingSets(sets, "forecast_horizon", "date", *KEY_COLS)
                 .agg(F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("day_revenue"),
                      F.coalesce(F.sum("spend"), F.lit(0.0)).alias("day_spend"),
@@ -95,9 +95,9 @@ def daily_group_sums(hrows: DataFrame) -> DataFrame:
     return label_rolled_up(agg)
 
 
-def forecast_base(hrows: DataFrame) -> DataFrame:
+def forecast_base(hrows: DataFrame, granularities=None) -> DataFrame:
     """A7 + empirical daily quantiles per (horizon, granularity, group)."""
-    daily = daily_group_sums(hrows)
+    daily = daily_group_sums(hrows, granularities)
     return daily.groupBy(*GROUP_COLS).agg(
         F.count(F.lit(1)).alias("days_in_window"),
         F.count(F.when(F.col("day_revenue") > 0, 1)).alias("nonzero_revenue_days"),
@@ -154,9 +154,7 @@ def forecast(features: DataFrame, multiplier: float | Column = 1.0, horizons=K.H
     """Whole forecast table (unrounded).  ``daily_quantiles`` optionally supplies
     model predictions per group (columns: granularity, channel, campaign_type,
     campaign_name, daily_quantiles); default is the empirical quantile model."""
-    base = forecast_base(assign_horizons(features, horizons, snapshot))
-    if granularities:
-        base = base.where(F.col("granularity").isin(list(granularities)))
+    base = forecast_base(assign_horizons(features, horizons, snapshot), granularities)
     if daily_quantiles is not None:
         base = (base.drop("daily_quantiles")
                     .join(daily_quantiles, ["granularity", *KEY_COLS], "left"))

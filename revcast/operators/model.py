@@ -7,7 +7,7 @@ fitted once per granularity; every training row is routed to one leaf per tree
 ``percentile_approx`` (bounded sketch, partial aggregation), and a prediction
 averages the quantiles of the leaves a row falls into.  One fit serves all
 quantiles and the output never crosses (each tree's quantiles are ordered).
-The leaf table has at most trees x 2^depth rows, so broadcasting it is safe.
+The leaf table has at most trees x 2^depth rows; scoring holds it as a constant.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ from dataclasses import dataclass
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revcast import constants as K
 from revcast.functions.expr import finite_or_zero
 from revcast.operators.encode import encode, fit_dictionary
+from revcast.operators.forecast import lookback
 from revcast.operators.rollup import daily_rollup, latest_rows, numeric_features
 
 FOREST_PARAMS = dict(numTrees=20, maxDepth=6, minInstancesPerNode=20, subsamplingRate=0.8,
@@ -68,18 +69,26 @@ class QuantileForest:
     forest: RandomForestRegressionModel
     leaves: DataFrame          # tree, leaf, q10, q50, q90
 
-    def _leaf_rows(self, df: DataFrame) -> DataFrame:
-        vec = VectorAssembler(inputCols=self.features, outputCol="_features", handleInvalid="keep")
-        scored = self.forest.transform(vec.transform(df))
-        return scored.select("*", F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf")) \
-                     .withColumn("leaf", F.col("leaf").cast("int")).drop("_features", "_leaf", "prediction")
+    def _leaf_table(self) -> Column:
+        """Quantiles by tree and leaf as a constant (trees x 2 ** depth entries, whatever the data)."""
+        trees: dict[int, dict[int, list[float]]] = {}
+        for r in self.leaves.collect():
+            trees.setdefault(r["tree"], {})[r["leaf"]] = [r[f"q{int(q * 100)}"] for q in K.QUANTILES]
+        table = [[trees.get(t, {}).get(leaf) for leaf in range(max(trees.get(t, {0: 0})) + 1)] for t in range(self.forest.getNumTrees)]
+        return F.from_json(F.lit(json.dumps(table)), "array<array<array<double>>>")
 
     def predict(self, df: DataFrame, key_cols: list[str]) -> DataFrame:
-        """Per row (identified by ``key_cols``): q10, q50, q90 averaged over trees."""
-        rows = self._leaf_rows(df.select(*key_cols, *self.features))
-        joined = rows.join(F.broadcast(self.leaves), ["tree", "leaf"])
-        return joined.groupBy(*key_cols).agg(*[F.avg(f"q{int(q * 100)}").alias(f"q{int(q * 100)}")
-                                               for q in K.QUANTILES])
+        """Per row: q10, q50, q90 averaged over trees; the leaves are looked up in place, without a shuffle."""
+        vec = VectorAssembler(inputCols=self.features, outputCol="_features", handleInvalid="keep")
+        scored = self.forest.transform(vec.transform(df.select(*key_cols, *self.features)))
+        table = self._leaf_table()
+        found = F.transform(vector_to_array("_leaf"), lambda leaf, tree: F.get(F.get(table, tree), leaf.cast("int")))
+        rows = scored.select(*key_cols, F.filter(found, lambda q: q.isNotNull()).alias("_q"))
+
+        def mean(i: int) -> Column:
+            return F.aggregate("_q", F.lit(0.0), lambda a, q: a + F.get(q, F.lit(i))) / F.size("_q")
+
+        return rows.select(*key_cols, *[mean(i).alias(f"q{int(q * 100)}") for i, q in enumerate(K.QUANTILES)])
 
     def importances(self) -> DataFrame:
         """M8: forest importances (normalised gain), one row per quantile and feature."""
@@ -148,7 +157,10 @@ def importance_table(models: dict) -> DataFrame:
 
 
 def forest_daily_quantiles(features: DataFrame, models: dict, dictionary: DataFrame) -> DataFrame:
-    """Each group's latest rolled-up row scored once -> (granularity, keys, daily_quantiles)."""
+    """Each group's latest rolled-up row scored once -> (granularity, keys, daily_quantiles).
+
+    Only groups active in the longest look-back are forecast, so only those days are read."""
+    features = lookback(features, max(K.HORIZONS))
     out = None
     for g, m in models.items():
         keys = K.GRANULARITIES[g]
