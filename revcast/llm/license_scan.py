@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from revcast.llm import common as C
 
 #: Share of a template's words that a block must hold.
-PERCENT = 85
+PERCENT = 86
 
 #: Phrases and their labels.
 PHRASES = (
