@@ -333,7 +333,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                     [batch.column("doc_id").slice(lo, len(ids)), pa.array(ids, pa.list_(pa.int32())), pa.array([encoder.decode(x.tolist()) for x in ids], pa.string())],
                     names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return C.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def encoding_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -355,7 +355,7 @@ def encoding_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(count)), pa.array(count, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())],
                                                  names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return C.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:

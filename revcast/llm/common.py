@@ -53,6 +53,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch between the JVM and Python; a task holds a few of them.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session's Arrow batches have at most BATCH_BYTES (or what the user set, if less), as
+    texts and blobs are wide rows."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH).removesuffix("b").isdigit() and not 0 < int(conf.get(_BATCH).removesuffix("b")) <= BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 # ------------------------------------------------------------------ hashing
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer: every input bit reaches every output bit (uint64 in, uint64 out)."""
@@ -164,6 +178,7 @@ def word_chunks(batch: pa.RecordBatch, text: str, kind: np.ndarray = NOT_SPACE,
     data, offsets = text_bytes(batch.column(text))
     for lo, hi in chunks(offsets):
         yield lo, hi, Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], kind, lower)
+    pa.default_memory_pool().release_unused()
 
 
 def by_text_and_value(value: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -203,38 +218,52 @@ def pack(keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, buckets: int, ki
     yield pa.RecordBatch.from_arrays([found, pa.array(np.full(len(edge), kind, np.int32)), *blobs], schema=_PACKED)
 
 
+def _blobs(column: pa.Array, kind_of: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of byte blobs (a view), and where each row's begin."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    size = np.dtype(kind_of).itemsize
+    count = (offsets[-1] - offsets[0]) // size
+    values = np.frombuffer(data, kind_of, count, offsets[0]) if count else np.zeros(0, kind_of)
+    return values, (offsets - offsets[0]) // size
+
+
 def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, tuple[np.ndarray, ...]]]:
-    """Of rows sorted by bucket, each bucket's columns (keys, docs, spots, more) by kind, in parts of
-    about FLUSH triples; equal keys are in one part."""
+    """Of rows sorted by bucket (best by kind too), each bucket's columns (keys, docs, spots, more) by
+    kind, in parts of about FLUSH triples; equal keys are in one part. Nothing is copied but a part."""
     now, held = None, {}
 
     def parts():
-        whole = {}
-        for k in list(held):
-            whole[k] = tuple(np.frombuffer(b"".join(blobs), t) for blobs, t in zip(zip(*held.pop(k)), (np.uint64, np.int64, np.int32, np.int64)))
+        whole = {k: tuple(np.concatenate(c) if len(c) > 1 else c[0] for c in zip(*held[k])) for k in held}
+        held.clear()
         n = sum(len(columns[0]) for columns in whole.values()) // FLUSH + 1
         if n == 1:
             yield whole
             return
-        part_of = {k: (columns[0] >> np.uint64(16)) % np.uint64(n) for k, columns in whole.items()}
+        part_of = {k: ((columns[0] >> np.uint64(16)) % np.uint64(n)).astype(np.uint16) for k, columns in whole.items()}
         for i in range(n):
             picks = {k: np.flatnonzero(part == i) for k, part in part_of.items()}
             yield {k: tuple(c[picks[k]] if len(c) else c for c in columns) for k, columns in whole.items() if len(picks[k])}
 
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("bucket", "kind", "keys", "docs", "spots", "more")]
-        for bucket, kind, *blobs in zip(*cols):
-            if bucket != now and held:
+        if not batch.num_rows:
+            continue
+        bucket, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "kind"))
+        blobs = [_blobs(batch.column(c).cast(pa.binary()), t) for c, t in zip(("keys", "docs", "spots", "more"), (np.uint64, np.int64, np.int32, np.int64))]
+        first = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1]))))
+        for i, j in zip(first.tolist(), [*first[1:].tolist(), batch.num_rows]):
+            if bucket[i] != now and held:
                 yield from parts()
-            now = bucket
-            held.setdefault(kind, []).append(blobs)
+            now = bucket[i]
+            held.setdefault(int(kind[i]), []).append(tuple(values[at[i] : at[j]] for values, at in blobs))
     if held:
         yield from parts()
+    pa.default_memory_pool().release_unused()
 
 
 def meet(packed: DataFrame) -> DataFrame:
     """Rows of a bucket together, in one task and one after the other."""
-    return packed.repartitionById(bucket_count(packed.sparkSession), F.col("bucket")).sortWithinPartitions("bucket")
+    return packed.repartitionById(bucket_count(packed.sparkSession), F.col("bucket")).sortWithinPartitions("bucket", "kind")
 
 
 def runs_of(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

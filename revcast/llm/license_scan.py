@@ -159,7 +159,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, percent: int = P
 
     score: 1 for a text with a phrase, else the largest containment found, else 0.
     """
-    frequency = block_frequencies(docs, templates)
+    frequency = block_frequencies(C.small_batches(docs), templates)
 
     def run(batches):
         ordered = Templates(templates, percent, frequency)

@@ -367,7 +367,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     class_id: smallest id with the same set. ``percent`` is 75 or more.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = C.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = C.checkpointed(docs.mapInArrow(_set_rows, "doc_id long, n_shingles long, h1 long, h2 long, need long"))
     some = sets.filter("n_shingles > 0 and doc_id is not null")
     # equal sets: one representative each (a group-by with map-side minimum, so a huge class is no hot key)

@@ -189,7 +189,7 @@ def pack(docs: DataFrame, row_length: int = ROW_LENGTH, ranks: str | None = None
         if held.texts:
             yield from held.rows()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return C.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
 def unpack_ids(packed: DataFrame, row_length: int = ROW_LENGTH) -> DataFrame:

@@ -210,7 +210,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             for lo, hi, words in C.word_chunks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), pa.array(np.clip(model.score(term_weights(words)), 0, 1).astype(np.float64))], names=["row", "score"])
 
-    rows = docs.select(F.struct("*").alias("row"), "text")
+    rows = C.small_batches(docs).select(F.struct("*").alias("row"), "text")
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double").select("row.*", F.col("score").alias(name))
 
 

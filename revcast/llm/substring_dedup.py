@@ -217,7 +217,7 @@ def _kept_digests(batches):
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, spots): starts, as int32 bytes, of the windows that a smaller id holds."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    docs = C.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     buckets = C.bucket_count(spark)
 
     def gather(packed: DataFrame, decide) -> DataFrame:

@@ -169,7 +169,7 @@ def posteriors(pattern: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, quality (posterior), kept for each row of ``docs`` (doc_id, text)."""
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", pattern long"
-    rows = C.checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_trait_rows, schema))
+    rows = C.checkpointed(C.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_trait_rows, schema))
     counted = rows.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3 ** len(RULES)
     pattern, weight = (np.array([r[i] for r in counted], np.int64) for i in (0, 1))
     quality = posteriors(pattern, weight.astype(float)).tolist() if counted else []
