@@ -137,7 +137,7 @@ class Tally:
     def __init__(self):
         self.parts, self.held, self.most = [], 0, 2 * C.FLUSH
 
-    def add(self, kind: int, x: np.ndarray, y: np.ndarray, n: np.ndarray | int = 1) -> None:
+    def add(self, kind: int | np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray | int = 1) -> None:
         if len(x):
             self.parts.append((np.full(len(x), kind), x, y, np.broadcast_to(n, len(x))))
             self.held += len(x)
@@ -345,12 +345,70 @@ def heavy_pairs(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts = members.groupBy("doc").agg(F.min("need").alias("need"), F.count_if(hot).alias("hots"))
     texts = texts.withColumn("light", F.col("need") > F.col("hots")).withColumn("cold", F.greatest(F.col("need") - F.col("hots"), F.lit(1)))
     shared = members.drop("need").join(texts, "doc").filter(~hot | ~F.col("light")).select("sig", "doc", "component", "light", "need", "cold")
-    one = shared.select("sig", *(F.col(c).alias(f"{c}1") for c in shared.columns[1:]))
-    two = shared.select("sig", *(F.col(c).alias(f"{c}2") for c in shared.columns[1:]))
-    met = one.join(two, "sig").filter("doc1 < doc2 and component1 != component2")
-    least = F.expr("case when light1 or light2 then greatest(cold1, cold2) else greatest(need1, need2) end")
-    return (met.groupBy(F.col("doc1").alias("x"), F.col("doc2").alias("y")).agg(F.count("*").alias("n"), F.min(least).alias("least"))
-            .filter("n >= least").select("x", "y"))
+    buckets = C.bucket_count(docs.sparkSession)
+    counted = C.meet(shared.mapInArrow(_map_shared(buckets), C.PACKED)).mapInArrow(_count_shared(buckets), C.PACKED)
+    return C.meet(counted).mapInArrow(_enough_shared, "x long, y long")
+
+
+#: Bits for the least number of shared signatures; a larger one counts as the largest that fits.
+_LEAST = 0x7FFF
+
+
+def _map_shared(buckets: int):
+    """Packed (signature, doc, least, component); least holds need (0 for a light set) and cold."""
+
+    def run(batches):
+        for batch in batches:
+            sig, doc, part, need, cold = (C.int_column(batch.column(c)) for c in ("sig", "doc", "component", "need", "cold"))
+            light = batch.column("light").to_numpy(zero_copy_only=False).astype(bool)
+            code = np.where(light, 0, np.clip(need, 1, _LEAST)) << 16 | np.clip(cold, 1, _LEAST)
+            yield from C.pack(sig.view(np.uint64), doc, code, buckets, more=part)
+
+    return run
+
+
+def _count_shared(buckets: int):
+    """Packed (x, y, shared signatures in this task) of members in different components; a key's low
+    bits hold the number that linked sets must share."""
+
+    def run(batches):
+        tally = Tally()
+        for kinds in C.unpack(batches):
+            sig, doc, code, part = kinds[0]
+            order = np.lexsort((doc, sig))
+            sig, doc, part = sig[order], doc[order], part[order]
+            need, cold = code[order] >> 16, code[order] & 0xFFFF
+
+            def add(j, i):
+                pick = part[j] != part[i]
+                j, i = j[pick], i[pick]
+                light = (need[j] == 0) | (need[i] == 0)
+                tally.add(np.where(light, np.maximum(cold[j], cold[i]), np.maximum(need[j], need[i])).astype(np.int64), doc[j], doc[i])
+
+            start, length = C.runs_of(sig)
+            for m in np.unique(length[(length > 1) & (length <= 64)]).tolist():
+                one, two = np.triu_indices(m, 1)
+                for at in np.array_split(start[length == m], max(1, len(one) * int((length == m).sum()) // C.FLUSH)):
+                    add((at[:, None] + two).ravel(), (at[:, None] + one).ravel())
+            for at, m in zip(start[length > 64].tolist(), length[length > 64].tolist()):
+                for i in range(at, at + m - 1):
+                    rest = np.arange(i + 1, at + m)
+                    add(rest, np.full(len(rest), i))
+        least, x, y, n = tally.summed()
+        yield from C.pack(C.mix(x.astype(np.uint64)) & ~np.uint64(0xFFFF) | least.astype(np.uint64), x, n, buckets, more=y)
+
+    return run
+
+
+def _enough_shared(batches):
+    """The pairs (x, y) that share enough signatures over all tasks."""
+    for kinds in C.unpack(batches):
+        key, x, n, y = kinds[0]
+        tally = Tally()
+        tally.add((key & np.uint64(0xFFFF)).astype(np.int64), x, y, n.astype(np.int64))
+        least, x, y, n = tally.summed()
+        enough = n >= least
+        yield pa.RecordBatch.from_arrays([pa.array(x[enough]), pa.array(y[enough])], names=["x", "y"])
 
 
 # ------------------------------------------------------------------ the operator
@@ -410,7 +468,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     around = around.join(heavy, "x", "left_semi").join(labels.toDF("x", "component"), "x", "left")
     around = C.checkpointed(around.select(F.col("x").alias("doc_id"), F.coalesce("component", "x").alias("component")))
     if not around.isEmpty():
-        more = heavy_pairs(docs, around).select(F.col("y").alias("x"), F.col("x").alias("y")).join(near, ["x", "y"], "left_anti")
+        more = heavy_pairs(docs, around).join(near, ["x", "y"], "left_anti")
         found = C.checkpointed(verified(docs, C.checkpointed(more), percent))
         if not found.isEmpty():
             labels = components(edges.unionByName(found))
