@@ -9,22 +9,26 @@ over the sum of the larger counts of each shingle.
    shingle at one of its probed positions (every fourth, for items of 15 words or more). Texts
    without one are done after this pass.
 2. Windows. Moving a window to the right until it begins with a shingle of an item of its size loses
-   none, so only windows that begin with one (and the last window of the text) are looked at.
-3. SimHash. Each window gets a 64-bit fingerprint. Bits are counted sixteen at a time, in the four
-   16-bit lanes of one long.
+   none, so only windows that begin with one (and the last window of the text) are looked at, and of
+   them only those in which the shingles of such items suffice for the similarity.
+3. SimHash. Each window gets a 64-bit fingerprint of its shingles, each numbered by its occurrence in
+   the window: repeats are members of a set of their own and don't weigh on the same bits. Bits are
+   counted sixteen at a time, in the four 16-bit lanes of one long.
 4. Blocks. Fingerprints within RADIUS = 19 bits agree to 3 bits in one of five blocks of 12 or 13
    bits. The index holds, for each item and block, all values within 3 bits, so an equality join on
    (size, block, value) guarantees every pair within the radius. Similarity 0.75 lies at about 11
-   differing bits, so the radius is over two and a half deviations away for one window, and a
-   passage has several.
-5. Check. The pairs within the radius are compared shingle by shingle.
+   differing bits, so the radius is over two and a half deviations away for one window.
+5. Held shingles. A similar window lacks the item's shingles at `spare` positions at most, so one of
+   its first spare + 1 positions holds one: these pairs are taken too, and no similar pair depends on
+   its fingerprint.
+6. Check. The pairs of steps 4 and 5 are compared shingle by shingle.
 
 Equal windows are one row from step 3 on, so a passage that a third of all texts hold is compared
 once. Nothing is broadcast by hint; the planner takes the benchmark's side while it is small.
 
 Nulls and edge cases: a null or empty text has no words and matches nothing; texts and items of
-fewer than five words have no shingle and match nothing; items of over 16,383 shingles skip steps 3
-and 4 and are checked directly; rows without doc_id or item_id are not reported; rows that repeat an
+fewer than five words have no shingle and match nothing; items of over 16,383 words skip step 4
+(step 5 finds their pairs); rows without doc_id or item_id are not reported; rows that repeat an
 id count as texts of that id; equal items each have their own pairs; empty tables give an empty
 result; other columns are ignored.
 """
@@ -67,6 +71,22 @@ def shingles(column: str, step: int = 1) -> Column:
     return F.when(F.size(column) >= WIDTH, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def numbered(hashes: Column) -> Column:
+    """Different hashes for the occurrences of each hash: the first one's is the hash itself."""
+
+    def number(ordered):
+        n = F.size(ordered) - 1
+        again = F.filter(F.zip_with(F.slice(ordered, 1, n), F.slice(ordered, 2, n), lambda x, y: F.when(x == y, y)), lambda x: x.isNotNull())
+        return F.concat(F.array_distinct(ordered), _let(again, lambda a: F.transform(a, lambda x, i: F.xxhash64(x, i - F.array_position(a, x)))))
+
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), hashes).otherwise(_let(F.sort_array(hashes), number))
+
+
 def _lane_counts(hashes: Column, k: int) -> Column:
     """How many of the hashes have bit k, 16 + k, 32 + k and 48 + k, in the lanes of a long."""
     return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANE_ONES)))
@@ -109,7 +129,12 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """item_id, size (words), hashes, bits of the items that have a shingle."""
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w"))
     items = items.select("item_id", F.size("w").alias("size"), shingles("w").alias("hashes")).filter(F.size("hashes") > 0)
-    return items.withColumn("bits", fingerprint(F.col("hashes")))
+    return items.withColumn("set", numbered(F.col("hashes"))).withColumn("bits", fingerprint(F.col("set"))).drop("set")
+
+
+def _least_held(span: Column, size: Column) -> Column:
+    """Positions of a window of ``span`` shingles that hold a shingle of an item of ``size`` words, if they are similar."""
+    return F.ceil(PERCENT * (span + size - WIDTH + 1) / (100 + PERCENT)).cast("int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -132,7 +157,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                          .select("row", "doc_id", shingles("w").alias("hashes")))
     hits = texts.select("row", F.size("hashes").alias("n"), F.posexplode("hashes").alias("pos", "h")).join(known, "h")
     span = F.least(F.col("size") - WIDTH + 1, F.col("n"))  # shingles of the window
-    starts = hits.select("row", span.alias("span"), "size", F.least(F.col("pos"), F.col("n") - span).alias("start")).distinct()
+    spots = (hits.groupBy("row", "size").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("pos")).alias("at"))
+             .withColumn("span", span).withColumn("last", F.col("n") - F.col("span")).withColumn("held", _least_held(F.col("span"), F.col("size"))))
+    # sorted positions: the window from the i-th one holds enough when it reaches the one `held` - 1 further on
+    enough = lambda p, i: F.when(p <= F.col("last"), F.get("at", i + F.col("held") - 1) < p + F.col("span")).otherwise(
+        F.get("at", F.size("at") - F.col("held")) >= F.col("last"))
+    begins = F.array_distinct(F.filter(F.transform("at", lambda p, i: F.when(enough(p, i), F.least(p, F.col("last")))), lambda p: p.isNotNull()))
+    starts = spots.select("row", "span", "size", F.explode(begins).alias("start"))
     windows = (starts.groupBy("row").agg(F.collect_list(F.struct("size", "span", "start")).alias("at")).join(texts, "row")
                .select("doc_id", "hashes", F.explode("at").alias("at"))
                .select("doc_id", "at.size", "at.start", F.slice("hashes", F.col("at.start") + 1, F.col("at.span")).alias("window"))
@@ -140,7 +171,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = checkpointed(windows)
 
     # fingerprints of the different windows against the items' blocks
-    different = windows.select("size", "content", "window").distinct().withColumn("bits", fingerprint(F.col("window")))
+    different = windows.select("size", "content", "window").distinct().withColumn("set", numbered(F.col("window"))).withColumn("bits", fingerprint(F.col("set"))).drop("set")
     values = F.array(*[F.struct(F.lit(i).alias("block"), v.alias("value")) for i, v in enumerate(block_values(F.col("bits")))])
     near = F.concat(*[_near(i, size, v) for i, ((_, size), v) in enumerate(zip(BLOCKS, block_values(F.col("bits"))))])
     fits = F.col("size") <= LONGEST
@@ -148,9 +179,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     probe = different.filter(fits).select("size", "content", "bits", F.inline(values))
     met = (probe.join(index, ["size", "block", "value"]).filter(F.bit_count(F.col("bits").bitwiseXOR(F.col("item_bits"))) <= RADIUS)
            .select("size", "content", "item_id").distinct())
-    long = different.filter(~fits).join(items.filter(~fits).select("size", "item_id"), "size").select("size", "content", "item_id")
 
-    pairs = met.unionByName(long).join(different.select("size", "content", "window"), ["size", "content"]).join(items.select("item_id", "hashes"), "item_id")
+    # windows and items that share one of the window's first shingles, whatever their fingerprints
+    spare = F.size("window") - _least_held(F.size("window"), F.col("size"))
+    first = different.select("size", "content", F.explode(F.array_distinct(F.slice("window", F.lit(1), spare + 1))).alias("h"))
+    held = first.join(items.select("item_id", "size", F.explode(F.array_distinct("hashes")).alias("h")), ["size", "h"]).select("size", "content", "item_id")
+
+    pairs = met.unionByName(held).distinct().join(different.select("size", "content", "window"), ["size", "content"]).join(items.select("item_id", "hashes"), "item_id")
     pairs = pairs.withColumn("common", overlap("window", "hashes")).withColumn("all", F.size("window") + F.size("hashes") - F.col("common"))
     alike = pairs.filter(100 * F.col("common") >= PERCENT * F.col("all")).select("size", "content", "item_id", (F.col("common") / F.col("all")).alias("similarity"))
     best = windows.select("doc_id", "size", "content", "start").join(alike, ["size", "content"])

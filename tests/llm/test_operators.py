@@ -325,6 +325,25 @@ def test_decontamination(spark, rows, docs, none):
     assert Counter(kept) == Counter(i for i, _ in rows if i not in hit)
 
 
+def test_decontamination_of_runs(spark):
+    """Windows with a run of a repeated word, similar by 0.75 and a little more."""
+    rows, items = [], []
+    for k, n in enumerate([30, 100, 200, 200, 300]):
+        item = X.prose(700 + k, n)
+        items.append((k, " ".join(item)))
+        run = (n - 4) // 7 - 1
+        rows.append((10 * k, " ".join(X.prose(800 + k, 20) + item[: n - run] + ["-"] * (run + 20))))  # at the end
+        rows.append((10 * k + 1, " ".join(item[:-run] + ["|"] * run)))  # the whole text
+        rows.append((10 * k + 2, " ".join(item[: n // 2] + ["0"] * (run - 4) + item[n // 2 + run - 4 :] + X.prose(900 + k, 9))))  # amid
+        rows.append((10 * k + 3, " ".join(item[: n // 2] + ["0"] * (n // 4) + item[n // 2 + n // 4 :])))  # too long a run
+    items.append((90, " ".join(["pad"] * 40 + X.prose(950, 160))))  # a run of the item's own
+    rows += [(90, " ".join(["pad"] * 22 + X.prose(950, 160) + X.prose(951, 40))), (91, " ".join(["pad"] * 60 + X.prose(950, 160)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = X.contaminated(rows, items)
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(X.documents(spark, rows), bench).collect()}
+    assert got == want and {(10 * k + j, k) for k in range(1, 5) for j in (0, 1, 2)} <= want.keys() and (13, 1) not in want
+
+
 def test_fingerprint(spark):
     rnd = np.random.default_rng(2)
     arrays = [rnd.integers(-(2**63), 2**63, n).tolist() for n in (1, 2, 3, 36, 55, 501)]
