@@ -462,7 +462,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     failed = label_pairs(hot.select("x", "y"), labels)
     around = failed.select("x").unionAll(failed.select(F.col("y").alias("x"))).distinct()
     both = hot.select("x", "y").unionAll(hot.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    for _ in range(2):  # a member's pair may run over the smallest of its flush
+    for _ in range(3):  # a set, its flush's smallest, the smallest of all, another flush's smallest, a set of that flush
         around = around.unionAll(both.join(around, "x").select(F.col("y").alias("x"))).distinct()
     heavy = member.filter("cold <= 0").select(F.col("class_id").alias("x")).distinct()
     around = around.join(heavy, "x", "left_semi").join(labels.toDF("x", "component"), "x", "left")

@@ -187,6 +187,25 @@ def test_ngram_join_random_families(spark, seed, monkeypatch):
     assert got == X.components(rows)
 
 
+def test_ngram_join_across_flushes(spark):
+    """x and y, in different flushes, share hot signatures only; x is linked with y alone."""
+    base = X.prose(77, 260)
+
+    def copy(places, tag):
+        return " ".join(f"{tag}{i}" if i in places else w for i, w in enumerate(base))
+
+    # each partition is a flush; other copies change a word of their own in the front half, x seven in the other
+    other = lambda i: (i, copy({5 + 2 * i}, f"own{i}_"))
+    x, y = (98, copy({140 + 15 * k for k in range(7)}, "x")), (99, " ".join(base))
+    parts = [[other(i) for i in range(20)], [other(i) for i in range(20, 40)] + [x], [other(i) for i in range(40, 60)] + [y]]
+    rows = [r for part in parts for r in part]
+    links = [i for i, t in rows if i != x[0] and len(X.shingle_set(t) & X.shingle_set(x[1])) >= 0.75 * len(X.shingle_set(t) | X.shingle_set(x[1]))]
+    assert links == [y[0]]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(parts, 3).flatMap(list), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == X.components(rows) and got[x[0]] == 0
+
+
 def test_signatures_share():
     """Sets within the threshold share at least `need` signatures."""
     rnd = np.random.default_rng(5)
