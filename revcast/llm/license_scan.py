@@ -1,7 +1,10 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, as a set of words (A-Z lowered; letters, digits and all beyond ASCII).
-A template is found where the block holds at least PERCENT of the template's words.
+A block is a line of a text, or for each template a run of consecutive words across line breaks, so
+that a wrapped notice is found: as long as the template, with room for 100 - PERCENT % of other words.
+It counts as a set of words (A-Z lowered; letters, digits and all beyond ASCII). A template is found
+where a block holds at least PERCENT of the template's words. Runs inside a line need no look, as the
+line holds all their words. The SQL knows lines only.
 
 Join. The template words are ordered by the number of blocks that hold them, over all texts (first
 pass; only the counts of template words leave it). In that global order:
@@ -12,7 +15,8 @@ pass; only the counts of template words leave it). In that global order:
 * positional filter: from its first prefix word on, the template's and the block's remaining words
   in the order must still be enough;
 
-and the candidates that are left are counted exactly. Literal phrases (the base) are found beside it
+and the candidates that are left are counted exactly. Runs around a prefix word have the prefix and
+length filters, and their template words must be enough. Literal phrases (the base) are found beside it
 as consecutive words of the whole text, across lines.
 
 Nulls and edge cases: a null or empty text has no words and no labels (empty strings, score 0,
@@ -78,6 +82,8 @@ class Templates:
         self.labels = [label for _, label in templates]
         self.sets = [np.array(sorted({rank[w] for w in text.split()})) for text, _ in templates]
         self.need = [math.ceil(percent * len(s) / 100) for s in self.sets]
+        #: words of a run across lines
+        self.run = [math.ceil(100 * len(text.split()) / percent) for text, _ in templates]
         #: rank -> (template, words of it that are as rare or less rare)
         self.prefix: dict[int, list[tuple[int, int]]] = {}
         for t, (ranks, need) in enumerate(zip(self.sets, self.need)):
@@ -123,6 +129,31 @@ def matches(words: C.Words, templates: Templates) -> list[tuple[int, int, float]
     return found
 
 
+def run_matches(words: C.Words, templates: Templates) -> list[tuple[int, int, float]]:
+    """(text, template, containment) of the best runs across lines that meet the threshold."""
+    line = np.searchsorted(C.Words(words.data, words.offsets, _LINE).starts, words.starts, "right") - 1
+    rank = templates.word_ranks(words.hash)
+    place = np.flatnonzero(rank >= 0)
+    rank = rank[place]
+    best: dict[tuple[int, int], int] = {}
+    for t, (ranks, need, run) in enumerate(zip(templates.sets, templates.need, templates.run)):
+        mine = np.isin(rank, ranks)
+        at, held = place[mine], rank[mine]
+        p = at[np.isin(held, ranks[: len(ranks) - need + 1])]
+        text = np.searchsorted(words.first, p, "right") - 1
+        # all runs that hold the prefix word lie in these words (both ends count)
+        lo, hi = np.maximum(p - run + 1, words.first[text]), np.minimum(p + run, words.first[text + 1]) - 1
+        i, j = np.searchsorted(at, lo), np.searchsorted(at, hi, "right")
+        for k in np.flatnonzero((line[lo] != line[hi]) & (j - i >= need)).tolist():
+            key = (int(text[k]), t)
+            for first in range(i[k], j[k] - need + 1):
+                end = min(np.searchsorted(at, at[first] + run), j[k])
+                common = len(np.unique(held[first:end]))
+                if common >= need:
+                    best[key] = max(best.get(key, 0), common)
+    return [(x, t, common / len(templates.sets[t])) for (x, t), common in best.items()]
+
+
 def phrase_places(words: C.Words, phrases=PHRASES) -> list[tuple[np.ndarray, np.ndarray, str]]:
     """(texts, word numbers in them, label) of each phrase's places."""
     text = np.repeat(np.arange(len(words.count)), words.count)
@@ -176,7 +207,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, percent: int = P
                         labels[t].add(label)
                         places[t].append(a)
                         score[t] = 1.0
-                for t, template, part in matches(words, ordered):
+                for t, template, part in matches(words, ordered) + run_matches(words, ordered):
                     labels[t].add(ordered.labels[template])
                     score[t] = max(score[t], part)
                 join = lambda sets: pa.array([",".join(sorted(s)) for s in sets], pa.string())

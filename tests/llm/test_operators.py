@@ -114,6 +114,46 @@ def test_license(spark, rows, docs, none):
     assert any(r[6] == "cc-by-nc,gpl" and not r[5] for r in got)
 
 
+def test_license_across_lines(spark):
+    """Hard-wrapped notices, and words too far apart or in different texts."""
+    bsd = "Redistribution and use in source and binary forms, with or without\n{}modification, are permitted"
+    mpl = "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining\n * a copy of this\n * software and so on"
+    far = " ".join(X.prose(5, 20))
+    texts = [bsd.format(""), f"{far}\n{bsd.format('// ')}\n{far}", mpl, mit, bsd.format(far), bsd.split("\n")[0], "modification, are permitted", mpl.replace("\n# ", " ")]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(X.documents(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: ("bsd", 1.0), 1: ("bsd", 1.0), 2: ("mpl", 1.0), 3: ("mit", 1.0), 4: ("", 0.0), 5: ("", 0.0), 6: ("", 0.0), 7: ("mpl", 1.0)}
+
+
+def test_license_runs_like_all_runs():
+    """The filters lose no run: against every run of every text."""
+    rnd = np.random.default_rng(4)
+    templates = license_scan.Templates()
+    for _ in range(20):
+        texts = []
+        for _ in range(12):
+            w = license_scan.TEMPLATES[rnd.integers(len(license_scan.TEMPLATES))][0].split()
+            for _ in range(rnd.integers(0, 4)):
+                w.insert(rnd.integers(len(w)), rnd.choice(["the", "of", "x", "license", "is"]))
+            w = X.prose(int(rnd.integers(99)), 6) + w + ["a"] * int(rnd.integers(3))
+            texts.append("".join(x + rnd.choice([" ", " ", "\n"]) for x in w).lower())
+        data = [t.encode() for t in texts]
+        words = license_scan.C.Words(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), license_scan.C.ALNUM_ANY_CASE, lower=True)
+        got = {}
+        for x, t, part in license_scan.matches(words, templates) + license_scan.run_matches(words, templates):
+            got[x, t] = max(got.get((x, t), 0), part)
+        want = {}
+        for x, text in enumerate(texts):
+            w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+            lines = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line) for line in text.split("\n")]
+            for t, (template, _) in enumerate(license_scan.TEMPLATES):
+                own = set(template.split())
+                common = max(len(own & set(b)) for b in lines + [w[k : k + templates.run[t]] for k in range(len(w))])
+                if common >= templates.need[t]:
+                    want[x, t] = common / len(own)
+        assert got == want and want
+
+
 def test_weak_quality(spark, rows, docs, none):
     assert weak_quality.judge(none).count() == 0
     out = weak_quality.judge(docs)
