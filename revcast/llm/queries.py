@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revcast.llm import bpe, chat_format, decontaminate, license_scan, ngram_join, packing, quality_knn, sharding, substring_dedup, weak_quality
+from revcast.llm import bpe, chat_format, decontaminate, hard_negatives, license_scan, ngram_join, packing, quality_knn, sharding, slack_packing, substring_dedup, weak_quality, whitening
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_quality_knn": quality_knn.op9_quality_knn,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_slack_packing": slack_packing.op12_slack_packing,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 SQL = {
     "op3_license_scan": license_scan.SQL,
@@ -22,4 +25,5 @@ SQL = {
     "op6_chat_format": chat_format.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
