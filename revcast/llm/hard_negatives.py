@@ -158,12 +158,11 @@ def tiles_of(rows: DataFrame, length: int) -> DataFrame:
 _FOUND = "anchor_id long, anchor_label long, anchor_row long, nth int, found_id long, score long"
 
 
-def _searched(tiles: DataFrame, asked: DataFrame, length: int, same_label: bool) -> DataFrame:
+def _searched(tiles: DataFrame, count: int, asked: DataFrame, length: int, same_label: bool) -> DataFrame:
     """Each anchor of ``asked`` (tile, vec_id, label, x, windows, k, row) against the rows of its tile
     that have its label, or another one: (anchor, number of the window, found row) in any order."""
-    spark = tiles.sparkSession
     held = tiles.select("tile", "vec_id", "label", "x", F.lit(None).cast("array<struct<low:double,high:double>>").alias("windows"), F.lit(0).alias("k"), F.lit(None).cast("long").alias("row"))
-    met = held.unionByName(asked.select(held.columns)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "tile").sortWithinPartitions("tile", "k")
+    met = held.unionByName(asked.select(held.columns)).repartitionById(count, F.col("tile")).sortWithinPartitions("tile", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, gathered, trees = None, [], {}
@@ -227,12 +226,15 @@ def mine(rows: DataFrame, length: int, anchors: Column, positives: int = POSITIV
     if not length:
         return empty
     tiles = tiles_of(rows, length)
+    last = tiles.agg(F.max("tile")).first()[0]
+    if last is None:
+        return empty
     # the anchor row itself is among its label's rows, with the score of its own square: one more is asked for
     asking = C.checkpointed(tiles.filter(anchors & F.col("vec_id").isNotNull()).select("vec_id", "label", "x", F.monotonically_increasing_id().alias("row")))
     every = F.array(F.struct(F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high")))
     holding = tiles.select("tile", "label").distinct()
     first = asking.join(holding, "label").select("tile", "vec_id", "label", "x", every.alias("windows"), F.lit(positives + 1).alias("k"), "row")
-    found = _first(_searched(tiles, first, length, True), ["anchor_row"], positives + 1)
+    found = _first(_searched(tiles, last + 1, first, length, True), ["anchor_row"], positives + 1)
     # of the rows with the anchor's id and square, one is the anchor: it goes, or the last row where it isn't among them
     square = asking.select(F.col("row").alias("anchor_row"), F.aggregate("x", F.lit(0).cast("long"), lambda s, c: s + c.cast("long") * c).alias("square"))
     own = (F.col("found_id") == F.col("anchor_id")) & (F.col("score") == F.col("square"))
@@ -243,10 +245,9 @@ def mine(rows: DataFrame, length: int, anchors: Column, positives: int = POSITIV
     score = F.col("positive_score").cast("decimal(20,0)")
     bound = near.select("anchor_row", "positive_score", F.ceil(score * low / 100).cast("double").alias("low"), F.floor(score * high / 100).cast("double").alias("high")).filter("low <= high")
     windows = bound.groupBy("anchor_row").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("windows"))
-    tile_count = tiles.agg(F.max("tile")).first()[0]
-    every_tile = F.explode(F.sequence(F.lit(0), F.lit(0 if tile_count is None else tile_count))).alias("tile")
+    every_tile = F.explode(F.sequence(F.lit(0), F.lit(last))).alias("tile")
     second = asking.join(windows, asking["row"] == windows["anchor_row"]).select(every_tile, "vec_id", "label", "x", "windows", F.lit(negatives).alias("k"), "row")
-    hard = _first(_searched(tiles, second, length, False), ["anchor_row", "nth"], negatives)
+    hard = _first(_searched(tiles, last + 1, second, length, False), ["anchor_row", "nth"], negatives)
     hard = hard.select("anchor_row", "nth", "rank", F.col("found_id").alias("negative_id"), F.col("score").alias("negative_score"))
     numbered = windows.select("anchor_row", F.posexplode("windows").alias("nth", "w")).select("anchor_row", "nth", "w.low", "w.high")
     asked = near.join(bound.distinct(), ["anchor_row", "positive_score"])
