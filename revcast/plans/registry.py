@@ -916,6 +916,36 @@ def q_feature_importances(spark, sf):
     return _campaign_importances(spark, sf)
 
 
+#: Rounds of the registered queries' models (early stopping may end them sooner).
+BOOSTING_ROUNDS = 20
+
+
+def _boosted(spark, sf):
+    """The boosted models of all granularities and the dictionary, trained once per session and source version."""
+    from revcast.operators.boosting import BoostingParams, train_boosted
+    key = ("boosted", *_model_key(spark, sf))
+    if key not in _MODELS:
+        f = daily.feature_daily(spark, sf)
+        dictionary = daily.materialize(en.fit_dictionary(f), "dictionary")
+        _MODELS[key] = train_boosted(f, dictionary, params=BoostingParams(rounds=BOOSTING_ROUNDS)), dictionary
+    return _MODELS[key]
+
+
+@register("boosted_forecast", None)
+def q_boosted_forecast(spark, sf):
+    """Forecast by boosted quantile regressions at all granularities and horizons (rows-only check)."""
+    f = daily.feature_daily(spark, sf)
+    models, dictionary = _boosted(spark, sf)
+    dq = mo.forest_daily_quantiles(f, models, dictionary)
+    return present(fc.forecast(f, daily_quantiles=dq, snapshot=daily.landed_snapshot(spark, sf)), FORECAST_SPEC)
+
+
+@register("split_importances", None)
+def q_split_importances(spark, sf):
+    """M8: split counts by granularity, quantile and feature."""
+    return mo.importance_table(_boosted(spark, sf)[0])
+
+
 def _explain_sql_long(x: str) -> str:
     exact = " ".join(f"WHEN {x} = '{k}' THEN '{v}'" for k, v in K.FEATURE_EXPLANATIONS.items())
     w = f"split_part({x}, '_', 3)"

@@ -7,13 +7,14 @@ from tests.conftest import SF0001
 
 
 def test_train_then_predict_end_to_end(spark):
-    from revcast.plans import runs
+    from revcast.operators.boosting import BoostingParams
+    from revcast.plans import runs, store
     from revcast.sources.sinks import read_forecast
     feats = runs.load_daily(spark, SF0001, kind="fixture")
     base = tempfile.mkdtemp(prefix="revcast-run-")
-    models = runs.train(spark, feats, os.path.join(base, "models"))
+    models = runs.train(spark, feats, os.path.join(base, "models"), params=BoostingParams(rounds=2))
     assert set(models) == {"channel", "campaign_type", "campaign"}
-    ev = spark.read.parquet(os.path.join(base, "models", "evaluation")).collect()
+    ev = spark.read.parquet(os.path.join(store.newest(spark, os.path.join(base, "models")), "evaluation")).collect()
     assert {(r["granularity"], r["fold"], r["quantile"]) for r in ev} == {(g, k, q) for g in models for k in range(5) for q in (0.1, 0.5, 0.9)}
     uri, _ = runs.load_models(spark, "file://" + os.path.join(base, "models"))
     assert set(uri) == set(models)
