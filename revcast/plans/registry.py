@@ -47,6 +47,56 @@ def q_clean_daily(spark, sf):
     return present(daily.cleaned_daily(spark, sf), CLEAN_SPEC)
 
 
+# ---------------------------------------------------------------- vendor records
+#: CSV columns of each vendor's records over lineitem, in an order of their own, with one unnamed and one
+#: quoted extra column: (name, value in both dialects).  Names hold commas, doubled quotes and line breaks.
+_VENDOR_NAME = "concat('Prospecting_', l_returnflag, ', \"x\"', chr(10), l_linestatus)"
+_VENDOR_TYPE = "CASE l_returnflag WHEN 'A' THEN '{}' WHEN 'N' THEN '{}' ELSE 'search' END"
+_VENDOR_BUDGET = "CASE WHEN l_linenumber = 1 THEN '' ELSE CAST(CAST(l_quantity AS INT) AS STRING) END"
+_VENDOR_COLUMNS = {
+    "google": {"": "'0'", "campaign_budget_amount": _VENDOR_BUDGET, "segments_date": "DATE", "a, b": "'1,2'", "campaign_name": _VENDOR_NAME,
+               "campaign_advertising_channel_type": _VENDOR_TYPE.format("SEARCH", "DEMAND_GEN"), "campaign_id": "CAST(l_orderkey AS STRING)",
+               "metrics_cost_micros": "CAST(CAST(l_quantity * 1000000 AS BIGINT) AS STRING)", "metrics_conversions_value": "CAST(CAST(l_extendedprice AS BIGINT) AS STRING)",
+               "metrics_clicks": "CAST(l_linenumber AS STRING)", "metrics_impressions": "concat(CAST(l_orderkey AS STRING), '.0')", "metrics_conversions": "'2.5'"},
+    "bing": {"Spend": "CAST(CAST(l_quantity AS INT) AS STRING)", "Revenue": "CAST(CAST(l_extendedprice AS BIGINT) AS STRING)", "TimePeriod": "DATE", "Max, bid": "'1,2'",
+             "CampaignType": _VENDOR_TYPE.format("PerformanceMax", "Audience"), "CampaignName": _VENDOR_NAME, "CampaignId": "CAST(l_orderkey AS STRING)",
+             "Impressions": "concat(CAST(l_orderkey AS STRING), '.0')", "Clicks": "CAST(l_linenumber AS STRING)", "Conversions": "'2.5'", "DailyBudget": _VENDOR_BUDGET, "": "''"},
+    "meta": {"campaign_name": _VENDOR_NAME, "impressions": "concat(CAST(l_orderkey AS STRING), '.9')", "date_start": "DATE", "campaign_id": "CAST(l_orderkey AS STRING)", "x,\n\"y\"": "'1,2'",
+             "conversion": "CAST(CAST(l_extendedprice AS BIGINT) AS STRING)", "spend": "CAST(CAST(l_quantity AS INT) AS STRING)", "clicks": "concat(CAST(l_linenumber AS STRING), '.2')",
+             "daily_budget": _VENDOR_BUDGET},
+}
+
+
+def _vendor_records(spark, sf, channel):
+    """The vendor's records over lineitem, read by the vendor reader."""
+    from revcast.session import table_path
+    from revcast.sources import vendors as V
+
+    columns = _VENDOR_COLUMNS[channel]
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+    day = F.element_at(F.array(*[F.date_format("l_shipdate", f) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "M/d/yyyy")]), F.col("l_linenumber") % 3 + 1)
+    cells = [day if v == "DATE" else quoted(F.expr(v)) if any(c in v for c in ",(") else F.expr(v) for v in columns.values()]
+    head = ",".join('"' + c.replace('"', '""') + '"' if "," in c else c for c in columns)
+    names = V.header_names(head)
+    files = spark.createDataFrame([("f", len(names), [names.index(c) for c in V.LAYOUTS[channel]])], "file string, width int, places array<int>")
+    rows = spark.read.parquet(table_path(sf, "lineitem")).select(F.lit("f").alias("file"), F.lit(channel).alias("channel"), F.concat_ws(",", *cells).alias("record"))
+    return present(V.unified_of(rows, files), CLEAN_SPEC)
+
+
+def _vendor_sql(channel):
+    kinds = {"google": ("SEARCH", "DEMAND_GEN"), "bing": ("PERFORMANCE_MAX", "AUDIENCE"), "meta": ("PROSPECTING", "PROSPECTING")}[channel]
+    return f"""WITH u AS (SELECT CAST(l_shipdate AS DATE) AS date, '{channel}' AS channel,
+      CASE l_returnflag WHEN 'A' THEN '{kinds[0]}' WHEN 'N' THEN '{kinds[1]}' ELSE '{'PROSPECTING' if channel == 'meta' else 'OTHER'}' END AS campaign_type,
+      {_VENDOR_NAME} AS campaign_name, CAST(l_orderkey AS VARCHAR) AS campaign_id, CAST(CAST(trunc(l_extendedprice) AS BIGINT) AS DOUBLE) AS revenue,
+      CAST(CAST(l_quantity AS INT) AS DOUBLE) AS spend, CAST(l_linenumber AS BIGINT) AS clicks, CAST(l_orderkey AS BIGINT) AS impressions,
+      {'CAST(NULL AS DOUBLE)' if channel == 'meta' else '2.5'} AS conversions, CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(CAST(l_quantity AS INT) AS DOUBLE) END AS daily_budget
+      FROM lineitem) SELECT {sql_select(CLEAN_SPEC, UNIFIED_COLUMNS)} FROM u"""
+
+
+for _v in _VENDOR_COLUMNS:
+    REGISTRY[f"vendor_{_v}"] = Query(lambda spark, sf, v=_v: _vendor_records(spark, sf, v), _vendor_sql(_v))
+
+
 # ---------------------------------------------------------------- forecast
 FORECAST_SPEC = {
     "forecast_horizon": "int", "days_in_window": "int", "nonzero_revenue_days": "int",

@@ -1,22 +1,28 @@
 """Vendor export scans (S1-S5) with normalisation to the unified schema.
 
-The files of a folder are read as lines, distributed, with the file each line is from. The lines
-that name all columns of a vendor's layout are headers; each file's rows are parsed by its own
-header and then projected *by name* with explicit ANSI casts. So files of one vendor may differ in
-column order or have extra columns (an unnamed index), bad numbers and dates fail the job like a
-strict cast would, and only the distinct headers reach the driver. The vendor is a column expression
-on the file name: the first of google / bing / meta that it contains, in either case; other files
-are skipped.
-
-A quoted field may hold commas and doubled quotes, but no line break.
+The files of a folder are read as lines, distributed, with the file each line is from and its place in
+it, and put together to records: a quoted field may hold commas, doubled quotes and line breaks.  A
+line begins a record if the quotes before it in its file are even in number; that is a prefix sum over
+the splits of a file and the lines of a split, taken only in files in which a line has an odd number.
+
+A file's first record is its header.  Only the distinct headers reach the driver; each gives the places
+of its vendor's columns, and one pass cuts every record into cells, checks their number against the
+header's, and picks the columns by place.  So files of one vendor may differ in column order or have
+extra columns (an unnamed index).  The vendor is a column expression on the file name: the first of
+google / bing / meta that it contains, in either case; other files are skipped.
+
+What a strict cast would not take fails the job: a bad number or date, empty clicks or impressions, a
+record with more or fewer cells than its header, a quote inside a cell that isn't quoted, and quotes
+left open at a file's end.  Line breaks inside a cell become a line feed each; blank lines are skipped.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import csv
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revcast import constants as K
@@ -45,56 +51,65 @@ def parse_date(c: Column) -> Column:
     return F.when(bad, F.raise_error(F.concat(F.lit("not a date: "), c)).cast("date")).otherwise(parsed)
 
 
-def _double(c: str) -> Column:
-    return nan_to_null(F.col(c).cast("double"))
+def _double(c: Column) -> Column:
+    return nan_to_null(c.cast("double"))
 
 
-def normalise_google(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        parse_date(F.col("segments_date")).alias("date"),
+def _count(c: Column, name: str) -> Column:
+    """A whole number; decimals are cut off, an empty cell is an error."""
+    number = F.coalesce(c.try_cast("bigint"), c.cast("double").cast("bigint"))
+    return F.when(c.isNull(), F.raise_error(F.lit(f"empty {name}")).cast("bigint")).otherwise(number)
+
+
+Cell = Callable[[str], Column]
+
+
+def google_columns(cell: Cell) -> list[Column]:
+    return [
+        parse_date(cell("segments_date")).alias("date"),
         F.lit("google").alias("channel"),
-        map_campaign_type(F.col("campaign_advertising_channel_type")).alias("campaign_type"),
-        F.col("campaign_name").cast("string").alias("campaign_name"),
-        F.col("campaign_id").cast("string").alias("campaign_id"),
-        _double("metrics_conversions_value").alias("revenue"),
-        (_double("metrics_cost_micros") / 1_000_000).alias("spend"),
-        F.col("metrics_clicks").cast("bigint").alias("clicks"),
-        F.col("metrics_impressions").cast("bigint").alias("impressions"),
-        _double("metrics_conversions").alias("conversions"),
-        _double("campaign_budget_amount").alias("daily_budget"))
-
-
-def normalise_bing(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        parse_date(F.col("TimePeriod")).alias("date"),
+        map_campaign_type(cell("campaign_advertising_channel_type")).alias("campaign_type"),
+        cell("campaign_name").cast("string").alias("campaign_name"),
+        cell("campaign_id").cast("string").alias("campaign_id"),
+        _double(cell("metrics_conversions_value")).alias("revenue"),
+        (_double(cell("metrics_cost_micros")) / 1_000_000).alias("spend"),
+        _count(cell("metrics_clicks"), "clicks").alias("clicks"),
+        _count(cell("metrics_impressions"), "impressions").alias("impressions"),
+        _double(cell("metrics_conversions")).alias("conversions"),
+        _double(cell("campaign_budget_amount")).alias("daily_budget")]
+
+
+def bing_columns(cell: Cell) -> list[Column]:
+    return [
+        parse_date(cell("TimePeriod")).alias("date"),
         F.lit("bing").alias("channel"),
-        map_campaign_type(F.col("CampaignType")).alias("campaign_type"),
-        F.col("CampaignName").cast("string").alias("campaign_name"),
-        F.col("CampaignId").cast("string").alias("campaign_id"),
-        _double("Revenue").alias("revenue"),
-        _double("Spend").alias("spend"),
-        F.col("Clicks").cast("bigint").alias("clicks"),
-        F.col("Impressions").cast("bigint").alias("impressions"),
-        _double("Conversions").alias("conversions"),
-        _double("DailyBudget").alias("daily_budget"))
-
-
-def normalise_meta(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        parse_date(F.col("date_start")).alias("date"),
+        map_campaign_type(cell("CampaignType")).alias("campaign_type"),
+        cell("CampaignName").cast("string").alias("campaign_name"),
+        cell("CampaignId").cast("string").alias("campaign_id"),
+        _double(cell("Revenue")).alias("revenue"),
+        _double(cell("Spend")).alias("spend"),
+        _count(cell("Clicks"), "clicks").alias("clicks"),
+        _count(cell("Impressions"), "impressions").alias("impressions"),
+        _double(cell("Conversions")).alias("conversions"),
+        _double(cell("DailyBudget")).alias("daily_budget")]
+
+
+def meta_columns(cell: Cell) -> list[Column]:
+    return [
+        parse_date(cell("date_start")).alias("date"),
         F.lit("meta").alias("channel"),
-        meta_prefix_type(F.col("campaign_name")).alias("campaign_type"),
-        F.col("campaign_name").cast("string").alias("campaign_name"),
-        F.col("campaign_id").cast("string").alias("campaign_id"),
-        _double("conversion").alias("revenue"),          # money, not a count
-        _double("spend").alias("spend"),
-        F.col("clicks").cast("double").cast("bigint").alias("clicks"),            # float text, truncated
-        F.col("impressions").cast("double").cast("bigint").alias("impressions"),
+        meta_prefix_type(cell("campaign_name")).alias("campaign_type"),
+        cell("campaign_name").cast("string").alias("campaign_name"),
+        cell("campaign_id").cast("string").alias("campaign_id"),
+        _double(cell("conversion")).alias("revenue"),          # money, not a count
+        _double(cell("spend")).alias("spend"),
+        _count(cell("clicks"), "clicks").alias("clicks"),      # float text, truncated
+        _count(cell("impressions"), "impressions").alias("impressions"),
         F.lit(None).cast("double").alias("conversions"),
-        _double("daily_budget").alias("daily_budget"))
+        _double(cell("daily_budget")).alias("daily_budget")]
 
 
-NORMALISERS = {"google": normalise_google, "bing": normalise_bing, "meta": normalise_meta}
+VENDORS = {"google": google_columns, "bing": bing_columns, "meta": meta_columns}
 
 
 def channel_of(file_name: Column) -> Column:
@@ -103,45 +118,109 @@ def channel_of(file_name: Column) -> Column:
     return F.coalesce(*[F.when(name.contains(ch), F.lit(ch)) for ch in K.CHANNELS])
 
 
-def _cells(line: Column) -> Column:
-    """A header line's column names."""
-    return F.transform(F.split(F.ltrim(line, F.lit("\ufeff")), ","), lambda x: F.trim(F.btrim(F.trim(x), F.lit('"'))))
-
-
+# ------------------------------------------------------------------ records
 def vendor_lines(spark: SparkSession, data_dir: str) -> DataFrame:
-    """(file, channel, line, header) of the recognised CSV files: header is true for a line that
-    names all columns of its vendor's layout."""
+    """(file, channel, block, at, line) of the recognised CSV files; (block, at) is a line's place in its file."""
     try:
         lines = spark.read.option("pathGlobFilter", "*.csv").text(data_dir)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise NoInputError(f"{data_dir} does not exist") from e
         raise
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), channel_of(F.col("_metadata.file_name")).alias("channel"), F.col("value").alias("line"))
-    named = [(F.col("channel") == ch) & (F.size(F.array_intersect(_cells(F.col("line")), F.lit(cols))) == len(cols)) for ch, cols in LAYOUTS.items()]
-    return (lines.where(F.col("channel").isNotNull() & (F.trim("line") != ""))
-            .withColumn("header", reduce(lambda a, b: a | b, named)))
+    meta = F.col("_metadata")
+    lines = lines.select(meta["file_path"].alias("file"), channel_of(meta["file_name"]).alias("channel"), meta["file_block_start"].alias("block"),
+                         F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    return lines.where(F.col("channel").isNotNull())
+
+
+def _odd_quotes() -> Column:
+    return (F.length("line") - F.length(F.replace("line", F.lit('"')))) % 2
+
+
+def glued_records(lines: DataFrame) -> DataFrame:
+    """(file, channel, block, at, record): lines put together where a quoted field goes on over line breaks;
+    the place is the first line's."""
+    split = Window.partitionBy("file", "block").orderBy("at")
+    # parity before each line, first as if its split began outside quotes
+    inside = lines.withColumn("odd", _odd_quotes()).withColumn("before", F.sum("odd").over(split) - F.col("odd"))
+    even, uneven = (F.count(F.when(F.col("before") % 2 == k, 1)) for k in (0, 1))
+    splits = inside.groupBy("file", "block").agg(F.sum("odd").alias("odds"), even.alias("even"), uneven.alias("uneven"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("turn", F.coalesce(F.sum("odds").over(earlier), F.lit(0)) % 2)
+    splits = splits.withColumn("records", F.coalesce(F.sum(F.when(F.col("turn") == 0, F.col("even")).otherwise(F.col("uneven"))).over(earlier), F.lit(0)))
+    left_open = F.sum("odds").over(Window.partitionBy("file")) % 2 == 1
+    splits = splits.withColumn("turn", F.when(left_open, F.raise_error(F.concat(F.lit("quotes are left open in "), "file")).cast("bigint")).otherwise(F.col("turn")))
+    placed = inside.join(splits.select("file", "block", "turn", "records"), ["file", "block"])
+    first = ((F.col("before") + F.col("turn")) % 2 == 0).cast("bigint")
+    numbered = placed.withColumn("number", F.col("records") + F.sum(first).over(split))
+    glued = numbered.groupBy("file", "channel", "number").agg(F.array_sort(F.collect_list(F.struct("block", "at", "line"))).alias("parts"))
+    return glued.select("file", "channel", F.col("parts")[0]["block"].alias("block"), F.col("parts")[0]["at"].alias("at"),
+                        F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("record")).where(F.trim("record") != "")
+
+
+#: A cell after its comma: quoted (with doubled quotes), or without a quote in front, or empty.
+_CELL = r',("[^"]*+(?:""[^"]*+)*+"|[^",][^,]*+|)'
+
+
+def cells_of(record: Column) -> Column:
+    """A record's cells, unquoted, empty ones null; an error where quotes stand amid a cell."""
+    led = F.concat(F.lit(","), record)
+    found = F.regexp_extract_all(led, F.lit(_CELL), F.lit(1))
+    covered = F.aggregate(found, F.size(found), lambda n, c: n + F.length(c))
+    stray = F.exists(found, lambda c: ~c.startswith('"') & c.contains('"'))
+    plain = F.transform(found, lambda c: F.nullif(F.when(c.startswith('"'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c), F.lit("")))
+    return F.when((covered != F.length(led)) | stray, F.raise_error(F.concat(F.lit("not a CSV record: "), record)).cast("array<string>")).otherwise(plain)
+
+
+def header_names(head: str) -> list[str]:
+    return [c.strip() for c in next(csv.reader([head.lstrip("\ufeff")]))]
+
+
+def unified_of(records: DataFrame, heads: DataFrame) -> DataFrame:
+    """The unified rows of ``records`` (file, channel, record); ``heads`` has each file's width (cells) and
+    places (of its vendor's layout columns, in the layout's order)."""
+    rows = records.join(heads.select("file", "width", "places"), "file").withColumn("cells", cells_of(F.ltrim("record", F.lit("\ufeff"))))
+    fits = F.size("cells") == F.col("width")
+    told = F.concat(F.size("cells"), F.lit(" cells where the header has "), F.col("width"), F.lit(": "), F.col("record"))
+    rows = rows.select("channel", "places", F.when(fits, F.col("cells")).otherwise(F.raise_error(told).cast("array<string>")).alias("cells"))
+    each = None
+    for channel, columns in VENDORS.items():
+        place = {name: i for i, name in enumerate(LAYOUTS[channel])}
+        row = F.struct(*columns(lambda name, place=place: F.get("cells", F.get("places", F.lit(place[name])))))
+        each = F.when(F.col("channel") == channel, row) if each is None else each.when(F.col("channel") == channel, row)
+    return rows.select(each.alias("u")).select("u.*").select(*K.UNIFIED_COLUMNS)
 
 
 def load_all_channels(spark: SparkSession, data_dir: str) -> DataFrame:
     """Union of every recognised vendor file in the fixed unified column order."""
+    from revcast.plans.daily import materialize  # late import: plans depend on sources
+
     lines = vendor_lines(spark, data_dir)
-    heads = lines.where("header").groupBy("file", "channel").agg(F.min("line").alias("head"))
-    layouts = heads.select("channel", "head").distinct().orderBy("channel", "head").collect()     # distinct headers, not files
-    bare = lines.join(heads, "file", "left_anti").select("file").distinct().limit(3).collect()
-    if bare:
-        raise ValueError("no line names the vendor's columns in " + ", ".join(r["file"] for r in bare))
-    if not layouts:
+    place = F.struct("block", "at")
+    # one pass tells each file's first line, and whether a line has an odd number of quotes
+    files = materialize(lines.where(F.trim("line") != "").groupBy("file", "channel").agg(
+        F.min_by("line", place).alias("head"), F.min(place).alias("first"), (F.max(_odd_quotes()) == 1).alias("broken")), "files")
+    broken = files.where("broken")
+    records, heads = lines.where(F.trim("line") != "").withColumnRenamed("line", "record"), files.select("file", "channel", "head", "first")
+    if not broken.isEmpty():
+        glued = glued_records(lines.join(broken.select("file"), "file", "left_semi"))
+        records = records.join(broken.select("file"), "file", "left_anti").unionByName(glued)
+        first = glued.groupBy("file", "channel").agg(F.min_by("record", place).alias("head"), F.min(place).alias("first"))
+        heads = materialize(heads.join(broken.select("file"), "file", "left_anti").unionByName(first), "files")
+    distinct = heads.groupBy("channel", "head").agg(F.min("file").alias("file")).orderBy("channel", "head").collect()     # distinct headers, not files
+    if not distinct:
         raise NoInputError(f"{data_dir} holds no CSV file of {', '.join(K.CHANNELS)}")
-    rows = lines.where(~F.col("header")).join(heads.select("file", "head"), "file")
-    parts = []
-    for channel, head in layouts:
-        names = [c.strip().strip('"').strip() for c in head.lstrip("\ufeff").split(",")]
-        fields = [c if c in LAYOUTS[channel] and c not in names[:i] else f"_extra_{i}" for i, c in enumerate(names)]
-        raw = rows.where((F.col("channel") == channel) & (F.col("head") == head)).select(
-            F.inline(F.array(F.from_csv("line", ", ".join(f"`{c}` string" for c in fields)))))
-        parts.append(NORMALISERS[channel](raw).select(*K.UNIFIED_COLUMNS))
-    return reduce(DataFrame.unionByName, parts)
+    layouts = []
+    for r in distinct:
+        names = header_names(r["head"])
+        missing = [c for c in LAYOUTS[r["channel"]] if c not in names]
+        if missing:
+            raise ValueError(f"the header of {r['file']} does not name {', '.join(missing)}")
+        layouts.append((r["channel"], r["head"], len(names), [names.index(c) for c in LAYOUTS[r["channel"]]]))
+    known = spark.createDataFrame(layouts, "channel string, head string, width int, places array<int>")
+    heads = heads.join(known, ["channel", "head"]).select("file", "first", "width", "places")
+    body = records.join(heads.select("file", "first"), "file").where(place != F.col("first")).select("file", "channel", "record")
+    return unified_of(body, heads)
 
 
 def source_profile(unified: DataFrame) -> DataFrame:

@@ -74,9 +74,65 @@ def test_bad_date_and_missing_column_raise(spark):
     write(d, "bing.csv", BING.replace("2024-01-01,Display", "soon,Display"))
     with pytest.raises(PySparkException):
         load_all_channels(spark, d).collect()
-    d = tempfile.mkdtemp(prefix="revcast-short-")
+    d = tempfile.mkdtemp(prefix="revcast-column-")
     write(d, "bing.csv", BING.replace("Revenue", "Income"))
     with pytest.raises(ValueError):
         load_all_channels(spark, d)
     with pytest.raises(NoInputError):
         load_all_channels(spark, d + "/nowhere")
+
+
+def folder(**files):
+    d = tempfile.mkdtemp(prefix="revcast-csv-")
+    for name, text in files.items():
+        write(d, f"{name}.csv", text)
+    return d
+
+
+def test_comma_and_doubled_quotes_in_a_header(spark):
+    text = BING.replace("CampaignId,", 'CampaignId,"Max, bid","the ""best"" note",').replace(",21,", ',21,"9,5","x ""y""",').replace(",22,", ",22,,,")
+    rows = {r["campaign_name"]: r for r in load_all_channels(spark, folder(bing=text)).collect()}
+    assert (rows["B1"]["revenue"], rows["B1"]["spend"], rows["B1"]["clicks"], rows["B1"]["impressions"]) == (10.0, 5.0, 3, 30)
+    assert (rows["B2"]["revenue"], rows["B2"]["daily_budget"]) == (1.0, None)
+
+
+def test_line_breaks_in_quoted_cells(spark):
+    """Also with small splits, so that records, and the quotes they are told by, cross them."""
+    names = [f'"B{i}, ""x""\n\nline {i}\nend"' if i % 3 else f"B{i}" for i in range(200)]
+    body = "".join(f"2024-01-0{1 + i % 9},Search,{n},{i},1,2,3,4,5,6\n" for i, n in enumerate(names))
+    head = BING.split("\n")[0].replace("CampaignName", '"CampaignName"').replace("Spend", "Spend,\"two\nlines\"").replace(",Spend", ",Spend")
+    d = folder(bing_1=head.replace(',"two\nlines"', "") + "\n" + body, bing_2=BING,
+               bing_3=head + "\n2024-01-01,Search,\"a\nb\",900,1,2,,3,4,5,6\n")
+    want = {(str(i), n.strip('"').replace('""', '"')) for i, n in enumerate(names)} | {("21", "B1"), ("22", "B2"), ("900", "a\nb")}
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (small, "700"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = load_all_channels(spark, d).collect()
+            assert {(r["campaign_id"], r["campaign_name"]) for r in rows} == want and len(rows) == len(want)
+            assert {(r["revenue"], r["spend"], r["clicks"], r["impressions"], r["daily_budget"]) for r in rows if r["campaign_id"] not in ("21", "22")} == {(1.0, 2.0, 3, 4, 6.0)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+
+
+@pytest.mark.parametrize("old, new", [
+    (",3,30,1,20", ",,30,1,20"),                 # empty clicks
+    (",3,30,1,20", ",3,,1,20"),                  # empty impressions
+    (",3,30,1,20", ""),                          # a row cut short
+    (",3,30,1,20", ",3,30,1"),                   # one cell short
+    (",3,30,1,20", ",3,30,1,20,7"),              # one cell too many
+    (",3,30,1,20", ",many,30,1,20"),             # not a number
+    (",B1,", ',B"1",'),                          # quotes amid a cell
+    (",B1,", ',"B1"x,'),                         # text after quotes
+    (",B1,", ',"B1,'),                           # quotes left open
+])
+def test_what_a_strict_reader_does_not_take(spark, old, new):
+    assert old in BING
+    with pytest.raises(PySparkException):
+        load_all_channels(spark, folder(bing=BING.replace(old, new, 1))).collect()
+
+
+def test_whole_numbers_with_decimals_are_cut_off(spark):
+    rows = load_all_channels(spark, folder(bing=BING.replace(",3,30,", ",3.9,30.0,"))).collect()
+    assert {(r["clicks"], r["impressions"]) for r in rows} == {(3, 30), (1, 1)}
+
