@@ -301,6 +301,13 @@ def cache_of(spec: str, kind: str) -> ChunkCache:
     return _CACHES[key]
 
 
+def releasing(batches: Iterable[pa.RecordBatch], spec: str, kind: str) -> Iterable[pa.RecordBatch]:
+    """``batches``; at their end the cache is dropped, as the worker may serve other stages next."""
+    yield from batches
+    _CACHES.pop((hash(spec), kind), None)
+    C.give_back()
+
+
 def text_runs(column: pa.Array) -> Iterable[tuple[int, list[str | None]]]:
     """(first row, texts) of runs of about C.CHUNK_BYTES."""
     _, offsets = C.text_bytes(column)
@@ -326,7 +333,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches):
         encoder, cache = encoder_of(spec.value), cache_of(spec.value, "bytes")
-        for batch in batches:
+        for batch in releasing(batches, spec.value, "bytes"):
             for lo, texts in text_runs(batch.column("text")):
                 ids = [np.frombuffer(b"".join(chunks), "<u4").astype(np.int32) for chunks in cache.of_texts(texts)]
                 yield pa.RecordBatch.from_arrays(
@@ -343,7 +350,7 @@ def encoding_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFram
     def run(batches):
         cache = cache_of(spec.value, "text")
         token = {str(i): t for i, t in encoder_of(spec.value).token.items()}
-        for batch in batches:
+        for batch in releasing(batches, spec.value, "text"):
             for lo, texts in text_runs(batch.column("text")):
                 count, one, two = [], [], []
                 for chunks in cache.of_texts(texts):

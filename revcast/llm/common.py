@@ -12,6 +12,7 @@ Hash values only depend on the text, never on the process or the machine.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,6 +68,33 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on between tasks and share a machine with the heap."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has (whatever the case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Ids that stand for texts without one lie above this.
+NO_ID = 1 << 62
+
+
+def id_or_text(doc_id: Column, text: Column) -> Column:
+    """The id, or for a row without one a number of its text, above NO_ID and so behind all usual ids."""
+    return F.coalesce(doc_id.cast("long"), F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 2) + F.lit(NO_ID))
+
+
 # ------------------------------------------------------------------ hashing
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer: every input bit reaches every output bit (uint64 in, uint64 out)."""
@@ -178,7 +206,7 @@ def word_chunks(batch: pa.RecordBatch, text: str, kind: np.ndarray = NOT_SPACE,
     data, offsets = text_bytes(batch.column(text))
     for lo, hi in chunks(offsets):
         yield lo, hi, Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], kind, lower)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def by_text_and_value(value: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -258,7 +286,7 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, tuple[np.nda
             held.setdefault(int(kind[i]), []).append(tuple(values[at[i] : at[j]] for values, at in blobs))
     if held:
         yield from parts()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def meet(packed: DataFrame) -> DataFrame:
