@@ -19,8 +19,9 @@ A signature of more sets is hot: its members are only counted, and paired with t
 them (in a map task's flush already, so a third of all rows under one signature sends a few rows). A
 set with fewer hot signatures than `need` is light: it meets each partner at a signature that isn't hot.
 Only pairs of two heavy sets can have nothing but hot signatures in common. They are linked through
-the smallest members; where such a pair fails, `heavy_pairs` takes the sets around it and counts their
-shared signatures among themselves. The candidates left are compared exactly, by their texts, and
+the smallest members; where such pairs fail, `heavy_links` takes the sets they join and compares them
+in blocks, by bit maps whose differences never exceed the sets', and exactly where those are near; a
+block gives fewer links than it has sets. All other candidates are compared exactly, by their texts, and
 the links are closed to components.
 
 Nulls and edge cases: a null or empty text (or one of white space) has no shingles and is linked
@@ -294,121 +295,88 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFrame:
     return two.mapInArrow(_verify(percent), "x long, y long").distinct()
 
 
-def _map_around(buckets: int):
-    """Packed (signature, doc, need, component)."""
-
-    def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            ids, parts = C.int_column(batch.column("doc_id")), C.int_column(batch.column("component"))
-            for lo, _, words in C.word_chunks(batch, "text", lower=True):
-                for t, sig, _, need in signatures(*shingle_sets(words)):
-                    held.append((sig, ids[lo + t], need, parts[lo + t]))
-                    n += len(sig)
-                if n >= C.FLUSH:
-                    sig, doc, need, part = map(np.concatenate, zip(*held))
-                    yield from C.pack(sig, doc, need, buckets, more=part)
-                    held, n = [], 0
-        if n:
-            sig, doc, need, part = map(np.concatenate, zip(*held))
-            yield from C.pack(sig, doc, need, buckets, more=part)
-
-    return run
-
-
-def _mixed_members(batches):
-    """Members of the signatures that stand in several components."""
-    for kinds in C.unpack(batches):
-        sig, doc, need, part = kinds[0]
-        order = np.lexsort((doc, sig))
-        sig, doc, need, part = sig[order], doc[order], need[order], part[order]
-        start, length = C.runs_of(sig)
-        mixed = np.repeat(np.minimum.reduceat(part, start) != np.maximum.reduceat(part, start), length)
-        columns = (sig.view(np.int64), doc, need, part, np.repeat(length, length))
-        yield pa.RecordBatch.from_arrays([pa.array(c[mixed].astype(np.int64)) for c in columns], names=["sig", "doc", "need", "component", "n"])
-
-
-def heavy_pairs(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of ``labels`` (doc_id, component) in different components that share as many
-    signatures as linked sets must.
-
-    Only signatures that stand in several components matter. One of over HOT texts is read only for
-    texts that may share nothing but such with a partner: any other text meets each of its partners
-    at a signature that is not hot.
-    """
-    maybe = C.may_match(labels, "doc_id")
-    packed = (docs.select("doc_id", "text").filter(maybe(F.col("doc_id"))).join(labels, "doc_id")
-              .mapInArrow(_map_around(C.bucket_count(docs.sparkSession)), C.PACKED))
-    members = C.checkpointed(C.meet(packed).mapInArrow(_mixed_members, "sig long, doc long, need long, component long, n long"))
-    hot = F.col("n") > HOT
-    # need is smallest in the band that asks least; both bands' hot signatures count against it
-    texts = members.groupBy("doc").agg(F.min("need").alias("need"), F.count_if(hot).alias("hots"))
-    texts = texts.withColumn("light", F.col("need") > F.col("hots")).withColumn("cold", F.greatest(F.col("need") - F.col("hots"), F.lit(1)))
-    shared = members.drop("need").join(texts, "doc").filter(~hot | ~F.col("light")).select("sig", "doc", "component", "light", "need", "cold")
-    buckets = C.bucket_count(docs.sparkSession)
-    counted = C.meet(shared.mapInArrow(_map_shared(buckets), C.PACKED)).mapInArrow(_count_shared(buckets), C.PACKED)
-    return C.meet(counted).mapInArrow(_enough_shared, "x long, y long")
-
-
-#: Bits for the least number of shared signatures; a larger one counts as the largest that fits.
-_LEAST = 0x7FFF
+# ------------------------------------------------------------------ heavy sets among themselves
+#: Bytes of shingle hashes in a block of heavy sets.
+HEAVY_BLOCK = 8 << 20
+#: Bits of a set's bit map for each shingle of a mean set.
+MAP_BITS = 16
+_HEAVY = "doc_id long, component long, hub long, blocks int, block int, shingles binary"
 
 
-def _map_shared(buckets: int):
-    """Packed (signature, doc, least, component); least holds need (0 for a light set) and cold."""
-
-    def run(batches):
-        for batch in batches:
-            sig, doc, part, need, cold = (C.int_column(batch.column(c)) for c in ("sig", "doc", "component", "need", "cold"))
-            light = batch.column("light").to_numpy(zero_copy_only=False).astype(bool)
-            code = np.where(light, 0, np.clip(need, 1, _LEAST)) << 16 | np.clip(cold, 1, _LEAST)
-            yield from C.pack(sig.view(np.uint64), doc, code, buckets, more=part)
+def _heavy_sets(batches):
+    """The texts' sets, as sorted hashes."""
+    for batch in batches:
+        held = []
+        for lo, hi, words in C.word_chunks(batch, "text", lower=True):
+            text, value = shingle_sets(words)
+            first = np.searchsorted(text, np.arange(hi - lo + 1))
+            held += [value[i:j].tobytes() for i, j in zip(first[:-1], first[1:])]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "component", "hub", "blocks", "block")), pa.array(held, pa.binary())],
+                                         names=["doc_id", "component", "hub", "blocks", "block", "shingles"])
+
+
+def bit_maps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of 64-bit words for each set, each shingle turning one bit: two rows differ in no more bits
+    than the sets in shingles."""
+    bits = max(64, 1 << (MAP_BITS * sum(map(len, sets)) // max(1, len(sets))).bit_length())
+    out = np.zeros((len(sets), bits // 64), np.uint64)
+    for row, s in zip(out, sets):
+        at = s & np.uint64(bits - 1)
+        np.bitwise_xor.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+def spanning_links(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different components (two sides: only across), as few as join what the links
+    join. Pairs are told apart by their bit maps, and compared exactly where those are near enough."""
+    root = np.unique(component, return_inverse=True)[1].reshape(-1)
+    size = np.array([len(s) for s in sets], np.int64)
+    across = bool(side.any()) and not side.all()
+    maps, links = bit_maps(sets), []
+    for i in range(len(sets) - 1):
+        if not size[i]:
+            continue
+        rest = np.arange(i + 1, len(sets))
+        rest = rest[(root[rest] != root[i]) & (side[rest] != side[i] if across else True)]
+        rest = rest[100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])]
+        away = np.bitwise_count(maps[rest] ^ maps[i]).sum(axis=1, dtype=np.int64)
+        for j in rest[(100 + percent) * away <= (100 - percent) * (size[rest] + size[i])].tolist():
+            if root[j] != root[i]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (size[i] + size[j] - both):
+                    links.append((i, j))
+                    root[root == root[j]] = root[i]
+    return links
+
+
+def _block_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        ids, component, block = (table.column(c).to_numpy() for c in ("doc_id", "component", "block"))
+        order = np.argsort(component, kind="stable")
+        links = spanning_links([sets[k] for k in order], component[order], block[order] != block.min(), percent)
+        x, y = (ids[order[[link[k] for link in links]]] if links else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
     return run
 
 
-def _count_shared(buckets: int):
-    """Packed (x, y, shared signatures in this task) of members in different components; a key's low
-    bits hold the number that linked sets must share."""
-
-    def run(batches):
-        tally = Tally()
-        for kinds in C.unpack(batches):
-            sig, doc, code, part = kinds[0]
-            order = np.lexsort((doc, sig))
-            sig, doc, part = sig[order], doc[order], part[order]
-            need, cold = code[order] >> 16, code[order] & 0xFFFF
-
-            def add(j, i):
-                pick = part[j] != part[i]
-                j, i = j[pick], i[pick]
-                light = (need[j] == 0) | (need[i] == 0)
-                tally.add(np.where(light, np.maximum(cold[j], cold[i]), np.maximum(need[j], need[i])).astype(np.int64), doc[j], doc[i])
-
-            start, length = C.runs_of(sig)
-            for m in np.unique(length[(length > 1) & (length <= 64)]).tolist():
-                one, two = np.triu_indices(m, 1)
-                for at in np.array_split(start[length == m], max(1, len(one) * int((length == m).sum()) // C.FLUSH)):
-                    add((at[:, None] + two).ravel(), (at[:, None] + one).ravel())
-            for at, m in zip(start[length > 64].tolist(), length[length > 64].tolist()):
-                for i in range(at, at + m - 1):
-                    rest = np.arange(i + 1, at + m)
-                    add(rest, np.full(len(rest), i))
-        least, x, y, n = tally.summed()
-        yield from C.pack(C.mix(x.astype(np.uint64)) & ~np.uint64(0xFFFF) | least.astype(np.uint64), x, n, buckets, more=y)
+def heavy_links(docs: DataFrame, around: DataFrame, percent: int = 75) -> DataFrame:
+    """Links (x, y) that join the components of ``around`` (doc_id, component, hub, n_shingles) as far as
+    links between its sets, of one hub each, do.
 
-    return run
-
-
-def _enough_shared(batches):
-    """The pairs (x, y) that share enough signatures over all tasks."""
-    for kinds in C.unpack(batches):
-        key, x, n, y = kinds[0]
-        tally = Tally()
-        tally.add((key & np.uint64(0xFFFF)).astype(np.int64), x, y, n.astype(np.int64))
-        least, x, y, n = tally.summed()
-        enough = n >= least
-        yield pa.RecordBatch.from_arrays([pa.array(x[enough]), pa.array(y[enough])], names=["x", "y"])
+    A hub's sets fall into blocks by a hash, of about HEAVY_BLOCK bytes whatever the hub's size, and each
+    pair of blocks is one group: what a task holds is bounded, and it gives fewer links than it has sets.
+    """
+    blocks = around.groupBy("hub").agg(F.ceil(F.sum("n_shingles") * 8 / HEAVY_BLOCK).cast("int").alias("blocks"))
+    dealt = around.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    maybe = C.may_match(around, "doc_id")
+    texts = docs.select("doc_id", "text").filter(maybe(F.col("doc_id"))).distinct().join(dealt.select("doc_id", "component", "hub", "blocks", "block"), "doc_id")
+    sets = texts.mapInArrow(_heavy_sets, _HEAVY)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    paired = sets.select("doc_id", "component", "hub", "block", "shingles", other)
+    paired = paired.select("doc_id", "component", "hub", "block", "shingles", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    return paired.groupBy("hub", "one", "two").applyInArrow(_block_links(percent), "x long, y long")
 
 
 # ------------------------------------------------------------------ the operator
@@ -458,18 +426,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     edges = C.checkpointed(edges.unionByName(verified(docs, near, percent)))
     labels = C.checkpointed(components(edges))
 
-    # heavy sets around a hot pair that failed may be linked through hot signatures only
-    failed = label_pairs(hot.select("x", "y"), labels)
-    around = failed.select("x").unionAll(failed.select(F.col("y").alias("x"))).distinct()
-    both = hot.select("x", "y").unionAll(hot.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    for _ in range(3):  # a set, its flush's smallest, the smallest of all, another flush's smallest, a set of that flush
-        around = around.unionAll(both.join(around, "x").select(F.col("y").alias("x"))).distinct()
-    heavy = member.filter("cold <= 0").select(F.col("class_id").alias("x")).distinct()
-    around = around.join(heavy, "x", "left_semi").join(labels.toDF("x", "component"), "x", "left")
-    around = C.checkpointed(around.select(F.col("x").alias("doc_id"), F.coalesce("component", "x").alias("component")))
-    if not around.isEmpty():
-        more = heavy_pairs(docs, around).join(near, ["x", "y"], "left_anti")
-        found = C.checkpointed(verified(docs, C.checkpointed(more), percent))
+    # heavy sets may be linked through hot signatures only: a way over hot pairs leaves a component by
+    # failed ones, so the components that those join are a hub, and its heavy sets meet among themselves
+    failed = C.checkpointed(label_pairs(hot.select("x", "y"), labels).select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct())
+    if not failed.isEmpty():
+        hubs = components(failed)
+        heavy = member.filter("cold <= 0").groupBy("class_id").agg(F.max("n_shingles").alias("n_shingles"))
+        heavy = heavy.join(labels.toDF("class_id", "component"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+        around = C.checkpointed(heavy.join(hubs.toDF("component", "hub"), "component").select(F.col("class_id").alias("doc_id"), "component", "hub", "n_shingles"))
+        found = C.checkpointed(heavy_links(docs, around, percent))
         if not found.isEmpty():
             labels = components(edges.unionByName(found))
 
@@ -482,9 +447,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: the smallest id's (rows without an id stay)."""
-    gone = near_duplicates(docs, percent).filter("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of ``docs`` for each component: the smallest id's.
+
+    A row without an id goes by its text, behind all rows with one. Of rows that repeat an id and text one
+    stays; different texts of one id stay both.
+    """
+    key, role = C.free_name(docs, "__key"), C.free_name(docs, "__role")
+    keyed = docs.withColumn(key, C.id_or_text(F.col("doc_id"), F.col("text")))
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), percent)
+    roles = found.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n"))
+    gone = F.col("least") != F.col("doc_id")
+    roles = C.checkpointed(roles.filter(gone | (F.col("n") > 1)).select(F.col("doc_id").alias(key), F.when(gone, "gone").otherwise("repeated").alias(role)))
+    rows = keyed.join(roles, key, "left")
+    kept = rows.filter(F.col(role).isNull()).select(*docs.columns)
+    return kept.unionByName(rows.filter(F.col(role) == "repeated").dropDuplicates([key, "text"]).select(*docs.columns))
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -205,8 +205,9 @@ def test_ngram_join(spark, rows, docs, none):
     for r in got:
         assert r.component_id == (want[r.doc_id] if r.doc_id is not None else None), r
     assert {r.doc_id: r.class_id for r in got}[12] == 10
-    kept = sorted(r.doc_id for r in ngram_join.keep_one(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])).collect())
-    assert kept == sorted(set(want.values()))
+    kept = ngram_join.keep_one(docs).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(want.values()))  # also of repeated rows one
+    assert sorted(r.text or "" for r in kept if r.doc_id is None) == sorted(t or "" for i, t in rows if i is None)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -403,6 +404,26 @@ def test_decontamination_of_runs(spark):
     assert got == want and {(10 * k + j, k) for k in range(1, 5) for j in (0, 1, 2)} <= want.keys() and (13, 1) not in want
 
 
+@pytest.mark.parametrize("low, high, least", [(0.75, 0.8, 0.97), (0.8, 1.0, 0.998)])
+def test_recall_of_fingerprints(spark, low, high, least):
+    """Pairs found by fingerprints alone, of all pairs in a range of similarity: items of 40 to 120 words with some words changed."""
+    rnd = np.random.default_rng(int(100 * low))
+    items, texts = [], []
+    for i in range(60):
+        words = X.prose(5000 + i, int(rnd.integers(40, 120)))
+        items.append((i, " ".join(words)))
+        for k in range(25):
+            copy = list(words)
+            for at in rnd.integers(0, len(words), max(1, int(len(words) * rnd.random() * 0.05))):
+                copy[at] = f"z{k}y{at}"
+            texts.append((1000 * i + k, " ".join(copy)))
+    docs, benchmark = X.documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    pairs = lambda df: {(r.doc_id, r.item_id) for r in df.filter(f"similarity >= {low} and similarity < {high}").collect()}
+    every = pairs(decontaminate.contaminated(docs, benchmark, exact=True))
+    found = pairs(decontaminate.contaminated(docs, benchmark))
+    assert len(every) > 80 and found <= every and len(found) >= least * len(every), (len(found), len(every))
+
+
 def test_fingerprint(spark):
     rnd = np.random.default_rng(2)
     arrays = [rnd.integers(-(2**63), 2**63, n).tolist() for n in (1, 2, 3, 36, 55, 501)]
@@ -432,3 +453,59 @@ def test_pipeline(spark):
             assert set(left) == {i for i, _ in rows} - {i for i, _ in X.contaminated(rows, items)}
         d = spark.createDataFrame(d.collect(), d.schema)
     assert {r.doc_id for r in out.collect()} == set(left)
+
+
+def near_copies(n, words=200, changed=4, seed=1):
+    """Copies of one text with some random words changed each: most pairs just miss the threshold."""
+    base, rnd = X.prose(77, words), np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for at in rnd.choice(words, changed, replace=False):
+            copy[at] = f"w{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("n, block", [(400, ngram_join.HEAVY_BLOCK), (150, 60_000)])
+def test_large_group_of_near_copies(spark, monkeypatch, n, block):
+    """The links that heavy sets are joined by are fewer than the sets for each pair of blocks, and lose nothing."""
+    counts = []
+    heavy = ngram_join.heavy_links
+    monkeypatch.setattr(ngram_join, "heavy_links", lambda docs, around, percent: [counts.append((around.count(), out := heavy(docs, around, percent), out.count())), out][1])
+    monkeypatch.setattr(ngram_join, "HEAVY_BLOCK", block)
+    rows = near_copies(n)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(X.documents(spark, rows)).collect()}
+    assert got == X.components(rows)
+    (sets, _, links), = counts
+    assert n // 2 < sets <= n and links < sets * (1 if n == 400 else 10)
+
+
+@given(st.integers(0, 10_000), st.sampled_from([75, 80, 90]), st.booleans())
+@settings(max_examples=60, deadline=None)
+def test_spanning_links_join_what_all_links_join(seed, percent, two_sides):
+    rnd = np.random.default_rng(seed)
+    base = rnd.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rnd.choice(base, rnd.integers(0, 60), replace=False), rnd.integers(0, 2**63, rnd.integers(0, 6)).astype(np.uint64)])) for _ in range(25)]
+    maps = ngram_join.bit_maps(sets)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            assert np.bitwise_count(maps[i] ^ maps[j]).sum() <= len(np.setxor1d(a, sets[j]))
+    component, side = rnd.integers(0, 15, 25), (rnd.integers(0, 2, 25) > 0) if two_sides else np.zeros(25, bool)
+    order = np.argsort(component, kind="stable")
+    component, side = component[order], side[order]
+    across = side.any() and not side.all()
+
+    def linked(i, j):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        return len(sets[i]) and len(sets[j]) and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both)
+
+    def closed(pairs):
+        root = component.copy()
+        for i, j in pairs:
+            root[root == root[j]] = root[i]
+        return [tuple(root == r) for r in root]
+
+    every = [(i, j) for j in range(25) for i in range(j) if linked(i, j) and (side[i] != side[j] or not across)]
+    got = ngram_join.spanning_links(sets, component, side, percent)
+    assert set(got) <= set(every) and closed(got) == closed(every) and len(got) < 25
