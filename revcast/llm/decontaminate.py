@@ -14,21 +14,22 @@ over the sum of the larger counts of each shingle.
 3. SimHash. Each window gets a 64-bit fingerprint of its shingles, each numbered by its occurrence in
    the window: repeats are members of a set of their own and don't weigh on the same bits. Bits are
    counted sixteen at a time, in the four 16-bit lanes of one long.
-4. Blocks. Fingerprints within RADIUS = 19 bits agree to 3 bits in one of five blocks of 12 or 13
-   bits. The index holds, for each item and block, all values within 3 bits, so an equality join on
-   (size, block, value) guarantees every pair within the radius. Similarity 0.75 lies at about 11
-   differing bits, so the radius is over two and a half deviations away for one window.
-5. Held shingles. A similar window lacks the item's shingles at `spare` positions at most, so one of
-   its first spare + 1 positions holds one: these pairs are taken too, and no similar pair depends on
-   its fingerprint.
-6. Check. The pairs of steps 4 and 5 are compared shingle by shingle.
+4. Blocks. Fingerprints within RADIUS = 17 bits agree to 2 bits in one of six blocks of 10 or 11
+   bits. The index holds, for each item and block, all values within 2 bits (380 rows an item), so an
+   equality join on (size, block, value) guarantees every pair within the radius. Windows of similarity
+   0.75 differ in 11 bits in the mean, with a deviation of 3, so the radius loses about one in seventy of
+   those that just meet the threshold, and next to none above 0.8 (measured in the tests).
+5. With ``exact``, also pairs by held shingles: a similar window lacks the item's shingles at `spare`
+   positions at most, so one of its first spare + 1 positions holds one. No pair depends on its
+   fingerprint then.
+6. Check. The pairs are compared shingle by shingle.
 
 Equal windows are one row from step 3 on, so a passage that a third of all texts hold is compared
 once. Nothing is broadcast by hint; the planner takes the benchmark's side while it is small.
 
 Nulls and edge cases: a null or empty text has no words and matches nothing; texts and items of
-fewer than five words have no shingle and match nothing; items of over 16,383 words skip step 4
-(step 5 finds their pairs); rows without doc_id or item_id are not reported; rows that repeat an
+fewer than five words have no shingle and match nothing; items of over 16,383 words are found by
+step 5, which they always take; rows without doc_id or item_id are not reported; rows that repeat an
 id count as texts of that id; equal items each have their own pairs; empty tables give an empty
 result; other columns are ignored.
 """
@@ -40,13 +41,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revcast.llm.common import checkpointed, may_match, table
+from revcast.llm.common import checkpointed, free_name, id_or_text, may_match, table
 
 WIDTH = 5
 PERCENT = 75
-RADIUS = 19
-#: (first bit, bits) of each block; RADIUS // 5 = 3 bits may differ in one of them.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+RADIUS = 17
+#: (first bit, bits) of each block; RADIUS // 6 = 2 bits may differ in one of them.
+BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 SLACK = RADIUS // len(BLOCKS)
 LANES = 16
 _LANE_ONES = 0x0001000100010001
@@ -137,9 +138,17 @@ def _least_held(span: Column, size: Column) -> Column:
     return F.ceil(PERCENT * (span + size - WIDTH + 1) / (100 + PERCENT)).cast("int")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _holding(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """Windows and items that share one of the window's first shingles, whatever their fingerprints."""
+    spare = F.size("window") - _least_held(F.size("window"), F.col("size"))
+    first = windows.select("size", "content", F.explode(F.array_distinct(F.slice("window", F.lit(1), spare + 1))).alias("h"))
+    return first.join(items.select("item_id", "size", F.explode(F.array_distinct("hashes")).alias("h")), ["size", "h"]).select("size", "content", "item_id")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, exact: bool = False) -> DataFrame:
     """(doc_id, item_id, similarity, first_word) for each contaminated text and item: the best
-    window's similarity and its start (words from 0; the first of equal ones that begin with an item's shingle)."""
+    window's similarity and its start (words from 0; the first of equal ones that begin with an item's shingle).
+    ``exact``: also the pairs whose fingerprints differ in more than RADIUS bits (step 5)."""
     items = checkpointed(benchmark_items(benchmark))
     known = items.select("size", F.explode("hashes").alias("h")).distinct()
     least = items.agg(F.min("size")).first()[0] or WIDTH
@@ -180,12 +189,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = (probe.join(index, ["size", "block", "value"]).filter(F.bit_count(F.col("bits").bitwiseXOR(F.col("item_bits"))) <= RADIUS)
            .select("size", "content", "item_id").distinct())
 
-    # windows and items that share one of the window's first shingles, whatever their fingerprints
-    spare = F.size("window") - _least_held(F.size("window"), F.col("size"))
-    first = different.select("size", "content", F.explode(F.array_distinct(F.slice("window", F.lit(1), spare + 1))).alias("h"))
-    held = first.join(items.select("item_id", "size", F.explode(F.array_distinct("hashes")).alias("h")), ["size", "h"]).select("size", "content", "item_id")
-
-    pairs = met.unionByName(held).distinct().join(different.select("size", "content", "window"), ["size", "content"]).join(items.select("item_id", "hashes"), "item_id")
+    by_shingles = items if exact else items.filter(~fits)
+    met = met.unionByName(_holding(different, by_shingles)).distinct()
+    pairs = met.join(different.select("size", "content", "window"), ["size", "content"]).join(items.select("item_id", "hashes"), "item_id")
     pairs = pairs.withColumn("common", overlap("window", "hashes")).withColumn("all", F.size("window") + F.size("hashes") - F.col("common"))
     alike = pairs.filter(100 * F.col("common") >= PERCENT * F.col("all")).select("size", "content", "item_id", (F.col("common") / F.col("all")).alias("similarity"))
     best = windows.select("doc_id", "size", "content", "start").join(alike, ["size", "content"])
@@ -194,8 +200,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text is not contaminated (rows without an id stay)."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose text is not contaminated; a row without an id is judged by its text."""
+    key = free_name(docs, "__key")
+    keyed = docs.withColumn(key, id_or_text(F.col("doc_id"), F.col("text")))
+    found = contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(found, key, "left_anti").select(*docs.columns)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
