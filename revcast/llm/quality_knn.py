@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revcast.llm import common as C
 
@@ -211,7 +212,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), pa.array(np.clip(model.score(term_weights(words)), 0, 1).astype(np.float64))], names=["row", "score"])
 
     rows = C.small_batches(docs).select(F.struct("*").alias("row"), "text")
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double").select("row.*", F.col("score").alias(name))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])).select("row.*", F.col("score").alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revcast.llm.common import table
+from revcast.llm.common import free_name, table
 
 #: Slots; a prime, over a hundred times SHARDS.
 SIZE = 65_537
@@ -73,8 +73,9 @@ def assign_shards(df: DataFrame, key: list[str], shards: list[str], size: int =
     """``df`` with slot and shard."""
     slots = df.sparkSession.createDataFrame(list(enumerate(lookup_table(shards, size, weights))), "slot int, shard string")
     df = df.select(*[c for c in df.columns if c in key or c not in ("slot", "shard")])
-    placed = df.withColumn("__slot", slot_of([F.col(k) for k in key], size)).drop(*[c for c in ("slot", "shard") if c in df.columns])
-    return placed.join(F.broadcast(slots), placed["__slot"] == slots["slot"]).drop("__slot")
+    at = free_name(df, "__slot")
+    placed = df.withColumn(at, slot_of([F.col(k) for k in key], size)).drop(*[c for c in ("slot", "shard") if c in df.columns])
+    return placed.join(F.broadcast(slots), placed[at] == slots["slot"]).drop(at)
 
 
 def write_shards(df: DataFrame, path: str, key: list[str], shards: list[str], files_each: int = 8, **options) -> None:

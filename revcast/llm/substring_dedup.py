@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revcast.llm import common as C
 
@@ -235,11 +236,11 @@ def _with_spots(docs: DataFrame, *more: str) -> DataFrame:
     gone = repeated_windows(docs)
     maybe = C.may_match(gone, "doc_id")
     hit = F.coalesce(maybe(F.col("doc_id")), F.lit(False))
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    own = F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(F.struct(own, *more).alias("row"), "text", own, hit.alias("hit"))
     spots = F.lit(None).cast("binary").alias("spots")
-    row = F.struct("doc_id", *more).alias("row")
-    return docs.filter(~hit).select(row, "text", spots).unionByName(
-        docs.filter(hit).join(gone, "doc_id", "left").select(row, "text", "spots"))
+    return rows.filter("not hit").select("row", "text", spots).unionByName(
+        rows.filter("hit").join(gone, "doc_id", "left").select("row", "text", "spots"))
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
@@ -267,7 +268,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns; the text without the removed words (n_chars follows it)."""
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
     rows = _with_spots(docs, *more)
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, text string"
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
     out = rows.mapInArrow(_cut_rows, schema).select("row.*", "text").select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in more else out
 
