@@ -10,8 +10,10 @@ of documents, so each works on what the stage before it kept:
 5. encoding: BPE ids (8), as digests.
 
 ``run`` writes each stage's rows as Parquet in a folder of its own in the shared checkpoint folder
-and reads them again, so a lost executor never reaches back beyond one stage. Rows without an id
-pass stages 2 and 4. Empty documents give an empty result.
+and reads them again, so a lost executor never reaches back beyond one stage. Rows without an id go by
+their text in stages 2 and 4 and are left whole by stage 3; of rows that repeat an id and text one
+passes stage 2. Empty documents give an empty result; more columns, whatever their names, pass to the
+last stage.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_knn.train(docs, common.table(spark, sf_dir, "labels"))
-    return quality_knn.scored(docs, model, "quality_score").filter(F.col("quality_score") >= quality_knn.KEEP_FROM).select(*docs.columns)
+    score = common.free_name(docs, "quality_score")
+    return quality_knn.scored(docs, model, score).filter(F.col(score) >= quality_knn.KEEP_FROM).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
