@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from revcast.constants import ROLLING_WINDOWS
 from revcast.functions.expr import safe_ratio
-from revcast.operators.clean import CAMPAIGN_KEYS, by_campaign, campaign_window
+from revcast.operators.clean import CAMPAIGN_KEYS, campaign_window
 
 ROLL_MEAN_BASES = ["revenue", "spend", "roas", "clicks"]
 ROLL_STD_BASES = ["revenue", "spend"]
@@ -70,8 +70,10 @@ def feature_order() -> list:
 
 
 def engineer_features(clean_df: DataFrame) -> DataFrame:
-    """11 unified columns -> 41 columns (30 features)."""
-    base = by_campaign(clean_df).withColumns({**calendar_columns(), **ratio_columns()})
+    """11 unified columns -> 41 columns (30 features).
+
+    Rows that are dealt by campaign already (straight after ``clean``) are not dealt again."""
+    base = clean_df.withColumns({**calendar_columns(), **ratio_columns()})
     first_date = F.min("date").over(Window.partitionBy(*CAMPAIGN_KEYS))
     with_win = base.withColumns({
         "days_since_campaign_start": F.datediff(F.col("date"), first_date),

@@ -1,15 +1,14 @@
-"""Period features (A2-A6): horizons x granularities in one GROUPING SETS job.
+"""Period features (A2-A6): horizons x granularities from mergeable states.
 
-Rows are attached to their horizons by ``assign_horizons`` (no join), then one
-aggregation with three grouping sets computes totals, means, std, distinct
-counts, half-over-half trend, seasonality and the carried-forward rolling
-values (``max_by`` over the ordering key, so no window and no per-group
-collection; it aggregates partially before the shuffle).
+Rows are attached to their horizons by ``assign_horizons`` (no join) and summed up to one state for each
+horizon and campaign: sums and counts, (n, mean, M2) for the deviations, the days as bits, the last row's
+rolling values.  Only these states enter the GROUPING SETS, so no raw row is multiplied by granularities
+or distinct counts: days are counted by or-ing their bits, campaigns by marking each name's first type.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revcast import constants as K
@@ -32,55 +31,80 @@ PERIOD_COLUMNS = [
 LAST_ROW_ORDER = ["campaign_name", "date", "campaign_type", "campaign_id"]
 
 
+_MEANS = {"mean_daily_revenue": "revenue", "mean_daily_spend": "spend", "mean_roas": "roas", "mean_cpc": "cpc", "mean_cvr": "cvr",
+          "mean_budget_util": "budget_utilization", "mean_daily_budget": "daily_budget", "avg_month": "month", "avg_quarter": "quarter",
+          "weekend_ratio": "is_weekend"}
+_TOTALS = {"total_revenue": "revenue", "total_spend": "spend", "total_clicks": "clicks", "total_impressions": "impressions",
+           "total_conversions": "conversions", "total_budget": "daily_budget"}
+_STDS = {"std_daily_revenue": "revenue", "std_daily_spend": "spend"}
+#: Days that a long's bits stand for.
+_DAYS = 62
+
+
 def _half_sum(col: str, first: bool):
     cond = F.col("date") <= F.col("_mid") if first else F.col("date") > F.col("_mid")
-    return F.coalesce(F.sum(F.when(cond, F.col(col))), F.lit(0.0))
+    return F.sum(F.when(cond, F.col(col)))
 
 
 def _trend(first, second):
     return F.when(first > 0, (second - first) / first).otherwise(F.lit(0.0))
 
 
+def campaign_states(hrows: DataFrame, days: int) -> DataFrame:
+    """One row for each horizon and campaign of ``hrows`` (with _age, days before the snapshot, and _mid)."""
+    order_key = F.struct(*[F.col(c) for c in LAST_ROW_ORDER])
+    measures = sorted({*_MEANS.values(), *_TOTALS.values()})
+    bit = lambda w: F.bit_or(F.when(F.floor(F.col("_age") / _DAYS) == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("_age") % _DAYS).cast("int"))))
+    states = hrows.groupBy("forecast_horizon", *KEY_COLS).agg(
+        F.max("snapshot_date").alias("snapshot_date"),
+        *[F.sum(m).alias(f"s_{m}") for m in measures], *[F.count(m).alias(f"n_{m}") for m in measures],
+        *[(F.var_pop(m) * F.count(m)).alias(f"m2_{m}") for m in _STDS.values()],
+        *[_half_sum(m, half).alias(f"{'first' if half else 'second'}_{m}") for m in ("revenue", "spend") for half in (True, False)],
+        *[bit(w).alias(f"days_{w}") for w in range(-(-days // _DAYS))],
+        F.max(order_key).alias("_key"), F.max_by(F.struct(*[F.col(c) for c in K.CARRY_FORWARD_COLS]), order_key).alias("_last"))
+    first = F.row_number().over(Window.partitionBy("forecast_horizon", "channel", "campaign_name").orderBy("campaign_type")) == 1
+    return states.withColumn("_first", first.cast("int"))
+
+
+def _mean(m: str):
+    return F.sum(f"s_{m}") / F.nullif(F.sum(f"n_{m}"), F.lit(0))
+
+
+def _std(m: str, centre):
+    """Sample deviation of merged (n, mean, M2) states; means are taken from ``centre``, so that nothing cancels out."""
+    n, away = F.col(f"n_{m}"), F.col(f"s_{m}") / F.nullif(F.col(f"n_{m}"), F.lit(0)) - centre
+    total, off = F.sum(n), F.sum(n * away)
+    m2 = F.sum(f"m2_{m}") + F.sum(n * away * away) - off * off / F.nullif(total, F.lit(0))
+    return F.coalesce(F.when(total > 1, F.sqrt(F.greatest(m2, F.lit(0.0)) / F.nullif(total - 1, F.lit(0)))), F.lit(0.0))
+
+
 def period_features(features: DataFrame, horizons=K.HORIZONS, snapshot=None) -> DataFrame:
     snap = snapshot_date(features) if snapshot is None else snapshot
     hrows = (assign_horizons(features, horizons, snap)
-             .withColumns({"snapshot_date": snap,
+             .withColumns({"snapshot_date": snap, "_age": F.datediff(snap, F.col("date")),
                            # lookback_start + h // 2 days
                            "_mid": F.date_add(F.date_sub(snap, F.col("forecast_horizon")),
                                               F.floor(F.col("forecast_horizon") / 2).cast("int"))}))
-    order_key = F.struct(*[F.col(c) for c in LAST_ROW_ORDER])
-    last = F.max_by(F.struct(*[F.col(c) for c in K.CARRY_FORWARD_COLS]), order_key).alias("_last")
-    sets = granularity_sets(["forecast_horizon"])
-    agg = (hrows.groupingSets(sets, "forecast_horizon", *KEY_COLS).agg(
+    states = campaign_states(hrows, max(horizons))
+    recent = features.where(F.col("date") > F.date_sub(snap, max(horizons)))
+    centre = {m: recent.select(F.coalesce(F.avg(m), F.lit(0.0))).scalar() for m in _STDS.values()}
+    days = [c for c in states.columns if c.startswith("days_")]
+    agg = states.groupingSets(granularity_sets(["forecast_horizon"]), "forecast_horizon", *KEY_COLS).agg(
         F.max("snapshot_date").alias("snapshot_date"),
-        F.sum("revenue").alias("total_revenue"),
-        F.sum("spend").alias("total_spend"),
-        F.sum("clicks").alias("total_clicks"),
-        F.sum("impressions").alias("total_impressions"),
-        F.coalesce(F.sum("conversions"), F.lit(0.0)).alias("total_conversions"),
-        F.avg("revenue").alias("mean_daily_revenue"),
-        F.avg("spend").alias("mean_daily_spend"),
-        F.coalesce(F.stddev_samp("revenue"), F.lit(0.0)).alias("std_daily_revenue"),
-        F.coalesce(F.stddev_samp("spend"), F.lit(0.0)).alias("std_daily_spend"),
-        F.avg("roas").alias("mean_roas"),
-        F.avg("cpc").alias("mean_cpc"),
-        F.avg("cvr").alias("mean_cvr"),
-        F.avg("budget_utilization").alias("mean_budget_util"),
-        F.avg("daily_budget").alias("mean_daily_budget"),
-        F.sum("daily_budget").alias("total_budget"),
-        F.count_distinct("date").alias("active_days"),
-        F.count_distinct("campaign_name").alias("num_campaigns"),
-        _half_sum("revenue", True).alias("_fh_rev"), _half_sum("revenue", False).alias("_sh_rev"),
-        _half_sum("spend", True).alias("_fh_spend"), _half_sum("spend", False).alias("_sh_spend"),
-        F.avg("month").alias("avg_month"),
-        F.avg("quarter").alias("avg_quarter"),
-        F.avg("is_weekend").alias("weekend_ratio"),
-        last,
-        *grouping_flags()))
+        *[(F.coalesce(F.sum(f"s_{m}"), F.lit(0.0)) if m == "conversions" else F.sum(f"s_{m}")).alias(c) for c, m in _TOTALS.items()],
+        *[_mean(m).alias(c) for c, m in _MEANS.items()],
+        *[_std(m, centre[m]).alias(c) for c, m in _STDS.items()],
+        sum((F.bit_count(F.coalesce(F.bit_or(d), F.lit(0).cast("bigint"))) for d in days), F.lit(0)).cast("bigint").alias("active_days"),
+        F.sum("_first").alias("_names"), F.count(F.lit(1)).alias("_campaigns"),
+        *[F.coalesce(F.sum(f"{half}_{m}"), F.lit(0.0)).alias(f"_{half}_{m}") for m in ("revenue", "spend") for half in ("first", "second")],
+        F.max_by("_last", "_key").alias("_last"),
+        *grouping_flags())
     out = label_rolled_up(agg).withColumns({
+        # a name in several types is one campaign of the channel, and one of each type
+        "num_campaigns": F.when(F.col("granularity") == "channel", F.col("_names")).otherwise(F.col("_campaigns")),
         "overall_roas": safe_ratio(F.col("total_revenue"), F.col("total_spend")),
-        "revenue_trend": _trend(F.col("_fh_rev"), F.col("_sh_rev")),
-        "spend_trend": _trend(F.col("_fh_spend"), F.col("_sh_spend")),
+        "revenue_trend": _trend(F.col("_first_revenue"), F.col("_second_revenue")),
+        "spend_trend": _trend(F.col("_first_spend"), F.col("_second_spend")),
         **{c: F.col(f"_last.{c}") for c in K.CARRY_FORWARD_COLS},
     })
     return out.select(*PERIOD_COLUMNS)

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from revcast.constants import UNIFIED_COLUMNS
 from revcast.operators.clean import clean
 from revcast.operators.features import engineer_features
 from revcast.session import ensure_checkpoint_dir
@@ -40,52 +41,50 @@ _LANDED: dict[tuple, str] = {}
 
 
 def _source_stamp(sf_dir: str) -> tuple:
-    """Sizes and times of the source files, as Spark's own listing has them (any path that Spark reads)."""
-    from pyspark.sql import functions as F
+    """Size, number and time of the source files: one status call of the file system each, no job."""
     spark = SparkSession.getActiveSession()
+    hadoop = spark._jvm.org.apache.hadoop.fs  # noqa: SLF001 - any path that Spark reads
     out = []
     for name in ("lineitem", "part"):
-        files = spark.read.format("binaryFile").load(f"{sf_dir.rstrip('/')}/{name}.parquet")
-        out.append(files.agg(F.sum("length"), F.max("modificationTime"), F.count("*")).first())
-    return tuple(map(tuple, out))
-
+        path = hadoop.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+        content = system.getContentSummary(path)
+        out.append((content.getLength(), content.getFileCount(), system.getFileStatus(path).getModificationTime()))
+    return tuple(out)
 
-def cleaned_daily(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> DataFrame:
-    """The cleaned daily fact table, landed once per session and source version.
 
-    Every query of the session reads the same landed parquet table (the daily
-    table is the common sub-plan of all of them); a changed source file gives a
-    new stamp and a fresh landing.
-    """
-    if not checkpoint:
-        return clean(ad_daily(spark, sf_dir))
-    key = (spark.sparkContext.applicationId, sf_dir, _source_stamp(sf_dir))
+def _landed(name: str, spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    """What ``make`` gives, landed once per session and source version; a changed source file lands anew."""
+    key = (name, spark.sparkContext.applicationId, sf_dir, _source_stamp(sf_dir))
     path = _LANDED.get(key)
     if path is not None:
         try:
             return spark.read.parquet(path)
         except Exception:  # noqa: BLE001 - folder cleaned up: land again
             _LANDED.pop(key, None)
-    df = materialize(clean(ad_daily(spark, sf_dir)), "daily")
+    df = make()
     _LANDED[key] = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
     return df
 
 
+def cleaned_daily(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> DataFrame:
+    """The cleaned daily fact table: columns of the landed engineered table, which holds the same rows."""
+    if not checkpoint:
+        return clean(ad_daily(spark, sf_dir))
+    return feature_daily(spark, sf_dir).select(*UNIFIED_COLUMNS)
+
+
 def feature_daily(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> DataFrame:
-    """The engineered daily table (41 columns), landed once per session and source version:
-    every model, period and insight plan reads it instead of recomputing the 18 window columns."""
+    """The engineered daily table (41 columns), landed once per session and source version.
+
+    Cleaning and features share one exchange by campaign and one write; every query of the session reads
+    the table (the common sub-plan of all of them) with the columns and days it needs."""
+    def make() -> DataFrame:
+        return engineer_features(clean(ad_daily(spark, sf_dir)))
+
     if not checkpoint:
-        return engineer_features(cleaned_daily(spark, sf_dir, False))
-    key = ("features", spark.sparkContext.applicationId, sf_dir, _source_stamp(sf_dir))
-    path = _LANDED.get(key)
-    if path is not None:
-        try:
-            return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - folder cleaned up: land again
-            _LANDED.pop(key, None)
-    df = materialize(engineer_features(cleaned_daily(spark, sf_dir)), "features", cluster_by_date=True)
-    _LANDED[key] = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
-    return df
+        return make()
+    return _landed("features", spark, sf_dir, lambda: materialize(make(), "features", cluster_by_date=True))
 
 
 _SNAPSHOTS: dict[tuple, object] = {}
@@ -106,13 +105,5 @@ def landed_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     Like the original, every insight reads the finished forecast table instead
     of re-deriving it from the daily data."""
     from revcast.operators.forecast import forecast
-    key = ("forecast", spark.sparkContext.applicationId, sf_dir, _source_stamp(sf_dir))
-    path = _LANDED.get(key)
-    if path is not None:
-        try:
-            return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001
-            _LANDED.pop(key, None)
-    df = materialize(forecast(feature_daily(spark, sf_dir), snapshot=landed_snapshot(spark, sf_dir)), "forecast")
-    _LANDED[key] = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
-    return df
+    return _landed("forecast", spark, sf_dir, lambda: materialize(
+        forecast(feature_daily(spark, sf_dir), snapshot=landed_snapshot(spark, sf_dir)), "forecast"))

@@ -38,7 +38,7 @@ def load_daily(spark: SparkSession, source: str, kind: str = "vendors") -> DataF
     The fixture has one row per day per series by construction.
     """
     if kind != "vendors":
-        return materialize(engineer_features(materialize(clean(ad_daily(spark, source)))), "features", True)
+        return materialize(engineer_features(clean(ad_daily(spark, source))), "features", True)
     cleaned = materialize(clean_chunked(materialize(load_all_channels(spark, source), "raw"), CHUNK_ROWS))
     return materialize(engineer_features_chunked(cleaned, CHUNK_ROWS), "features", True)
 
