@@ -56,14 +56,18 @@ def main() -> None:
         timings[name] = round(time.perf_counter() - t0, 3)
     # model path (the original's run path): train once then score with the stored models
     import tempfile
+    from revcast.operators.boosting import BoostingParams
     from revcast.plans import runs
     from revcast.plans.daily import feature_daily
     feats = feature_daily(spark, sf_dir)
     model_dir = tempfile.mkdtemp(prefix="revcast-bench-models-")
     t0 = time.perf_counter()
-    runs.train(spark, feats, model_dir, evaluate=False)
+    runs.train(spark, feats, model_dir, evaluate=False, kind="forest")
     timings["forest_train"] = round(time.perf_counter() - t0, 3)
     t0 = time.perf_counter()
+    runs.train(spark, feats, tempfile.mkdtemp(prefix="revcast-bench-boosted-"), evaluate=False, params=BoostingParams(rounds=10))
+    timings["boosted_train_10_rounds"] = round(time.perf_counter() - t0, 3)
+    t0 = time.perf_counter()
     runs.predict(spark, feats, tempfile.mkdtemp(prefix="revcast-bench-out-"), model_dir)
     timings["forest_predict_and_report"] = round(time.perf_counter() - t0, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")

@@ -150,7 +150,7 @@ def fit_quantile(data: DataFrame, names: list[str], granularity: str, quantile:
                  watch: Callable[[int, float], None] | None = None) -> BoostedModel:
     """One boosted model on prepared rows.  ``watch`` is told each round's holdout loss.  Without any
     training row the model is the constant 0; without holdout rows no round is dropped."""
-    from revcast.plans.daily import materialize
+    from revcast.plans.daily import discard, materialize
 
     start = data.where("role = 'train'").agg(F.percentile_approx("y", quantile, QUANTILE_ACCURACY)).first()[0]
     trees: list[list[Node]] = [[Node(value=0.0 if start is None else float(start))]]
@@ -158,7 +158,7 @@ def fit_quantile(data: DataFrame, names: list[str], granularity: str, quantile:
         return BoostedModel(granularity, quantile, names, trees)
     learner = DecisionTreeRegressor(featuresCol="x", labelCol="gradient", leafCol="leaf", maxDepth=params.depth, maxBins=params.bins,
                                     minInstancesPerNode=params.leaf_rows, seed=params.seed, cacheNodeIds=False)
-    held = data.withColumn("f", F.lit(float(start))).persist()
+    held, landed = data.withColumn("f", F.lit(float(start))).persist(), None
     best, best_round = _loss(held, quantile), 0
     if watch:
         watch(0, best)
@@ -177,6 +177,10 @@ def fit_quantile(data: DataFrame, names: list[str], granularity: str, quantile:
         loss = _loss(after, quantile)
         held.unpersist()
         held = after
+        if r % LAND_EVERY == 0:
+            if landed is not None:
+                discard(landed)
+            landed = after
         if watch:
             watch(r, loss)
         if loss is None or loss < best:
@@ -184,6 +188,8 @@ def fit_quantile(data: DataFrame, names: list[str], granularity: str, quantile:
         elif r - best_round >= params.patience:
             break
     held.unpersist()
+    if landed is not None:
+        discard(landed)
     return BoostedModel(granularity, quantile, names, trees[: best_round + 1])
 
 
@@ -241,8 +247,11 @@ def split_counts(nodes: DataFrame, features: DataFrame) -> DataFrame:
 
 def fit_boosted(train: DataFrame, names: list[str], granularity: str, params: BoostingParams = BoostingParams(), parallelism: int = 3) -> BoostedQuantiles:
     """All quantiles of a granularity."""
+    from revcast.plans.daily import discard
+
     data = prepare(train, names, granularity)
     fits = _at_once(data.sparkSession, [lambda q=q: fit_quantile(data, names, granularity, q, params) for q in K.QUANTILES], parallelism)
+    discard(data)
     return BoostedQuantiles(granularity, names, {m.quantile: m for m in fits})
 
 

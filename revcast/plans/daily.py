@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from revcast.constants import UNIFIED_COLUMNS
 from revcast.operators.clean import clean
 from revcast.operators.features import engineer_features
-from revcast.session import ensure_checkpoint_dir
+from revcast.session import delete_folder, ensure_checkpoint_dir
 from revcast.sources.fixture import ad_daily
 
 
@@ -32,6 +32,14 @@ def materialize(df: DataFrame, name: str = "daily", cluster_by_date: bool = Fals
     return spark.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table that ``materialize`` landed and nothing reads any more."""
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if folder.rsplit("/", 1)[-1].startswith("revcast-"):
+            delete_folder(df.sparkSession, folder)
+
+
 def raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad_daily(spark, sf_dir)
 

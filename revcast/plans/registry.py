@@ -154,6 +154,29 @@ _feature_query("momentum", ["revenue_momentum", "spend_momentum"],
                {"revenue_momentum": "ratio", "spend_momentum": "ratio"})
 
 
+# ---------------------------------------------------------------- daily increments
+_SINCE = ["2001-10-01", "2001-10-20"]
+_INC_COLS = ["daily_budget", "days_since_campaign_start", *RATIOS, *ROLL, "revenue_momentum", "spend_momentum"]
+_INC_SPEC = {**ROLL_SPEC, **{c: "ratio" for c in (*RATIOS, "revenue_momentum", "spend_momentum")}, "daily_budget": "money", "days_since_campaign_start": "int"}
+
+
+@register("incremental_features", O.with_ctes(*O.feature_stack())
+          + f"\nSELECT {sql_select(_INC_SPEC, [*KEYS5, *_INC_COLS])} FROM features WHERE date >= DATE '{_SINCE[0]}'")
+def q_incremental_features(spark, sf):
+    """The days up to _SINCE leave a state; two increments of later days read only that and their own rows."""
+    from revcast.operators.incremental import increment, no_state, with_patches
+    raw, state, parts, patches = daily.raw_daily(spark, sf), no_state(spark), [], []
+    for low, high in zip([None, *_SINCE], [*_SINCE, None]):
+        part = raw.where((F.col("date") >= low) if low else F.lit(True)).where((F.col("date") < high) if high else F.lit(True))
+        done = increment(state, part)
+        if low:
+            parts.append(daily.materialize(done.features, "increment"))
+            patches.append(daily.materialize(done.patches, "increment"))
+        state = daily.materialize(done.state, "increment")
+    rows = with_patches(parts[0].unionByName(parts[1]), patches[0].unionByName(patches[1]))
+    return present(rows.select(*KEYS5, *_INC_COLS), _INC_SPEC)
+
+
 # ---------------------------------------------------------------- look-back / horizons
 @register("lookback_rows", O.with_ctes(*O.clean_stack(), O.SNAP) + """
 SELECT CAST(h.forecast_horizon AS BIGINT) AS forecast_horizon, CAST(count(*) AS BIGINT) AS rows,

@@ -53,5 +53,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of this library's own at any path that Spark writes."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # noqa: SLF001 - the file system has no Python wrapper
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

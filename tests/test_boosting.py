@@ -74,6 +74,17 @@ def boosted(spark, features_small):
     return train, B.fit_boosted(train, names, "channel", B.BoostingParams(rounds=4))
 
 
+def test_fits_leave_no_landed_rows(spark, features_small):
+    import glob
+
+    from revcast.session import ensure_checkpoint_dir
+    left = lambda: set(glob.glob(ensure_checkpoint_dir(spark).removeprefix("file:") + "/revcast-boosting-*"))
+    train, names = mo.granularity_training_set(features_small, "channel", fit_dictionary(features_small))
+    before = left()
+    B.fit_boosted(train.where("date > '2001-01-01'"), names, "channel", B.BoostingParams(rounds=11, depth=2))
+    assert left() == before
+
+
 def test_fit_uses_the_last_fifth_as_holdout(features_small):
     train, names = mo.granularity_training_set(features_small, "channel", fit_dictionary(features_small))
     data = B.prepare(train, names, "channel")

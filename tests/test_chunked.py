@@ -34,11 +34,12 @@ def test_chunked_fill_across_chunks(spark):
     assert clean_chunked(df, 3).where(F.col("daily_budget").isNull()).count() == 0
 
 
-def test_load_daily_switches_to_chunks(spark):
+def test_load_daily_of_vendor_files_equals_plain_windows(spark):
     import os
     import tempfile
 
     from revcast.plans import runs
+    from revcast.sources.vendors import load_all_channels
     d = tempfile.mkdtemp(prefix="revcast-skew-")
     lines = ["TimePeriod,CampaignType,CampaignName,CampaignId,Revenue,Spend,Clicks,Impressions,Conversions,DailyBudget"]
     for i in range(120):   # one hot series: 3 ids share a name
@@ -46,10 +47,4 @@ def test_load_daily_switches_to_chunks(spark):
             lines.append(f"2024-01-{1 + i % 28:02d},Search,HOT,{cid}{i},{i % 7},{1 + i % 3},1,1,0,{'' if i % 5 else 10}")
     with open(os.path.join(d, "bing.csv"), "w") as f:
         f.write("\n".join(lines) + "\n")
-    spark.conf.set("revcast.window.maxSeriesRows", "100")
-    try:
-        chunked = runs.load_daily(spark, d)
-    finally:
-        spark.conf.unset("revcast.window.maxSeriesRows")
-    plain = runs.load_daily(spark, d)
-    assert _rows(chunked) == _rows(plain)
+    assert _rows(runs.load_daily(spark, d)) == _rows(engineer_features(clean(load_all_channels(spark, d))))
