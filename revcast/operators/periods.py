@@ -87,7 +87,8 @@ def period_features(features: DataFrame, horizons=K.HORIZONS, snapshot=None) ->
                                               F.floor(F.col("forecast_horizon") / 2).cast("int"))}))
     states = campaign_states(hrows, max(horizons))
     recent = features.where(F.col("date") > F.date_sub(snap, max(horizons)))
-    centre = {m: recent.select(F.coalesce(F.avg(m), F.lit(0.0))).scalar() for m in _STDS.values()}
+    means = recent.agg(*[F.avg(m) for m in _STDS.values()]).first()    # any number near the means will do
+    centre = {m: F.lit(float(c or 0.0)) for m, c in zip(_STDS.values(), means)}
     days = [c for c in states.columns if c.startswith("days_")]
     agg = states.groupingSets(granularity_sets(["forecast_horizon"]), "forecast_horizon", *KEY_COLS).agg(
         F.max("snapshot_date").alias("snapshot_date"),
