@@ -18,7 +18,8 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ _SPLIT_WHITE = regex.compile(f"[{_WHITE}]+")
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE}\p{{L}}\p{{N}}]+")
 #: Controls that Python's str.split takes for white space and the tokenizer does not.
 _ODD = regex.compile("[\x1c-\x1f]")
-#: Chunks, and words, whose ids a worker keeps twice at most (a full generation becomes the old one).
-CACHE = 150_000
+#: Distinct pieces whose ids a worker keeps; then it begins anew.
+PIECES = 1_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -246,73 +247,138 @@ def encoder_of(spec: str) -> TrieBpe:
     return _ENCODERS[key]
 
 
-class Generations:
-    """A bounded map: when the young generation is full, it becomes the old one."""
+# ------------------------------------------------------------------ texts as flat arrays
+_SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_CLASS[0x21:0x7F] = _SIGN
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _LETTER
+#: An apostrophe may begin a piece of its own kind, and < a special string: left to the encoder.
+_CLASS[[0x27, 0x3C]] = _OTHER
 
-    def __init__(self):
-        self.young, self.old = {}, {}
 
-    def missing(self, keys: set) -> set:
-        """Those without a value; the values of the others are young now."""
-        if len(self.young) > CACHE:
-            self.young, self.old = {}, self.young
-        gone = keys - self.young.keys()
-        again = gone & self.old.keys()
-        for k in again:
-            self.young[k] = self.old[k]
-        return gone - again
+class PieceIds:
+    """Ids of texts in flat arrays. Distinct pieces are encoded once while they are remembered."""
 
-
-class ChunkCache:
-    """A value for each chunk: ``make`` of its words' ids, glued. Known words and chunks are not encoded again."""
-
-    def __init__(self, encoder: TrieBpe, make: Callable[[list[int]], object], glue: Callable[[list], object]):
-        self.encoder, self.make, self.glue = encoder, make, glue
-        self.chunks, self.words = Generations(), Generations()
-
-    def of_texts(self, texts: list[str | None]) -> Iterable[list]:
-        """For each text the values of its chunks."""
-        lists = [self.encoder.chunks(t) if t else [] for t in texts]
-        split = {c: self.encoder.words_of(c) for c in self.chunks.missing(set().union(*lists))}
-        new = self.words.missing({w for ws in split.values() for w in ws})
-        words, chunks, make, glue = self.words.young, self.chunks.young, self.make, self.glue
-        for w, ids in self.encoder.encode_words({w for w in new if isinstance(w, str)}).items():
-            words[w] = make(ids)
-        for w in new:
-            if not isinstance(w, str):
-                words[w] = make([w])
-        for c, ws in split.items():
-            chunks[c] = words[ws[0]] if len(ws) == 1 else glue([words[w] for w in ws])
-        for each in lists:
-            yield [chunks[c] for c in each]
-
-
-_CACHES: dict[tuple[int, str], ChunkCache] = {}
-
-
-def cache_of(spec: str, kind: str) -> ChunkCache:
-    """This process's cache of id texts ("text") or of ids as bytes ("bytes")."""
-    key = (hash(spec), kind)
-    if key not in _CACHES:
-        if kind == "text":
-            _CACHES[key] = ChunkCache(encoder_of(spec), lambda ids: " ".join(map(str, ids)), " ".join)
-        else:
-            _CACHES[key] = ChunkCache(encoder_of(spec), lambda ids: np.array(ids, "<u4").tobytes(), b"".join)
-    return _CACHES[key]
+    def __init__(self, spec: str):
+        self.encoder = encoder_of(spec)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)  # sorted hashes, and of each the place and number of its ids
+        self.place = np.zeros((0, 2), np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, hash, plain) of all pieces: runs of letters, runs of signs, digits each; a word
+        with anything else is one piece, not plain."""
+        kind, low = _CLASS[data], C._LOWER[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)  # U+00C0 to U+00FF, but for the two signs among them
+        tail = data[lead + 1]
+        lead, tail = lead[(tail != 0x97) & (tail != 0xB7)], tail[(tail != 0x97) & (tail != 0xB7)]
+        kind[lead] = kind[lead + 1] = _LETTER
+        capital = tail < 0x9F
+        low[lead[capital] + 1] += 0x20
+        words = C.Words(data, offsets)
+        odd = np.zeros(len(words.starts), bool)
+        strange = np.flatnonzero(kind == _OTHER)
+        odd[np.searchsorted(words.starts, strange, "right") - 1] = True
+        length = words.ends - words.starts
+        inside = np.repeat(odd, length)  # by byte of all words
+        at = np.flatnonzero(kind != _SPACE)
+        starts = np.zeros(len(data), bool)
+        of = kind[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (of[1:] != of[:-1]) | (of[1:] == _DIGIT)
+        new &= ~inside
+        starts[at[new]] = True
+        starts[words.starts] = True
+        starts = np.flatnonzero(starts)
+        word = np.searchsorted(words.starts, starts, "right") - 1
+        ends = words.ends[word]
+        ends[:-1] = np.minimum(ends[:-1], starts[1:])
+        plain = ~odd[word]
+        raw = np.repeat(odd, length)
+        values = C._BYTE_VALUE[low]
+        values[at[raw]] = C._BYTE_VALUE[data[at[raw]]]
+        hashes = C.range_hash(values, starts, ends)
+        hashes[~plain] ^= np.uint64(1 << 63)
+        return starts, ends, hashes, plain
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray, hashes: np.ndarray) -> None:
+        """Remembers new pieces; ``hashes`` rise."""
+        whole, symbols, words = data.tobytes(), self.encoder.symbols, []
+        for a, b, p in zip(starts.tolist(), ends.tolist(), plain.tolist()):
+            piece = whole[a:b]
+            if p:
+                words.append([(piece.lower() if piece.isascii() else piece.decode().lower().encode()).decode("latin-1").translate(symbols)])
+            else:
+                words.append([w for c in self.encoder.chunks(piece.decode()) for w in self.encoder.words_of(c)])
+        ids = self.encoder.encode_words({w for ws in words for w in ws if isinstance(w, str)})
+        runs = [ids[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else [i for w in ws for i in (ids[w] if isinstance(w, str) else (w,))] for ws in words]
+        count = np.fromiter(map(len, runs), np.int64, len(runs))
+        place = np.column_stack([self.used + np.cumsum(count) - count, count])
+        total = int(count.sum())
+        if self.used + total >= len(self.ids):  # one more than used is always there, for the end id
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + total, np.uint32)])
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(runs), np.uint32, total)
+        self.used += total
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.place = np.insert(self.known, at, hashes), np.insert(self.place, at, place, 0)
+
+    def of_texts(self, data: np.ndarray, offsets: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of texts given as bytes and offsets; ``end`` closes each, if given."""
+        n = len(offsets) - 1
+        if not len(data):
+            return (np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)) if end is None else (np.full(n, end, np.uint32), np.arange(n + 1))
+        starts, ends, hashes, plain = self._pieces(data, offsets)
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) + len(distinct) > PIECES:
+            self._forget()
+        at = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != distinct[inside]
+        if new.any():
+            self._learn(data, starts[first[new]], ends[first[new]], plain[first[new]], distinct[new])
+        place = self.place[np.searchsorted(self.known, distinct)]
+        place = place[which]
+        bound = np.searchsorted(starts, offsets[1:])  # pieces before each text's end
+        if end is not None:  # one more piece after each text's, of the place after the last
+            self.ids[self.used] = end
+            place = np.insert(place, bound, (self.used, 1), 0)
+            bound = bound + np.arange(1, n + 1)
+        count = place[:, 1]
+        upto = np.concatenate(([0], np.cumsum(count)))
+        ids = self.ids[np.repeat(place[:, 0] - upto[:-1], count) + np.arange(upto[-1])]
+        return ids, np.concatenate(([0], upto[bound]))
+
+
+_PIECE_IDS: dict[int, PieceIds] = {}
+
+
+def piece_ids_of(spec: str) -> PieceIds:
+    """This process's piece ids of a vocabulary."""
+    key = hash(spec)
+    if key not in _PIECE_IDS:
+        _PIECE_IDS[key] = PieceIds(spec)
+    return _PIECE_IDS[key]
 
 
-def releasing(batches: Iterable[pa.RecordBatch], spec: str, kind: str) -> Iterable[pa.RecordBatch]:
-    """``batches``; at their end the cache is dropped, as the worker may serve other stages next."""
+def releasing(batches: Iterable[pa.RecordBatch], spec: str) -> Iterable[pa.RecordBatch]:
+    """``batches``; at their end the pieces are dropped, as the worker may serve other stages next."""
     yield from batches
-    _CACHES.pop((hash(spec), kind), None)
+    _PIECE_IDS.pop(hash(spec), None)
     C.give_back()
 
 
-def text_runs(column: pa.Array) -> Iterable[tuple[int, list[str | None]]]:
-    """(first row, texts) of runs of about C.CHUNK_BYTES."""
-    _, offsets = C.text_bytes(column)
+def id_runs(column: pa.Array, pieces: PieceIds) -> Iterable[tuple[int, list[np.ndarray]]]:
+    """(first row, each text's ids) of runs of about C.CHUNK_BYTES."""
+    data, offsets = C.text_bytes(column)
     for lo, hi in C.chunks(offsets):
-        yield lo, column.slice(lo, hi - lo).to_pylist()
+        ids, at = pieces.of_texts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        yield lo, [ids[i:j] for i, j in zip(at[:-1], at[1:])]
 
 
 def vocabulary_text(path: str) -> str:
@@ -332,12 +398,11 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary_text(vocabulary or default_vocabulary()))
 
     def run(batches):
-        encoder, cache = encoder_of(spec.value), cache_of(spec.value, "bytes")
-        for batch in releasing(batches, spec.value, "bytes"):
-            for lo, texts in text_runs(batch.column("text")):
-                ids = [np.frombuffer(b"".join(chunks), "<u4").astype(np.int32) for chunks in cache.of_texts(texts)]
+        pieces = piece_ids_of(spec.value)
+        for batch in releasing(batches, spec.value):
+            for lo, ids in id_runs(batch.column("text"), pieces):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, len(ids)), pa.array(ids, pa.list_(pa.int32())), pa.array([encoder.decode(x.tolist()) for x in ids], pa.string())],
+                    [batch.column("doc_id").slice(lo, len(ids)), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([pieces.encoder.decode(x.tolist()) for x in ids], pa.string())],
                     names=["doc_id", "ids", "decoded"])
 
     return C.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
@@ -348,18 +413,18 @@ def encoding_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFram
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary_text(vocabulary or default_vocabulary()))
 
     def run(batches):
-        cache = cache_of(spec.value, "text")
-        token = {str(i): t for i, t in encoder_of(spec.value).token.items()}
-        for batch in releasing(batches, spec.value, "text"):
-            for lo, texts in text_runs(batch.column("text")):
-                count, one, two = [], [], []
-                for chunks in cache.of_texts(texts):
-                    ids = " ".join(chunks)
-                    each = ids.split()
-                    count.append(len(each))
-                    one.append(hashlib.sha256(ids.encode()).hexdigest())
-                    two.append(hashlib.sha256(" ".join([token[i] for i in each]).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(count)), pa.array(count, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())],
+        pieces = piece_ids_of(spec.value)
+        token = pieces.encoder.token
+        number = {i: str(i) for i in token}
+        for batch in releasing(batches, spec.value):
+            for lo, texts in id_runs(batch.column("text"), pieces):
+                one, two = [], []
+                for ids in texts:
+                    each = ids.tolist()
+                    one.append(hashlib.sha256(" ".join(map(number.__getitem__, each)).encode()).hexdigest())
+                    two.append(hashlib.sha256(" ".join(map(token.__getitem__, each)).encode()).hexdigest())
+                count = pa.array([len(x) for x in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(texts)), count, pa.array(one, pa.string()), pa.array(two, pa.string())],
                                                  names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return C.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

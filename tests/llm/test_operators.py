@@ -2,12 +2,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from revcast.llm import bpe, chat_format, decontaminate, license_scan, ngram_join, packing, quality_knn, sharding, substring_dedup, weak_quality
+from revcast.llm import common as C
 from revcast.llm.components import components
 from tests.llm import fixtures as X
 
@@ -341,11 +343,15 @@ def test_bpe(spark, encoders, rows, none):
     assert few[rows[-1][0]][0] == library.encode(rows[-1][1], add_special_tokens=False).ids
 
 
-def test_bpe_generations(encoders, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 5)
-    cache = bpe.ChunkCache(encoders[1], lambda ids: " ".join(map(str, ids)), " ".join)
-    for text in ["a bc def", "def. ghi! jk lmno pq", "a bc <|endoftext|>x def", "zz"] * 3:
-        assert " ".join(next(iter(cache.of_texts([text])))) == " ".join(map(str, encoders[1].encode(text)))
+def test_bpe_pieces_forgotten(encoders, monkeypatch):
+    """The ids don't depend on what is remembered."""
+    texts = [" ".join(X.prose(i, 30)) for i in range(40)] * 2 + ["", "  ", "Ünder <|endoftext|> 'S"]
+    pieces = bpe.PieceIds(bpe.vocabulary_text(bpe.default_vocabulary()))
+    for known in (bpe.PIECES, 5):
+        monkeypatch.setattr(bpe, "PIECES", known)
+        for lo in range(0, len(texts), 7):
+            ids, at = pieces.of_texts(*C.text_bytes(pa.array(texts[lo : lo + 7])))
+            assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == [pieces.encoder.encode(t) for t in texts[lo : lo + 7]]
 
 
 def test_quality(spark, rows, docs, none):

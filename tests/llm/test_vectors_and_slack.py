@@ -192,9 +192,9 @@ def test_piece_ids_equal_the_library():
              "<|endoftext|>", "'s", "'S", "'ll", "Ñ", "​", "Ж", "ि"]
     texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 24))) for _ in range(4000)] + ["", " ", "É" * 3000, "x1" * 5000]
     want = library()(texts)
-    for known in (slack_packing.PIECES, 300):  # also with pieces forgotten all the time
-        with mock.patch.object(slack_packing, "PIECES", known):
-            pieces = slack_packing.PieceIds(bpe.vocabulary_text(bpe.default_vocabulary()))
+    for known in (bpe.PIECES, 300):  # also with pieces forgotten all the time
+        with mock.patch.object(bpe, "PIECES", known):
+            pieces = bpe.PieceIds(bpe.vocabulary_text(bpe.default_vocabulary()))
             for lo in range(0, len(texts), 500):
                 ids, at = pieces.of_texts(*C.text_bytes(pa.array(texts[lo : lo + 500])), 2)
                 assert [ids[a:b].tolist() for a, b in itertools.pairwise(at)] == [[*w, 2] for w in want[lo : lo + 500]]
