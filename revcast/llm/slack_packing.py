@@ -31,7 +31,6 @@ from __future__ import annotations
 
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +46,6 @@ CAPACITY, END = 4096, 2
 KEPT = 128
 #: Windows' worth of tokens gathered before packing.
 GATHERED = 512
-#: Distinct pieces whose ids a worker keeps.
-PIECES = 1_000_000
 
 
 # ------------------------------------------------------------------ minimum bin slack
@@ -133,124 +130,6 @@ def windows(waiting: Waiting, capacity: int, keep: int) -> Iterator[list[tuple[o
         yield window(waiting, 1 << waiting.total.bit_length() - 1)
 
 
-# ------------------------------------------------------------------ ids
-_SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
-_CLASS = np.full(256, _OTHER, np.uint8)
-_CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
-_CLASS[0x21:0x7F] = _SIGN
-_CLASS[0x30:0x3A] = _DIGIT
-_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _LETTER
-#: An apostrophe may begin a piece of its own kind, and < a special string: left to the encoder.
-_CLASS[[0x27, 0x3C]] = _OTHER
-
-
-class PieceIds:
-    """Ids of texts in flat arrays. Distinct pieces are encoded once while they are remembered."""
-
-    def __init__(self, spec: str):
-        self.encoder = bpe.encoder_of(spec)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # sorted hashes, and of each the place and number of its ids
-        self.place = np.zeros((0, 2), np.int64)
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, ends, hash, plain) of all pieces: runs of letters, runs of signs, digits each; a word
-        with anything else is one piece, not plain."""
-        kind, low = _CLASS[data], C._LOWER[data]
-        lead = np.flatnonzero(data[:-1] == 0xC3)  # U+00C0 to U+00FF, but for the two signs among them
-        tail = data[lead + 1]
-        lead, tail = lead[(tail != 0x97) & (tail != 0xB7)], tail[(tail != 0x97) & (tail != 0xB7)]
-        kind[lead] = kind[lead + 1] = _LETTER
-        capital = tail < 0x9F
-        low[lead[capital] + 1] += 0x20
-        words = C.Words(data, offsets)
-        odd = np.zeros(len(words.starts), bool)
-        strange = np.flatnonzero(kind == _OTHER)
-        odd[np.searchsorted(words.starts, strange, "right") - 1] = True
-        length = words.ends - words.starts
-        inside = np.repeat(odd, length)  # by byte of all words
-        at = np.flatnonzero(kind != _SPACE)
-        starts = np.zeros(len(data), bool)
-        of = kind[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (of[1:] != of[:-1]) | (of[1:] == _DIGIT)
-        new &= ~inside
-        starts[at[new]] = True
-        starts[words.starts] = True
-        starts = np.flatnonzero(starts)
-        word = np.searchsorted(words.starts, starts, "right") - 1
-        ends = words.ends[word]
-        ends[:-1] = np.minimum(ends[:-1], starts[1:])
-        plain = ~odd[word]
-        raw = np.repeat(odd, length)
-        values = C._BYTE_VALUE[low]
-        values[at[raw]] = C._BYTE_VALUE[data[at[raw]]]
-        hashes = C.range_hash(values, starts, ends)
-        hashes[~plain] ^= np.uint64(1 << 63)
-        return starts, ends, hashes, plain
-
-    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray, hashes: np.ndarray) -> None:
-        """Remembers new pieces; ``hashes`` rise."""
-        whole, symbols, words = data.tobytes(), self.encoder.symbols, []
-        for a, b, p in zip(starts.tolist(), ends.tolist(), plain.tolist()):
-            piece = whole[a:b]
-            if p:
-                words.append([(piece.lower() if piece.isascii() else piece.decode().lower().encode()).decode("latin-1").translate(symbols)])
-            else:
-                words.append([w for c in self.encoder.chunks(piece.decode()) for w in self.encoder.words_of(c)])
-        ids = self.encoder.encode_words({w for ws in words for w in ws if isinstance(w, str)})
-        runs = [ids[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else [i for w in ws for i in (ids[w] if isinstance(w, str) else (w,))] for ws in words]
-        count = np.fromiter(map(len, runs), np.int64, len(runs))
-        place = np.column_stack([self.used + np.cumsum(count) - count, count])
-        total = int(count.sum())
-        if self.used + total >= len(self.ids):  # one more than used is always there, for the end id
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + total, np.uint32)])
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(runs), np.uint32, total)
-        self.used += total
-        at = np.searchsorted(self.known, hashes)
-        self.known, self.place = np.insert(self.known, at, hashes), np.insert(self.place, at, place, 0)
-
-    def of_texts(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of texts given as bytes and offsets; ``end`` closes each."""
-        n = len(offsets) - 1
-        if not len(data):
-            return np.full(n, end, np.uint32), np.arange(n + 1)
-        starts, ends, hashes, plain = self._pieces(data, offsets)
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > PIECES:
-            self._forget()
-        at = np.searchsorted(self.known, distinct)
-        new = np.ones(len(distinct), bool)
-        inside = at < len(self.known)
-        new[inside] = self.known[at[inside]] != distinct[inside]
-        if new.any():
-            self._learn(data, starts[first[new]], ends[first[new]], plain[first[new]], distinct[new])
-        place = self.place[np.searchsorted(self.known, distinct)]
-        # the end id stands after each text's pieces: as one more piece, of the place after the last
-        self.ids[self.used] = end
-        bound = np.searchsorted(starts, offsets[1:])
-        place = np.insert(place[which], bound, (self.used, 1), 0)
-        count = place[:, 1]
-        before = np.cumsum(count) - count
-        total = int(before[-1] + count[-1])
-        ids = self.ids[np.repeat(place[:, 0] - before, count) + np.arange(total)]
-        return ids, np.concatenate(([0], (before + count)[bound + np.arange(n)]))
-
-
-_PIECE_IDS: dict[int, PieceIds] = {}
-
-
-def piece_ids_of(spec: str) -> PieceIds:
-    """This process's piece ids of a vocabulary."""
-    key = hash(spec)
-    if key not in _PIECE_IDS:
-        _PIECE_IDS[key] = PieceIds(spec)
-    return _PIECE_IDS[key]
-
-
 # ------------------------------------------------------------------ the operator
 SCHEMA = "sequence_id long, n_tokens int, ids binary, pieces array<struct<doc_id:long,start:long,length:long,offset:long,doc_tokens:long>>"
 _PIECE = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("offset", pa.int64()), ("doc_tokens", pa.int64())])
@@ -278,7 +157,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary:
     spec = docs.sparkSession.sparkContext.broadcast(bpe.vocabulary_text(vocabulary or bpe.default_vocabulary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, waiting, ready = piece_ids_of(spec.value), Waiting(), []
+        encode, waiting, ready = bpe.piece_ids_of(spec.value), Waiting(), []
         number = TaskContext.get().partitionId() << 32
 
         def flush(least: int) -> Iterator[pa.RecordBatch]:
