@@ -1,32 +1,36 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, or for each template a run of consecutive words across line breaks, so
-that a wrapped notice is found: as long as the template, with room for 100 - PERCENT % of other words.
-It counts as a set of words (A-Z lowered; letters, digits and all beyond ASCII). A template is found
-where a block holds at least PERCENT of the template's words. Runs inside a line need no look, as the
-line holds all their words. The SQL knows lines only.
+A block is a run of consecutive words, for each template as long as the template with room for
+100 - PERCENT % of other words, wherever lines break (a shorter text is one block). So a wrapped notice
+and one inside a long line are found, and words scattered over a long line are not. Blocks count as sets
+of words (A-Z lowered; letters, digits and all beyond ASCII). A template is found where a block holds
+at least PERCENT of the template's words.
 
-Join. The template words are ordered by the number of blocks that hold them, over all texts (first
-pass; only the counts of template words leave it). In that global order:
+Join. The template words are ordered by how often they stand in all texts (first pass; only the counts
+of template words leave it). In that global order:
 
 * prefix filter: a block that meets the threshold holds one of the template's rarest
-  size - need + 1 words, so only those words lead to candidates;
-* length filter: it has at least `need` words;
-* positional filter: from its first prefix word on, the template's and the block's remaining words
-  in the order must still be enough;
+  size - need + 1 words, so only those words' places lead to candidates;
+* length filter: the block has at least `need` words;
+* positional filter: where a prefix word is the block's rarest, the words that count are those from it
+  on in the order; around its place there must still be enough of them;
 
-and the candidates that are left are counted exactly. Runs around a prefix word have the prefix and
-length filters, and their template words must be enough. Literal phrases (the base) are found beside it
-as consecutive words of the whole text, across lines.
+and the blocks that are left, each beginning with a template word, are counted exactly. Literal phrases
+(the base) are found beside it as consecutive words of the whole text.
+
+Templates are rows (text, label): the list below, another one, or a table of a checked size
+(``templates_of``).
 
 Nulls and edge cases: a null or empty text has no words and no labels (empty strings, score 0,
 first_word and last_word null); rows stay as they are (a null id is kept, repeated rows are scanned
-each); an empty table gives an empty result; other columns are ignored.
+each); an empty table gives an empty result; other columns are ignored. A template without words
+(or a null one) is never found, one without a label adds none; an empty table of templates leaves the
+phrases.
 """
 
 from __future__ import annotations
 
-import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +60,33 @@ TEMPLATES = (
     ("licensed under cc by sa 4 0", "cc-by-sa"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("gnu lesser general public license", "lgpl"),
+    ("gnu affero general public license", "agpl"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("everyone is permitted to copy and distribute verbatim or modified copies of this license document", "wtfpl"),
+    ("distributed under the boost software license version 1 0", "bsl"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl"),
+    ("this software is provided as is without any express or implied warranty", "zlib"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0"),
 )
 
-_LINE = np.ones(256, bool)
-_LINE[0x0A] = False
+#: The largest table of templates that is brought to all tasks, in characters of its texts and labels.
+TEMPLATE_CHARS = 8_000_000
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def template_words(text: str | None) -> list[str]:
+    """A template's words, as those of texts are taken."""
+    return _WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def templates_of(table: DataFrame) -> list[tuple[str, str]]:
+    """The rows (text, label) of a table of templates; one over TEMPLATE_CHARS raises."""
+    rows = table.select(F.col("text").cast("string"), F.col("label").cast("string"))
+    size = rows.agg(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in rows.columns), F.lit(0)))).first()[0] or 0
+    if size > TEMPLATE_CHARS:
+        raise ValueError(f"templates of {size} characters; scan them in parts of at most {TEMPLATE_CHARS}")
+    return [(r.text, r.label) for r in rows.orderBy("label", "text").collect()]
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -72,86 +99,91 @@ class Templates:
     """Templates as sets of word numbers, in a given order of the words."""
 
     def __init__(self, templates=TEMPLATES, percent: int = PERCENT, frequency: dict[int, int] | None = None):
-        words = sorted({w for text, _ in templates for w in text.split()})
+        split = [(template_words(text), label) for text, label in templates]
+        split = [(parts, label) for parts, label in split if parts]
+        words = sorted({w for parts, _ in split for w in parts})
         hashes = _hashes(words)
         # word numbers are ranks: rarest first (ties by the hash)
         order = sorted(range(len(words)), key=lambda i: ((frequency or {}).get(int(hashes[i].view(np.int64)), 0), int(hashes[i])))
         rank = {words[i]: r for r, i in enumerate(order)}
         by_hash = np.argsort(hashes)
         self.hashes, self.ranks = hashes[by_hash], np.argsort(order)[by_hash]
-        self.labels = [label for _, label in templates]
-        self.sets = [np.array(sorted({rank[w] for w in text.split()})) for text, _ in templates]
-        self.need = [math.ceil(percent * len(s) / 100) for s in self.sets]
-        #: words of a run across lines
-        self.run = [math.ceil(100 * len(text.split()) / percent) for text, _ in templates]
-        #: rank -> (template, words of it that are as rare or less rare)
+        self.labels = [label for _, label in split]
+        self.sets = [np.array(sorted({rank[w] for w in parts})) for parts, _ in split]
+        self.need = [-(-percent * len(s) // 100) for s in self.sets]
+        #: words of a block
+        self.run = [-(-100 * len(parts) // percent) for parts, _ in split]
+        #: rank -> (template, the word's place in its order)
         self.prefix: dict[int, list[tuple[int, int]]] = {}
         for t, (ranks, need) in enumerate(zip(self.sets, self.need)):
             for i, r in enumerate(ranks[: len(ranks) - need + 1].tolist()):
-                self.prefix.setdefault(r, []).append((t, len(ranks) - i))
-        self.in_prefix = np.zeros(len(words), bool)
-        self.in_prefix[list(self.prefix)] = True
+                self.prefix.setdefault(r, []).append((t, i))
 
     def word_ranks(self, hashes: np.ndarray) -> np.ndarray:
         """The rank of each word, -1 for words of no template."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.ranks[at], -1)
 
 
-def _block_words(words: C.Words, templates: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (block, rank) by block and rank; each block's text and number of words."""
-    lines = C.Words(words.data, words.offsets, _LINE)
-    block = np.searchsorted(lines.starts, words.starts, "right") - 1
-    _, text = lines.text_of()
-    rank = templates.word_ranks(words.hash)
-    hit = rank >= 0
-    key = np.unique(block[hit] * len(templates.hashes) + rank[hit])
-    return key // len(templates.hashes), key % len(templates.hashes), text, np.bincount(block, minlength=len(lines.starts))
-
-
-def matches(words: C.Words, templates: Templates) -> list[tuple[int, int, float]]:
-    """(text, template, containment) of the blocks that meet the threshold."""
-    block, rank, text, size = _block_words(words, templates)
-    first = np.searchsorted(block, block, "left")
-    end = np.searchsorted(block, block, "right")
-    found, done = [], set()
-    for i in np.flatnonzero(templates.in_prefix[rank]).tolist():
-        b, rest = int(block[i]), int(end[i]) - i
-        for t, left in templates.prefix[int(rank[i])]:
-            need = templates.need[t]
-            if size[b] < need or left < need or rest < need or (b, t) in done:
-                # a rarer prefix word in the block has led here before, or too few words are left
-                continue
-            done.add((b, t))
-            common = len(np.intersect1d(rank[first[i] : end[i]], templates.sets[t], assume_unique=True))
-            if common >= need:
-                found.append((int(text[b]), t, common / len(templates.sets[t])))
-    return found
-
-
-def run_matches(words: C.Words, templates: Templates) -> list[tuple[int, int, float]]:
-    """(text, template, containment) of the best runs across lines that meet the threshold."""
-    line = np.searchsorted(C.Words(words.data, words.offsets, _LINE).starts, words.starts, "right") - 1
-    rank = templates.word_ranks(words.hash)
-    place = np.flatnonzero(rank >= 0)
-    rank = rank[place]
-    best: dict[tuple[int, int], int] = {}
-    for t, (ranks, need, run) in enumerate(zip(templates.sets, templates.need, templates.run)):
-        mine = np.isin(rank, ranks)
-        at, held = place[mine], rank[mine]
-        p = at[np.isin(held, ranks[: len(ranks) - need + 1])]
-        text = np.searchsorted(words.first, p, "right") - 1
-        # all runs that hold the prefix word lie in these words (both ends count)
-        lo, hi = np.maximum(p - run + 1, words.first[text]), np.minimum(p + run, words.first[text + 1]) - 1
-        i, j = np.searchsorted(at, lo), np.searchsorted(at, hi, "right")
-        for k in np.flatnonzero((line[lo] != line[hi]) & (j - i >= need)).tolist():
-            key = (int(text[k]), t)
-            for first in range(i[k], j[k] - need + 1):
-                end = min(np.searchsorted(at, at[first] + run), j[k])
-                common = len(np.unique(held[first:end]))
-                if common >= need:
-                    best[key] = max(best.get(key, 0), common)
-    return [(x, t, common / len(templates.sets[t])) for (x, t), common in best.items()]
+class Places:
+    """Where the template words stand in a run of texts, by rank."""
+
+    def __init__(self, words: C.Words, templates: Templates):
+        rank = templates.word_ranks(words.hash)
+        at = np.flatnonzero(rank >= 0)
+        order = np.argsort(rank[at], kind="stable")
+        self.at = at[order]
+        self.edge = np.searchsorted(rank[at][order], np.arange(len(templates.hashes) + 1))
+
+    def of(self, rank: int) -> np.ndarray:
+        return self.at[self.edge[rank] : self.edge[rank + 1]]
+
+    def of_all(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of these words, ascending, and for each the index in them of the word's last place before (or -1)."""
+        each = [self.of(r) for r in ranks.tolist()]
+        at = np.concatenate(each)
+        order = np.argsort(at)
+        index = np.empty(len(at), np.int64)
+        index[order] = np.arange(len(at))
+        before = np.empty(len(at), np.int64)
+        before[1:] = index[:-1]
+        before[np.cumsum([0, *(len(e) for e in each if len(e))])[:-1]] = -1
+        return at[order], before[order]
+
+
+def matches(words: C.Words, templates: Templates) -> dict[tuple[int, int], float]:
+    """{(text, template): largest containment} of the blocks that meet the threshold."""
+    places = Places(words, templates)
+    best: dict[tuple[int, int], float] = {}
+    for r in np.flatnonzero(np.diff(places.edge)).tolist():
+        for t, i in templates.prefix.get(r, ()):
+            ranks, need, run = templates.sets[t], templates.need[t], templates.run[t]
+            p = places.of(r)
+            text = np.searchsorted(words.first, p, "right") - 1
+            long = words.count[text] >= need
+            p, text = p[long], text[long]
+            at, before = places.of_all(ranks[i:])
+            # the words of all blocks around p: first to end in at
+            first = np.searchsorted(at, np.maximum(p - run + 1, words.first[text]))
+            end = np.searchsorted(at, np.minimum(p + run, words.first[text + 1]))
+            enough = end - first >= need
+            edge = np.zeros(len(at) + 1, np.int64)
+            np.add.at(edge, first[enough], 1)
+            np.add.at(edge, np.searchsorted(at, p[enough], "right"), -1)
+            start = np.flatnonzero(np.cumsum(edge[:-1]))
+            owner = np.searchsorted(words.first, at[start], "right") - 1
+            stop = np.searchsorted(at, np.minimum(at[start] + run, words.first[owner + 1]))
+            wide = stop - start >= need
+            start, stop, owner = start[wide], stop[wide], owner[wide]
+            common = np.zeros(len(start), np.int64)
+            for k in range(int((stop - start).max(initial=0))):
+                at_k = np.minimum(start + k, stop - 1)
+                common += (start + k < stop) & (before[at_k] < start)
+            for x, c in zip(owner[common >= need].tolist(), common[common >= need].tolist()):
+                best[x, t] = max(best.get((x, t), 0.0), c / len(ranks))
+    return best
 
 
 def phrase_places(words: C.Words, phrases=PHRASES) -> list[tuple[np.ndarray, np.ndarray, str]]:
@@ -169,8 +201,8 @@ def phrase_places(words: C.Words, phrases=PHRASES) -> list[tuple[np.ndarray, np.
     return out
 
 
-def block_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[int, int]:
-    """Blocks of all texts that hold each template word (by the word's hash)."""
+def word_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[int, int]:
+    """How often each template word (by its hash) stands in all texts."""
 
     def run(batches):
         plain = Templates(templates)
@@ -178,7 +210,8 @@ def block_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[int, int]:
         total = np.zeros(len(by_rank), np.int64)
         for batch in batches:
             for _, _, words in C.word_chunks(batch, "text", C.ALNUM_ANY_CASE, lower=True):
-                total += np.bincount(_block_words(words, plain)[1], minlength=len(total))
+                rank = plain.word_ranks(words.hash)
+                total += np.bincount(rank[rank >= 0], minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(by_rank), pa.array(total)], names=["h", "n"])
 
     rows = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()  # one for each template word
@@ -188,9 +221,12 @@ def block_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[int, int]:
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of ``docs``.
 
+    ``templates``: rows (text, label), or a DataFrame of them.
     score: 1 for a text with a phrase, else the largest containment found, else 0.
     """
-    frequency = block_frequencies(C.small_batches(docs), templates)
+    if isinstance(templates, DataFrame):
+        templates = templates_of(templates)
+    frequency = word_frequencies(C.small_batches(docs), templates)
 
     def run(batches):
         ordered = Templates(templates, percent, frequency)
@@ -207,8 +243,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, percent: int = P
                         labels[t].add(label)
                         places[t].append(a)
                         score[t] = 1.0
-                for t, template, part in matches(words, ordered) + run_matches(words, ordered):
-                    labels[t].add(ordered.labels[template])
+                for (t, template), part in matches(words, ordered).items():
+                    if ordered.labels[template]:
+                        labels[t].add(ordered.labels[template])
                     score[t] = max(score[t], part)
                 join = lambda sets: pa.array([",".join(sorted(s)) for s in sets], pa.string())
                 yield pa.RecordBatch.from_arrays(
@@ -226,7 +263,7 @@ def op3_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    values = ", ".join(f"('{text}', '{label}')" for text, label in TEMPLATES)
+    values = ", ".join(f"({t}, '{text}', '{label}')" for t, (text, label) in enumerate(TEMPLATES))
     phrases = ", ".join(f"('{text}', '{label}')" for text, label in PHRASES)
     return rf"""
 WITH lowered AS (
@@ -237,13 +274,15 @@ places AS (
   SELECT doc_id, label, i - 1 AS i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words WHERE list_contains(w, 'license')) s, phrase
   WHERE w[i:i + len(p) - 1] = p),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY 1),
-template AS (SELECT row_number() OVER () AS t, label, unnest(list_distinct(string_split(x, ' '))) AS word FROM (VALUES {values}) v(x, label)),
-size AS (SELECT t, label, count(*) AS n FROM template GROUP BY 1, 2),
-line AS (SELECT doc_id, row_number() OVER () AS block, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM lowered)),
-held AS (SELECT doc_id, block, unnest(list_distinct(regexp_extract_all(l, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS word FROM line),
-alike AS (
-  SELECT doc_id, s.label, c / s.n AS part FROM (SELECT doc_id, block, t, count(*) AS c FROM held JOIN template USING (word) GROUP BY 1, 2, 3) JOIN size s USING (t)
-  WHERE 100 * c >= {PERCENT} * s.n),
+template AS (
+  SELECT t, label, len(list_distinct(w)) AS n, (100 * len(w) + {PERCENT} - 1) // {PERCENT} AS run, unnest(list_distinct(w)) AS word
+  FROM (SELECT t, label, string_split(x, ' ') AS w FROM (VALUES {values}) v(t, x, label))),
+held AS (
+  SELECT doc_id, t, label, n, run, i, word
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM words) JOIN template USING (word)
+  QUALIFY 100 * count(DISTINCT word) OVER (PARTITION BY doc_id, t) >= {PERCENT} * n),
+run AS (SELECT a.doc_id, a.t, a.label, a.n, a.i, count(DISTINCT b.word) AS c FROM held a JOIN held b ON a.doc_id = b.doc_id AND a.t = b.t AND b.i >= a.i AND b.i < a.i + a.run GROUP BY ALL),
+alike AS (SELECT doc_id, label, max(c) / n AS part FROM run WHERE 100 * c >= {PERCENT} * n GROUP BY doc_id, label, n),
 every AS (SELECT doc_id, label, 1.0::DOUBLE AS part FROM places UNION ALL SELECT * FROM alike),
 found AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(part) AS score FROM every GROUP BY 1)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.a AS BIGINT) AS first_word, CAST(b.b AS BIGINT) AS last_word,

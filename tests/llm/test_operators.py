@@ -102,12 +102,12 @@ def test_license(spark, rows, docs, none):
     assert license_scan.scan(none).count() == 0
     got = Counter(tuple(r) for r in license_scan.scan(docs).collect())
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    sets = [(set(t.split()), label) for t, label in license_scan.TEMPLATES]
+    sets = [(set(t.split()), -(-100 * len(t.split()) // license_scan.PERCENT), label) for t, label in license_scan.TEMPLATES]
     want = Counter()
     for i, t in rows:
         w = word.findall(X.lower(t))
         places = [(k, label) for p, label in license_scan.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
-        parts = [(len(s & set(word.findall(line))) / len(s), label) for line in X.lower(t).split("\n") for s, label in sets]
+        parts = [(len(s & set(w[k : k + run])) / len(s), label) for s, run, label in sets for k in range(len(w))]
         parts = [(p, label) for p, label in parts if p >= license_scan.PERCENT / 100]
         at = [k for k, _ in places]
         want[(i, len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})),
@@ -127,33 +127,53 @@ def test_license_across_lines(spark):
     assert got == {0: ("bsd", 1.0), 1: ("bsd", 1.0), 2: ("mpl", 1.0), 3: ("mit", 1.0), 4: ("", 0.0), 5: ("", 0.0), 6: ("", 0.0), 7: ("mpl", 1.0)}
 
 
+def test_license_inside_long_lines(spark):
+    """A notice within a long line is found; a template's words scattered over one are not."""
+    words = "this is free and unencumbered software released into the public domain".split()
+    prose = X.prose(7, 150)
+    scattered = " ".join(" ".join([w, *prose]) for w in words[:-1])
+    inside = " ".join([*prose, *words, *prose])
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(X.documents(spark, [(1, scattered), (2, inside), (3, " ".join(words[1:]))])).collect()}
+    assert got == {1: ("", 0.0), 2: ("unlicense", 1.0), 3: ("unlicense", 10 / 11)}
+
+
+def test_license_templates_as_a_table(spark, docs, monkeypatch):
+    table = spark.createDataFrame([("All Rights-Reserved by\nthe Übung guild", "guild"), (None, "none"), ("... !", "signs"), ("words of one notice without label", None),
+                                   ("All Rights-Reserved by\nthe Übung guild", "guild")], "text string, label string")
+    texts = X.documents(spark, [(1, "so (c) all rights reserved, by the Übung GUILD."), (2, "all rights reserved"), (3, "words of one notice without label"), (4, "MIT license"), (5, None)])
+    got = {r.doc_id: (r.base_labels, r.labels, r.score) for r in license_scan.scan(texts, templates=table).collect()}
+    assert got == {1: ("", "guild", 1.0), 2: ("", "", 0.0), 3: ("", "", 1.0), 4: ("mit", "mit", 1.0), 5: ("", "", 0.0)}
+    none = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(texts, templates=table.limit(0)).collect()}
+    assert none == {1: ("", 0.0), 2: ("", 0.0), 3: ("", 0.0), 4: ("mit", 1.0), 5: ("", 0.0)}
+    monkeypatch.setattr(license_scan, "TEMPLATE_CHARS", 100)
+    with pytest.raises(ValueError, match="characters"):
+        license_scan.scan(texts, templates=table)
+
+
 def test_license_runs_like_all_runs():
-    """The filters lose no run: against every run of every text."""
+    """The filters lose no run: against every run of every text, whatever the order of the words."""
     rnd = np.random.default_rng(4)
-    templates = license_scan.Templates()
     for _ in range(20):
+        plain = license_scan.Templates()
+        templates = license_scan.Templates(frequency={int(h): int(rnd.integers(5)) for h in plain.hashes.view(np.int64)})
         texts = []
         for _ in range(12):
             w = license_scan.TEMPLATES[rnd.integers(len(license_scan.TEMPLATES))][0].split()
             for _ in range(rnd.integers(0, 4)):
                 w.insert(rnd.integers(len(w)), rnd.choice(["the", "of", "x", "license", "is"]))
-            w = X.prose(int(rnd.integers(99)), 6) + w + ["a"] * int(rnd.integers(3))
+            w = X.prose(int(rnd.integers(99)), 6) + w + ["a"] * int(rnd.integers(3)) + (w[::-1] if rnd.random() < 0.3 else [])
             texts.append("".join(x + rnd.choice([" ", " ", "\n"]) for x in w).lower())
         data = [t.encode() for t in texts]
-        words = license_scan.C.Words(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), license_scan.C.ALNUM_ANY_CASE, lower=True)
-        got = {}
-        for x, t, part in license_scan.matches(words, templates) + license_scan.run_matches(words, templates):
-            got[x, t] = max(got.get((x, t), 0), part)
+        words = C.Words(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), C.ALNUM_ANY_CASE, lower=True)
         want = {}
         for x, text in enumerate(texts):
             w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
-            lines = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line) for line in text.split("\n")]
             for t, (template, _) in enumerate(license_scan.TEMPLATES):
                 own = set(template.split())
-                common = max(len(own & set(b)) for b in lines + [w[k : k + templates.run[t]] for k in range(len(w))])
+                common = max(len(own & set(w[k : k + templates.run[t]])) for k in range(len(w)))
                 if common >= templates.need[t]:
                     want[x, t] = common / len(own)
-        assert got == want and want
+        assert license_scan.matches(words, templates) == want and want
 
 
 def test_weak_quality(spark, rows, docs, none):
