@@ -160,10 +160,10 @@ def report_lines(fc: DataFrame, imp: DataFrame | None, features: DataFrame | Non
 
 def report_context(fc: DataFrame, imp: DataFrame, features: DataFrame) -> DataFrame:
     """The 30-day channel rows, the top-10 features and the training context as one JSON document."""
-    ch = ins.rows_at(fc, "channel", 30).select(F.struct(*fc.columns).alias("r")) \
-        .agg(F.collect_list("r").alias("forecasts_30d_channel"))             # one row per channel
-    top = imp_ops.top_features(imp).select(F.struct("feature", "importance").alias("f")) \
-        .agg(F.collect_list("f").alias("top_features"))                       # ten rows
+    ch = ins.rows_at(fc, "channel", 30).select("channel", F.struct(*fc.columns).alias("r")) \
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "r"))), lambda x: x["r"]).alias("forecasts_30d_channel"))     # one row per channel
+    top = imp_ops.top_features(imp).select("rank", F.struct("feature", "importance").alias("f")) \
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "f"))), lambda x: x["f"]).alias("top_features"))                 # ten rows, by rank
     meta = training_metadata(features)
     doc = meta.select(F.struct("min_date", "max_date", "channels", "campaign_types").alias("training"),
                       ch.select("forecasts_30d_channel").scalar().alias("forecasts_30d_channel"),

@@ -18,6 +18,7 @@ from revcast.operators import forecast as fc
 from revcast.operators.features import feature_order
 from revcast.plans import daily
 from revcast.plans import oracle_sql as O
+from revcast.plans import report_sql as R
 from revcast.plans.present import present, sql_select
 
 
@@ -1019,34 +1020,6 @@ def q_split_importances(spark, sf):
     return mo.importance_table(_boosted(spark, sf)[0])
 
 
-def _explain_sql_long(x: str) -> str:
-    exact = " ".join(f"WHEN {x} = '{k}' THEN '{v}'" for k, v in K.FEATURE_EXPLANATIONS.items())
-    w = f"split_part({x}, '_', 3)"
-    return f"""CASE {exact}
-      WHEN {x} LIKE '%revenue_roll%' AND {x} LIKE '%std%' THEN 'Revenue volatility over ' || {w} || ' window'
-      WHEN {x} LIKE '%revenue_roll%' THEN 'Average daily revenue over ' || {w} || ' window'
-      WHEN {x} LIKE '%spend_roll%' AND {x} LIKE '%std%' THEN 'Spend volatility over ' || {w} || ' window'
-      WHEN {x} LIKE '%spend_roll%' THEN 'Average daily spend over ' || {w} || ' window'
-      WHEN {x} LIKE '%roas_roll%' THEN 'Average ROAS over ' || {w} || ' window'
-      WHEN {x} LIKE '%clicks_roll%' THEN 'Average daily clicks over ' || {w} || ' window'
-      WHEN {x} LIKE '%channel%' THEN 'Advertising channel (Google, Bing, Meta)'
-      WHEN {x} LIKE '%campaign_type%' THEN 'Campaign type (Search, PMax, Display, etc.)'
-      WHEN {x} LIKE '%campaign_name%' THEN 'Individual campaign identifier'
-      ELSE 'Model feature' END"""
-
-
-def _explain_sql_short(x: str) -> str:
-    exact = " ".join(f"WHEN {x} = '{k}' THEN '{v}'" for k, v in K.FEATURE_EXPLANATIONS_SHORT.items())
-    return f"""CASE {exact}
-      WHEN {x} LIKE '%roll%' AND {x} LIKE '%revenue%' THEN 'Rolling revenue metric'
-      WHEN {x} LIKE '%roll%' AND {x} LIKE '%spend%' THEN 'Rolling spend metric'
-      WHEN {x} LIKE '%roll%' AND {x} LIKE '%roas%' THEN 'Rolling ROAS metric'
-      WHEN {x} LIKE '%roll%' AND {x} LIKE '%clicks%' THEN 'Rolling clicks metric'
-      WHEN {x} LIKE '%channel%' THEN 'Ad channel'
-      WHEN {x} LIKE '%campaign%' THEN 'Campaign identifier'
-      ELSE 'Model feature' END"""
-
-
 # ---------------------------------------------------------------- importances from the data
 # A deterministic importance table: each numeric feature's absolute correlation with revenue.
 CORR_FEATURES = ["spend", "clicks", "impressions", "daily_budget", *_ROLL_MEANS]
@@ -1078,14 +1051,14 @@ def _top_sql(n: int, explained: str) -> str:
 
 _TOP_COLS = ["rank", "feature", "importance", "pct_of_all", "pct_of_top", "explanation"]
 _importance_query("importance_rank", imp_ops.ranked, ["rank", "feature", "importance", "pct_of_all"], "SELECT * FROM ranked")
-_importance_query("top_features", imp_ops.top_features, _TOP_COLS, _top_sql(10, _explain_sql_long("feature")))
-_importance_query("top_features_15", lambda i: imp_ops.top_features(i, n=15, short=True), _TOP_COLS, _top_sql(15, _explain_sql_short("feature")))
+_importance_query("top_features", imp_ops.top_features, _TOP_COLS, _top_sql(10, R.explain_long("feature")))
+_importance_query("top_features_15", lambda i: imp_ops.top_features(i, n=15, short=True), _TOP_COLS, _top_sql(15, R.explain_short("feature")))
 _importance_query("drivers", imp_ops.drivers, [*_TOP_COLS, "roas_driven", "spend_driven", "rolling_driven"],
                   f"""SELECT *, (SELECT bool_or(feature IN ('roas', 'roas_roll_7d_mean')) FROM ranked WHERE rank <= 3) AS roas_driven,
       (SELECT bool_or(feature = 'spend') FROM ranked WHERE rank <= 3) AS spend_driven,
-      (SELECT bool_or(feature LIKE '%roll%') FROM ranked WHERE rank <= 3) AS rolling_driven FROM ({_top_sql(10, _explain_sql_long("feature"))})""")
+      (SELECT bool_or(feature LIKE '%roll%') FROM ranked WHERE rank <= 3) AS rolling_driven FROM ({_top_sql(10, R.explain_long("feature"))})""")
 _importance_query("feature_explain", lambda i: imp_ops.explain_names(i, "feature").join(i, "feature"), ["feature", "importance", "explanation", "short_explanation"],
-                  f"SELECT feature, importance, {_explain_sql_long('feature')} AS explanation, {_explain_sql_short('feature')} AS short_explanation FROM corrs")
+                  f"SELECT feature, importance, {R.explain_long('feature')} AS explanation, {R.explain_short('feature')} AS short_explanation FROM corrs")
 
 
 # ---------------------------------------------------------------- sinks / report
@@ -1161,14 +1134,37 @@ def q_budget_multiplier(spark, sf):
     return sc.edited_budgets_multiplier(base, edited).select(F.round(F.col("budget_multiplier") + 1e-9, 4).alias("budget_multiplier"))
 
 
-def _report_inputs(spark, sf):
-    return daily.landed_forecast(spark, sf), _correlation_importances(spark, sf), daily.feature_daily(spark, sf)
+_REPORT_BODIES = ("kpis", "channel_analysis", "type_analysis", "best_worst", "horizon_trend", "budget_efficiency", "high_uncertainty", "zero_revenue", "recommendations")
+
+
+def _report_ctes(source: str = "fcast", *more: str) -> str:
+    """The exported forecast, and the importances, as the report reads them."""
+    return O.with_ctes(*O.forecast_stack(), O.FEATURES, CORR_SQL, RANKED_SQL, *more, f"rcast AS (SELECT {sql_select(FORECAST_SPEC, fc.FORECAST_COLUMNS)} FROM {source})")
+
+
+def _report_lines_sql(source: str = "fcast", *more: str) -> str:
+    return _report_ctes(source, *more) + "\n" + R.report_lines({n: BODIES[n][2].replace("fcast", "rcast") for n in _REPORT_BODIES})
 
 
-@register("report_lines", None)
+def _report_inputs(spark, sf, change: Callable[[DataFrame], DataFrame] = lambda f: f):
+    """The report reads the exported, rounded forecast, as the insight step does."""
+    return present(change(_fc(spark, sf)), FORECAST_SPEC), _correlation_importances(spark, sf), daily.feature_daily(spark, sf)
+
+
+def _shown(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("section").cast("bigint").alias("section"), "ord", F.round(F.col("num") + 1e-9, 4).alias("num"), "text1", "text2", F.col("k").cast("bigint").alias("k"), "line")
+
+
+@register("report_lines", _report_lines_sql())
 def q_report_lines(spark, sf):
-    """The report as ordered (section, ord, line) rows."""
-    return rep.report_lines(*_report_inputs(spark, sf))
+    """The report's lines with their sort keys."""
+    return _shown(rep.report_lines(*_report_inputs(spark, sf)))
+
+
+@register("report_lines_varied", _report_lines_sql("vcast", VARIED_SQL))
+def q_report_lines_varied(spark, sf):
+    """I14 on the varied forecast: zero revenue, a growing trend, each assessment and outlook, all recommendations."""
+    return _shown(rep.report_lines(*_report_inputs(spark, sf, _varied)))
 
 
 @register("report_context", None)
@@ -1177,6 +1173,20 @@ def q_report_context(spark, sf):
     return rep.report_context(*_report_inputs(spark, sf))
 
 
+@register("report_context_read", _report_ctes() + R.REPORT_CONTEXT)
+def q_report_context_read(spark, sf):
+    """I13 read back from its JSON: the training's row, a row for each channel, a row for each feature."""
+    shape = ("training struct<min_date:string,max_date:string,channels:string,campaign_types:string>, "
+             "forecasts_30d_channel array<struct<channel:string,campaign_type:string,campaign_name:string,revenue_p10:double,revenue_p50:double,revenue_p90:double>>, "
+             "top_features array<struct<feature:string,importance:double>>")
+    doc = rep.report_context(*_report_inputs(spark, sf)).select(F.from_json("context_json", shape).alias("d")).select("d.*")
+    none, text, t = F.lit(None).cast("double"), F.lit(None).cast("string"), F.col("training")
+    row = lambda part, place, name, text, a, b, c: F.struct(
+        F.lit(part).alias("part"), place.cast("bigint").alias("place"), name.alias("name"), text.alias("text"), a.alias("a"), b.alias("b"), c.alias("c"))
+    return doc.select(F.inline(F.concat(
+        F.array(row("training", F.lit(1), F.concat_ws(" ", t.min_date, t.max_date), F.concat_ws(";", t.channels, t.campaign_types), none, none, none)),
+        F.transform("forecasts_30d_channel", lambda r, i: row("forecast", i + 1, r.channel, F.concat_ws(";", r.campaign_type, r.campaign_name), r.revenue_p10, r.revenue_p50, r.revenue_p90)),
+        F.transform("top_features", lambda r, i: row("feature", i + 1, r.feature, text, F.round(r.importance, 6), none, none)))))
 
 
 @register("base_budgets", O.with_ctes(*O.forecast_stack()) + """
