@@ -5,7 +5,8 @@
 * a packed exchange: (key, doc, position) triples travel as byte blobs, one row
   for each bucket and flush, and meet in their bucket;
 * a fixed-size bit filter that spares a shuffle of rows which cannot match;
-* ``checkpointed``: lineage cut in the shared folder of ``spark.checkpoint.dir``.
+* ``checkpointed``: lineage cut in the shared folder of ``spark.checkpoint.dir``; ``consumed`` and
+  ``release`` delete what has been read.
 
 Hash values only depend on the text, never on the process or the machine.
 """
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcast.session import ensure_checkpoint_dir
+from revcast.session import delete_folder, ensure_checkpoint_dir
 
 #: Bytes of text that a numpy pass handles at once (a longer text is one pass).
 CHUNK_BYTES = 1 << 19
@@ -48,10 +51,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Folders of the checkpoints made within the innermost ``consumed()`` of this thread or task.
+_MADE: ContextVar[list[str] | None] = ContextVar("checkpoints", default=None)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder; later reads survive a lost executor."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    made = _MADE.get()
+    if made is not None:
+        made.append(checkpoint_folder(out))
+    return out
+
+
+def checkpoint_folder(df: DataFrame) -> str:
+    """Where a DataFrame that ``checkpointed`` gave has its rows."""
+    return df._jdf.queryExecution().logical().rdd().getCheckpointFile().get()  # noqa: SLF001 - no Python wrapper
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the rows of a DataFrame that ``checkpointed`` gave and nothing reads any more."""
+    delete_folder(df.sparkSession, checkpoint_folder(df))
+
+
+@contextmanager
+def consumed(spark: SparkSession) -> Iterator[None]:
+    """Checkpoints made within are deleted at the end: for a result that is written within. Without it
+    they stay until the application's folder is cleaned up, as a lazy result may read them at any time."""
+    token = _MADE.set([])
+    try:
+        yield
+    finally:
+        made = _MADE.get()
+        _MADE.reset(token)
+        for folder in made:
+            delete_folder(spark, folder)
 
 
 #: Bytes of an Arrow batch between the JVM and Python; a task holds a few of them.

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revcast.llm.common import checkpointed
+from revcast.llm.common import checkpointed, release
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -37,11 +37,12 @@ def _all_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (x, y); component is the smallest node reached.
 
-    Null ends and loops are left out.
+    Null ends and loops are left out. A round's edges are deleted when the next one's are written.
     """
     edges = checkpointed(edges.select("x", "y").filter(F.col("x") != F.col("y")).distinct())
     while True:
-        edges = checkpointed(_star(_star(edges, small=False), small=True))
+        before, edges = edges, checkpointed(_star(_star(edges, small=False), small=True))
+        release(before)
         if _all_stars(edges):
             break
     roots = edges.select(F.col("y").alias("node")).distinct().withColumn("component", F.col("node"))

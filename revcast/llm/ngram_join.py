@@ -296,6 +296,8 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 # ------------------------------------------------------------------ heavy sets among themselves
+#: Classes of exact copies with over a HOT_CLASSES-th of all rows, and over CLASS_ROWS, join apart from the others.
+HOT_CLASSES, CLASS_ROWS = 1024, 64
 #: Bytes of shingle hashes in a block of heavy sets.
 HEAVY_BLOCK = 8 << 20
 #: Bits of a set's bit map for each shingle of a mean set.
@@ -387,6 +389,23 @@ def label_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.filter("cx != cy").select("x", "y", "cx", "cy")
 
 
+def large_classes(reps: DataFrame) -> DataFrame | None:
+    """h1, h2, class_id of the classes of exact copies with over a HOT_CLASSES-th of all rows (so there are fewer
+    than HOT_CLASSES), or None."""
+    total = reps.agg(F.sum("n")).first()[0] or 0
+    rows = reps.filter(F.col("n") > max(total // HOT_CLASSES, CLASS_ROWS)).select("h1", "h2", "class_id").collect()
+    return reps.sparkSession.createDataFrame(rows, "h1 long, h2 long, class_id long") if rows else None
+
+
+def join_split(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """``rows`` left-joined with ``table`` (one row for each key); rows with one of the few keys in ``hot`` stay where they are."""
+    if hot is None:
+        return rows.join(table, keys, "left")
+    hot = F.broadcast(hot.select(*keys))
+    few = F.broadcast(table.join(hot, keys, "left_semi"))
+    return rows.join(hot, keys, "left_anti").join(table, keys, "left").unionByName(rows.join(hot, keys, "left_semi").join(few, keys, "left"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id for each row of ``docs`` (doc_id, text).
 
@@ -397,8 +416,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = C.checkpointed(docs.mapInArrow(_set_rows, "doc_id long, n_shingles long, h1 long, h2 long, need long"))
     some = sets.filter("n_shingles > 0 and doc_id is not null")
     # equal sets: one representative each (a group-by with map-side minimum, so a huge class is no hot key)
-    reps = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"))
-    member = some.join(reps, ["h1", "h2"]).select("doc_id", "class_id", "n_shingles", "need").distinct()
+    counted = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
+    reps, large = counted.drop("n"), large_classes(counted)
+    member = join_split(some, reps, ["h1", "h2"], large).select("doc_id", "class_id", "n_shingles", "need").distinct()
 
     buckets = C.bucket_count(spark)
     packed = docs.filter("doc_id is not null").mapInArrow(_map_signatures(buckets), C.PACKED)
@@ -438,12 +458,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         if not found.isEmpty():
             labels = components(edges.unionByName(found))
 
-    label = member.join(labels.toDF("class_id", "component"), "class_id", "left")
+    label = join_split(member, labels.toDF("class_id", "component"), ["class_id"], large)
     label = label.groupBy("doc_id").agg(F.min(F.coalesce("component", "class_id")).alias("component_id"))
-    out = sets.join(reps, ["h1", "h2"], "left").join(label, "doc_id", "left")
-    empty = F.col("n_shingles") == 0
-    return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
-                      F.when(empty | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    out = join_split(some, reps, ["h1", "h2"], large).join(label, "doc_id").select("doc_id", "n_shingles", "component_id", "class_id")
+    # without words or an id a row stands for itself, and meets no other
+    alone = sets.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    return out.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -2,12 +2,15 @@
 
 import hashlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from revcast.llm import sharding
+from revcast.llm import common as C
+from revcast.llm import ngram_join, sharding
+from revcast.session import ensure_checkpoint_dir
 from tests.llm import fixtures as X
 
 SF0001 = "/root/testdata/sf0.001"
@@ -70,6 +73,49 @@ def test_run_on_an_empty_table(spark, tmp_path):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == 0
 
 
+# ------------------------------------------------------------------ intermediate folders
+def folders(spark):
+    """All folders of checkpoints and stages in the shared folder."""
+    root = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    return {str(p) for p in root.glob("*/rdd-*")} | {str(p) for p in root.glob("pipeline-*/*")}
+
+
+def test_run_leaves_its_result_only(spark):
+    before = folders(spark)
+    out = P.run(spark, SF0001)
+    left = folders(spark) - before
+    assert len(left) == 1 and left.pop().endswith("/encoding") and out.count() > 0
+
+
+def test_consumed_and_released(spark):
+    before = folders(spark)
+    with C.consumed(spark):
+        a = C.checkpointed(spark.range(5))
+        with C.consumed(spark):
+            b = C.checkpointed(a.filter("id > 1"))
+            assert b.count() == 3 and len(folders(spark) - before) == 2
+        assert a.count() == 5 and len(folders(spark) - before) == 1
+    assert folders(spark) == before
+    with pytest.raises(ZeroDivisionError), C.consumed(spark):
+        C.checkpointed(spark.range(5))
+        1 / 0
+    c = C.checkpointed(spark.range(5))
+    assert len(folders(spark) - before) == 1
+    C.release(c)
+    assert folders(spark) == before
+
+
+@pytest.mark.parametrize("classes, least", [(1024, 0), (4, 0), (2, 3)])
+def test_large_classes_join_apart(spark, monkeypatch, classes, least):
+    rows = [*X.texts(), *((5000 + i, X.prose(9, 80)) for i in range(40)), *((5100 + i, X.prose(10, 60)) for i in range(9)), (5000, X.prose(10, 60)), (5000, ""), (None, X.prose(9, 80))]
+    docs = X.documents(spark, rows)
+    want = Counter(tuple(r) for r in ngram_join.near_duplicates(docs).collect())
+    monkeypatch.setattr(ngram_join, "HOT_CLASSES", classes)
+    monkeypatch.setattr(ngram_join, "CLASS_ROWS", least)
+    assert Counter(tuple(r) for r in ngram_join.near_duplicates(docs).collect()) == want
+    assert {r[2] for r in want if r[0] and r[0] >= 5000 and r[1]} == {5000}
+
+
 # ------------------------------------------------------------------ shards
 def slots_by_turns(names, size):
     """Each shard's whole preference list, and the shards taking turns at their next free one."""
