@@ -11,7 +11,7 @@ of documents, so each works on what the stage before it kept:
 
 ``run`` writes each stage's rows as Parquet in a folder of its own in the shared checkpoint folder
 and reads them again, so a lost executor never reaches back beyond one stage; a stage's folder goes
-when the next one is written, and the last one's is the result. Rows without an id go by
+when the next one is written, its operators' checkpoints with it, and the last one's is the result. Rows without an id go by
 their text in stages 2 and 4 and are left whole by stage 3; of rows that repeat an id and text one
 passes stage 2. Empty documents give an empty result; more columns, whatever their names, pass to the
 last stage.
@@ -70,7 +70,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with common.consumed(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
         if before:
             delete_folder(spark, before)
