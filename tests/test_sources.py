@@ -4,8 +4,9 @@ import tempfile
 import pytest
 
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
-from revcast.sources.vendors import NoInputError, load_all_channels
+from revcast.sources.vendors import LAYOUTS, NoInputError, header_names, load_all_channels, unified_of
 
 GOOGLE = """,segments_date,campaign_advertising_channel_type,campaign_name,campaign_id,metrics_conversions_value,metrics_cost_micros,metrics_clicks,metrics_impressions,metrics_conversions,campaign_budget_amount
 0,2024-01-01,SEARCH,G1,11,100.5,2500000,10,100,2.0,50
@@ -136,3 +137,16 @@ def test_whole_numbers_with_decimals_are_cut_off(spark):
     rows = load_all_channels(spark, folder(bing=BING.replace(",3,30,", ",3.9,30.0,"))).collect()
     assert {(r["clicks"], r["impressions"]) for r in rows} == {(3, 30), (1, 1)}
 
+
+
+@pytest.mark.parametrize("file", ["'f'", "concat('f', substr(i, 1, 0))"])
+def test_records_stay_in_their_tasks(spark, file):
+    """Rows made on the driver have no known size: neither they nor a constant file may gather the records in one task."""
+    head, record = BING.split("\n")[:2]
+    names = header_names(head)
+    heads = spark.createDataFrame([("f", len(names), [names.index(c) for c in LAYOUTS["bing"]])], "file string, width int, places array<int>")
+    records = spark.range(400, numPartitions=4).withColumnRenamed("id", "i").select(
+        F.expr(file).alias("file"), F.lit("bing").alias("channel"), F.replace(F.lit(record), F.lit(",21,"), F.concat(F.lit(","), F.col("i"), F.lit(","))).alias("record"))
+    rows = unified_of(records, heads).select("campaign_id", F.spark_partition_id().alias("task")).collect()
+    assert {int(r["campaign_id"]) for r in rows} == set(range(400)) and len(rows) == 400
+    assert len({r["task"] for r in rows}) == 4
