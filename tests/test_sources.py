@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from revcast.sources.vendors import LAYOUTS, NoInputError, header_names, load_all_channels, unified_of
+from revcast.sources.vendors import DATE_FORMATS, LAYOUTS, NoInputError, header_names, load_all_channels, parse_date, unified_of
 
 GOOGLE = """,segments_date,campaign_advertising_channel_type,campaign_name,campaign_id,metrics_conversions_value,metrics_cost_micros,metrics_clicks,metrics_impressions,metrics_conversions,campaign_budget_amount
 0,2024-01-01,SEARCH,G1,11,100.5,2500000,10,100,2.0,50
@@ -150,3 +150,25 @@ def test_records_stay_in_their_tasks(spark, file):
     rows = unified_of(records, heads).select("campaign_id", F.spark_partition_id().alias("task")).collect()
     assert {int(r["campaign_id"]) for r in rows} == set(range(400)) and len(rows) == 400
     assert len({r["task"] for r in rows}) == 4
+
+
+def test_a_record_is_cut_once_and_a_date_tried_once_a_format(spark):
+    """In the plan, since only the time tells otherwise; and no try that its text is sure to fail."""
+    lines, head = spark.createDataFrame([("f", "bing", BING.split("\n")[1])], "file string, channel string, record string"), header_names(BING.split("\n")[0])
+    heads = spark.createDataFrame([("f", len(head), [head.index(c) for c in LAYOUTS["bing"]])], "file string, width int, places array<int>")
+    plan = unified_of(lines, heads)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
+    dates = unified_of(lines.withColumn("channel", F.lit("bing")), heads).select("date")._jdf.queryExecution().optimizedPlan().toString()
+    assert dates.count("gettimestamp(") == len(DATE_FORMATS) and dates.count("Contains(") + dates.count("instr(") >= 4
+
+
+def test_dates_and_counts_in_each_form(spark):
+    dates = {"2024-01-02": "2024-01-02", "2024-01-02 03:04:05": "2024-01-02", "2024/01/02": "2024-01-02", "1/2/2024": "2024-01-02", "12/31/2024": "2024-12-31",
+             "20240102": "2024-01-02", "+12024/01/02": "+12024-01-02", "  ": None}
+    rows = spark.createDataFrame([(d,) for d in dates], "d string").select("d", parse_date(F.col("d")).cast("string").alias("date")).collect()
+    assert {r["d"]: r["date"] for r in rows} == dates
+    for bad in ("2024/1/2", "2024-1-2", "13/02/2024", "2024-01-02T03:04:05", "2024-01-02 03:04", "1/2/24"):
+        with pytest.raises(PySparkException):
+            spark.createDataFrame([(bad,)], "d string").select(parse_date(F.col("d"))).collect()
+    rows = load_all_channels(spark, folder(bing=BING.replace(",3,30,", ",9007199254740993,1e3,").replace(",1,1,0,", ",-1.9, 7 ,0,"))).collect()
+    assert {(r["clicks"], r["impressions"]) for r in rows} == {(9007199254740993, 1000), (-1, 7)}
